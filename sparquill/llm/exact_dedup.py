@@ -35,7 +35,8 @@ def groups(docs: DataFrame, digest: Callable[[Column], Column] = sha256, salts:
     content = normalised(text_of())
     salted = docs.select("doc_id", content.alias("content"), digest(content).alias("digest"), F.pmod(F.spark_partition_id(), F.lit(salts)).alias("salt"))
     first = salted.groupBy("digest", "content", "salt").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    whole = first.groupBy("digest", "content").agg(F.min("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
+    # Dealt by digest alone, the winners can be combined and the texts of a digest counted in one shuffle.
+    whole = first.repartition("digest").groupBy("digest", "content").agg(F.min("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
     n_texts = F.count("*").over(Window.partitionBy("digest"))
     return whole.withColumn("n_texts", n_texts).withColumn("content", F.when(F.col("n_texts") > 1, F.col("content")))
 
