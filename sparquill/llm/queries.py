@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparquill.llm import exact_dedup, near_dedup
+from sparquill.llm import exact_dedup, fingerprints, near_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_document_fingerprints": fingerprints.op1_document_fingerprints,
         "op3_simhash_near_dedup": near_dedup.op3_simhash_near_dedup,
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     }
