@@ -6,18 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparquill.llm import exact_dedup, fingerprints, near_dedup
+from sparquill.llm import chat, exact_dedup, fingerprints, licenses, near_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_document_fingerprints": fingerprints.op1_document_fingerprints,
         "op3_simhash_near_dedup": near_dedup.op3_simhash_near_dedup,
+        "op4_license_scan": licenses.op4_license_scan,
+        "op7_chat_formatting": chat.op7_chat_formatting,
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op7_chat_formatting": chat.OP7_SQL,
         "op8_exact_dedup": exact_dedup.OP8_SQL,
     }
