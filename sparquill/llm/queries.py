@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparquill.llm import chat, exact_dedup, fingerprints, licenses, near_dedup
+from sparquill.llm import chat, exact_dedup, fingerprints, licenses, near_dedup, url_filters
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_document_fingerprints": fingerprints.op1_document_fingerprints,
+        "op2_url_filter": url_filters.op2_url_filter,
         "op3_simhash_near_dedup": near_dedup.op3_simhash_near_dedup,
         "op4_license_scan": licenses.op4_license_scan,
         "op7_chat_formatting": chat.op7_chat_formatting,
