@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparquill.llm import chat, exact_dedup, fingerprints, licenses, mixing, near_dedup, quality, url_filters
+from sparquill.llm import chat, exact_dedup, fingerprints, licenses, mixing, near_dedup, packing, quality, url_filters
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_simhash_near_dedup": near_dedup.op3_simhash_near_dedup,
         "op4_license_scan": licenses.op4_license_scan,
         "op5_quality_classifier": quality.op5_quality_classifier,
+        "op6_best_fit_packing": packing.op6_best_fit_packing,
         "op7_chat_formatting": chat.op7_chat_formatting,
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
         "op9_mixing": mixing.op9_mixing,
