@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparquill.llm import chat, exact_dedup, fingerprints, licenses, mixing, near_dedup, packing, quality, url_filters
+from sparquill.llm import chat, exact_dedup, fingerprints, licenses, lm, mixing, near_dedup, packing, quality, url_filters
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,6 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_chat_formatting": chat.op7_chat_formatting,
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
         "op9_mixing": mixing.op9_mixing,
+        "op10_lm_scoring": lm.op10_lm_scoring,
     }
 
 
