@@ -50,7 +50,8 @@ def successors(keys: DataFrame) -> DataFrame:
 
 def neighbour_groups(doc_id: Column, text: Column) -> Column:
     """A long that grows with doc_id; up to 512 ids share one, so no group holds many rows."""
-    return F.coalesce(F.shiftright(doc_id.cast("long"), NEIGHBOURS), F.lit(NO_ID) + F.pmod(F.xxhash64(text), F.lit(1 << 20)))
+    # The last choice never applies; it tells Spark that there is no null to filter, so that both readers of the shuffle share it.
+    return F.coalesce(F.shiftright(doc_id.cast("long"), NEIGHBOURS), F.lit(NO_ID) + F.pmod(F.xxhash64(text), F.lit(1 << 20)), F.lit(NO_ID))
 
 
 def edited(docs: DataFrame) -> DataFrame:
