@@ -27,7 +27,7 @@ from sparquill.llm.common import read, stored, text_of
 SEQUENCE = 1024
 END = 2
 #: Encoded words that a task remembers, and rows of a length that one window group holds, about.
-REMEMBERED, PART_ROWS = 300_000, 20_000
+REMEMBERED, PART_ROWS = 800_000, 4_000
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -47,23 +47,44 @@ def _encoder(path: str):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
+    special = re.compile(r"[^\S \n]|\x00").search  # such texts are encoded whole
+    uneven = re.compile(r"[ \n]{2}|^[ \n]|[ \n]$").search  # runs of white space, which have to be kept together
     cut = re.compile(r"[ \n]*[^ \n]+|[ \n]+").findall
-    other = re.compile(r"[^\S \n]").search
     held: dict[str, bytes] = {}
 
     def encode(texts: list[str]) -> list[bytes]:
         found = tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [struct.pack(f"<{len(e)}I", *e.ids) for e in found]
 
+    # A word's name in `held`: the word itself if one space stands before it, with its newline if that does; all else after a NUL.
+    def name(part: str) -> str:
+        even = part[0] in " \n" and part[1:2] not in ("", " ", "\n")
+        return "\x00" + part if not even else part[1:] if part[0] == " " else part
+
+    def names(text: str) -> list[str]:
+        if special(text):
+            return ["\x00" + text]
+        if uneven(text):
+            return [name(p) for p in cut(text)]
+        found = text.replace("\n", " \n").split(" ")
+        found[0] = "\x00" + found[0]
+        return found
+
+    def spelt(called: str) -> str:
+        return called[1:] if called[0] == "\x00" else called if called[0] == "\n" else " " + called
+
     def run(texts: list[str]) -> list[bytes]:
-        parts = [[t] if other(t) else cut(t) for t in texts]
-        new = list({p for ps in parts for p in ps if p not in held})
-        if len(held) + len(new) > REMEMBERED:
-            known = held | dict(zip(new, encode(new), strict=True))
-        else:
-            held.update(zip(new, encode(new), strict=True))
-            known = held
-        return [b"".join([known[p] for p in ps]) for ps in parts]
+        nonlocal held
+        every = [names(t) if t else [] for t in texts]
+        coded = [list(map(held.get, ns)) for ns in every]
+        new = list({n for ns, cs in zip(every, coded, strict=True) if None in cs for n, c in zip(ns, cs, strict=True) if c is None})
+        if not new:
+            return [b"".join(cs) for cs in coded]
+        fresh = dict(zip(new, encode([spelt(n) for n in new]), strict=True))
+        out = [b"".join([fresh[n] if c is None else c for n, c in zip(ns, cs, strict=True)] if None in cs else cs) for ns, cs in zip(every, coded, strict=True)]
+        if len(held) + len(fresh) <= REMEMBERED:
+            held |= {n: c for n, c in fresh.items() if len(n) < 40}
+        return out
 
     return run
 
