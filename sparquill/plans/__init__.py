@@ -1,0 +1,22 @@
+"""Queries of the library's own operators, with SQL twins."""
+
+from __future__ import annotations
+
+import importlib
+
+MODULES = ("search",)
+
+
+def _all(kind: str) -> dict:
+    found: dict = {}
+    for name in MODULES:
+        found |= getattr(importlib.import_module(f"{__name__}.{name}"), kind)
+    return found
+
+
+def queries() -> dict:
+    return _all("QUERIES")
+
+
+def oracle_sql() -> dict:
+    return _all("SQL")
