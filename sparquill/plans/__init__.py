@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("search",)
+MODULES = ("search", "keywords", "identifiers", "graph")
 
 
 def _all(kind: str) -> dict:
