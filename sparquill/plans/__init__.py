@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("search", "keywords", "identifiers", "graph")
+MODULES = ("search", "keywords", "identifiers", "graph", "rules", "mining", "nested")
 
 
 def _all(kind: str) -> dict:
