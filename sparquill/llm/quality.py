@@ -8,6 +8,7 @@ fitted on labelled texts that no dictionary has seen, turns them into a probabil
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -89,16 +90,23 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return w
 
 
-def fit(labelled: DataFrame, dictionary_rows: int = DICTIONARY_ROWS, calibration_rows: int = CALIBRATION_ROWS) -> Model:
-    """A model of labelled (doc_id, text, quality): at most dictionary_rows + calibration_rows rows of each class are taken."""
-    labelled = labelled.where("quality IN (0, 1)").select(text_of().alias("text"), "quality", F.xxhash64("doc_id").alias("h"))
-    totals = {r.quality: r["count"] for r in labelled.groupBy("quality").count().collect()}
-    prior = totals.get(1, 0) / max(sum(totals.values()), 1) if totals else 0.5
+def fit(docs: DataFrame, marks: DataFrame, dictionary_rows: int = DICTIONARY_ROWS, calibration_rows: int = CALIBRATION_ROWS) -> Model:
+    """A model of docs (doc_id, text) marked by marks (doc_id, quality), one row for each id.
+
+    Of each class at most dictionary_rows + calibration_rows marked ids are chosen, by hash. They are chosen from
+    the marks alone, and only their texts are fetched, by a broadcast of those few ids.
+    """
+    marks = marks.where("doc_id IS NOT NULL AND quality IN (0, 1)").select("doc_id", "quality")
+    totals = {r.quality: r["count"] for r in marks.groupBy("quality").count().collect()}
+    prior = totals.get(1, 0) / sum(totals.values()) if totals else 0.5
     none = Model(b"", b"", np.zeros(11), np.ones(11), np.zeros(12), prior)
+    most = dictionary_rows + calibration_rows
+    chosen = [tuple(r) for q in (0, 1) for r in marks.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect()]
+    few = docs.sparkSession.createDataFrame(chosen, marks.schema)
+    rows = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(few), "doc_id").collect()
     taken = {}
     for q in (0, 1):
-        rows = labelled.where(F.col("quality") == q).orderBy("h", "text").limit(dictionary_rows + calibration_rows).select("text").collect()
-        texts = [x for r in rows if (x := r.text.encode())]
+        texts = [r.text.encode() for r in sorted(rows, key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id)) if r.quality == q and r.text][:most]
         cut = min(dictionary_rows, len(texts) // 2)
         taken[q] = texts[:cut], texts[cut:]
     try:
@@ -142,8 +150,8 @@ def held_out(doc_id: str = "doc_id", parts: int = 4) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
-    marks = labels.where("quality IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    return fit(docs.where(~held_out()).select("doc_id", "text").join(marks, "doc_id"))
+    marks = labels.where("quality IS NOT NULL").where(~held_out()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    return fit(docs, marks)
 
 
 def classify(docs: DataFrame, model: Model, accept: float = ACCEPT) -> DataFrame:
