@@ -21,12 +21,12 @@ from pyspark.sql import functions as F
 from sparquill.llm.common import read, text_of
 
 #: Labelled rows that the fit takes of each class, by hash of doc_id: for the dictionary, and for the calibration.
-DICTIONARY_ROWS, CALIBRATION_ROWS = 1200, 1500
+DICTIONARY_ROWS, CALIBRATION_ROWS = 1200, 1800
 DICTIONARY_BYTES = 1 << 18
 SAMPLE_BYTES = 4000
 LEVEL = 3
 ACCEPT = 0.7
-RIDGE = 0.3
+RIDGE = 0.02
 
 
 @dataclass
@@ -104,27 +104,48 @@ def fit(docs: DataFrame, marks: DataFrame, dictionary_rows: int = DICTIONARY_ROW
     chosen = [tuple(r) for q in (0, 1) for r in marks.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect()]
     few = docs.sparkSession.createDataFrame(chosen, marks.schema)
     rows = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(few), "doc_id").collect()
-    taken = {}
-    for q in (0, 1):
-        texts = [r.text.encode() for r in sorted(rows, key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id)) if r.quality == q and r.text][:most]
-        cut = min(dictionary_rows, len(texts) // 2)
-        taken[q] = texts[:cut], texts[cut:]
+    texts = {q: [r.text.encode() for r in sorted(rows, key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id)) if r.quality == q and r.text][:most] for q in (0, 1)}
     try:
-        bad, good = (
-            zstandard.train_dictionary(min(DICTIONARY_BYTES, sum(map(len, taken[q][0])) // 2), [t[k : k + SAMPLE_BYTES] for t in taken[q][0] for k in range(0, len(t), SAMPLE_BYTES)]).as_bytes()
-            for q in (0, 1)
-        )
-    except (zstandard.ZstdError, ValueError, ZeroDivisionError):  # too few labelled texts for a dictionary
+        if min(map(len, texts.values())) >= 2 * dictionary_rows:
+            model, x, y = _split(texts, dictionary_rows, prior)
+        else:
+            model, x, y = _crossed(texts, prior)
+    except (zstandard.ZstdError, ValueError, ZeroDivisionError):  # too few marked texts for a dictionary
         return none
-    model = Model(bad, good, none.centre, none.scale, none.weights, prior)
-    x = design(features(compressors(model), taken[0][1] + taken[1][1]))
-    y = np.r_[np.zeros(len(taken[0][1])), np.ones(len(taken[1][1]))]
-    share = np.where(y == 1, totals[1] / max(len(taken[1][1]), 1), totals[0] / max(len(taken[0][1]), 1))
+    share = np.where(y == 1, totals[1] / (y == 1).sum(), totals[0] / (y == 0).sum())
     model.centre, model.scale = x.mean(0), x.std(0) + 1e-9
     model.weights = logistic((x - model.centre) / model.scale, y, share / share.mean())
     return model
 
 
+def _dictionaries(texts: dict[int, list[bytes]], prior: float) -> Model:
+    bad, good = (
+        zstandard.train_dictionary(min(DICTIONARY_BYTES, sum(map(len, texts[q])) // 2), [t[k : k + SAMPLE_BYTES] for t in texts[q] for k in range(0, len(t), SAMPLE_BYTES)]).as_bytes()
+        for q in (0, 1)
+    )
+    return Model(bad, good, np.zeros(11), np.ones(11), np.zeros(12), prior)
+
+
+def _measured(model: Model, texts: dict[int, list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    return features(compressors(model), texts[0] + texts[1]), np.r_[np.zeros(len(texts[0])), np.ones(len(texts[1]))]
+
+
+def _split(texts: dict[int, list[bytes]], rows: int, prior: float) -> tuple[Model, np.ndarray, np.ndarray]:
+    """Dictionaries from the first texts of each class, calibration on the others."""
+    model = _dictionaries({q: t[:rows] for q, t in texts.items()}, prior)
+    x, y = _measured(model, {q: t[rows:] for q, t in texts.items()})
+    return model, design(x), y
+
+
+def _crossed(texts: dict[int, list[bytes]], prior: float, folds: int = 4) -> tuple[Model, np.ndarray, np.ndarray]:
+    """Dictionaries from all texts; calibration on each quarter by dictionaries from the others. For few marked texts."""
+    parts = []
+    for f in range(folds):
+        others = _dictionaries({q: [t for k, t in enumerate(ts) if k % folds != f] for q, ts in texts.items()}, prior)
+        parts.append(_measured(others, {q: ts[f::folds] for q, ts in texts.items()}))
+    return _dictionaries(texts, prior), design(np.concatenate([x for x, _ in parts])), np.concatenate([y for _, y in parts])
+
+
 def score(model: Model, text: Column) -> Column:
     """The probability that a text is good; for an empty one, or without a dictionary, the share of good labels."""
 
