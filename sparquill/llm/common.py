@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sparquill.sources.shared import forget, shared_dir, stored
+
+__all__ = ["LOWER", "SPACE", "UPPER", "WORD", "empty", "forget", "fresh", "lower_ascii", "read", "row_key", "shared_dir", "stored", "text_of", "words"]
+
 #: ASCII white space, the only separators between words.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
@@ -20,37 +20,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share.
-
-    Only where that is unset (a local session, as in tests) a temporary folder takes its place.
-    """
-    if found := spark.conf.get("spark.checkpoint.dir", None):
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    held = tempfile.TemporaryDirectory(prefix="sparquill-")
-    atexit.register(held.cleanup)
-    spark.conf.set("spark.checkpoint.dir", f"file://{held.name}")
-    return f"file://{held.name}"
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """df written once to the shared folder and read back: cut lineage that outlives any executor."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def forget(df: DataFrame) -> None:
-    """Delete the files behind a frame from stored() that no later step reads."""
-    jvm = df.sparkSession.sparkContext._jvm
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def text_of(column: str = "text") -> Column:
     """The text, a null as the empty one."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
