@@ -25,7 +25,7 @@ from sparquill.llm.common import read, stored, text_of
 
 SEQUENCE = 1024
 END = 2
-PART_ROWS = 4_000  # rows of a length that one window group holds, about
+PART_ROWS = 1_000  # rows of a length that one window group holds, about
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
