@@ -117,9 +117,9 @@ def mix(docs: DataFrame, **how) -> DataFrame:
     else:  # one row of docs for each id, as many copies as its rows have together
         own = docs.withColumn(nr, F.row_number().over(Window.partitionBy("doc_id").orderBy(text_of()))).where(F.col(nr) == 1).drop(nr)
         out = own.join(plan, F.col("doc_id").eqNullSafe(F.col(mine)))
-    return out.repartitionByRange(place).sortWithinPartitions(place, "doc_id").select(*docs.columns)
+    return out.repartitionByRange(place, "doc_id").sortWithinPartitions(place, "doc_id").select(*docs.columns)
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixed(read(spark, sf_dir, "documents").select("doc_id", "text", "source")).drop("positions")
-    return out.repartitionByRange(F.col("position").asc_nulls_last()).sortWithinPartitions(F.col("position").asc_nulls_last(), "doc_id")
+    return out.repartitionByRange(F.col("position").asc_nulls_last(), "doc_id").sortWithinPartitions(F.col("position").asc_nulls_last(), "doc_id")
