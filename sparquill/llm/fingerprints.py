@@ -118,9 +118,23 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def document_fingerprints(docs: DataFrame) -> DataFrame:
+def near_documents(prints: DataFrame, asked: Column, radius: int = 3, blocks: int = 6) -> DataFrame:
+    """(fingerprint, within): for the distinct fingerprints of the rows asked for, how many rows of prints are within the radius.
+
+    Copies are counted, not paired: the tables hold distinct fingerprints.
+    """
+    held = stored(prints.groupBy("fingerprint").agg(F.count("*").alias("n"), F.bool_or(F.coalesce(asked, F.lit(False))).alias("asked")))
+    found = near_fingerprints(held.where("asked"), held, radius, blocks)
+    return found.join(held.select(F.col("fingerprint").alias("match"), "n"), "match").groupBy("fingerprint").agg(F.sum("n").alias("within"))
+
+
+def document_fingerprints(docs: DataFrame, asked: Column | None = None, radius: int = 3) -> DataFrame:
     """For each row of docs (doc_id, text), repeated rows included: doc_id, n_chars, edited_sha256, long
-    fingerprint and edited_fingerprint, near_edited, near_next. An empty table gives an empty result."""
+    fingerprint and edited_fingerprint, near_edited, near_next, near_docs. An empty table gives an empty result.
+
+    near_docs is the number of other rows whose fingerprint is within the radius, for the rows asked for (a
+    condition on doc_id), else null.
+    """
     both = edited(docs).select("row", "doc_id", "next_row", F.length("text").cast("long").alias("n_chars"), F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), F.posexplode(F.array("text", "edited")).alias("version", "text"))
     prints = stored(fingerprint(both, ["row", "version", "doc_id", "next_row", "n_chars", "edited_sha256"]))
     own = prints.where("version = 0").drop("version")
@@ -128,9 +142,14 @@ def document_fingerprints(docs: DataFrame) -> DataFrame:
     after = own.select(F.col("row").alias("next_row"), F.col("fingerprint").alias("next_fingerprint"))
     out = own.join(other, "row").join(after, "next_row")
     near = [likeness(F.col("fingerprint"), F.col(c)).alias(name) for name, c in (("near_edited", "edited_fingerprint"), ("near_next", "next_fingerprint"))]
-    return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", *near)
+    out = out.select("row", "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", *near)
+    if asked is None:
+        return out.drop("row").withColumn("near_docs", F.lit(None).cast("long"))
+    asking = own.where(F.coalesce(asked, F.lit(False))).select("row", "fingerprint").join(near_documents(own, asked, radius), "fingerprint").select("row", (F.col("within") - 1).alias("near_docs"))
+    return out.join(asking, "row", "left").drop("row")
 
 
 def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = document_fingerprints(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    """Besides the contract's columns near_docs, for every row whose id is divisible by 50, against all rows."""
+    out = document_fingerprints(read(spark, sf_dir, "documents").select("doc_id", "text"), F.col("doc_id") % 50 == 0)
     return out.withColumns({c: hex64(F.col(c)) for c in ("fingerprint", "edited_fingerprint")})
