@@ -188,7 +188,7 @@ def bban_valid(iban: Column) -> tuple[Column, Column]:
         "SI": lambda c: mod97_digits(F.concat(part(c, 1), part(c, 2)), part(c, 3)), "RS": lambda c: mod97_digits(F.concat(part(c, 1), part(c, 2)), part(c, 3)),
         "PT": lambda c: mod97_digits(F.concat(part(c, 1), part(c, 2), part(c, 3)), part(c, 4)),
     }
-    shaped = reduce(lambda out, kv: out.when(country == kv[0], bban.rlike(kv[1])), BBAN_STRUCTURES.items(), F.when(F.length(s) < 5, False)).otherwise(F.lit(True))
+    shaped = reduce(lambda out, kv: out.when(country == kv[0], bban.rlike(kv[1])), BBAN_STRUCTURES.items(), F.when(s.isNull() | (F.length(s) < 5), False)).otherwise(F.lit(True))
     checked = reduce(lambda out, kv: out.when((country == kv[0]) & bban.rlike(BBAN_STRUCTURES[kv[0]]), kv[1](kv[0])), checks.items(), F.when(~shaped, False)).otherwise(F.lit(True))
     return sure(shaped), sure(checked)
 

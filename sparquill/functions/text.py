@@ -71,7 +71,7 @@ def snippet(c: Column, most: int = 300) -> Column:
 
 
 def sentences_with(c: Column, word: str) -> Column:
-    return F.filter(F.transform(F.split(c, r"\."), F.trim), lambda s: F.contains(F.lower(s), F.lit(word.lower())))
+    return F.filter(F.transform(F.split(c, r"\."), lambda s: F.trim(s)), lambda s: F.contains(F.lower(s), F.lit(word.lower())))
 
 
 def wildcard(pattern: str) -> str:

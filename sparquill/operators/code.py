@@ -98,7 +98,8 @@ def steps(rows: DataFrame) -> DataFrame:
 def symbols(rows: DataFrame) -> DataFrame:
     """(file, line_no, data_type, name, is_pointer, bounds): variables of declaration lines, one row each."""
     decl = r"(?i)^\s*(INT(?:\(\d+\))?|STRING|REAL(?:\(\d+\))?|FIXED(?:\(\d+\))?|UNSIGNED\(\d+\))\s+([^;]+);?"
-    l = rows.where(F.col("code").rlike(decl) & ~F.col("code").rlike(r"(?i)\bPROC\b"))
+    parts = rows.where(~F.col("code").rlike(r"(?i)\bPROC\b")).select("file", "line_no", F.explode(F.split("code", ";")).alias("code"))
+    l = parts.where(F.col("code").rlike(decl))
     one = l.select("file", "line_no", F.upper(F.regexp_extract("code", decl, 1)).alias("data_type"), F.explode(F.split(F.regexp_extract("code", decl, 2), ",(?![^\\[]*\\])")).alias("v"))
     name = F.regexp_extract("v", r"^\s*\.?(?:EXT\s+)?\.?([A-Za-z_^][A-Za-z0-9_^]*)", 1)
     return one.select("file", "line_no", "data_type", name.alias("name"), F.col("v").rlike(r"^\s*\.").alias("is_pointer"), F.nullif(F.regexp_extract("v", r"\[([^\]]*)\]", 1), F.lit("")).alias("bounds")).where("name <> ''")

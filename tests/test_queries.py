@@ -24,7 +24,7 @@ def rows(frame):
     def plain(v):
         if isinstance(v, (list, np.ndarray)):
             return str([plain(x) for x in v])
-        if v is None or v != v or str(v) == "<NA>":
+        if v is None or str(v) in ("<NA>", "nan", "NaT"):
             return "null"
         if isinstance(v, (float, np.floating)):
             return f"{round(float(v), 5) + 0.0:.5f}"
