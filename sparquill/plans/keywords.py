@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from sparquill.operators import keywords as op
 from sparquill.sources.tables import table
 

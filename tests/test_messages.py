@@ -1,7 +1,6 @@
 import json
 
 import pytest
-from pyspark.sql import functions as F
 
 from sparquill.operators import messages as op
 from sparquill.sources import tables
