@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparquill.llm.common import WORD, fresh, read, stored, text_of
+from sparquill.llm.common import WORD, fresh, read, row_key, stored, text_of
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5  # of all words
@@ -70,31 +70,33 @@ def schedule_time(u: Column, nr: Column, schedules: tuple = SCHEDULES) -> Column
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), out))
 
 
-def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, schedules: tuple = SCHEDULES) -> DataFrame:
+def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, schedules: tuple = SCHEDULES, keep: tuple[str, ...] = ()) -> DataFrame:
     """For each row of docs (doc_id, text, source): doc_id, size, source_size, target, taken, copies, position, positions.
 
     size is the number of words (null text: 0), taken = size times copies, positions the places of the copies in
-    training time, 0 to 1, position the first (null if none). Sources without words take nothing. Documents that
-    tie in hash and doc_id are equal but for their size, which then orders them. The same input always gives the
+    training time, 0 to 1, position the first (null if none). Sources without words take nothing. Documents of one
+    doc_id stand in order of their text's hash. Columns of docs to keep come last. The same input always gives the
     same mix. An empty table gives an empty result.
     """
-    key, = fresh(docs, "h")
+    key, second = fresh(docs, "h", "h2")
     size = F.regexp_count(text_of(), F.lit(WORD)).cast("long")
-    rows = stored(docs.select("doc_id", "source", size.alias("size"), F.xxhash64("doc_id").alias(key)))
+    rows = stored(docs.select("doc_id", "source", size.alias("size"), F.xxhash64("doc_id").alias(key), F.xxhash64(text_of()).alias(second), *keep))
     sums = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     source = stored(targets(sums.select("source", "source_size"), weights, share, most))
     # A source's order is cut into slices by the top bits of the hash, so that no window holds a whole source.
     bits = max(4, min(24, math.ceil(math.log2(max(rows.count(), 1) / SLICE_ROWS + 1))))
-    sliced = F.shiftright(key, 64 - bits)
-    rows = rows.withColumn("slice", sliced)
+    # An id that fills a slice by itself, as the null one may, is cut again by the hash of the text.
+    full = [r[key] for r in rows.groupBy(key).count().where(F.col("count") > SLICE_ROWS).collect()]
+    again = F.when(F.col(key).isin(full), F.shiftright(second, 64 - bits) + (1 << bits)).otherwise(F.lit(0)) if full else F.lit(0)
+    rows = rows.withColumn("slice", F.shiftright(key, 64 - bits) * (1 << (bits + 1)) + again)
     before = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     slices = rows.groupBy("source", "slice").agg(F.sum("size").alias("slice_size")).withColumn("base", F.coalesce(F.sum("slice_size").over(before), F.lit(0))).drop("slice_size")
     known = slices.join(source, slices.source.eqNullSafe(source.source)).drop(source.source)
-    inner = Window.partitionBy("source", "slice").orderBy(key, "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inner = Window.partitionBy("source", "slice").orderBy(key, "doc_id", second, "size", *keep).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("inner", F.coalesce(F.sum("size").over(inner), F.lit(0)))
     at = rows.alias("r").join(known.alias("k"), F.col("r.source").eqNullSafe(F.col("k.source")) & (F.col("r.slice") == F.col("k.slice")))
     start = F.col("k.base") + F.col("r.inner")
-    at = at.select("r.doc_id", "r.size", "k.source_size", "k.target", "k.nr", start.alias("start"))
+    at = at.select(*[f"r.{c}" for c in keep], "r.doc_id", "r.size", "k.source_size", "k.target", "k.nr", start.alias("start"))
     passes = F.floor(F.col("target") / F.greatest(F.col("source_size"), F.lit(1)))
     rest = F.col("target") - passes * F.col("source_size")
     extra = (F.col("start") + F.col("size") / 2 < rest).cast("long")
@@ -102,21 +104,18 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float =
     share_of = lambda k: F.least(F.lit(1.0), (F.col("start") + k * F.col("source_size") + F.col("size") / 2) / F.greatest(F.col("target"), F.lit(1.0)))
     places = F.transform(F.when(F.col("copies") > 0, F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).otherwise(F.array().cast("array<bigint>")), lambda k: schedule_time(share_of(k), F.col("nr"), schedules))
     at = at.withColumn("positions", places)
-    return at.select("doc_id", "size", "source_size", F.col("target").cast("double").alias("target"), (F.col("size") * F.col("copies")).alias("taken"), "copies", F.get("positions", F.lit(0)).alias("position"), "positions")
+    return at.select("doc_id", "size", "source_size", F.col("target").cast("double").alias("target"), (F.col("size") * F.col("copies")).alias("taken"), "copies", F.get("positions", F.lit(0)).alias("position"), "positions", *keep)
 
 
 def mix(docs: DataFrame, **how) -> DataFrame:
     """docs as the mix takes them: a row for each copy, in order of training position, with docs' own columns.
 
-    Rows that share a doc_id must be equal in all other columns (as after dedup); each has its own copies.
+    Each row of docs has its own copies, by a key stored with it: ids may be null or repeated.
     """
-    mine, place, nr, other = fresh(docs, "mixed_id", "place", "nr", "of")
-    plan = mixed(docs, **how).where("copies > 0").select(F.col("doc_id").alias(mine), F.explode("positions").alias(place))
-    if docs.groupBy("doc_id").count().where("count > 1").isEmpty():
-        out = docs.join(plan, F.col("doc_id").eqNullSafe(F.col(mine)))
-    else:  # one row of docs for each id, as many copies as its rows have together
-        own = docs.withColumn(nr, F.row_number().over(Window.partitionBy("doc_id").orderBy(text_of()))).where(F.col(nr) == 1).drop(nr)
-        out = own.join(plan, F.col("doc_id").eqNullSafe(F.col(mine)))
+    mine, place = fresh(docs, "row_nr", "place")
+    held = stored(docs.withColumn(mine, row_key()))
+    plan = mixed(held, **how, keep=(mine,)).where("copies > 0").select(mine, F.explode("positions").alias(place))
+    out = held.join(plan, mine)
     return out.repartitionByRange(place, "doc_id").sortWithinPartitions(place, "doc_id").select(*docs.columns)
 
 

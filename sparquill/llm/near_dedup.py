@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparquill.llm.common import fresh, lower_ascii, read, row_key, stored, text_of, words
@@ -143,6 +143,15 @@ def links(prints: DataFrame, radius: int = RADIUS, group: int = GROUP, heavy_til
     return out.unionAll(pairs.repartition(F.xxhash64("a", "b")).mapInArrow(_tile_linker(radius), "a long, b long"))
 
 
+def _rooted(prints: DataFrame, radius: int) -> DataFrame:
+    """fingerprint, root and component_id of each distinct fingerprint of prints; root tells components apart."""
+    distinct = stored(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("low")))
+    roots = components(links(distinct, radius)).withColumnRenamed("node", "fingerprint")
+    rooted = distinct.join(roots, "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
+    least = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
+    return rooted.select("fingerprint", "root").join(least, "root").select("fingerprint", "root", "component_id")
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = 3) -> DataFrame:
     """doc_id, long fingerprint and component_id of each row of docs (doc_id, text).
 
@@ -152,25 +161,27 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = 3) ->
     any comparison. An empty table gives an empty result.
     """
     prints = stored(fingerprints(docs, shingle))
-    distinct = stored(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("low")))
-    roots = components(links(distinct, radius)).withColumnRenamed("node", "fingerprint")
-    rooted = distinct.join(roots, "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
-    least = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    member = rooted.select("fingerprint", "root").join(least, "root").select("fingerprint", "component_id")
+    member = _rooted(prints, radius).select("fingerprint", "component_id")
     return prints.join(member, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
 def near_dedup(docs: DataFrame, radius: int = RADIUS, shingle: int = 3) -> DataFrame:
     """The rows of docs (doc_id, text, any other columns) but for all but one of each component.
 
-    The row with the component's smallest doc_id stays; of rows that share that id, one.
+    The row with the component's smallest doc_id stays, a null one only where there is no other; of rows that
+    share that id, one with the smallest text. Components are told apart by their fingerprints and rows by a key
+    stored with them, so rows with null or repeated ids that are no near copies all stay.
     """
-    keep = near_duplicates(docs, radius, shingle).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    mine, rank = fresh(docs, "kept_id", "rank")
-    out = docs.join(keep.withColumnRenamed("doc_id", mine), F.col("doc_id").eqNullSafe(F.col(mine)), "left_semi")
-    if docs.groupBy("doc_id").count().where("count > 1").isEmpty():
-        return out
-    return out.withColumn(rank, F.row_number().over(Window.partitionBy("doc_id").orderBy(text_of()))).where(f"{rank} = 1").drop(rank)
+    key, = fresh(docs, "row_nr")
+    held = stored(docs.withColumn(key, row_key()))
+    prints = stored(fingerprints(held.select("doc_id", "text", key), shingle, key))
+    rows = prints.join(_rooted(prints, radius), "fingerprint").where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("root", key)
+    first = stored(rows.groupBy("root").agg(F.min(key).alias(key), F.count("*").alias("n")))
+    keep = first.where("n = 1").select(key)
+    if not (tied := first.where("n > 1").select("root")).isEmpty():
+        texts = held.select(key, text_of().alias("least_text")).join(rows.join(tied, "root"), key)
+        keep = keep.unionAll(texts.groupBy("root").agg(F.min(F.struct("least_text", key)).alias("least")).select(f"least.{key}"))
+    return held.join(keep, key, "left_semi").select(*docs.columns)
 
 
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

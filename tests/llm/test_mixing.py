@@ -1,3 +1,5 @@
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -72,3 +74,12 @@ def test_mix_repeats_rows_and_keeps_columns(spark, sf_dir):
     assert out.columns == docs.columns
     copies = {r.doc_id: r.copies for r in op.mixed(docs).collect() if r.copies}
     assert {r.doc_id: r["count"] for r in out.groupBy("doc_id").count().collect()} == copies
+
+
+def test_rows_with_null_and_repeated_ids_keep_their_own_copies(spark, monkeypatch):
+    monkeypatch.setattr(op, "SLICE_ROWS", 10)
+    rows = [(None if k % 3 == 0 else 5 if k % 3 == 1 else k, f"text number{k} of this row", "a") for k in range(90)]
+    out = op.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), share=1.5, weights=(1.0,))
+    copies = Counter(map(tuple, out.collect()))
+    assert set(copies) == set(rows) and set(copies.values()) == {1, 2}
+    assert abs(sum(copies.values()) - 135) <= 1

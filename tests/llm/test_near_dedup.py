@@ -64,6 +64,13 @@ def test_filter_keeps_one_of_each_component_and_all_columns(spark):
     assert sorted(map(tuple, out.collect())) == [rows[0], rows[3]]
 
 
+def test_filter_keeps_one_row_of_each_component_with_null_and_repeated_ids(spark):
+    rows = [(None, "one text of its own"), (None, "quite another piece of writing"), (4, "first words under a repeated id"), (4, "second and different words there"), (4, "First words under a repeated id"),
+            (7, "shared by a null id and seven"), (None, "shared by a null id and seven"), (None, "null twice here and nowhere else"), (None, "null twice here and nowhere else")]
+    out = sorted(map(tuple, near_dedup.near_dedup(spark.createDataFrame(rows, DOCS)).collect()), key=str)
+    assert out == sorted([rows[0], rows[1], rows[3], rows[4], rows[5], rows[7]], key=str)
+
+
 @pytest.mark.parametrize("group,tile", [(32768, 4096), (40, 16)])
 def test_links_of_dense_groups(spark, group, tile):
     rng = np.random.default_rng(3)
