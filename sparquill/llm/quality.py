@@ -8,6 +8,7 @@ fitted on labelled texts that no dictionary has seen, turns them into a probabil
 
 from __future__ import annotations
 
+import warnings
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -18,7 +19,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparquill.llm.common import read, text_of
+from sparquill.llm.common import read, stored, text_of
 
 #: Labelled rows that the fit takes of each class, by hash of doc_id: for the dictionary, and for the calibration.
 DICTIONARY_ROWS, CALIBRATION_ROWS = 1200, 1800
@@ -93,18 +94,20 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
 def fit(docs: DataFrame, marks: DataFrame, dictionary_rows: int = DICTIONARY_ROWS, calibration_rows: int = CALIBRATION_ROWS) -> Model:
     """A model of docs (doc_id, text) marked by marks (doc_id, quality), one row for each id.
 
-    Of each class at most dictionary_rows + calibration_rows marked ids are chosen, by hash. They are chosen from
-    the marks alone, and only their texts are fetched, by a broadcast of those few ids.
+    Of each class at most dictionary_rows + calibration_rows marked ids that docs has a text for are chosen, by
+    hash. Only their texts are fetched, one for each id (the smallest), by a broadcast of those few ids.
     """
     marks = marks.where("doc_id IS NOT NULL AND quality IN (0, 1)").select("doc_id", "quality")
     totals = {r.quality: r["count"] for r in marks.groupBy("quality").count().collect()}
     prior = totals.get(1, 0) / sum(totals.values()) if totals else 0.5
     none = Model(b"", b"", np.zeros(11), np.ones(11), np.zeros(12), prior)
     most = dictionary_rows + calibration_rows
-    chosen = [tuple(r) for q in (0, 1) for r in marks.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect()]
+    full = docs.select("doc_id", text_of().alias("text")).where("text <> ''")
+    here = stored(marks.join(full.select("doc_id").distinct(), "doc_id", "left_semi"))
+    chosen = [tuple(r) for q in (0, 1) for r in here.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect()]
     few = docs.sparkSession.createDataFrame(chosen, marks.schema)
-    rows = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(few), "doc_id").collect()
-    texts = {q: [r.text.encode() for r in sorted(rows, key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id)) if r.quality == q and r.text][:most] for q in (0, 1)}
+    rows = full.join(F.broadcast(few), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text")).collect()
+    texts = {q: [r.text.encode() for r in sorted(rows, key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id)) if r.quality == q] for q in (0, 1)}
     try:
         if min(map(len, texts.values())) >= 2 * dictionary_rows:
             model, x, y = _split(texts, dictionary_rows, prior)
@@ -185,7 +188,10 @@ def classify(docs: DataFrame, model: Model, accept: float = ACCEPT) -> DataFrame
 
 
 def accepted(docs: DataFrame, model: Model, accept: float = ACCEPT) -> DataFrame:
-    """The rows of docs that are predicted good, with docs' own columns."""
+    """The rows of docs that are predicted good, with docs' own columns; all rows where no model could be fitted."""
+    if not model.bad:
+        warnings.warn("too few labelled texts of both classes for a quality model: all rows are accepted", stacklevel=2)
+        return docs
     return docs.where(score(model, text_of()) >= accept)
 
 

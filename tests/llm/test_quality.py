@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pytest
 
 from sparquill.llm import quality as op
 from sparquill.llm.common import read
@@ -36,3 +37,21 @@ def test_held_out_labels_are_never_learnt_from(spark):
     scores = [sorted((r.doc_id, r.score) for r in op.classify(docs, op.train(docs, spark.createDataFrame(x, "doc_id long, quality int"))).collect()) for x in (labels, wrong)]
     assert scores[0] == scores[1]
     assert all((s >= 0.7) == bool(k % 2) for k, s in scores[0])
+
+
+def test_without_a_model_every_row_is_accepted(spark):
+    docs = spark.createDataFrame([(k, f"clean text {k}") for k in range(20)], "doc_id long, text string")
+    for labels in ([], [(k, 1) for k in range(20)], [(1, 0), (3, 1)]):
+        with pytest.warns(UserWarning, match="all rows are accepted"):
+            assert op.accepted(docs, op.train(docs, spark.createDataFrame(labels, "doc_id long, quality int"))).count() == 20
+
+
+def test_ids_are_chosen_among_those_with_texts_and_fetched_once(spark, monkeypatch):
+    text = lambda k: ("Plain words stand here in a row. " if k % 2 else "LOUD!! JUNK!! ") * 9 + str(k)
+    docs = spark.createDataFrame([(k, text(k)) for k in range(200)] + [(1, text(1))] * 500, "doc_id long, text string")
+    marks = spark.createDataFrame([(k, k % 2) for k in range(20000)], "doc_id long, quality int")
+    seen = []
+    crossed = op._crossed
+    monkeypatch.setattr(op, "_crossed", lambda texts, prior: seen.append(texts) or crossed(texts, prior))
+    model = op.fit(docs, marks, 100, 100)
+    assert model.bad and {q: len(set(t)) for q, t in seen[0].items()} == {q: len(t) for q, t in seen[0].items()} == {0: 100, 1: 100}
