@@ -4,7 +4,7 @@ Every k-gram of words is hashed where it stands and joined to the k-grams of the
 a text and word t of a template votes for diagonal p - t. Matches whose words differ despite equal hashes are
 dropped. Where all of a template's k-grams vote for one diagonal, its words stand there one after another; votes
 on neighbouring diagonals, as left by inserted or missing words, are merged into one span and verified by the
-share of the template that they cover.
+share of the template that they cover, by words that tell sibling licenses apart, and against overlapping spans.
 """
 
 from __future__ import annotations
@@ -36,6 +36,21 @@ TEMPLATES = {
     "this work is licensed under a creative commons attribution 4 0 international license": "cc-by",
     "this work is licensed under a creative commons attribution sharealike 4 0 international license": "cc-by-sa",
 }
+#: Words that tell sibling templates apart: inside a span, -label rules the label out, +label is what the label needs one of.
+MARKS = {
+    "gnu lesser general": "-gpl +lgpl",
+    "gnu library general": "-gpl +lgpl",
+    "the gnu lgpl": "-gpl +lgpl",
+    "gnu affero general": "-gpl",
+    "commons attribution sharealike": "-cc-by +cc-by-sa",
+    "commons attribution share": "-cc-by +cc-by-sa",
+    "commons attribution noncommercial": "-cc-by",
+    "commons attribution non": "-cc-by",
+    "commons attribution noderivatives": "-cc-by",
+    "commons attribution noderivs": "-cc-by",
+    "commons attribution no": "-cc-by",
+}
+BUCKET = 64  # words; spans and marks meet where they share one
 COVER = 0.6  # of a template's k-grams for its label
 DRIFT = 3  # diagonals this far apart may belong to one span
 
@@ -80,7 +95,7 @@ def diagonals(docs: DataFrame, key: str, known: DataFrame, k: int = GRAM) -> Dat
 
 
 def spans(found: DataFrame, key: str, drift: int = DRIFT, cover: float = COVER) -> DataFrame:
-    """(key, template, label, start, end, score): neighbouring diagonals merged, and kept from a share of cover on.
+    """(key, template, label, start, end, score, votes): neighbouring diagonals merged, and kept from a share of cover on.
 
     Diagonals of a template chain while each is within drift of the one before; score is the share of the
     template's k-grams that the chain's votes cover, 1 at most. Found for each text and template, whose matches
@@ -91,30 +106,57 @@ def spans(found: DataFrame, key: str, drift: int = DRIFT, cover: float = COVER)
     chained = found.withColumn("new", new).withColumn("chain", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     merged = chained.groupBy(key, "template", "label", "n_grams", "chain").agg(F.sum("votes").alias("votes"), F.min("first").alias("start"), F.max("last").alias("end"))
     score = F.least(F.lit(1.0), F.col("votes") / F.col("n_grams"))
-    return merged.withColumn("score", score).where(F.col("score") >= cover).select(key, "template", "label", "start", "end", "score")
+    return merged.withColumn("score", score).where(F.col("score") >= cover).select(key, "template", "label", "start", "end", "score", "votes")
 
 
-def license_scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, more: dict[str, str] = TEMPLATES, k: int = GRAM) -> DataFrame:
+def settled(held: DataFrame, marks: DataFrame, key: str, needy: list[str]) -> DataFrame:
+    """The spans of held that marks (key, pos, mark) within them allow, and of overlapping ones of different labels the
+    best: by share, then by votes, each against those already kept. needy: labels that need a mark of their own.
+    """
+    bucketed = held.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("start") / BUCKET), F.floor(F.col("end") / BUCKET))))
+    signs = marks.select(F.col(key).alias("mark_key"), "pos", F.floor(F.col("pos") / BUCKET).alias("mark_bucket"), F.split("mark", " ").alias("mark"))
+    within = (F.col(key) == F.col("mark_key")) & (F.col("bucket") == F.col("mark_bucket")) & (F.col("pos") >= F.col("start")) & (F.col("pos") <= F.col("end"))
+    marked = bucketed.join(signs, within, "left").groupBy(*held.columns).agg(F.flatten(F.collect_set("mark")).alias("marks"))
+    has = lambda sign: F.array_contains("marks", F.concat(F.lit(sign), F.col("label")))
+    allowed = marked.where(~has("-") & (~F.col("label").isin(needy) | has("+")))
+    before = Window.partitionBy(key).orderBy("start", "end", "template").rowsBetween(Window.unboundedPreceding, -1)
+    apart = F.coalesce((F.col("start") > F.max("end").over(before)).cast("int"), F.lit(0))
+    upto = Window.partitionBy(key).orderBy("start", "end", "template").rowsBetween(Window.unboundedPreceding, 0)
+    run = allowed.withColumn("apart", apart).withColumn("run", F.sum("apart").over(upto))
+    best = F.struct((-F.col("score")).alias("by_score"), (-F.col("votes")).alias("by_votes"), "template", "label", "start", "end", "score")
+    runs = run.groupBy(key, "run").agg(F.array_sort(F.collect_list(best)).alias("ordered"))
+    beaten = lambda kept, x: F.exists(kept, lambda t: (t["label"] != x["label"]) & (t["start"] <= x["end"]) & (x["start"] <= t["end"]))
+    kept = F.aggregate("ordered", F.filter("ordered", lambda _: F.lit(False)), lambda kept, x: F.when(beaten(kept, x), kept).otherwise(F.concat(kept, F.array(x))))
+    return runs.select(key, F.explode(kept).alias("x")).select(key, "x.label", "x.start", "x.end", "x.score")
+
+
+def license_scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, more: dict[str, str] = TEMPLATES, k: int = GRAM, marks: dict[str, str] = MARKS) -> DataFrame:
     """For each row of docs (doc_id, text): doc_id, n_words, n_base, first_word, last_word, base_labels, labels,
     score and spans (label, start, end, score).
 
     n_base counts all places where a phrase's words stand consecutively, first_word and last_word are the
     smallest and largest of their starts. labels are those of the phrases and of the spans. score is the largest
-    share of a phrase or template found (0 if none). Phrases need at least k words. A null text is empty.
+    share of a phrase or template found (0 if none). Of overlapping spans of different labels only the best counts,
+    and marks rule out spans of sibling licenses. Phrases and marks need at least k words. A null text is empty.
     Repeated rows each get a row; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     known = templates(spark, phrases, True).unionAll(templates(spark, more, False).withColumn("template", F.col("template") + len(phrases)))
-    if short := [p for p in phrases if len(p.split()) < k]:
+    known = known.unionAll(templates(spark, marks, True).withColumn("template", F.col("template") + len(phrases) + len(more)))
+    is_mark = F.col("template") >= len(phrases) + len(more)
+    if short := [p for p in [*phrases, *marks] if len(p.split()) < k]:
         raise ValueError(f"phrases of under {k} words: {short}")
     key, = fresh(docs, "row")
     rows = docs.withColumn(key, row_key())
     counted = rows.select(key, "doc_id", F.regexp_count(lower_ascii(text_of()), F.lit(WORD)).cast("long").alias("n_words"))
     found = stored(diagonals(rows, key, known, k))
-    whole = found.where("exact AND votes = n_grams")
+    exact = found.where("exact AND votes = n_grams")
+    whole = exact.where(~is_mark)
+    inside = exact.where(is_mark).select(key, F.col("diagonal").alias("pos"), F.col("label").alias("mark"))
+    needy = sorted({m[1:] for text in marks.values() for m in text.split() if m[0] == "+"})
     base = whole.groupBy(key).agg(F.count("*").alias("n_base"), F.min("diagonal").alias("first_word"), F.max("diagonal").alias("last_word"), F.array_sort(F.collect_set("label")).alias("base"))
     span = F.struct("label", "start", "end", "score")
-    wide = spans(found.where("NOT exact"), key).groupBy(key).agg(F.array_sort(F.collect_list(span)).alias("spans"))
+    wide = settled(spans(found.where("NOT exact"), key), inside, key, needy).groupBy(key).agg(F.array_sort(F.collect_list(span)).alias("spans"))
     out = counted.join(base.join(wide, key, "full"), key, "left")
     none = F.array().cast("array<string>")
     spanned = F.coalesce("spans", F.array().cast("array<struct<label:string,start:bigint,end:bigint,score:double>>"))

@@ -46,3 +46,16 @@ def test_altered_texts_get_a_label_and_a_span(spark):
 def test_short_phrases_are_refused(spark):
     with pytest.raises(ValueError):
         op.license_scan(spark.createDataFrame([], "doc_id long, text string"), {"mit": "mit"})
+
+
+def test_sibling_licenses_are_told_apart(spark):
+    program = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation"
+    creative = "This work is licensed under a Creative Commons Attribution{} 4.0 International License"
+    cases = {
+        program.format(""): "gpl", program.format("Lesser "): "lgpl", program.replace("program", "library").format("Lesser "): "lgpl", program.format("").split(" as published")[0]: "gpl",
+        creative.format(""): "cc-by", creative.format("-ShareAlike"): "cc-by-sa", creative.format("-NonCommercial"): "", creative.format("-NonCommercial-ShareAlike"): "",
+        f"{creative.format('')}. {creative.format('-ShareAlike')}": "cc-by,cc-by-sa", f"{program.format('')} {program.format('Lesser ')}": "gpl,lgpl",
+    }
+    rows = [(k, f"before that {t} and after") for k, t in enumerate(cases)]
+    found = {r.doc_id: r.labels for r in op.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [found[k] for k, _ in rows] == list(cases.values())
