@@ -26,8 +26,8 @@ def text_of(column: str = "text") -> Column:
 
 
 def lower_ascii(c: Column) -> Column:
-    """A-Z lower-cased, all else as it is."""
-    return F.translate(c, UPPER, LOWER)
+    """A-Z lower-cased, all else as it is. In texts of ASCII alone that is what lower() does, many times faster."""
+    return F.when(F.octet_length(c) == F.length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))
 
 
 def words(c: Column, pattern: str = WORD) -> Column:

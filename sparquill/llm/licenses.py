@@ -3,18 +3,20 @@
 Every k-gram of words is hashed where it stands and joined to the k-grams of the templates. A match at word p of
 a text and word t of a template votes for diagonal p - t. Matches whose words differ despite equal hashes are
 dropped. Where all of a template's k-grams vote for one diagonal, its words stand there one after another; votes
-on neighbouring diagonals, as left by inserted or missing words, are merged into one span and verified by the
-share of the template that they cover, by words that tell sibling licenses apart, and against overlapping spans.
+on neighbouring diagonals, as left by inserted or missing words, are merged into one span. A span is verified by
+the share of the template's different k-grams that it has, by its length, which the merged diagonals bound, by
+words that tell sibling licenses apart, and against overlapping spans.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparquill.llm.common import fresh, lower_ascii, read, row_key, stored, text_of, words
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Words of lower-cased texts: the characters outside \\x00-\\x2F, \\x3A-\\x60 and \\x7B-\\x7F, listed, as a negated class is several times slower.
+WORD = r"[0-9a-z\x{80}-\x{10FFFF}]+"
 GRAM = 3
 #: Templates are broadcast only up to this many words in all; beyond it Spark shuffles the join.
 MOST_BROADCAST = 200_000
@@ -52,82 +54,84 @@ MARKS = {
 }
 BUCKET = 64  # words; spans and marks meet where they share one
 COVER = 0.6  # of a template's k-grams for its label
-DRIFT = 3  # diagonals this far apart may belong to one span
+SLACK = 6  # diagonals this far apart may belong to one span
 
 
-def templates(spark: SparkSession, texts: dict[str, str], exact: bool) -> DataFrame:
-    rows = [(k, text, label, exact) for k, (text, label) in enumerate(texts.items())]
-    return spark.createDataFrame(rows, "template long, text string, label string, exact boolean")
+def templates(spark: SparkSession, groups: list[tuple[str, dict[str, str]]], k: int = GRAM) -> DataFrame:
+    """(template, kind, label, n_grams, at, t0.., h): a row for each k-gram of the templates (text: label) of each kind."""
+    rows, nr = [], 0
+    for kind, texts in groups:
+        for text, label in texts.items():
+            w = text.lower().split()
+            rows += [(nr, kind, label, len(w) - k + 1, at, *w[at : at + k]) for at in range(len(w) - k + 1)]
+            nr += 1
+    names = [f"t{i}" for i in range(k)]
+    held = spark.createDataFrame(rows, f"template long, kind string, label string, n_grams long, at long, {', '.join(f'{x} string' for x in names)}")
+    held = held.withColumn("h", F.xxhash64(*names))
+    return F.broadcast(held) if len(rows) <= MOST_BROADCAST else held
 
 
-def grams(rows: DataFrame, keys: list[str], w: str, k: int = GRAM) -> DataFrame:
-    """keys, pos and the words w0.. of each k-gram of the array w, and its hash h."""
-    n = F.size(w)
-    names = [f"w{i}" for i in range(k)]
-    kind = f"array<struct<{','.join(f'{x}:string' for x in names)}>>"
-    zipped = F.arrays_zip(*[F.slice(w, i + 1, n - (k - 1)).alias(x) for i, x in enumerate(names)]).cast(kind)
-    rows = rows.where(n >= k).select(*keys, F.posexplode(zipped).alias("pos", "gram"))
-    return rows.select(*keys, F.col("pos").cast("long"), *[F.col(f"gram.{x}").alias(x) for x in names]).withColumn("h", F.xxhash64(*names))
-
-
-def template_grams(known: DataFrame, k: int = GRAM) -> DataFrame:
-    split = known.withColumn("w", words(lower_ascii(F.col("text")), WORD))
-    split = split.withColumn("n_grams", F.size("w") - (k - 1)).where("n_grams > 0")
-    return grams(split, ["template", "label", "exact", "n_grams"], "w", k).withColumnRenamed("pos", "at")
-
-
-def diagonals(docs: DataFrame, key: str, known: DataFrame, k: int = GRAM) -> DataFrame:
-    """(key, template, label, exact, n_grams, diagonal, votes, first, last) for all diagonals with a vote.
+def matches(docs: DataFrame, keys: list[str], held: DataFrame, k: int = GRAM) -> DataFrame:
+    """(keys, n_words, pos, template, kind, label, n_grams, at): the k-grams of docs' texts that templates have.
 
-    first and last are the first and last word positions of the text that the votes cover.
+    Besides, each row of docs has one row at its first k-gram (pos 0, or null where it has none), with a null
+    template if nothing matches there; so n_words is known for all without a second pass over the texts.
     """
-    held = template_grams(known, k)
-    texts = docs.select(key, words(lower_ascii(text_of()), WORD).alias("w"))
-    rolling = grams(texts, [key], "w", k)
-    if held.count() <= MOST_BROADCAST:
-        held = F.broadcast(held)
     names = [f"w{i}" for i in range(k)]
-    joined = rolling.join(held.withColumnsRenamed({x: f"t_{x}" for x in names}), "h")
-    for x in names:
-        joined = joined.where(F.col(x) == F.col(f"t_{x}"))
-    votes = [F.count("*").alias("votes"), F.min("pos").alias("first"), (F.max("pos") + (k - 1)).alias("last")]
-    return joined.groupBy(key, "template", "label", "exact", "n_grams", (F.col("pos") - F.col("at")).alias("diagonal")).agg(*votes)
+    n = F.size("w")
+    zipped = F.arrays_zip(*[F.slice("w", i + 1, n - (k - 1)).alias(x) for i, x in enumerate(names)])
+    texts = docs.select(*keys, words(lower_ascii(text_of()), WORD).alias("w"))
+    rolling = texts.select(*keys, n.cast("long").alias("n_words"), F.posexplode_outer(F.when(n >= k, zipped)).alias("pos", "gram"))
+    rolling = rolling.select(*keys, "n_words", F.col("pos").cast("long").alias("pos"), *[F.col(f"gram.{x}").alias(x) for x in names])
+    # Texts without a k-gram have a hash of their own each, lest they meet in one task where the join is shuffled.
+    rolling = rolling.withColumn("h", F.when(F.col("pos").isNull(), F.xxhash64(*keys)).otherwise(F.xxhash64(*names)))
+    same = [F.col(x).eqNullSafe(F.col(f"t{i}")) for i, x in enumerate(names)]
+    met = rolling.join(held, ["h"], "left")
+    for c in same[1:]:
+        same[0] = same[0] & c
+    return met.withColumn("template", F.when(same[0], F.col("template"))).where("template IS NOT NULL OR coalesce(pos, 0) = 0").select(*keys, "n_words", "pos", "template", "kind", "label", "n_grams", "at")
+
+
+def diagonals(found: DataFrame, key: str) -> DataFrame:
+    """(key, template, kind, label, n_grams, diagonal, ats, first, last): the different template positions that vote for a
+    diagonal, and the first and last position of the text among them; at most n_grams for each diagonal.
+    """
+    votes = [F.collect_set("at").alias("ats"), F.min("pos").alias("first"), F.max("pos").alias("last")]
+    return found.where("template IS NOT NULL").groupBy(key, "template", "kind", "label", "n_grams", (F.col("pos") - F.col("at")).alias("diagonal")).agg(*votes)
 
 
-def spans(found: DataFrame, key: str, drift: int = DRIFT, cover: float = COVER) -> DataFrame:
-    """(key, template, label, start, end, score, votes): neighbouring diagonals merged, and kept from a share of cover on.
+def spans(found: DataFrame, key: str, k: int = GRAM, slack: int = SLACK, cover: float = COVER) -> DataFrame:
+    """(key, template, label, start, end, score): neighbouring diagonals merged, and kept from a share of cover on.
 
-    Diagonals of a template chain while each is within drift of the one before; score is the share of the
-    template's k-grams that the chain's votes cover, 1 at most. Found for each text and template, whose matches
-    are few next to its words.
+    For each diagonal with votes, those up to slack above it are merged with it; score is the share of the
+    template's different k-grams that vote for any of them. No span is longer than its template and slack words.
     """
-    order = Window.partitionBy(key, "template").orderBy("diagonal")
-    new = F.coalesce((F.col("diagonal") - F.lag("diagonal").over(order) > drift).cast("int"), F.lit(0))
-    chained = found.withColumn("new", new).withColumn("chain", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    merged = chained.groupBy(key, "template", "label", "n_grams", "chain").agg(F.sum("votes").alias("votes"), F.min("first").alias("start"), F.max("last").alias("end"))
-    score = F.least(F.lit(1.0), F.col("votes") / F.col("n_grams"))
-    return merged.withColumn("score", score).where(F.col("score") >= cover).select(key, "template", "label", "start", "end", "score", "votes")
+    near = Window.partitionBy(key, "template").orderBy("diagonal").rangeBetween(0, slack)
+    covered = F.size(F.array_distinct(F.flatten(F.collect_list("ats").over(near))))
+    merged = found.select(key, "template", "label", F.min("first").over(near).alias("start"), (F.max("last").over(near) + (k - 1)).alias("end"), (covered / F.col("n_grams")).alias("score"))
+    return merged.where(F.col("score") >= cover).distinct()
+
+
+def _bucketed(df: DataFrame, start: str = "start", end: str = "end") -> DataFrame:
+    return df.withColumn("bucket", F.explode(F.sequence(F.floor(F.col(start) / BUCKET), F.floor(F.col(end) / BUCKET))))
 
 
 def settled(held: DataFrame, marks: DataFrame, key: str, needy: list[str]) -> DataFrame:
-    """The spans of held that marks (key, pos, mark) within them allow, and of overlapping ones of different labels the
-    best: by share, then by votes, each against those already kept. needy: labels that need a mark of their own.
+    """The spans of held that marks (key, pos, mark) within them allow, and that no better span overlaps.
+
+    Better is a larger share, then a longer span, then an earlier template or start. needy: labels that need a
+    mark of their own. Spans meet marks and each other only within buckets of words.
     """
-    bucketed = held.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("start") / BUCKET), F.floor(F.col("end") / BUCKET))))
     signs = marks.select(F.col(key).alias("mark_key"), "pos", F.floor(F.col("pos") / BUCKET).alias("mark_bucket"), F.split("mark", " ").alias("mark"))
     within = (F.col(key) == F.col("mark_key")) & (F.col("bucket") == F.col("mark_bucket")) & (F.col("pos") >= F.col("start")) & (F.col("pos") <= F.col("end"))
-    marked = bucketed.join(signs, within, "left").groupBy(*held.columns).agg(F.flatten(F.collect_set("mark")).alias("marks"))
+    marked = _bucketed(held).join(signs, within, "left").groupBy(*held.columns).agg(F.array_distinct(F.flatten(F.collect_set("mark"))).alias("marks"))
     has = lambda sign: F.array_contains("marks", F.concat(F.lit(sign), F.col("label")))
-    allowed = marked.where(~has("-") & (~F.col("label").isin(needy) | has("+")))
-    before = Window.partitionBy(key).orderBy("start", "end", "template").rowsBetween(Window.unboundedPreceding, -1)
-    apart = F.coalesce((F.col("start") > F.max("end").over(before)).cast("int"), F.lit(0))
-    upto = Window.partitionBy(key).orderBy("start", "end", "template").rowsBetween(Window.unboundedPreceding, 0)
-    run = allowed.withColumn("apart", apart).withColumn("run", F.sum("apart").over(upto))
-    best = F.struct((-F.col("score")).alias("by_score"), (-F.col("votes")).alias("by_votes"), "template", "label", "start", "end", "score")
-    runs = run.groupBy(key, "run").agg(F.array_sort(F.collect_list(best)).alias("ordered"))
-    beaten = lambda kept, x: F.exists(kept, lambda t: (t["label"] != x["label"]) & (t["start"] <= x["end"]) & (x["start"] <= t["end"]))
-    kept = F.aggregate("ordered", F.filter("ordered", lambda _: F.lit(False)), lambda kept, x: F.when(beaten(kept, x), kept).otherwise(F.concat(kept, F.array(x))))
-    return runs.select(key, F.explode(kept).alias("x")).select(key, "x.label", "x.start", "x.end", "x.score")
+    allowed = stored(marked.where(~has("-") & (~F.col("label").isin(needy) | has("+"))).drop("marks"))
+    rank = lambda of: F.struct(-F.col(f"{of}.score"), F.col(f"{of}.start") - F.col(f"{of}.end"), f"{of}.template", f"{of}.start")
+    overlap = (F.col("x.start") <= F.col("y.end")) & (F.col("y.start") <= F.col("x.end"))
+    beaten = _bucketed(allowed).alias("x").join(_bucketed(allowed).alias("y"), (F.col(f"x.{key}") == F.col(f"y.{key}")) & (F.col("x.bucket") == F.col("y.bucket")) & overlap & (rank("y") < rank("x")))
+    beaten = beaten.select(*[F.col(f"x.{c}").alias(c) for c in allowed.columns]).distinct()
+    return allowed.join(beaten, allowed.columns, "left_anti")
 
 
 def license_scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, more: dict[str, str] = TEMPLATES, k: int = GRAM, marks: dict[str, str] = MARKS) -> DataFrame:
@@ -136,28 +140,26 @@ def license_scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, more: dict[
 
     n_base counts all places where a phrase's words stand consecutively, first_word and last_word are the
     smallest and largest of their starts. labels are those of the phrases and of the spans. score is the largest
-    share of a phrase or template found (0 if none). Of overlapping spans of different labels only the best counts,
-    and marks rule out spans of sibling licenses. Phrases and marks need at least k words. A null text is empty.
-    Repeated rows each get a row; an empty table gives an empty result.
+    share of a phrase or template found (0 if none). A span with a better one overlapping it does not count, and
+    marks rule out spans of sibling licenses. Phrases, templates and marks need at least k words. A null text is
+    empty, and a null doc_id an id like any other. Repeated rows each get a row; an empty table gives an empty
+    result; other columns of docs are left out, whatever their names.
     """
     spark = docs.sparkSession
-    known = templates(spark, phrases, True).unionAll(templates(spark, more, False).withColumn("template", F.col("template") + len(phrases)))
-    known = known.unionAll(templates(spark, marks, True).withColumn("template", F.col("template") + len(phrases) + len(more)))
-    is_mark = F.col("template") >= len(phrases) + len(more)
-    if short := [p for p in [*phrases, *marks] if len(p.split()) < k]:
-        raise ValueError(f"phrases of under {k} words: {short}")
-    key, = fresh(docs, "row")
-    rows = docs.withColumn(key, row_key())
-    counted = rows.select(key, "doc_id", F.regexp_count(lower_ascii(text_of()), F.lit(WORD)).cast("long").alias("n_words"))
-    found = stored(diagonals(rows, key, known, k))
-    exact = found.where("exact AND votes = n_grams")
-    whole = exact.where(~is_mark)
-    inside = exact.where(is_mark).select(key, F.col("diagonal").alias("pos"), F.col("label").alias("mark"))
+    if short := [p for p in [*phrases, *more, *marks] if len(p.split()) < k]:
+        raise ValueError(f"texts of under {k} words: {short}")
+    held = templates(spark, [("phrase", phrases), ("template", more), ("mark", marks)], k)
+    key = "row"
+    found = stored(matches(docs.select("doc_id", "text").withColumn(key, row_key()), [key, "doc_id"], held, k))
+    rows = found.where("coalesce(pos, 0) = 0").groupBy(key, "doc_id", "n_words").agg(F.lit(0).alias("_")).drop("_")
+    voted = stored(diagonals(found, key))
+    exact = voted.where("kind <> 'template' AND size(ats) = n_grams")
+    inside = exact.where("kind = 'mark'").select(key, F.col("diagonal").alias("pos"), F.col("label").alias("mark"))
     needy = sorted({m[1:] for text in marks.values() for m in text.split() if m[0] == "+"})
-    base = whole.groupBy(key).agg(F.count("*").alias("n_base"), F.min("diagonal").alias("first_word"), F.max("diagonal").alias("last_word"), F.array_sort(F.collect_set("label")).alias("base"))
+    base = exact.where("kind = 'phrase'").groupBy(key).agg(F.count("*").alias("n_base"), F.min("diagonal").alias("first_word"), F.max("diagonal").alias("last_word"), F.array_sort(F.collect_set("label")).alias("base"))
     span = F.struct("label", "start", "end", "score")
-    wide = settled(spans(found.where("NOT exact"), key), inside, key, needy).groupBy(key).agg(F.array_sort(F.collect_list(span)).alias("spans"))
-    out = counted.join(base.join(wide, key, "full"), key, "left")
+    wide = settled(spans(voted.where("kind = 'template'"), key, k), inside, key, needy).groupBy(key).agg(F.array_sort(F.collect_set(span)).alias("spans"))
+    out = rows.join(base.join(wide, key, "full"), key, "left")
     none = F.array().cast("array<string>")
     spanned = F.coalesce("spans", F.array().cast("array<struct<label:string,start:bigint,end:bigint,score:double>>"))
     base_labels = F.coalesce("base", none)
