@@ -12,45 +12,94 @@ from pyspark.sql import functions as F
 
 from sparquill.functions.identifiers import IBAN_LENGTHS, cleaned, dirty
 
-# Reasons for each code, as (code, parties, conditions); every condition must hold, one reason suffices.
-# A condition is a feature with a test: + true, - false, ! not true, # over zero, 0 zero or unknown. No party: message features.
-REASONS = [
-    ("8004", "bnf cdt dbt orig", "+needs_iban !has_iban"), ("8004", "bnf cdt dbt", "+has_account !has_iban"), ("8004", "", "+missing_required_iban"),
-    ("8022", "bnf", "+has_iban"), ("8022", "bnf", "+needs_iban"), ("8022", "bnf", "+id_has_bic_and_nch"), ("8022", "bnf cdt send intm", "+has_bic -bic_valid_country"), ("8022", "bnf cdt dbt", "+account_needs_length_fix"), ("8022", "bnf", "+has_account"),
-    ("8026", "bnf cdt dbt orig", "+needs_iban"), ("8026", "bnf cdt dbt", "-bic_party_country_match"), ("8026", "bnf cdt dbt", "+has_bic +has_iban -bic_iban_country_match"), ("8026", "bnf cdt dbt", "+has_bic +has_iban"), ("8026", "bnf cdt dbt", "+has_iban !has_bic"), ("8026", "cdt", "+is_international"), ("8026", "bnf", "!has_bic !has_iban"),
-    ("8027", "", "#iban_checksum_valid_count"), ("8027", "", "#iban_format_valid_count"), ("8027", "bnf", "#nch_sources"), ("8027", "bnf cdt dbt orig", "+has_iban"), ("8027", "dbt", "+is_bic_derivable"), ("8027", "orig", "+nch_validation_applicable"), ("8027", "cdt", "+account_has_dirty_chars"), ("8027", "bnf", "!has_iban 0account_length"), ("8027", "bnf", "+present !has_iban !has_bic !has_account"),
-    ("8029", "bnf", "+id_has_slash"), ("8029", "bnf", "+id_has_nch_pattern"), ("8029", "", "+has_multiple_nch_sources"), ("8029", "cdt dbt", "+is_international"),
-    ("8851", "bnf cdt dbt", "+account_has_dirty_chars"), ("8851", "", "+nch_validation_applicable"), ("8851", "", "+missing_required_iban"),
-    ("8852", "bnf cdt dbt orig", "+has_iban -iban_length_valid"), ("8852", "bnf cdt dbt orig", "+has_length_violation"),
-    ("8894", "bnf cdt dbt", "+account_has_dirty_chars"), ("8894", "bnf cdt dbt", "+has_iban -iban_checksum_valid"), ("8894", "bnf cdt dbt", "+needs_iban"), ("8894", "dbt", "+is_international"), ("8894", "bnf cdt dbt", "+has_bic +has_iban"),
-    ("8895", "", "+has_invalid_iban"), ("8895", "bnf cdt orig dbt", "+nch_validation_applicable"), ("8895", "", "#bic_iban_mismatch_count"), ("8895", "", "#total_nch_sources"),
-]
+NOT_TRUE, OVER_ZERO, OVER_ONE, ZERO, BAD_LENGTH = "not true", "over zero", "over one", "zero or unknown", "known, and neither 8 nor 11"
+
+
+class Reason:
+    """A reason for a code to fire: all tests hold for one of the parties, or for the message if no party is named.
+
+    A test names a feature, and what it must be: True, False (not unknown), or one of the words above.
+    """
 
+    def __init__(self, code: str, parties: str, **tests: bool | str):
+        self.code, self.parties, self.tests = code, parties.split() or [""], tests
 
-def _test(condition: str, feature: Column) -> Column:
-    kind = condition[0]
-    return F.coalesce({"+": feature.eqNullSafe(True), "-": feature.eqNullSafe(False), "!": ~feature.eqNullSafe(True), "#": feature > 0, "0": F.coalesce(feature, F.lit(0)) == 0}[kind], F.lit(False))
+    def label(self, party: str) -> str:
+        text = " and ".join(f"{name} is {test}" for name, test in self.tests.items())
+        return f"{party.upper()}: {text}" if party else text
 
 
-def reasons(rows: DataFrame, code: str, table: list[tuple[str, str, str]] = REASONS) -> Column:
+# Reasons of the validation codes.
+REASONS = [
+    Reason("8004", "bnf cdt dbt orig", needs_iban=True, has_iban=NOT_TRUE),
+    Reason("8004", "bnf cdt dbt", has_account=True, has_iban=NOT_TRUE),
+    Reason("8004", "", missing_required_iban=True),
+    Reason("8022", "bnf", has_iban=True),
+    Reason("8022", "bnf", needs_iban=True),
+    Reason("8022", "bnf", id_has_bic_and_nch=True),
+    Reason("8022", "bnf cdt send intm", has_bic=True, bic_valid_country=False),
+    Reason("8022", "bnf cdt dbt", account_needs_length_fix=True),
+    Reason("8022", "bnf", has_account=True),
+    Reason("8026", "bnf cdt dbt orig", needs_iban=True),
+    Reason("8026", "bnf cdt dbt", bic_party_country_match=False),
+    Reason("8026", "bnf cdt dbt", has_bic=True, has_iban=True, bic_iban_country_match=False),
+    Reason("8026", "bnf cdt dbt", has_bic=True, has_iban=True),
+    Reason("8026", "bnf cdt dbt", has_iban=True, has_bic=NOT_TRUE),
+    Reason("8026", "cdt", is_international=True),
+    Reason("8026", "bnf", has_bic=NOT_TRUE, has_iban=NOT_TRUE),
+    Reason("8027", "", iban_checksum_valid_count=OVER_ZERO),
+    Reason("8027", "", iban_format_valid_count=OVER_ZERO),
+    Reason("8027", "bnf", nch_sources=OVER_ZERO),
+    Reason("8027", "bnf cdt dbt orig", has_iban=True),
+    Reason("8027", "dbt", is_bic_derivable=True),
+    Reason("8027", "orig", nch_validation_applicable=True),
+    Reason("8027", "cdt", account_has_dirty_chars=True),
+    Reason("8027", "bnf", has_iban=NOT_TRUE, account_length=ZERO),
+    Reason("8027", "bnf", present=True, has_iban=NOT_TRUE, has_bic=NOT_TRUE, has_account=NOT_TRUE),
+    Reason("8029", "bnf", id_has_slash=True),
+    Reason("8029", "bnf", id_has_nch_pattern=True),
+    Reason("8029", "", has_multiple_nch_sources=True),
+    Reason("8029", "cdt dbt", is_international=True),
+    Reason("8851", "bnf cdt dbt", account_has_dirty_chars=True),
+    Reason("8851", "", nch_validation_applicable=True),
+    Reason("8851", "", missing_required_iban=True),
+    Reason("8852", "bnf cdt dbt orig", has_iban=True, iban_length_valid=False),
+    Reason("8852", "bnf cdt dbt orig", has_length_violation=True),
+    Reason("8894", "bnf cdt dbt", account_has_dirty_chars=True),
+    Reason("8894", "bnf cdt dbt", has_iban=True, iban_checksum_valid=False),
+    Reason("8894", "bnf cdt dbt", needs_iban=True),
+    Reason("8894", "dbt", is_international=True),
+    Reason("8894", "bnf cdt dbt", has_bic=True, has_iban=True),
+    Reason("8895", "", has_invalid_iban=True),
+    Reason("8895", "bnf cdt orig dbt", nch_validation_applicable=True),
+    Reason("8895", "", bic_iban_mismatch_count=OVER_ZERO),
+    Reason("8895", "", total_nch_sources=OVER_ZERO),
+]
+
+
+def holds(feature: Column, test: bool | str) -> Column:
+    """Whether a feature, null if unknown, passes a test; never null."""
+    if isinstance(test, bool):
+        return feature.eqNullSafe(test)
+    known = F.coalesce(feature.cast("int"), F.lit(0))
+    return {NOT_TRUE: lambda: ~feature.eqNullSafe(True), OVER_ZERO: lambda: known > 0, OVER_ONE: lambda: known > 1, ZERO: lambda: known == 0, BAD_LENGTH: lambda: (known > 0) & ~known.isin(8, 11)}[test]()
+
+
+def reasons(rows: DataFrame, code: str, table: list[Reason] = REASONS) -> Column:
     """The array of reasons for a code to fire on wide rows (columns party_feature); features that rows lack are unknown."""
     have = set(rows.columns)
     out = []
-    for own, parties, text in table:
-        if own != code:
+    for own in table:
+        if own.code != code:
             continue
-        for party in parties.split() or [""]:
-            tests, label = [], []
-            for condition in text.split():
-                name = f"{party}_{condition[1:]}" if party else condition[1:]
-                kind = "int" if condition[0] in "#0" else "boolean"
-                tests.append(_test(condition, F.col(name) if name in have else F.lit(None).cast(kind)))
-                label.append(condition)
-            out.append(F.when(reduce(Column.__and__, tests), F.lit(f"{party.upper()}: {' '.join(label)}" if party else " ".join(label))))
+        for party in own.parties:
+            names = {f"{party}_{name}" if party else name: test for name, test in own.tests.items()}
+            tests = [holds(F.col(name) if name in have else F.lit(None).cast("boolean" if isinstance(test, bool) or test == NOT_TRUE else "int"), test) for name, test in names.items()]
+            out.append(F.when(reduce(Column.__and__, tests), F.lit(own.label(party))))
     return F.array_compact(F.array(*out))
 
 
-def fired_codes(rows: DataFrame, key: str, codes: list[str], table: list[tuple[str, str, str]] = REASONS) -> DataFrame:
+def fired_codes(rows: DataFrame, key: str, codes: list[str], table: list[Reason] = REASONS) -> DataFrame:
     """(key, code, reasons): a row for each code that fires."""
     every = F.array(*[F.struct(F.lit(c).alias("code"), reasons(rows, c, table).alias("reasons")) for c in codes])
     return rows.select(key, F.explode(every).alias("r")).where(F.size("r.reasons") > 0).select(key, "r.code", "r.reasons")
@@ -85,41 +134,47 @@ def first_by_party(results: DataFrame, keys: list[str], order: list[str]) -> Dat
     return best.select(*keys, "code", "b.status", "b.party")
 
 
-def repair_status(p: str = "") -> dict[str, Column]:
-    """Status of each repair code for party rows with columns nch, account, iban, id, is_domestic, has_multiple_ids,
-    is_clabe, needs_iban, has_bic, derivable: fires, eligible or null."""
-    c = lambda name: F.col(p + name)
+def repair_status(rows: DataFrame) -> dict[str, Column]:
+    """Status of each repair code for party rows: fires, eligible or null.
+
+    Texts are nch, account, iban and id; flags, unknown where rows lack them, are is_domestic, has_domestic_account,
+    has_multiple_ids, id_is_compound, is_clabe, is_fedaba, account_needs_length_fix, nch_in_wrong_field,
+    id_has_bic_and_nch, needs_iban, has_bic and derivable (the party's country supports derivation).
+    """
+    have = set(rows.columns)
+    c = lambda name: F.col(name) if name in have else F.lit(None).cast("string")
     has = lambda name: F.coalesce(c(name) != "", F.lit(False))
-    true = lambda name: c(name).eqNullSafe(True)
+    true = lambda name: F.col(name).eqNullSafe(True) if name in have else F.lit(False)
     clean = lambda name: F.regexp_replace(F.coalesce(c(name), F.lit("")), "[^A-Za-z0-9]", "")
     messy_iban = dirty(c("iban")) | F.coalesce(c("iban") != F.upper(c("iban")), F.lit(False))
+    length = F.length(F.regexp_replace(F.coalesce(c("account"), F.lit("")), "[ -]", ""))
+    wrong_length = F.when(true("is_clabe"), length != 18).when(true("is_fedaba"), length != 9).otherwise(False)
     fires = {
         "9000": has("nch") & dirty(c("nch")),
         "9002": has("account") & dirty(c("account")) & ~true("is_domestic"),
         "9006": has("iban") & messy_iban,
-        "9015": has("account") & dirty(c("account")) & true("is_domestic"),
-        "9017": true("has_multiple_ids") | F.coalesce(F.contains(c("id"), F.lit("/")), F.lit(False)),
-        "9019": has("id") & F.coalesce(c("id").rlike("[^A-Z0-9]"), F.lit(False)),
-        "9021": has("nch") & ((F.length(clean("nch")) != 9) | dirty(c("nch"))),
+        "9015": has("account") & dirty(c("account")) & (true("is_domestic") | true("has_domestic_account")),
+        "9017": true("has_multiple_ids") | true("id_is_compound"),
+        "9019": has("id") & (F.coalesce(c("id").rlike("[^A-Z0-9]"), F.lit(False)) | dirty(c("account"))),
+        "9021": has("nch") & true("is_fedaba") & ((F.length(F.regexp_replace(c("nch"), "[ -]", "")) != 9) | dirty(c("nch"))),
+        "9022": has("account") & (true("account_needs_length_fix") | wrong_length),
         "9025": true("is_clabe") & ~clean("account").rlike("^[0-9]{18}$"),
+        "9028": has("nch") & (true("nch_in_wrong_field") | true("id_has_bic_and_nch")),
     }
-    eligible = {
-        "9004": true("needs_iban") & ~has("iban") & has("account") & true("derivable"),
-        "9005": has("nch") & ~true("has_bic"),
-        "9008": has("iban") & ~true("has_bic"),
-        "9477": has("nch"),
-        "9479": true("has_bic"),
-    }
+    derived = true("needs_iban") & ~has("iban") & has("account") & true("derivable")
+    eligible = {"9004": derived, "9005": has("nch") & ~true("has_bic"), "9007": derived, "9008": has("iban") & ~true("has_bic"), "9477": true("is_fedaba") | has("nch"), "9479": true("has_bic"), "9480": true("has_bic")}
     return {k: F.when(v, "fires") for k, v in fires.items()} | {k: F.when(v, "eligible") for k, v in eligible.items()}
 
 
 #: Confidence of the codes that are only eligible.
-CONFIDENCE = {"9004": 0.85, "9005": 0.75, "9008": 0.90, "9477": 0.70, "9479": 0.80}
+CONFIDENCE = {"9004": 0.85, "9005": 0.75, "9007": 0.85, "9008": 0.90, "9477": 0.70, "9479": 0.80, "9480": 0.75}
+#: What a party's codes end in.
+SUFFIXES = {"orig": "ORGPTY", "send": "SNDBNK", "dbt": "DBTPTY", "cdt": "CDTPTY", "intm": "INTMBNK", "bnf_bank": "BNFBNK", "bnf": "BNPPTY", "acwi": "ACWI", "ordi": "ORDI"}
 
 
 def repair_codes(parties: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, party, code, status, confidence): repair codes that fire (1.0) or are eligible."""
-    every = F.array(*[F.struct(F.lit(k).alias("code"), v.alias("status"), F.lit(CONFIDENCE.get(k, 1.0)).alias("confidence")) for k, v in repair_status().items()])
+    every = F.array(*[F.struct(F.lit(k).alias("code"), v.alias("status"), F.lit(CONFIDENCE.get(k, 1.0)).alias("confidence")) for k, v in repair_status(parties).items()])
     return parties.select(*keys, "party", F.explode(every).alias("r")).where("r.status IS NOT NULL").select(*keys, "party", "r.code", "r.status", "r.confidence")
 
 

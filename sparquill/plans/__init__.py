@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("search", "keywords", "identifiers", "graph", "rules", "mining", "nested", "more")
+MODULES = ("search", "ranking", "keywords", "identifiers", "graph", "graph_search", "rules", "validation", "mining", "nested", "more")
 
 
 def _all(kind: str) -> dict:

@@ -21,6 +21,12 @@ def _edges(spark, d):
     return nxt.where("dst IS NOT NULL")
 
 
+def _downward(spark, d):
+    """The same edges from the smaller part to the larger one, so that they have no cycles."""
+    e = _edges(spark, d)
+    return e.where("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "type")
+
+
 E = """e AS (SELECT src, dst, type FROM (SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS dst, CASE WHEN l_returnflag = 'N' THEN 'calls' ELSE 'uses' END AS type FROM lineitem) WHERE dst IS NOT NULL)"""
 N = "n AS (SELECT p_partkey AS id, CASE WHEN p_size < 10 THEN 'variable' WHEN p_size < 20 THEN 'structure' ELSE 'procedure' END AS type, p_name AS name FROM part)"
 DEG = "d AS (SELECT id, coalesce(o, 0) AS o, coalesce(i, 0) AS i FROM n LEFT JOIN (SELECT src AS id, count(*) AS o FROM e GROUP BY 1) USING (id) LEFT JOIN (SELECT dst AS id, count(*) AS i FROM e GROUP BY 1) USING (id))"
@@ -83,12 +89,11 @@ def graph_paths(spark, d):
 
 
 def graph_entry_distance(spark, d):
-    kept = _edges(spark, d).where("dst >= 50")
-    return op.entry_distance(_nodes(spark, d), kept, 4).groupBy("distance").agg(F.count("*").alias("n"))
+    return op.entry_distance(_nodes(spark, d), _downward(spark, d), 4).groupBy("distance").agg(F.count("*").alias("n"))
 
 
 def graph_unreferenced(spark, d):
-    return op.unreferenced(_nodes(spark, d), _edges(spark, d).where("type = 'calls' AND src < 200"))
+    return op.unreferenced(_nodes(spark, d), _downward(spark, d).where("type = 'calls'"))
 
 
 def graph_adjacency(spark, d):
@@ -153,8 +158,8 @@ SQL = {
     "graph_impact": RECURSE.format(e=E, start="(3, 0)", steps="SELECT DISTINCT dst AS f, src AS t FROM e", depth=2, extra="") + " SELECT id, depth > 1 AS indirect FROM m WHERE depth > 0",
     "graph_vicinity": RECURSE.format(e=E, start="(11, 0)", steps="SELECT src AS f, dst AS t FROM e UNION SELECT dst, src FROM e", depth=2, extra="") + " SELECT id, depth FROM m",
     "graph_paths": f"WITH {E}, s AS (SELECT DISTINCT src, dst FROM e), p1 AS (SELECT [src, dst] AS p FROM s WHERE src = 1 AND dst <> 1), p2 AS (SELECT list_append(p, dst) AS p FROM p1 JOIN s ON src = p[-1] WHERE p[-1] <> 2 AND NOT list_contains(p, dst)), p3 AS (SELECT list_append(p, dst) AS p FROM p2 JOIN s ON src = p[-1] WHERE p[-1] <> 2 AND NOT list_contains(p, dst)) SELECT array_to_string(p, '>') AS path FROM (FROM p1 UNION ALL FROM p2 UNION ALL FROM p3) WHERE p[-1] = 2",
-    "graph_entry_distance": f"WITH RECURSIVE {E}, {N}, k AS (SELECT DISTINCT src, dst FROM e WHERE dst >= 50), r(id, depth) AS (SELECT id, 0 FROM n WHERE id NOT IN (SELECT dst FROM k) UNION SELECT k.dst, r.depth + 1 FROM r JOIN k ON k.src = r.id WHERE r.depth < 4), m AS (SELECT id, min(depth) AS depth FROM r GROUP BY id) SELECT coalesce(depth, 999) AS distance, count(*) AS n FROM n LEFT JOIN m USING (id) GROUP BY 1",
-    "graph_unreferenced": f"WITH {E}, {N} SELECT id FROM n WHERE id NOT IN (SELECT dst FROM e WHERE type = 'calls' AND src < 200)",
+    "graph_entry_distance": f"WITH RECURSIVE {E}, {N}, k AS (SELECT DISTINCT least(src, dst) AS src, greatest(src, dst) AS dst FROM e WHERE src <> dst), r(id, depth) AS (SELECT id, 0 FROM n WHERE id NOT IN (SELECT dst FROM k) UNION SELECT k.dst, r.depth + 1 FROM r JOIN k ON k.src = r.id WHERE r.depth < 4), m AS (SELECT id, min(depth) AS depth FROM r GROUP BY id) SELECT coalesce(depth, 999) AS distance, count(*) AS n FROM n LEFT JOIN m USING (id) GROUP BY 1",
+    "graph_unreferenced": f"WITH {E}, {N} SELECT id FROM n WHERE id NOT IN (SELECT greatest(src, dst) FROM e WHERE type = 'calls' AND src <> dst)",
     "graph_adjacency": f"WITH {E} SELECT src, count(DISTINCT dst) AS n, array_to_string(list_sort(list_distinct(list(dst))), ',') AS targets FROM e GROUP BY 1",
     "graph_merge_nodes": """WITH a AS (SELECT p_partkey AS id, p_type AS type, p_name AS name, p_brand AS value FROM part WHERE p_partkey % 3 <> 0), b AS (SELECT p_partkey AS id, p_type AS ptype, CASE WHEN p_partkey % 5 = 0 THEN '' ELSE CAST(p_size AS VARCHAR) END AS value FROM part WHERE p_partkey % 2 = 0)
       SELECT coalesce(a.id, b.id) AS id, coalesce(type, 'x') AS type, coalesce(name, '') AS name, CASE WHEN b.value IS NULL OR b.value = '' THEN a.value ELSE b.value END AS value,

@@ -54,7 +54,7 @@ def _party_rows(spark, d):
     c = table(spark, d, "customer")
     return c.selectExpr(
         "c_custkey AS k", "'cdt' AS party", "CASE WHEN c_custkey % 3 = 0 THEN NULL WHEN c_custkey % 4 = 0 THEN '02100-0021' ELSE lpad(CAST(c_custkey AS STRING), 9, '0') END AS nch", "CASE WHEN c_custkey % 5 = 0 THEN '' WHEN c_custkey % 7 = 0 THEN '12 34/5' ELSE CAST(c_custkey AS STRING) END AS account",
-        "CASE WHEN c_custkey % 6 = 0 THEN 'gb82 west' WHEN c_custkey % 6 = 1 THEN 'GB82WEST' END AS iban", "CASE WHEN c_custkey % 9 = 0 THEN 'A/B' ELSE 'AB1' END AS id", "c_custkey % 2 = 0 AS is_domestic", "c_custkey % 10 = 0 AS has_multiple_ids", "c_custkey % 8 = 0 AS is_clabe", "c_custkey % 4 < 2 AS needs_iban", "c_custkey % 5 < 2 AS has_bic", "c_custkey % 3 < 2 AS derivable",
+        "CASE WHEN c_custkey % 6 = 0 THEN 'gb82 west' WHEN c_custkey % 6 = 1 THEN 'GB82WEST' END AS iban", "CASE WHEN c_custkey % 9 = 0 THEN 'A/B' ELSE 'AB1' END AS id", "c_custkey % 2 = 0 AS is_domestic", "c_custkey % 10 = 0 AS has_multiple_ids", "c_custkey % 8 = 0 AS is_clabe", "c_custkey % 4 < 2 AS needs_iban", "c_custkey % 12 = 1 AS id_is_compound", "c_custkey % 4 < 2 AS is_fedaba", "c_custkey % 14 = 3 AS has_domestic_account", "c_custkey % 15 = 2 AS account_needs_length_fix", "c_custkey % 16 = 5 AS nch_in_wrong_field", "c_custkey % 18 = 7 AS id_has_bic_and_nch", "c_custkey % 5 < 2 AS has_bic", "c_custkey % 3 < 2 AS derivable",
     )
 
 
@@ -87,19 +87,19 @@ def iban_lengths(spark, d):
     return table(spark, d, "customer").groupBy(op.iban_length_valid(c).alias("valid")).agg(F.count("*").alias("n"))
 
 
-def _condition(party, text):
+def _condition(party, tests):
     out = []
-    for c in text.split():
-        name = f"{party}_{c[1:]}" if party else c[1:]
-        if party in PARTIES and c[1:] in FLAGS:
-            out.append({"+": f"({name} IS TRUE)", "-": f"({name} IS FALSE)", "!": f"({name} IS NOT TRUE)"}[c[0]])
+    for feature, test in tests.items():
+        name = f"{party}_{feature}" if party else feature
+        if party in PARTIES and feature in FLAGS:
+            out.append({True: f"({name} IS TRUE)", False: f"({name} IS FALSE)", op.NOT_TRUE: f"({name} IS NOT TRUE)"}[test])
         else:
-            out.append({"+": "false", "-": "false", "!": "true", "#": "false", "0": "true"}[c[0]])
+            out.append({op.NOT_TRUE: "true", op.ZERO: "true"}.get(test, "false"))
     return " AND ".join(out)
 
 
 WIDE = "w AS (SELECT o_orderkey AS k, " + ", ".join(f"{sql.format(s=s).replace('k +', 'o_orderkey +').replace('(k ', '(o_orderkey ').replace('c +', 'o_custkey +').replace('+ c', '+ o_custkey').replace(' c %', ' o_custkey %')} AS {p}_{n}" for s, p in enumerate(PARTIES) for n, sql in FLAGS.items()) + " FROM orders)"
-COUNTS = {code: " + ".join(f"CAST({_condition(p, t)} AS INT)" for c, ps, t in op.REASONS if c == code for p in (ps.split() or [""])) for code in CODES}
+COUNTS = {code: " + ".join(f"CAST({_condition(p, r.tests)} AS INT)" for r in op.REASONS if r.code == code for p in r.parties) for code in CODES}
 LONG = "l AS (" + " UNION ALL ".join(f"SELECT k, '{p}' AS party, {s} AS place, {', '.join(f'{p}_{n} AS {n}' for n in FLAGS)} FROM w" for s, p in enumerate(PARTIES)) + ")"
 STATUS = {
     "A1": ("has_iban IS TRUE", "iban_checksum_valid IS FALSE", "iban_checksum_valid IS NULL", None), "A2": ("has_bic IS TRUE AND has_account IS TRUE", "bic_valid_country IS FALSE OR has_iban IS FALSE", "bic_valid_country IS NULL AND has_iban IS NULL", None),
@@ -107,10 +107,11 @@ STATUS = {
 }
 EVAL = "s AS (" + " UNION ALL ".join(f"SELECT k, party, place, '{c}' AS code, CASE WHEN NOT ({t}) THEN 'cannot_fire' WHEN {f} THEN 'fires' WHEN {n} THEN 'eligible' ELSE 'cannot_fire' END AS status FROM l{f' WHERE party = {chr(39)}{o}{chr(39)}' if o else ''}" for c, (t, f, n, o) in STATUS.items()) + ")"
 PARTY = """p AS (SELECT CASE WHEN c_custkey % 3 = 0 THEN NULL WHEN c_custkey % 4 = 0 THEN '02100-0021' ELSE lpad(CAST(c_custkey AS VARCHAR), 9, '0') END AS nch, CASE WHEN c_custkey % 5 = 0 THEN '' WHEN c_custkey % 7 = 0 THEN '12 34/5' ELSE CAST(c_custkey AS VARCHAR) END AS account,
-  CASE WHEN c_custkey % 6 = 0 THEN 'gb82 west' WHEN c_custkey % 6 = 1 THEN 'GB82WEST' END AS iban, CASE WHEN c_custkey % 9 = 0 THEN 'A/B' ELSE 'AB1' END AS id, c_custkey % 2 = 0 AS dom, c_custkey % 10 = 0 AS mult, c_custkey % 8 = 0 AS clabe, c_custkey % 4 < 2 AS needs, c_custkey % 5 < 2 AS bic, c_custkey % 3 < 2 AS der FROM customer)"""
+  CASE WHEN c_custkey % 6 = 0 THEN 'gb82 west' WHEN c_custkey % 6 = 1 THEN 'GB82WEST' END AS iban, CASE WHEN c_custkey % 9 = 0 THEN 'A/B' ELSE 'AB1' END AS id, c_custkey % 2 = 0 AS dom, c_custkey % 10 = 0 AS mult, c_custkey % 8 = 0 AS clabe, c_custkey % 4 < 2 AS needs, c_custkey % 12 = 1 AS compound, c_custkey % 4 < 2 AS fed, c_custkey % 14 = 3 AS domacc, c_custkey % 15 = 2 AS fix, c_custkey % 16 = 5 AS wrong, c_custkey % 18 = 7 AS twofold, c_custkey % 5 < 2 AS bic, c_custkey % 3 < 2 AS der FROM customer)"""
 REPAIR = {
-    "9000": "nch LIKE '%-%'", "9002": "regexp_matches(account, '[^A-Za-z0-9]') AND NOT dom", "9006": "iban LIKE 'gb%'", "9015": "regexp_matches(account, '[^A-Za-z0-9]') AND dom", "9017": "mult OR id LIKE '%/%'", "9019": "id LIKE '%/%'",
-    "9021": "nch IS NOT NULL AND (length(regexp_replace(nch, '[^A-Za-z0-9]', '', 'g')) <> 9 OR nch LIKE '%-%')", "9025": "clabe", "9004": "needs AND iban IS NULL AND account <> '' AND der", "9005": "nch IS NOT NULL AND NOT bic", "9008": "iban IS NOT NULL AND NOT bic", "9477": "nch IS NOT NULL", "9479": "bic",
+    "9000": "nch LIKE '%-%'", "9002": "regexp_matches(account, '[^A-Za-z0-9]') AND NOT dom", "9006": "iban LIKE 'gb%'", "9015": "regexp_matches(account, '[^A-Za-z0-9]') AND (dom OR domacc)", "9017": "mult OR compound", "9019": "id LIKE '%/%' OR regexp_matches(account, '[^A-Za-z0-9]')",
+    "9021": "nch IS NOT NULL AND fed AND (length(regexp_replace(nch, '[ -]', '', 'g')) <> 9 OR nch LIKE '%-%')", "9022": "account <> '' AND (fix OR CASE WHEN clabe THEN length(regexp_replace(account, '[ -]', '', 'g')) <> 18 WHEN fed THEN length(regexp_replace(account, '[ -]', '', 'g')) <> 9 ELSE false END)", "9025": "clabe", "9028": "nch IS NOT NULL AND (wrong OR twofold)",
+    "9004": "needs AND iban IS NULL AND account <> '' AND der", "9005": "nch IS NOT NULL AND NOT bic", "9007": "needs AND iban IS NULL AND account <> '' AND der", "9008": "iban IS NOT NULL AND NOT bic", "9477": "nch IS NOT NULL OR fed", "9479": "bic", "9480": "bic",
 }
 PRED = "pr AS (SELECT o_orderkey AS k, 'X' || o_orderkey % 4 AS code, round(o_orderkey % 10 / 10, 1) AS p FROM orders UNION ALL SELECT o_orderkey, 'Y' || o_custkey % 3, round(o_custkey % 10 / 10, 1) FROM orders UNION ALL SELECT o_orderkey, 'Z', 0.5 FROM orders)"
 
