@@ -40,9 +40,11 @@ POLISH_WEIGHTS = (3, 9, 7, 1, 3, 9, 7)
 CZECH_WEIGHTS = (6, 3, 7, 9, 10, 5, 8, 4, 2, 1)
 HUNGARIAN_WEIGHTS = (9, 7, 3, 1)
 ESTONIAN_WEIGHTS = (7, 3, 1)
-# What digits and letters count at odd places of an Italian account; 0-9 and A-J, then K-Z.
-ITALIAN_ODD = (1, 0, 5, 7, 9, 13, 15, 17, 19, 21)
-ITALIAN_ODD_K_TO_Z = (2, 4, 18, 20, 11, 3, 6, 8, 12, 14, 16, 10, 22, 25, 24, 23)
+# What 0-9 and A-Z count at odd places of an Italian account.
+ITALIAN_ODD = (
+    1, 0, 5, 7, 9, 13, 15, 17, 19, 21,
+    1, 0, 5, 7, 9, 13, 15, 17, 19, 21, 2, 4, 18, 20, 11, 3, 6, 8, 12, 14, 16, 10, 22, 25, 24, 23,
+)
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -127,7 +129,7 @@ def spanish_digits(bank: Column, branch: Column, stated: Column, account: Column
 
 
 def italian_letter(stated: Column, bank: Column, branch: Column, account: Column) -> Column:
-    odd = F.array(*[F.lit(v) for v in (*ITALIAN_ODD, *ITALIAN_ODD, *ITALIAN_ODD_K_TO_Z)])
+    odd = F.array(*[F.lit(v) for v in ITALIAN_ODD])
     code = F.upper(F.concat(bank, branch, account))
     total = reduce(Column.__add__, [F.get(odd, _code(code, k)) if k % 2 else F.when(_code(code, k) >= 10, _code(code, k) - 10).otherwise(_code(code, k)) for k in range(1, 23)])
     return F.upper(stated) == F.substring(F.lit(LETTERS), total % 26 + 1, F.lit(1))

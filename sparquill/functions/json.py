@@ -5,28 +5,34 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparquill.sources.shared import stored
 
-def flatten(rows: DataFrame, key: str, document: str, depth: int = 8) -> DataFrame:
-    """(key, path, value): the leaves of JSON strings, arrays as [k]; null leaves are ''. Nesting below `depth` stays JSON.
 
-    Each level explodes objects and arrays of the one before; documents that don't parse have no rows.
+def flatten(rows: DataFrame, key: str, document: str) -> DataFrame:
+    """(key, path, value): the leaves of JSON strings, arrays as [k]; null leaves are ''. Empty objects and arrays are leaves.
+
+    Each step explodes the objects and arrays that the one before has left, and writes them, so each document is
+    parsed once, and there are as many steps as the deepest one has levels. Documents that don't parse have no rows.
     """
-    at = rows.select(key, F.lit("").alias("path"), F.try_parse_json(document).alias("v")).where("v IS NOT NULL")
+    at = stored(rows.select(key, F.lit("").alias("path"), F.try_parse_json(document).alias("v")).where("v IS NOT NULL"))
     leaves = None
-    for level in range(depth + 1):
+    while True:
         kind = F.schema_of_variant("v")
-        nested = (F.startswith(kind, F.lit("OBJECT<")) | F.startswith(kind, F.lit("ARRAY<"))) & (F.to_json("v").isin("{}", "[]") == F.lit(False)) if level < depth else F.lit(False)
-        at = at.withColumn("nested", nested)
-        own = at.where("NOT nested").select(key, "path", F.coalesce(F.try_variant_get("v", "$", "string"), F.when(F.is_variant_null("v"), "").otherwise(F.to_json("v"))).alias("value"))
+        nested = (F.startswith(kind, F.lit("OBJECT<")) | F.startswith(kind, F.lit("ARRAY<"))) & ~F.to_json("v").isin("{}", "[]")
+        own = at.where(~nested).select(key, "path", F.coalesce(F.try_variant_get("v", "$", "string"), F.when(F.is_variant_null("v"), "").otherwise(F.to_json("v"))).alias("value"))
         leaves = own if leaves is None else leaves.unionAll(own)
-        if level == depth:
-            break
-        view = f"_level_{level}"
-        at.where("nested").createOrReplaceTempView(view)
-        at = rows.sparkSession.sql(f"SELECT t.{key}, t.path, e.pos, e.key AS k, e.value AS v FROM {view} t, LATERAL variant_explode(t.v) e")
+        inner = at.where(nested)
+        if inner.isEmpty():
+            return leaves
+        exploded = rows.sparkSession.sql(f"SELECT t.{key}, t.path, e.pos, e.key AS k, e.value AS v FROM {{level}} t, LATERAL variant_explode(t.v) e", level=inner)
         step = F.when(F.col("k").isNull(), F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("]"))).otherwise(F.concat(F.when(F.col("path") == "", "").otherwise("."), F.col("k")))
-        at = at.select(key, F.concat("path", step).alias("path"), "v")
-    return leaves
+        at = stored(exploded.select(key, F.concat("path", step).alias("path"), "v"))
+
+
+def lower_keys(leaves: DataFrame) -> DataFrame:
+    """Leaves with their paths in lower case, as if all keys had been; of paths that become equal the value of the last one by its spelling."""
+    others = [c for c in leaves.columns if c not in ("path", "value")]
+    return leaves.groupBy(*others, F.lower("path").alias("lower_path")).agg(F.max_by("value", "path").alias("value")).withColumnRenamed("lower_path", "path").select(*leaves.columns)
 
 
 def metrics(leaves: DataFrame, key: str) -> DataFrame:

@@ -21,7 +21,7 @@ def mappings(docs: DataFrame, keywords: DataFrame, size: int = 200) -> DataFrame
     An equi-join on tokens stands for the comparison of each keyword with each text.
     """
     chunks = docs.select("doc_id", F.posexplode(text.tokens(F.col("text"))).alias("pos", "term")).withColumn("chunk_index", F.floor(F.col("pos") / size).cast("int"))
-    found = chunks.join(F.broadcast(keywords), F.col("term") == F.col("keyword"))
+    found = chunks.join(keywords, F.col("term") == F.col("keyword"))
     return found.groupBy("keyword", "category", "priority", "doc_id", "chunk_index").agg(F.least(F.count("*"), F.lit(5)).cast("int").alias("relevance"))
 
 
@@ -60,11 +60,23 @@ def distribution(keywords: DataFrame, facts: DataFrame) -> DataFrame:
     return keywords.join(seen, "keyword", "left").groupBy("category").agg(F.count("*").alias("keywords"), F.count("mapped").alias("mapped"), F.round(F.count("mapped") / F.count("*"), 2).alias("share"))
 
 
-def heatmap(facts: DataFrame, docs: list[int]) -> DataFrame:
-    """Largest relevance of each keyword in each of the given documents, 0 if none."""
-    kept = facts.where(F.col("doc_id").isin(docs))
-    wide = kept.groupBy("keyword").pivot("doc_id", docs).agg(F.max("relevance"))
-    return wide.na.fill(0).select("keyword", *[F.col(str(d)).alias(f"d{d}") for d in docs])
+def heatmap(facts: DataFrame, groups: DataFrame, names: list[str]) -> DataFrame:
+    """Largest relevance of each keyword in each group of documents (doc_id, group), a column for each name, 0 if none."""
+    wide = facts.join(groups, "doc_id").groupBy("keyword").pivot("group", names).agg(F.max("relevance"))
+    return wide.na.fill(0)
+
+
+def inverted_index(facts: DataFrame) -> DataFrame:
+    """(kind, name, keyword, n, docs): totals of each keyword, and by category, priority and document."""
+    kinds = F.array(*[F.struct(F.lit(kind).alias("kind"), F.col(c).cast("string").alias("name")) for kind, c in (("total", "keyword"), ("category", "category"), ("priority", "priority"), ("document", "doc_id"))])
+    return facts.select("keyword", "doc_id", F.inline(kinds)).groupBy("kind", "name", "keyword").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("docs"))
+
+
+def taxonomy_faults(dim: DataFrame, facts: DataFrame, most: int = 3) -> DataFrame:
+    """(keyword, fault): keywords that no document has (orphaned), and those of over `most` categories (over-assigned)."""
+    orphans = dim.select("keyword").distinct().join(facts.select("keyword").distinct(), "keyword", "left_anti").select("keyword", F.lit("orphaned").alias("fault"))
+    over = dim.groupBy("keyword").agg(F.count_distinct("category").alias("n")).where(F.col("n") > most).select("keyword", F.lit("over-assigned").alias("fault"))
+    return orphans.unionAll(over)
 
 
 def query_distribution(facts: DataFrame, keywords: list[str], n: int) -> DataFrame:
@@ -110,7 +122,7 @@ def keyword_scores(docs: DataFrame, important: list[str], stop: list[str], n: in
 
 def capability_scores(scores: DataFrame, dim: DataFrame) -> DataFrame:
     """(doc_id, category, score): summed keyword scores of each category, over the document's largest."""
-    summed = scores.join(F.broadcast(dim), "keyword").groupBy("doc_id", "category").agg(F.sum("score").alias("score"))
+    summed = scores.join(dim, "keyword").groupBy("doc_id", "category").agg(F.sum("score").alias("score"))
     return summed.select("doc_id", "category", F.round(F.col("score") / F.max("score").over(Window.partitionBy("doc_id")), 6).alias("score"))
 
 

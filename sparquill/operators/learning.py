@@ -1,38 +1,66 @@
-"""Learning operators on MLlib: latent semantic indexing, tree ensembles and the rules in a tree."""
+"""Learning operators: latent semantic indexing, nearest vectors, MLlib's tree ensembles and the rules in a tree."""
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.ml.classification import DecisionTreeClassificationModel, DecisionTreeClassifier, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.mllib.linalg import Vectors
-from pyspark.mllib.linalg.distributed import IndexedRow, IndexedRowMatrix
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparquill.operators import search
+from sparquill.sources.shared import stored
 
 
-def latent_index(docs: DataFrame, k: int = 20, terms: int = 2000) -> tuple[DataFrame, DataFrame]:
-    """(term vectors, document vectors) of a truncated SVD over TF-IDF of the most frequent terms.
+def latent_index(docs: DataFrame, k: int = 20, min_share: float = 0.01) -> tuple[DataFrame, DataFrame]:
+    """(term vectors, document vectors) of a truncated SVD over TF-IDF of the terms that min_share of all documents have.
 
-    The vocabulary is capped as a parameter; documents stay distributed: only the terms' Gram matrix, of that
-    size, is decomposed.
+    By the share, the number of terms is bounded by a document's different terms over it, whatever the corpus. Tasks
+    sum their documents' products of term weights (numpy), Spark adds the tasks' sums row by row, and only that
+    matrix of terms by terms is decomposed. Documents without such terms have the zero vector.
     """
-    vocab = search.vocabulary(docs).orderBy(F.desc("df"), "term").limit(terms).collect()
-    number = {r.term: i for i, r in enumerate(vocab)}
-    dim = docs.sparkSession.createDataFrame([(r.term, number[r.term], r.idf) for r in vocab], "term string, nr int, idf double")
-    weights = search.term_counts(docs).join(search.document_lengths(docs), "doc_id").join(F.broadcast(dim), "term")
-    vectors = weights.groupBy("doc_id").agg(F.collect_list(F.struct("nr", (F.col("tf") / F.col("dl") * F.col("idf")).alias("w"))).alias("v"))
-    n = len(number)
-    rows = vectors.rdd.map(lambda r: IndexedRow(r.doc_id, Vectors.sparse(n, sorted((x.nr, x.w) for x in r.v))))
-    svd = IndexedRowMatrix(rows).computeSVD(min(k, n), computeU=True)
-    values = svd.V.toArray()
-    term_rows = docs.sparkSession.createDataFrame([(t, values[i].tolist()) for t, i in number.items()], "term string, vector array<double>")
-    sigma = np.array(svd.s.toArray())
-    doc_rows = svd.U.rows.map(lambda r: (r.index, (np.array(r.vector.toArray()) * sigma).tolist())).toDF("doc_id long, vector array<double>")
-    return term_rows, doc_rows
+    counts, df = search.term_table(docs)
+    n_docs = docs.count()
+    vocab = sorted((r.term, math.log(n_docs / r.df)) for r in df.where(F.col("df") >= min_share * n_docs).collect())
+    n = len(vocab)
+    spark = docs.sparkSession
+    dim = spark.createDataFrame([(t, i, idf) for i, (t, idf) in enumerate(vocab)], "term string, nr int, idf double")
+    weights = stored(counts.join(F.broadcast(dim), "term").select("doc_id", "nr", (F.col("tf") / F.col("dl") * F.col("idf")).alias("w")))
+    vectors = weights.groupBy("doc_id").agg(F.collect_list("nr").alias("nr"), F.collect_list("w").alias("w"))
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((n, n))
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                own = batch.slice(at, 512)
+                nr, w = own.column(1), own.column(2)
+                dense = np.zeros((own.num_rows, n))
+                row = np.repeat(np.arange(own.num_rows), np.diff(nr.offsets.to_numpy()))
+                np.add.at(dense, (row, nr.flatten().to_numpy()), w.flatten().to_numpy())
+                total += dense.T @ dense
+        yield pa.RecordBatch.from_arrays([pa.array(range(n), pa.int32()), pa.array([x.tobytes() for x in total], pa.binary())], names=["nr", "sums"])
+
+    def added(rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"nr": [rows["nr"].iloc[0]], "sums": [sum(np.frombuffer(x) for x in rows["sums"]).tobytes()]})
+
+    found = vectors.mapInArrow(products, "nr int, sums binary").groupBy("nr").applyInPandas(added, "nr int, sums binary").collect() if n else []
+    gram = np.array([np.frombuffer(r.sums) for r in sorted(found, key=lambda r: r.nr)]).reshape(n, n)
+    values, columns = np.linalg.eigh(gram)
+    best = columns[:, np.argsort(-values)[:k]]
+    best = best * np.where(best[np.abs(best).argmax(0), np.arange(best.shape[1])] < 0, -1.0, 1.0)  # the sign of a singular vector is free
+    term_rows = spark.createDataFrame([(t, best[i].tolist()) for i, (t, _) in enumerate(vocab)], "term string, vector array<double>")
+    place = spark.createDataFrame([(i, *best[i].tolist()) for i in range(n)], f"nr int, {', '.join(f'v{j} double' for j in range(best.shape[1]))}") if n else None
+    if place is None:
+        return term_rows, docs.select("doc_id", F.array().cast("array<double>").alias("vector"))
+    sums = weights.join(F.broadcast(place), "nr").groupBy("doc_id").agg(*[F.sum(F.col("w") * F.col(f"v{j}")).alias(f"s{j}") for j in range(best.shape[1])])
+    rows = docs.select("doc_id").join(sums, "doc_id", "left")
+    return term_rows, rows.select("doc_id", F.array(*[F.coalesce(f"s{j}", F.lit(0.0)) for j in range(best.shape[1])]).alias("vector"))
 
 
 def similar(vectors: DataFrame, column: str, to: list[float], n: int) -> DataFrame:
@@ -43,13 +71,52 @@ def similar(vectors: DataFrame, column: str, to: list[float], n: int) -> DataFra
     return vectors.select(column, F.when(own > 0, dot / (own * norm)).otherwise(0.0).alias("score")).orderBy(F.desc("score"), column).limit(n)
 
 
-def nearest_vectors(vectors: DataFrame, key: str, vector: str, query: int, n: int) -> DataFrame:
-    """(key, score): exact cosine of all rows to the row `query`, the n best."""
-    q = vectors.where(F.col(key) == query).select(F.col(vector).alias("q"))
-    d = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    j = vectors.where(F.col(key) != query).join(F.broadcast(q))
-    score = d(F.col(vector), F.col("q")) / F.sqrt(d(F.col(vector), F.col(vector)) * d(F.col("q"), F.col("q")))
-    return j.select(key, F.round(score, 6).alias("score")).orderBy(F.desc("score"), key).limit(n)
+def similar_terms(terms: DataFrame, asked: str, n: int) -> DataFrame:
+    """(term, score): the n terms whose vectors are most like that of a term, but for itself; none if it has no vector."""
+    row = terms.where(F.col("term") == asked).first()
+    return similar(terms.where(F.col("term") != asked), "term", row.vector if row else [0.0], n if row else 0)
+
+
+def nearest_vectors(vectors: DataFrame, key: str, vector: str, queries: Column, n: int, block: int = 2048) -> DataFrame:
+    """(query, key, score): for each row that `queries` selects the n other rows of the largest cosine, rounded to six places; ties by key.
+
+    Exact. Rows are packed to blocks of about `block`; each block of queries meets each block of rows in one matrix
+    product, which gives each query's n best of that block, and the best of those are its result.
+    """
+    rows = stored(vectors.select(F.col(key).cast("long").alias("id"), F.transform(vector, lambda x: x.cast("double")).alias("v"), F.coalesce(queries, F.lit(False)).alias("asked")).where(F.col("id").isNotNull()))
+    counts = rows.agg(F.count("*").alias("n"), F.count_if("asked").alias("asked")).first()
+
+    def packed(df: DataFrame, name: str, size: int) -> DataFrame:
+        part = F.pmod(F.xxhash64("id"), F.lit(max(1, -(-size // block)))).alias("part")
+        return df.groupBy(part).agg(F.collect_list(F.struct("id", "v")).alias(name)).select(name)
+
+    pairs = packed(rows, "rows", counts.n).crossJoin(packed(rows.where("asked"), "queries", counts.asked))  # blocks, not rows
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for pair in zip(*(batch.column(c) for c in ("rows", "queries")), strict=True):
+                (ids, a), (asked, b) = (_matrix(x) for x in pair)
+                score = np.round(b @ a.T, 6)
+                score[asked[:, None] == ids[None, :]] = -np.inf
+                out = [np.lexsort((ids, -s))[:n] for s in score]
+                q = np.repeat(asked, [len(o) for o in out])
+                best = np.concatenate(out)
+                values = np.concatenate([s[o] for s, o in zip(score, out, strict=True)])
+                real = np.isfinite(values)
+                yield pa.RecordBatch.from_arrays([pa.array(q[real]), pa.array(ids[best][real]), pa.array(values[real])], names=["query", "id", "score"])
+
+    found = pairs.repartition(F.xxhash64(F.col("rows")[0]["id"], F.col("queries")[0]["id"])).mapInArrow(run, "query long, id long, score double")
+    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))
+    return found.withColumn("place", place).where(F.col("place") <= n).select("query", F.col("id").alias(key), "score")
+
+
+def _matrix(rows: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
+    """Ids, and vectors of length one, of a list of structs."""
+    held = rows.values
+    v = held.field("v")
+    m = v.flatten().to_numpy().reshape(len(held), -1)
+    norm = np.linalg.norm(m, axis=1, keepdims=True)
+    return held.field("id").to_numpy(), m / np.where(norm > 0, norm, 1.0)
 
 
 def forest(rows: DataFrame, features: list[str], label: str, trees: int = 20, depth: int = 6, weight: str | None = None):

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparquill.operators.ranks import by_hash
+
 
 def co_occurrence(codes: DataFrame) -> DataFrame:
-    """(code1, code2, n): transactions with both codes, code1 < code2."""
+    """(code1, code2, n): transactions with both codes, code1 < code2. A transaction has few codes, so its pairs are few."""
     c = codes.select("txn", "code").distinct()
     a, b = c.alias("a"), c.alias("b")
     pairs = a.join(b, (F.col("a.txn") == F.col("b.txn")) & (F.col("a.code") < F.col("b.code")))
@@ -91,7 +93,8 @@ def frequency_encoding(rows: DataFrame, column: str) -> DataFrame:
 def downsampled(rows: DataFrame, positive: str, ratio: int, key: str) -> DataFrame:
     """All positive rows and at most ratio times as many negative ones, those with the smallest hash of their key."""
     n = rows.where(F.col(positive)).count()
-    return rows.where(F.col(positive)).unionByName(rows.where(~F.col(positive)).orderBy(F.xxhash64(key), key).limit(ratio * n))
+    kept = by_hash(rows.where(~F.col(positive)), [positive], key).where(F.col("rank") < ratio * n).drop("rank")
+    return rows.where(F.col(positive)).unionByName(kept)
 
 
 def confusion(scored: DataFrame) -> DataFrame:
@@ -107,7 +110,7 @@ def confusion(scored: DataFrame) -> DataFrame:
 def boosted(scores: DataFrame, pairs: DataFrame, strong: float = 0.7, step: float = 0.1) -> DataFrame:
     """scores (txn, code, p): codes of p over `strong` add min(step, n / 100) to their partners, 1 at most."""
     both = pairs.select("code1", "code2", "n").unionAll(pairs.select(F.col("code2"), F.col("code1"), F.col("n")))
-    lift = scores.where(F.col("p") > strong).join(F.broadcast(both), F.col("code") == F.col("code1")).groupBy("txn", F.col("code2").alias("code")).agg(F.sum(F.least(F.lit(step), F.col("n") / 100)).alias("lift"))
+    lift = scores.where(F.col("p") > strong).join(both, F.col("code") == F.col("code1")).groupBy("txn", F.col("code2").alias("code")).agg(F.sum(F.least(F.lit(step), F.col("n") / 100)).alias("lift"))
     return scores.join(lift, ["txn", "code"], "left").select("txn", "code", F.round(F.least(F.lit(1.0), F.col("p") + F.coalesce("lift", F.lit(0.0))), 6).alias("p"))
 
 
@@ -115,7 +118,7 @@ def thresholded(scores: DataFrame, thresholds: DataFrame, default: float) -> Dat
     """scores (txn, code, p) that reach their code's threshold, else that of the code before _, else the default."""
     own = thresholds.select("code", F.col("threshold").alias("own"))
     base = thresholds.select(F.col("code").alias("base"), F.col("threshold").alias("general"))
-    j = scores.withColumn("base", F.substring_index("code", "_", 1)).join(F.broadcast(own), "code", "left").join(F.broadcast(base), "base", "left")
+    j = scores.withColumn("base", F.substring_index("code", "_", 1)).join(own, "code", "left").join(base, "base", "left")
     return j.where(F.col("p") >= F.coalesce("own", "general", F.lit(default))).select("txn", "code", "p")
 
 
@@ -126,4 +129,112 @@ def amount_bucket(c):
 
 def stratified_folds(rows: DataFrame, label: str, key: str, k: int) -> DataFrame:
     """rows with `fold`: within each label by hash of the key in turn."""
-    return rows.withColumn("fold", (F.row_number().over(Window.partitionBy(label).orderBy(F.xxhash64(key), key)) - 1) % k)
+    return by_hash(rows, [label], key, "fold").withColumn("fold", F.col("fold") % k)
+
+
+def cross_validated(rows: DataFrame, folds: int, train, predict) -> DataFrame:
+    """(fold, label, f1, macro, mean, deviation): F1 of each label in each fold (rows: fold, label, ...), its mean in the fold, and
+    that mean's mean and standard deviation. train makes a model of all other folds' rows, predict (label, truth, predicted) of the fold's.
+    """
+    out = None
+    for k in range(folds):
+        own = confusion(predict(train(rows.where(F.col("fold") != k)), rows.where(F.col("fold") == k))).select(F.lit(k).alias("fold"), "label", "f1")
+        out = own if out is None else out.unionAll(own)
+    by_fold = out.groupBy("fold").agg(F.avg("f1").alias("macro"))
+    return out.join(by_fold, "fold").join(by_fold.agg(F.avg("macro").alias("mean"), F.stddev_pop("macro").alias("deviation")))
+
+
+def summary_scores(counts: DataFrame) -> DataFrame:
+    """(precision, recall, micro_f1, macro_f1, exact) of confusion rows: micro from summed counts, macro the mean F1 of the labels."""
+    s = counts.agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("fn").alias("fn"), F.avg("f1").alias("macro"))
+    ratio = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
+    tp, fp, missed = F.col("tp"), F.col("fp"), F.col("fn")
+    return s.select(F.round(ratio(tp, tp + fp), 6).alias("precision"), F.round(ratio(tp, tp + missed), 6).alias("recall"), F.round(ratio(2 * tp, 2 * tp + fp + missed), 6).alias("micro_f1"), F.round("macro", 6).alias("macro_f1"))
+
+
+def set_scores(scored: DataFrame, key: str) -> DataFrame:
+    """(rows, exact, hamming) of (key, label, truth, predicted): the share of keys with all labels right, and of wrong labels."""
+    wrong = F.count_if(F.col("truth") != F.col("predicted"))
+    each = scored.groupBy(key).agg(wrong.alias("wrong"), F.count("*").alias("n"))
+    return each.agg(F.count("*").alias("rows"), F.round(F.avg((F.col("wrong") == 0).cast("int")), 6).alias("exact"), F.round(F.sum("wrong") / F.sum("n"), 6).alias("hamming"))
+
+
+def ensemble(first: DataFrame, second: DataFrame, support: DataFrame, weights: tuple[float, float] = (0.6, 0.4), rare: int = 10, least: float = 0.5, rare_least: float = 0.7) -> DataFrame:
+    """(txn, code, p): weighted means of two models' scores (txn, code, p), a missing one as 0, that reach `least`, or
+    rare_least for codes of a support (code, n) under `rare`.
+    """
+    j = first.withColumnRenamed("p", "p1").join(second.withColumnRenamed("p", "p2"), ["txn", "code"], "full")
+    p = F.coalesce("p1", F.lit(0.0)) * weights[0] + F.coalesce("p2", F.lit(0.0)) * weights[1]
+    k = j.select("txn", "code", F.round(p, 6).alias("p")).join(support, "code", "left")
+    return k.where(F.col("p") >= F.when(F.coalesce("n", F.lit(0)) < rare, rare_least).otherwise(least)).select("txn", "code", "p")
+
+
+def presence_profile(fields: DataFrame, contexts: DataFrame, samples: int = 5) -> DataFrame:
+    """(context, field, rate, shortest, longest, dashes, samples, required) of fields (txn, field, value) in contexts (txn,
+    context): the share of the context's transactions with the field, lengths, values with a dash, the first different
+    values, and whether all have it.
+    """
+    totals = contexts.groupBy("context").agg(F.count_distinct("txn").alias("total"))
+    j = fields.join(contexts, "txn")
+    # Of each value one row, so that the list of samples is never that of all rows.
+    values = j.groupBy("context", "field", "value").agg(F.min("txn").alias("txn"))
+    first = F.row_number().over(Window.partitionBy("context", "field").orderBy("value"))
+    few = values.withColumn("place", first).where(F.col("place") <= samples).groupBy("context", "field").agg(F.array_sort(F.collect_list("value")).alias("samples"))
+    f = j.groupBy("context", "field").agg(F.count_distinct("txn").alias("n"), F.min(F.length("value")).alias("shortest"), F.max(F.length("value")).alias("longest"), F.count_if(F.contains("value", F.lit("-"))).alias("dashes"))
+    rate = F.col("n") / F.col("total")
+    return f.join(totals, "context").join(few, ["context", "field"]).select("context", "field", F.round(rate, 6).alias("rate"), "shortest", "longest", "dashes", "samples", (F.col("n") == F.col("total")).alias("required"))
+
+
+def applied_lookups(rows: DataFrame, lookups: list[tuple[DataFrame, str, str]]) -> DataFrame:
+    """rows with the column `target` filled by each (lookup (key, value), key column, target) in turn where it is null, so
+    a later lookup may use what an earlier one has found; filled_<target> tells that.
+    """
+    for k, (lookup, key, target) in enumerate(lookups):
+        named = lookup.select(F.col("key").alias("_key"), F.col("value").alias("_value"))
+        flag = f"filled_{target}"
+        had = F.col(flag) if flag in rows.columns else F.lit(False)
+        rows = rows.join(named, F.col(key) == F.col("_key"), "left")
+        rows = rows.withColumn(flag, had | (F.col(target).isNull() & F.col("_value").isNotNull())).withColumn(target, F.coalesce(target, "_value")).drop("_key", "_value")
+    return rows
+
+
+def repair_actions(diffs: DataFrame) -> DataFrame:
+    """(entity, action, field, n, txns): how often each action changes a field of an entity, of diffs (txn, entity, action, field)."""
+    return diffs.groupBy("entity", "action", "field").agg(F.count("*").alias("n"), F.count_distinct("txn").alias("txns"))
+
+
+def entity_patterns(diffs: DataFrame, codes: DataFrame, entity_share: float = 0.95, field_share: float = 0.90, least: int = 3) -> DataFrame:
+    """(code, kind, value, share, n): entities that change in entity_share, and fields in field_share, of a code's transactions, `least` of them or more."""
+    c = codes.select("txn", "code").distinct()
+    total = c.groupBy("code").agg(F.count("*").alias("total")).where(F.col("total") >= least)
+    marks = diffs.select("txn", F.explode(F.array(F.struct(F.lit("entity").alias("kind"), F.col("entity").alias("value")), F.struct(F.lit("field"), F.col("field")))).alias("m")).select("txn", "m.kind", "m.value").distinct()
+    met = marks.join(c, "txn").groupBy("code", "kind", "value").agg(F.count("*").alias("n")).join(total, "code")
+    share = F.col("n") / F.col("total")
+    return met.where(share >= F.when(F.col("kind") == "entity", entity_share).otherwise(field_share)).select("code", "kind", "value", F.round(share, 6).alias("share"), "n")
+
+
+def cross_code(pairs: DataFrame, least: int) -> DataFrame:
+    """(function, capabilities, n): functions with at least so many capabilities, of pairs (function, capability)."""
+    f = pairs.distinct().groupBy("function").agg(F.array_sort(F.collect_list("capability")).alias("capabilities"))
+    return f.select("function", "capabilities", F.size("capabilities").alias("n")).where(F.col("n") >= least)
+
+
+def best_repair(asked: DataFrame, repairs: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """asked (key, entity, message) with the id and score of the best repair (id, entity, field, message, score): of the same entity,
+    with the same message or one that contains the other, from a score of threshold on; the best by score, then the smallest id.
+    """
+    r = repairs.where(F.col("score") >= threshold).select(F.col("entity"), F.col("message").alias("known"), "id", "score")
+    a, b = F.lower("message"), F.lower("known")
+    met = asked.join(r, "entity").where((a == b) | F.contains(a, b) | F.contains(b, a))
+    best = met.groupBy("key").agg(F.min_by(F.struct("id", "score"), F.struct((-F.col("score")).alias("s"), "id")).alias("m"))
+    return best.select("key", "m.id", "m.score")
+
+
+def matching_spec(messages: DataFrame, specs: DataFrame) -> DataFrame:
+    """(key, place) of messages (key, source, clearing, parties array): the first of specs (place, source, clearing, parties array)
+    with the same source, clearing and parties; else the first one of the source and clearing whose parties include the message's.
+    """
+    j = messages.alias("m").join(specs.alias("s"), (F.col("m.source") == F.col("s.source")) & (F.col("m.clearing") == F.col("s.clearing")))
+    own, theirs = F.array_sort(F.array_distinct("m.parties")), F.array_sort(F.array_distinct("s.parties"))
+    exact, within = own == theirs, F.size(F.array_except("m.parties", "s.parties")) == 0
+    return j.where(within).groupBy("m.key").agg(F.min(F.struct((~exact).cast("int").alias("x"), F.col("s.place").alias("place"))).alias("best")).select("key", "best.place")

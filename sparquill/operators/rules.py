@@ -119,10 +119,10 @@ def evaluate(features: Column, require_true: Column, require_false: Column) -> C
 def evaluate_all(parties: DataFrame, rules: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, code, status): every rule (code, require_true, require_false, only) for every party row (keys, party, features).
 
-    `only` is the party a rule is for, null for all. The program is a small table, so it is broadcast.
+    `only` is the party a rule is for, null for all. A program is small: a party row meets all its rules as one array.
     """
-    fits = F.col("only").isNull() | (F.col("only") == F.col("party"))
-    j = parties.join(F.broadcast(rules), fits)
+    program = rules.agg(F.collect_list(F.struct("code", "require_true", "require_false", "only")).alias("program"))
+    j = parties.join(program).select(*keys, "party", "features", F.inline("program")).where(F.col("only").isNull() | (F.col("only") == F.col("party")))
     return j.select(*keys, "party", "code", evaluate(F.col("features"), F.col("require_true"), F.col("require_false")).alias("status"))
 
 
@@ -198,7 +198,7 @@ def duplicate_party_values(parties: DataFrame, keys: list[str], order: list[str]
 def exclusive(predictions: DataFrame, pairs: DataFrame, keys: list[str]) -> DataFrame:
     """predictions (keys, code, p) without those that an exclusive, likelier code of the same keys beats; ties: the smaller code stays."""
     both = pairs.select("code1", "code2").unionAll(pairs.select(F.col("code2"), F.col("code1")))
-    a = predictions.join(F.broadcast(both), predictions.code == F.col("code1")).select(*keys, "code", "p", F.col("code2").alias("other"))
+    a = predictions.join(both, predictions.code == F.col("code1")).select(*keys, "code", "p", F.col("code2").alias("other"))
     b = predictions.select(*keys, F.col("code").alias("other"), F.col("p").alias("q"))
     losers = a.join(b, [*keys, "other"]).where((F.col("q") > F.col("p")) | (F.col("q") == F.col("p")) & (F.col("other") < F.col("code"))).select(*keys, "code").distinct()
     return predictions.join(losers, [*keys, "code"], "left_anti")

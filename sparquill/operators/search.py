@@ -6,10 +6,14 @@ filtered by a broadcast of those before anything is shuffled.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparquill.functions import text
+from sparquill.operators.ranks import spread_join
+from sparquill.sources.shared import stored
 
 K1, B = 1.5, 0.75
 
@@ -42,12 +46,6 @@ def smoothed_idf(docs: DataFrame) -> DataFrame:
     return df.join(F.broadcast(n)).select("term", "df", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
 
 
-def query_terms(spark: SparkSession, query: str) -> DataFrame:
-    """(term, times) of a query; repeated terms count as often."""
-    terms = query.lower().split()
-    return spark.createDataFrame([(t, terms.count(t)) for t in dict.fromkeys(terms)], "term string, times int")
-
-
 def matches(docs: DataFrame, query: str) -> DataFrame:
     """(doc_id, term, times, tf, dl): the query's terms in each document, counted without exploding it."""
     terms = list(dict.fromkeys(query.lower().split()))
@@ -68,21 +66,39 @@ def bm25(docs: DataFrame, query: str) -> DataFrame:
     return joined.groupBy("doc_id").agg(F.sum(F.col("times") * idf * share).alias("score"))
 
 
+def term_table(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Stored (doc_id, term, tf, dl) and (term, df): texts are split once, and both are read from what was written."""
+    w = docs.select("doc_id", text.tokens(F.col("text")).alias("w"))
+    counts = stored(w.select("doc_id", F.size("w").alias("dl"), F.explode("w").alias("term")).groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf")))
+    return counts, stored(counts.groupBy("term").agg(F.count("*").alias("df")))
+
+
 def tf_idf(docs: DataFrame) -> DataFrame:
     """(doc_id, term, weight): share of the document's tokens times ln(N / df)."""
-    counts = term_counts(docs)
-    return counts.join(document_lengths(docs), "doc_id").join(vocabulary(docs), "term").select("doc_id", "term", (F.col("tf") / F.col("dl") * F.col("idf")).alias("weight"))
+    counts, df = term_table(docs)
+    n = docs.count()
+    return spread_join(counts, df, "term", "df", F.col("doc_id")).select("doc_id", "term", (F.col("tf") / F.col("dl") * F.log(F.lit(float(n)) / F.col("df"))).alias("weight"))
 
 
 def cosine(docs: DataFrame, query: str) -> DataFrame:
-    """(doc_id, score): cosine of smoothed TF-IDF vectors, term counts as tf."""
-    idf = smoothed_idf(docs)
-    weighted = term_counts(docs).join(idf, "term").withColumn("weight", F.col("tf") * F.col("idf"))
-    norms = weighted.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
-    q = query_terms(docs.sparkSession, query).join(idf, "term").withColumn("q", F.col("times") * F.col("idf"))
-    q_norm = q.agg(F.sqrt(F.sum(F.col("q") * F.col("q"))).alias("q_norm"))
-    dots = weighted.join(F.broadcast(q.select("term", "q")), "term").groupBy("doc_id").agg(F.sum(F.col("weight") * F.col("q")).alias("dot"))
-    return dots.join(norms, "doc_id").join(F.broadcast(q_norm)).select("doc_id", (F.col("dot") / (F.col("norm") * F.col("q_norm"))).alias("score"))
+    """(doc_id, score): cosine of smoothed TF-IDF vectors, term counts as tf.
+
+    Only documents that have a term of the query are weighted.
+    """
+    counts, df = term_table(docs)
+    n, times = docs.count(), query.lower().split()
+    asked = [t for t in dict.fromkeys(times)]
+    idf = {r.term: math.log((n + 1) / (r.df + 1)) + 1 for r in df.where(F.col("term").isin(asked)).collect()}
+    if not idf:
+        return counts.select("doc_id", F.lit(0.0).alias("score")).limit(0)
+    q = {t: times.count(t) * x for t, x in idf.items()}
+    q_norm = math.sqrt(sum(x * x for x in q.values()))
+    met = counts.where(F.col("term").isin(list(q))).select("doc_id").distinct()
+    weighted = spread_join(counts.join(met, "doc_id", "left_semi"), df, "term", "df", F.col("doc_id"))
+    weight = F.col("tf") * (F.log((F.lit(n) + 1) / (F.col("df") + 1)) + 1)
+    dot = F.try_element_at(F.create_map(*[F.lit(x) for kv in q.items() for x in kv]), F.col("term")) * weight
+    sums = weighted.groupBy("doc_id").agg(F.sum(dot).alias("dot"), F.sqrt(F.sum(weight * weight)).alias("norm"))
+    return sums.select("doc_id", (F.col("dot") / (F.col("norm") * q_norm)).alias("score"))
 
 
 def phrase_hits(docs: DataFrame, phrase: str) -> DataFrame:
@@ -226,20 +242,26 @@ def cascade(names: DataFrame, query: str) -> DataFrame:
     return first.join(F.broadcast(hit)).where("hits = 0 OR nr = 0").select("name", "stage", "score")
 
 
-def better_near_duplicates(docs: DataFrame, threshold: float = 0.85) -> DataFrame:
-    """(doc_id, other, similarity): pairs whose word sets have a Jaccard similarity of threshold or more, other < doc_id.
+def near_duplicate_classes(docs: DataFrame, threshold: float = 0.85) -> DataFrame:
+    """(doc_id, other, similarity): documents with the same word set and their class, the smallest id (similarity 1); and pairs of
+    classes, other < doc_id, whose word sets have a Jaccard similarity of threshold or more.
 
-    Exact, by prefix filtering: two such sets share a word among the rarest few of each, so texts meet only on
-    those, and each pair is verified on the whole sets.
+    So copies are never paired with each other, and all links follow from both. Exact, by prefix filtering: two such
+    sets share a word among the rarest few of each, so classes meet only on those, and each pair is verified on the
+    whole sets. Texts without words are left out.
     """
     sets = docs.select("doc_id", F.array_sort(F.array_distinct(text.tokens(F.col("text")))).alias("w")).where(F.size("w") > 0)
-    df = sets.select(F.explode("w").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    exploded = sets.select("doc_id", F.size("w").alias("n"), F.explode("w").alias("term")).join(df, "term")
-    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("df", "term"))
-    prefix = exploded.withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).select("doc_id", "n", "term")
+    keyed = stored(sets.withColumn("key", F.sha2(F.array_join("w", " "), 256)))
+    classes = stored(keyed.groupBy("key").agg(F.min("doc_id").alias("id"), F.first("w").alias("w"), F.count("*").alias("copies")))
+    copies = spread_join(keyed.select("doc_id", "key"), classes.select("key", "id", "copies"), "key", "copies", F.col("doc_id")).where("doc_id <> id")
+    member = copies.select("doc_id", F.col("id").alias("other"), F.lit(1.0).alias("similarity"))
+    terms = stored(classes.select("id", F.size("w").alias("n"), F.explode(F.transform("w", lambda x: F.xxhash64(x))).alias("term")))
+    df = stored(terms.groupBy("term").agg(F.count("*").alias("df")))
+    place = F.row_number().over(Window.partitionBy("id").orderBy("df", "term"))
+    prefix = stored(spread_join(terms, df, "term", "df", F.col("id")).withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).select("id", "n", "term"))
     a, b = prefix.alias("a"), prefix.alias("b")
     sized = (F.col("a.n") >= threshold * F.col("b.n") - 1e-9) & (F.col("b.n") >= threshold * F.col("a.n") - 1e-9)
-    pairs = a.join(b, (F.col("a.term") == F.col("b.term")) & (F.col("b.doc_id") < F.col("a.doc_id")) & sized).select(F.col("a.doc_id").alias("doc_id"), F.col("b.doc_id").alias("other")).distinct()
-    full = pairs.join(sets, "doc_id").join(sets.select(F.col("doc_id").alias("other"), F.col("w").alias("v")), "other")
+    pairs = a.join(b, (F.col("a.term") == F.col("b.term")) & (F.col("b.id") < F.col("a.id")) & sized).select(F.col("a.id").alias("doc_id"), F.col("b.id").alias("other")).distinct()
+    full = pairs.join(classes.select(F.col("id").alias("doc_id"), "w"), "doc_id").join(classes.select(F.col("id").alias("other"), F.col("w").alias("v")), "other")
     similarity = F.size(F.array_intersect("w", "v")) / F.size(F.array_union("w", "v"))
-    return full.select("doc_id", "other", similarity.alias("similarity")).where(F.col("similarity") >= threshold)
+    return full.select("doc_id", "other", similarity.alias("similarity")).where(F.col("similarity") >= threshold).unionAll(member)

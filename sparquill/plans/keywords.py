@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from sparquill.operators import keywords as op
 from sparquill.sources.tables import table
 
@@ -9,6 +11,7 @@ DIM = [
     ("the", "article", "low"), ("a", "article", "low"), ("der", "article", "medium"), ("le", "article", "medium"), ("of", "link", "high"), ("and", "link", "high"),
     ("und", "link", "medium"), ("que", "link", "critical"), ("license", "legal", "critical"), ("licensed", "legal", "critical"), ("absent", "legal", "high"), ("is", "verb", "low"),
 ]
+LANGS = ["de", "en", "es", "fr"]
 MORE = [*DIM, ("of", "legal", "low"), ("the", "link", "low"), ("the", "legal", "low"), ("the", "verb", "low")]
 VALUES = ", ".join(f"('{k}', '{c}', '{p}')" for k, c, p in DIM)
 MORE_VALUES = ", ".join(f"('{k}', '{c}', '{p}')" for k, c, p in MORE)
@@ -60,7 +63,16 @@ def keyword_distribution(spark, d):
 
 
 def keyword_heatmap(spark, d):
-    return op.heatmap(_facts(spark, d), [1, 2, 4, 5, 6])
+    groups = table(spark, d, "documents").select("doc_id", F.col("lang").alias("group"))
+    return op.heatmap(_facts(spark, d), groups, LANGS)
+
+
+def keyword_inverted(spark, d):
+    return op.inverted_index(_facts(spark, d))
+
+
+def taxonomy_faults(spark, d):
+    return op.taxonomy_faults(op.taxonomy(spark, MORE), _facts(spark, d), 2)
 
 
 def keyword_query_documents(spark, d):
@@ -74,7 +86,9 @@ def keyword_coverage(spark, d):
 def keyword_compare(spark, d):
     docs = table(spark, d, "documents")
     dim = op.taxonomy(spark, DIM)
-    return op.compare(op.mappings(docs.where("lang = 'en'"), dim), op.mappings(docs.where("source < 'src5'"), dim))
+    # Two readings of all documents: by whole texts, and by what follows their first line break.
+    after = docs.select("doc_id", F.regexp_replace("text", r"^[^\n]*\n", "").alias("text"))
+    return op.compare(op.mappings(docs, dim), op.mappings(after, dim))
 
 
 def keyword_specificity(spark, d):
@@ -113,10 +127,12 @@ SQL = {
     "keyword_relevance": f"{HEAD} SELECT relevance, count(*) AS n, round(count(*) * 100 / sum(count(*)) OVER (), 4) AS percent FROM f GROUP BY 1",
     "keyword_documents": f"{HEAD} SELECT doc_id, array_to_string(list_sort(list_distinct(list(keyword))), ',') AS found, round(avg(relevance), 4) AS mean, count(DISTINCT keyword) AS keywords FROM f WHERE keyword IN ('the', 'of', 'license') AND relevance >= 2 GROUP BY 1",
     "keyword_distribution": f"{HEAD} SELECT category, count(*) AS keywords, count(m) AS mapped, round(count(m) / count(*), 2) AS share FROM dim LEFT JOIN (SELECT DISTINCT keyword, 1 AS m FROM f) USING (keyword) GROUP BY 1",
-    "keyword_heatmap": f"{HEAD} SELECT keyword, {', '.join(f'coalesce(max(relevance) FILTER (doc_id = {k}), 0) AS d{k}' for k in (1, 2, 4, 5, 6))} FROM f WHERE doc_id IN (1, 2, 4, 5, 6) GROUP BY 1",
+    "keyword_heatmap": f"{HEAD} SELECT keyword, {', '.join(f"coalesce(max(relevance) FILTER (lang = '{k}'), 0) AS {k}" for k in LANGS)} FROM f JOIN documents USING (doc_id) GROUP BY 1",
+    "keyword_inverted": f"{HEAD}, i AS (SELECT 'total' AS kind, keyword AS name, keyword, doc_id FROM f UNION ALL SELECT 'category', category, keyword, doc_id FROM f UNION ALL SELECT 'priority', priority, keyword, doc_id FROM f UNION ALL SELECT 'document', CAST(doc_id AS VARCHAR), keyword, doc_id FROM f) SELECT kind, name, keyword, count(*) AS n, count(DISTINCT doc_id) AS docs FROM i GROUP BY 1, 2, 3",
+    "taxonomy_faults": f"WITH dim(keyword, category, priority) AS (VALUES {MORE_VALUES}) SELECT DISTINCT keyword, 'orphaned' AS fault FROM dim WHERE keyword NOT IN (SELECT unnest({TOK}) FROM documents) UNION ALL SELECT keyword, 'over-assigned' FROM dim GROUP BY 1 HAVING count(DISTINCT category) > 2",
     "keyword_query_documents": f"{HEAD} SELECT doc_id, count(DISTINCT keyword) AS matched, max(relevance) AS best, round(avg(relevance), 4) AS mean, round(count(DISTINCT keyword) / 3, 4) AS coverage FROM f WHERE keyword IN ('the', 'of', 'license') GROUP BY 1 ORDER BY 2 DESC, 4 DESC, 1 LIMIT 25",
     "keyword_coverage": f"{HEAD} SELECT keyword, count(DISTINCT doc_id) AS docs, count(*) AS chunks, array_to_string(list_sort(list_distinct(list(doc_id)))[1:3], ',') AS samples FROM f GROUP BY 1",
-    "keyword_compare": f"{HEAD}, g AS (SELECT keyword, count(DISTINCT f.doc_id) FILTER (lang = 'en') AS old, count(DISTINCT f.doc_id) FILTER (source < 'src5') AS new FROM f JOIN documents USING (doc_id) GROUP BY 1) SELECT keyword, old, new, CASE WHEN new > old THEN 'improved' WHEN new < old THEN 'degraded' ELSE 'unchanged' END AS change FROM g WHERE old > 0 AND new > 0",
+    "keyword_compare": rf"{HEAD}, a AS (SELECT keyword, count(DISTINCT doc_id) AS old FROM f GROUP BY 1), h AS (SELECT DISTINCT doc_id, unnest({TOK.replace('text', "regexp_replace(text, '^[^" + chr(92) + "n]*" + chr(92) + "n', '')")}) AS keyword FROM documents), b AS (SELECT keyword, count(*) AS new FROM h JOIN dim USING (keyword) GROUP BY 1) SELECT keyword, old, new, CASE WHEN new > old THEN 'improved' WHEN new < old THEN 'degraded' ELSE 'unchanged' END AS change FROM a JOIN b USING (keyword)",
     "keyword_specificity": f"WITH dim(keyword, category, priority) AS (VALUES {MORE_VALUES}) SELECT keyword, round(1 / (1 + count(*)), 6) AS specificity, count(*) > 3 AS too_many FROM dim GROUP BY 1",
     "keyword_scores": f"WITH {_scores(['the', 'license', 'and'], 'of', 10)} SELECT doc_id, keyword, score, place FROM kk",
     "capability_scores": f"WITH dim(keyword, category, priority) AS (VALUES {MORE_VALUES}), {_scores([k for k, _, _ in DIM], 'of', 20)}, c AS (SELECT doc_id, category, sum(score) AS s FROM kk JOIN dim USING (keyword) GROUP BY 1, 2) SELECT doc_id, category, round(s / max(s) OVER (PARTITION BY doc_id), 6) AS score FROM c",
@@ -124,6 +140,6 @@ SQL = {
 }
 
 QUERIES = {f.__name__: f for f in (
-    keyword_top, keyword_top_chunks, keyword_categories, keyword_priorities, keyword_gaps, keyword_relevance, keyword_documents, keyword_distribution, keyword_heatmap, keyword_query_documents,
+    keyword_top, keyword_top_chunks, keyword_categories, keyword_priorities, keyword_gaps, keyword_relevance, keyword_documents, keyword_distribution, keyword_heatmap, keyword_inverted, taxonomy_faults, keyword_query_documents,
     keyword_coverage, keyword_compare, keyword_specificity, keyword_scores, capability_scores, keyword_in_all,
 )}

@@ -70,13 +70,14 @@ def message_codes(spark, d):
 
 
 def nearest_embeddings(spark, d):
-    return learning.nearest_vectors(table(spark, d, "embeddings"), "vec_id", "embedding", 7, 20)
+    """Queries are all rows whose id is divisible by 50."""
+    return learning.nearest_vectors(table(spark, d, "embeddings"), "vec_id", "embedding", F.col("vec_id") % 50 == 0, 20)
 
 
 def latent_neighbours(spark, d):
-    """Documents nearest to document 4 in latent space; no SQL: singular vectors."""
-    _, docs = learning.latent_index(table(spark, d, "documents"), k=10, terms=500)
-    return learning.similar(docs, "doc_id", docs.where("doc_id = 4").first().vector, 20)
+    """Nearest documents in latent space, for all whose id is divisible by 50; no SQL: singular vectors."""
+    _, docs = learning.latent_index(table(spark, d, "documents"), k=10)
+    return learning.nearest_vectors(docs, "doc_id", "vector", F.col("doc_id") % 50 == 0, 20)
 
 
 def forest_importance(spark, d):
@@ -97,7 +98,7 @@ SQL = {
     "message_amounts": "SELECT 'SWF' AS source_code, 'USD' AS currency, false AS amounts_differ, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders",
     "message_parties": "WITH o AS (SELECT o_orderkey AS k, unnest(CASE WHEN o_orderkey % 2 = 0 THEN ['cdt', 'dbt'] ELSE ['cdt'] END) AS party FROM orders), a AS (SELECT *, lpad(CAST(k AS VARCHAR), 9, '0') AS a FROM o) SELECT party, true AS has_bic, k % 4 > 0 AS has_name, k % 3 = 0 AS has_account, CASE WHEN k % 3 = 0 AND (" + " + ".join(f"{w} * CAST(substr(a, {i + 1}, 1) AS INT)" for i, w in enumerate((3, 7, 1) * 3)) + ") % 10 = 0 THEN 'FEDABA' ELSE 'none' END AS account_type, count(*) AS n FROM a GROUP BY ALL",
     "message_codes": "SELECT '80' || lpad(CAST(o_orderkey % 7 AS VARCHAR), 2, '0') || CASE WHEN o_orderkey % 5 = 0 THEN '_CDTPTY' ELSE '' END AS composite, 'E' AS severity, count(*) AS n FROM orders GROUP BY 1",
-    "nearest_embeddings": "WITH q AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 7) SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(q AS DOUBLE[])), 6) AS score FROM embeddings, q WHERE vec_id <> 7 ORDER BY 2 DESC, 1 LIMIT 20",
+    "nearest_embeddings": "WITH q AS (SELECT vec_id AS query, embedding AS q FROM embeddings WHERE vec_id % 50 = 0) SELECT query, vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(q AS DOUBLE[])), 6) AS score FROM embeddings, q WHERE vec_id <> query QUALIFY row_number() OVER (PARTITION BY query ORDER BY round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(q AS DOUBLE[])), 6) DESC, vec_id) <= 20",
 }
 
 QUERIES = {f.__name__: f for f in (code_procedures, code_calls, code_statements, code_symbols, code_sql, code_complexity, code_balance, message_amounts, message_parties, message_codes, nearest_embeddings, latent_neighbours, forest_importance)}

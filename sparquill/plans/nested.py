@@ -16,20 +16,25 @@ def _orders(spark, d):
 
 
 def event_props(spark, d):
-    leaves = fn.flatten(table(spark, d, "events"), "event_id", "props", 2)
+    leaves = fn.flatten(table(spark, d, "events"), "event_id", "props")
     return leaves.groupBy("path").agg(F.count("*").alias("n"), F.count_distinct("value").alias("different"))
 
 
 def json_leaves(spark, d):
-    return fn.flatten(_orders(spark, d), "o_orderkey", "doc", 3).groupBy("path", "value").agg(F.count("*").alias("n")).where("path <> 'cust'")
+    return fn.flatten(_orders(spark, d), "o_orderkey", "doc").groupBy("path", "value").agg(F.count("*").alias("n"))
 
 
 def json_metrics(spark, d):
-    return fn.metrics(fn.flatten(_orders(spark, d), "o_orderkey", "doc", 3), "o_orderkey")
+    return fn.metrics(fn.flatten(_orders(spark, d), "o_orderkey", "doc"), "o_orderkey")
 
 
 def json_find(spark, d):
-    return fn.find_all(fn.flatten(_orders(spark, d), "o_orderkey", "doc", 3), "STATUS").groupBy("value").agg(F.count("*").alias("n"))
+    return fn.find_all(fn.flatten(_orders(spark, d), "o_orderkey", "doc"), "STATUS").groupBy("value").agg(F.count("*").alias("n"))
+
+
+def json_lower_keys(spark, d):
+    p = table(spark, d, "part").select("p_partkey", F.to_json(F.struct(F.col("p_brand").alias("Brand"), F.struct(F.col("p_type").alias("TYPE"), F.col("p_size").alias("Size")).alias("Inner"), F.col("p_name").alias("brand"))).alias("doc"))
+    return fn.lower_keys(fn.flatten(p, "p_partkey", "doc"))
 
 
 def json_changes(spark, d):
@@ -50,15 +55,16 @@ def context_keys(spark, d):
     return table(spark, d, "customer").groupBy(fn.context_key(F.lit("SWF"), F.col("c_mktsegment"), p).alias("context")).agg(F.count("*").alias("n"))
 
 
-O = "o AS (SELECT o_orderkey, o_orderstatus AS s, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE o_orderpriority END AS p FROM orders)"
+O = "o AS (SELECT o_orderkey, CAST(o_custkey AS VARCHAR) AS c, o_orderstatus AS s, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE o_orderpriority END AS p FROM orders)"
 SQL = {
     "event_props": "SELECT 'k' AS path, count(*) AS n, count(DISTINCT json_extract_string(props, '$.k')) AS different FROM events",
-    "json_leaves": f"WITH {O}, l AS (SELECT unnest(['inner.status', 'inner.priority', 'tags[0]', 'tags[1]']) AS path, unnest([s, p, s, 'z']) AS value FROM o) SELECT path, value, count(*) AS n FROM l GROUP BY ALL",
+    "json_leaves": f"WITH {O}, l AS (SELECT unnest(['inner.status', 'inner.priority', 'tags[0]', 'tags[1]', 'cust']) AS path, unnest([s, p, s, 'z', c]) AS value FROM o) SELECT path, value, count(*) AS n FROM l GROUP BY ALL",
     "json_metrics": f"WITH {O} SELECT o_orderkey, 5 AS leaves, 2 AS depth, 1 AS arrays, CASE WHEN p = '' THEN 1 ELSE 0 END AS empty FROM o",
     "json_find": "SELECT o_orderstatus AS value, count(*) AS n FROM orders GROUP BY 1",
+    "json_lower_keys": "SELECT p_partkey, unnest(['brand', 'inner.type', 'inner.size']) AS path, unnest([p_name, p_type, CAST(p_size AS VARCHAR)]) AS value FROM part",
     "json_changes": "SELECT 'a' AS path, 'changed' AS change, count(*) AS n FROM orders WHERE o_custkey % 5 = 0 AND o_orderstatus <> 'N' UNION ALL SELECT 'b', 'filled', count(*) FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT 'c', 'added', count(*) FROM orders",
     "state_fingerprints": "SELECT left(md5('f' || c_custkey % 3 || '|missing:m' || c_custkey % 2 || '|name'), 16) AS fingerprint, round(0.7 * CASE WHEN c_custkey % 3 = 0 THEN 1 ELSE 1 / 3 END + 0.3 * CASE WHEN c_custkey % 2 = 0 THEN 1 ELSE 0 END, 6) AS likeness, count(*) AS n FROM customer GROUP BY 1, 2",
     "context_keys": "SELECT 'SWF|' || c_mktsegment || '|' || CASE WHEN c_custkey % 6 = 0 THEN 'bnf,dbt' WHEN c_custkey % 3 = 0 THEN 'bnf' WHEN c_custkey % 2 = 0 THEN 'dbt' ELSE 'none' END AS context, count(*) AS n FROM customer GROUP BY 1",
 }
 
-QUERIES = {f.__name__: f for f in (event_props, json_leaves, json_metrics, json_find, json_changes, state_fingerprints, context_keys)}
+QUERIES = {f.__name__: f for f in (event_props, json_leaves, json_metrics, json_find, json_lower_keys, json_changes, state_fingerprints, context_keys)}

@@ -158,7 +158,7 @@ def line_windows(spark, d):
 
 
 def near_duplicate_sets(spark, d):
-    return op.better_near_duplicates(docs(spark, d), 0.85).withColumn("similarity", F.round("similarity", 6))
+    return op.near_duplicate_classes(docs(spark, d), 0.85).withColumn("similarity", F.round("similarity", 6))
 
 
 def word_lists(spark, d):
@@ -234,9 +234,9 @@ SQL = {
     "query_validation": "SELECT * FROM (SELECT doc_id, CAST(contains(lower(text), 'the') AS INT) + CAST(contains(lower(text), 'license') AS INT) + CAST(contains(lower(text), 'released') AS INT) AS matched FROM documents) WHERE matched >= 2",
     "numbered_lines": "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents) SELECT doc_id, max(k) AS lines, CAST(sum(length(l)) AS BIGINT) AS chars, max(length(l)) AS longest, arg_min(k, [-length(l), k]) AS longest_at FROM l GROUP BY doc_id",
     "line_windows": "WITH x AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), h AS (SELECT doc_id, l, unnest(list_filter(range(1, len(l) + 1), lambda k: contains(lower(l[k]), 'license'))) AS line_no FROM x) SELECT doc_id, line_no, md5(array_to_string(l[greatest(1, line_no - 2) : line_no + 2], chr(10))) AS window_md5 FROM h",
-    "near_duplicate_sets": f"""WITH s AS (SELECT doc_id, list_distinct({TOK}) AS w FROM documents), t AS (SELECT doc_id, len(w) AS n, unnest(w) AS term FROM s),
-      p AS (SELECT a.doc_id, b.doc_id AS other, any_value(a.n) AS n, any_value(b.n) AS m, count(*) AS c FROM t a JOIN t b ON a.term = b.term AND b.doc_id < a.doc_id AND a.n >= 0.85 * b.n AND b.n >= 0.85 * a.n GROUP BY 1, 2)
-      SELECT doc_id, other, round(c / (n + m - c), 6) AS similarity FROM p WHERE c / (n + m - c) >= 0.85""",
+    "near_duplicate_sets": f"""WITH s0 AS (SELECT doc_id, list_sort(list_distinct({TOK})) AS w FROM documents), c AS (SELECT w, min(doc_id) AS id FROM s0 WHERE len(w) > 0 GROUP BY 1), t AS (SELECT id, len(w) AS n, unnest(w) AS term FROM c),
+      p AS (SELECT a.id AS doc_id, b.id AS other, any_value(a.n) AS n, any_value(b.n) AS m, count(*) AS c FROM t a JOIN t b ON a.term = b.term AND b.id < a.id AND a.n >= 0.85 * b.n AND b.n >= 0.85 * a.n GROUP BY 1, 2)
+      SELECT doc_id, other, round(c / (n + m - c), 6) AS similarity FROM p WHERE c / (n + m - c) >= 0.85 UNION ALL SELECT doc_id, id, 1.0 FROM s0 JOIN c USING (w) WHERE doc_id <> id""",
     "word_lists": rf"SELECT doc_id, len(regexp_extract_all(text, '[\p{{L}}\p{{N}}_-]+')) AS words, len(regexp_extract_all(lower(text), '[a-z_][a-z0-9_^]*')) AS identifiers, len(list_filter({TOK}, lambda x: x NOT IN ('the', 'of', 'a'))) AS core FROM documents",
     "name_tokens": "WITH n AS (SELECT replace(s_name, '#', '_') || '^K' || s_nationkey AS name FROM supplier) SELECT name, array_to_string(list_concat(list_filter(regexp_split_to_array(upper(name), '[_^]'), lambda p: length(p) >= 2), [upper(name)]), '|') AS parts FROM n",
     "name_wildcards": f"SELECT name FROM ({NAMES}) WHERE regexp_matches(name, 'r.d .*Brand#1.')",
