@@ -207,7 +207,7 @@ def entity_patterns(diffs: DataFrame, codes: DataFrame, entity_share: float = 0.
     """(code, kind, value, share, n): entities that change in entity_share, and fields in field_share, of a code's transactions, `least` of them or more."""
     c = codes.select("txn", "code").distinct()
     total = c.groupBy("code").agg(F.count("*").alias("total")).where(F.col("total") >= least)
-    marks = diffs.select("txn", F.explode(F.array(F.struct(F.lit("entity").alias("kind"), F.col("entity").alias("value")), F.struct(F.lit("field"), F.col("field")))).alias("m")).select("txn", "m.kind", "m.value").distinct()
+    marks = diffs.select("txn", F.explode(F.array(F.struct(F.lit("entity").alias("kind"), F.col("entity").alias("value")), F.struct(F.lit("field").alias("kind"), F.col("field").alias("value")))).alias("m")).select("txn", "m.kind", "m.value").distinct()
     met = marks.join(c, "txn").groupBy("code", "kind", "value").agg(F.count("*").alias("n")).join(total, "code")
     share = F.col("n") / F.col("total")
     return met.where(share >= F.when(F.col("kind") == "entity", entity_share).otherwise(field_share)).select("code", "kind", "value", F.round(share, 6).alias("share"), "n")
