@@ -54,7 +54,7 @@ def graph_external(spark, d):
 
 
 def graph_entities(spark, d):
-    return op.entities(_tree_nodes(spark, d), "procedure", kind="procedure", name="FRANCE").unionAll(op.entities(_tree_nodes(spark, d), None, id="S7")).select("id", "name")
+    return op.entities(_tree_nodes(spark, d), "procedure", kind="procedure", name="NATION_7").unionAll(op.entities(_tree_nodes(spark, d), None, id="S7")).select("id", "name")
 
 
 def graph_metadata(spark, d):
@@ -70,7 +70,7 @@ def graph_edges_between(spark, d):
 
 
 def graph_functionality(spark, d):
-    return op.functionality(_tree_nodes(spark, d), _tree(spark, d), "an")
+    return op.functionality(_tree_nodes(spark, d), _tree(spark, d), "n_1")
 
 
 def graph_strong_components(spark, d):
@@ -98,11 +98,11 @@ SQL = {
       s AS (SELECT x.id, 3.0 * len(list_intersect(x.c, m.c)) + 0.5 * len(list_intersect(x.k, m.k)) + 5 * (CAST(EXISTS (FROM e WHERE src = 1 AND dst = x.id) AS INT) + CAST(EXISTS (FROM e WHERE dst = 1 AND src = x.id) AS INT)) + CAST(x.f = m.f AS INT) AS score FROM x, m WHERE x.id <> 1)
       SELECT id, CAST(score AS DOUBLE) AS score FROM s WHERE score > 0 ORDER BY score DESC, id LIMIT 25""",
     "graph_external": f"WITH {E} SELECT b.p_name AS name, arg_min(a.p_brand, [src, dst]) AS called_by FROM e JOIN part a ON src = a.p_partkey JOIN part b ON dst = b.p_partkey WHERE type = 'calls' AND a.p_size < 10 AND b.p_size > 40 GROUP BY 1",
-    "graph_entities": f"WITH {TN} SELECT id, name FROM tn WHERE (type = 'procedure' AND name = 'FRANCE') OR id = 'S7'",
+    "graph_entities": f"WITH {TN} SELECT id, name FROM tn WHERE (type = 'procedure' AND name = 'NATION_7') OR id = 'S7'",
     "graph_metadata": f"WITH {TN} SELECT id FROM tn WHERE type = 'structure'",
     "graph_full_text": f"WITH {TN}, {FULL.format(t='r1')} SELECT id, array_to_string(l, ',') AS fields, len(l) AS match_count FROM f WHERE len(l) > 0",
     "graph_edges_between": f"WITH {E} SELECT dst, count(*) AS n FROM e WHERE src = 3 AND type = 'calls' GROUP BY 1",
-    "graph_functionality": f"""WITH {T}, {TN}, {FULL.format(t='an')}, m AS (SELECT * FROM tn WHERE contains(lower(name), 'an')), p AS (SELECT id FROM m WHERE type = 'procedure')
+    "graph_functionality": f"""WITH {T}, {TN}, {FULL.format(t='n_1')}, m AS (SELECT * FROM tn WHERE contains(lower(name), 'n_1')), p AS (SELECT id FROM m WHERE type = 'procedure')
       SELECT type AS part, id, NULL AS other FROM m UNION ALL SELECT 'called_by', dst, src FROM t WHERE dst IN (FROM p) UNION ALL SELECT 'calls', src, dst FROM t WHERE src IN (FROM p) UNION ALL SELECT 'full_text', id, NULL FROM f WHERE len(l) > 0""",
     "graph_coupling_order": f"WITH {E}, {N}, {DEG}, c AS (SELECT id, round(least((i + o) / 20, 1.0), 4) AS coupling FROM d) SELECT id, coupling, row_number() OVER (ORDER BY coupling, id) AS place FROM c",
 }

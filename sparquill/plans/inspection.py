@@ -135,7 +135,7 @@ def address_countries(spark, d):
 
 
 def length_violations(spark, d):
-    return table(spark, d, "part").select("p_partkey", fields.too_long(F.concat_ws(" ", "p_name", "p_type", "p_brand"), 32).alias("v")).where("v IS NOT NULL").select("p_partkey", "v.*")
+    return table(spark, d, "part").select("p_partkey", fields.too_long(F.concat_ws(" ", "p_name", "p_type", "p_brand"), 27).alias("v")).where("v IS NOT NULL").select("p_partkey", "v.*")
 
 
 VALUES_ = ["EUR", "eur", "EU", "E1R", " Name ", "", None, "a-b", "DEUTDEFF", "DEUTDEFF50", "DE1TDEFF", "DEUT DEFF"]
@@ -189,7 +189,7 @@ SQL = {
     "repair_texts": "SELECT unnest(['BICFI', 'clrSysMmbId', 'Nm', 'PstlAdr', 'ctryOfRes', 'IBAN', 'other', 'ClrSysId']) AS field, unnest(['BIC looked up from Clearing System ID', 'National clearing code looked up from BIC', 'Name looked up from BIC', 'Address looked up from BIC', 'Country Code extracted from address', 'IBAN validated and formatted', 'other field added or corrected', 'Clearing System ID identified']) AS text",
     "plain_types": f"SELECT unnest({TYPES}) AS name, unnest(['INT32', 'INT16', 'INT', 'REAL64', 'REAL', 'UNSIGNED', 'STRING', 'UNKNOWN', 'INT', 'FIXED']) AS type",
     "address_countries": "SELECT CASE WHEN c_custkey % 5 = 0 THEN 'FR' WHEN c_custkey % 2 = 0 THEN CASE WHEN c_custkey % 3 = 0 THEN 'DE' ELSE 'US' END WHEN c_nationkey % 2 = 0 THEN 'IT' ELSE '-' END AS country, count(*) AS n FROM customer GROUP BY 1",
-    "length_violations": "WITH x AS (SELECT p_partkey, p_name || ' ' || p_type || ' ' || p_brand AS v FROM part) SELECT p_partkey, length(v) AS length, 32 AS most, left(v, 30) || '...' AS preview FROM x WHERE length(v) > 32",
+    "length_violations": "WITH x AS (SELECT p_partkey, p_name || ' ' || p_type || ' ' || p_brand AS v FROM part) SELECT p_partkey, length(v) AS length, 27 AS most, left(v, 30) || CASE WHEN length(v) > 30 THEN '...' ELSE '' END AS preview FROM x WHERE length(v) > 27",
     "field_checks": """SELECT unnest([0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11]) AS nr, 'text' AS kind, unnest(['PASS', 'PASS', 'PASS', 'PASS', 'ERROR', 'ERROR', 'ERROR', 'ERROR', 'ERROR', 'ERROR', 'ERROR', 'ERROR']) AS level
       UNION ALL SELECT unnest([0, 1, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11]), 'currency', unnest(['PASS', 'WARNING', 'PASS', 'ERROR', 'ERROR', 'ERROR', 'ERROR', 'ERROR', 'ERROR', 'ERROR', 'ERROR', 'ERROR', 'ERROR'])
       UNION ALL SELECT unnest([0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11]), 'bic', unnest(['ERROR', 'ERROR', 'ERROR', 'ERROR', 'ERROR', 'ERROR', 'ERROR', 'ERROR', 'PASS', 'ERROR', 'ERROR', 'PASS'])""",
