@@ -115,3 +115,14 @@ def derived_counts(row: DataFrame, suffix: str) -> Column:
     """How many of a wide row's flags party_suffix are true."""
     names = [c for c in row.columns if c.endswith(f"_{suffix}")]
     return reduce(Column.__add__, [F.coalesce(F.col(c).cast("int"), F.lit(0)) for c in names], F.lit(0))
+
+
+def cross_party(parties: DataFrame, key: str) -> DataFrame:
+    """(key, originator_country, beneficiary_country, is_cross_border, has_intermediary, has_beneficiary_bank) of party rows (key,
+    party: orig, cdt, bnf_bank, intm or others, country, mailing_country): the beneficiary's country is the credit
+    party's, else its mailing country, else the beneficiary bank's; unknown countries cross no border.
+    """
+    of = lambda party, c: F.max(F.when(F.col("party") == party, F.nullif(F.col(c), F.lit(""))))
+    has = lambda party: F.max((F.col("party") == party).cast("int")) == 1
+    out = parties.groupBy(key).agg(of("orig", "country").alias("originator_country"), F.coalesce(of("cdt", "country"), of("cdt", "mailing_country"), of("bnf_bank", "country")).alias("beneficiary_country"), has("intm").alias("has_intermediary"), has("bnf_bank").alias("has_beneficiary_bank"))
+    return out.withColumn("is_cross_border", F.coalesce(F.col("originator_country") != F.col("beneficiary_country"), F.lit(False)))

@@ -238,3 +238,39 @@ def matching_spec(messages: DataFrame, specs: DataFrame) -> DataFrame:
     own, theirs = F.array_sort(F.array_distinct("m.parties")), F.array_sort(F.array_distinct("s.parties"))
     exact, within = own == theirs, F.size(F.array_except("m.parties", "s.parties")) == 0
     return j.where(within).groupBy("m.key").agg(F.min(F.struct((~exact).cast("int").alias("x"), F.col("s.place").alias("place"))).alias("best")).select("key", "best.place")
+
+
+def encoded(rows: DataFrame, seen: DataFrame, flags: list[str], numbers: list[str], classes: list[str], frequencies: list[str]) -> DataFrame:
+    """rows as numbers: flags as 0 or 1, numbers with 0 for null, classes as places among the sorted values of `seen`, with
+    __missing__ for null and __unknown__ for values that it lacks, frequencies as shares of its rows.
+
+    Each column's values and shares are a table of its own that is joined, so any number of values will do.
+    """
+    out = rows.select("*", *[F.coalesce(F.col(c), F.lit(False)).cast("int").alias(f"{c}_flag") for c in flags], *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"{c}_number") for c in numbers])
+    filled = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("__missing__"))
+    total = seen.count()
+    for c in classes:
+        every = seen.select(filled(c).alias("_v")).unionAll(seen.sparkSession.createDataFrame([("__missing__",), ("__unknown__",)], "_v string")).distinct()
+        numbered = every.withColumn("_nr", F.row_number().over(Window.orderBy("_v")) - 1)  # a column's different classes
+        unknown = numbered.where("_v = '__unknown__'").select(F.col("_nr").alias("_other"))
+        out = out.join(numbered, filled(c) == F.col("_v"), "left").join(unknown).withColumn(f"{c}_encoded", F.coalesce("_nr", "_other")).drop("_v", "_nr", "_other")
+    for c in frequencies:
+        shares = seen.groupBy(filled(c).alias("_v")).agg((F.count("*") / total).alias("_share"))
+        out = out.join(shares, filled(c) == F.col("_v"), "left").withColumn(f"{c}_freq", F.round(F.coalesce("_share", F.lit(0.0)), 6)).drop("_v", "_share")
+    return out
+
+
+def recalled(asked: DataFrame, memory: DataFrame, threshold: float = 0.5, most: int = 3) -> DataFrame:
+    """(key, repair, score) of asked (key, context, fingerprint, fields) from a memory (context, fingerprint, fields, repair): the
+    repairs of equal fingerprints (score 1); without one, those of the `most` most similar memories of the same context, from a
+    similarity of fields of threshold on, by their best similarity.
+    """
+    m = memory.distinct()
+    exact = asked.select("key", "fingerprint").join(m.select("fingerprint", "repair"), "fingerprint").select("key", "repair", F.lit(1.0).alias("score")).distinct()
+    rest = asked.join(exact.select("key").distinct(), "key", "left_anti")
+    j = rest.alias("a").join(m.alias("m"), "context")
+    like = F.size(F.array_intersect("a.fields", "m.fields")) / F.greatest(F.size(F.array_union("a.fields", "m.fields")), F.lit(1))
+    near = j.select("key", F.col("m.fingerprint").alias("fp"), "repair", F.round(like, 6).alias("score")).where(F.col("score") >= threshold)
+    place = F.dense_rank().over(Window.partitionBy("key").orderBy(F.desc("score"), "fp"))
+    best = near.withColumn("place", place).where(F.col("place") <= most).groupBy("key", "repair").agg(F.max("score").alias("score"))
+    return exact.unionAll(best)

@@ -99,6 +99,11 @@ def keyword_scores(spark, d):
     return op.keyword_scores(table(spark, d, "documents"), ["the", "license", "and"], ["of"], 10)
 
 
+def keyword_evidence(spark, d):
+    docs = table(spark, d, "documents")
+    return op.extended_scores(docs, [r"[0-9]+\.[0-9]+"], ["the", "license"], ["under the license", "of"], ["and", "der"], 10)
+
+
 def capability_scores(spark, d):
     return op.capability_scores(op.keyword_scores(table(spark, d, "documents"), [k for k, _, _ in DIM], ["of"], 20), op.taxonomy(spark, MORE))
 
@@ -118,6 +123,15 @@ def _scores(important, stop, n):
       kk AS (SELECT * FROM kr WHERE place <= {n})"""
 
 
+BARE = r"list_filter(list_transform(regexp_split_to_array(text, '\s+'), lambda t: regexp_replace(t, '^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$', '', 'g')), lambda t: t <> '')"
+EVIDENCE = f"""b AS (SELECT doc_id, text, lower(text) AS low, {BARE} AS b FROM documents),
+  s AS (SELECT doc_id, lower(unnest(regexp_extract_all(text, '[0-9]+\\.[0-9]+'))) AS keyword, 3.0 AS score FROM b
+    {' '.join(f"UNION ALL SELECT doc_id, '{t}', {w} * ln(1 + (length(low) - length(replace(low, '{t}', ''))) / {len(t)}) FROM b" for t, w in (('the', 3.0), ('license', 3.0), ('under the license', 2.0), ('of', 2.0), ('under', 1.5), ('license', 1.5)))}
+    UNION ALL SELECT doc_id, lower(unnest(list_filter(b, lambda t: regexp_matches(t, '^[A-Z][a-z]{{2,}}$') AND lower(t) NOT IN ('and', 'der', 'the', 'license')))), 1.5 FROM b
+    UNION ALL SELECT doc_id, lower(unnest(list_filter(regexp_extract_all(text, '[A-Z][a-z]+(?: [A-Z][a-z]+){{1,2}}'), lambda t: length(t) > 5))), 2.0 FROM b
+    UNION ALL SELECT doc_id, lower(unnest(list_filter(b, lambda t: regexp_matches(t, '^[A-Za-z]+-[A-Za-z]+$') AND length(t) > 5))), 1.5 FROM b
+    UNION ALL SELECT doc_id, lower(unnest(list_filter(b, lambda t: regexp_matches(t, '^[A-Z]{{3,5}}$')))), 1.8 FROM b)"""
+
 SQL = {
     "keyword_top": f"{HEAD} SELECT keyword, count(DISTINCT doc_id) AS docs FROM f GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10",
     "keyword_top_chunks": f"{HEAD} SELECT doc_id || '#' || chunk_index AS chunk, count(*) AS keywords FROM f GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20",
@@ -127,6 +141,7 @@ SQL = {
     "keyword_relevance": f"{HEAD} SELECT relevance, count(*) AS n, round(count(*) * 100 / sum(count(*)) OVER (), 4) AS percent FROM f GROUP BY 1",
     "keyword_documents": f"{HEAD} SELECT doc_id, array_to_string(list_sort(list_distinct(list(keyword))), ',') AS found, round(avg(relevance), 4) AS mean, count(DISTINCT keyword) AS keywords FROM f WHERE keyword IN ('the', 'of', 'license') AND relevance >= 2 GROUP BY 1",
     "keyword_distribution": f"{HEAD} SELECT category, count(*) AS keywords, count(m) AS mapped, round(count(m) / count(*), 2) AS share FROM dim LEFT JOIN (SELECT DISTINCT keyword, 1 AS m FROM f) USING (keyword) GROUP BY 1",
+    "keyword_evidence": f"WITH {EVIDENCE}, g AS (SELECT doc_id, keyword, round(sum(score), 6) AS score FROM s WHERE score > 0 GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, keyword) AS place FROM g WHERE length(keyword) > 2 AND keyword NOT IN ('and', 'der') AND NOT regexp_matches(keyword, '^[0-9]+$')) SELECT * FROM r WHERE place <= 10",
     "keyword_heatmap": f"{HEAD} SELECT keyword, {', '.join(f"coalesce(max(relevance) FILTER (lang = '{k}'), 0) AS {k}" for k in LANGS)} FROM f JOIN documents USING (doc_id) GROUP BY 1",
     "keyword_inverted": f"{HEAD}, i AS (SELECT 'total' AS kind, keyword AS name, keyword, doc_id FROM f UNION ALL SELECT 'category', category, keyword, doc_id FROM f UNION ALL SELECT 'priority', priority, keyword, doc_id FROM f UNION ALL SELECT 'document', CAST(doc_id AS VARCHAR), keyword, doc_id FROM f) SELECT kind, name, keyword, count(*) AS n, count(DISTINCT doc_id) AS docs FROM i GROUP BY 1, 2, 3",
     "taxonomy_faults": f"WITH dim(keyword, category, priority) AS (VALUES {MORE_VALUES}) SELECT DISTINCT keyword, 'orphaned' AS fault FROM dim WHERE keyword NOT IN (SELECT unnest({TOK}) FROM documents) UNION ALL SELECT keyword, 'over-assigned' FROM dim GROUP BY 1 HAVING count(DISTINCT category) > 2",
@@ -141,5 +156,5 @@ SQL = {
 
 QUERIES = {f.__name__: f for f in (
     keyword_top, keyword_top_chunks, keyword_categories, keyword_priorities, keyword_gaps, keyword_relevance, keyword_documents, keyword_distribution, keyword_heatmap, keyword_inverted, taxonomy_faults, keyword_query_documents,
-    keyword_coverage, keyword_compare, keyword_specificity, keyword_scores, capability_scores, keyword_in_all,
+    keyword_coverage, keyword_compare, keyword_specificity, keyword_scores, keyword_evidence, capability_scores, keyword_in_all,
 )}

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sparquill.operators import learning, mining as op
+from sparquill.operators import learning, messages
+from sparquill.operators import mining as op
 from sparquill.sources.tables import table
 
 SCORED = "stack(3, 'A', o_custkey % 3 = 0, o_orderkey % 4 < 2, 'B', o_custkey % 5 < 2, o_custkey % 5 < 3, 'C', o_orderkey % 2 = 0, o_orderkey % 6 = 0) AS (label, truth, predicted)"
@@ -90,6 +91,27 @@ def cross_validation(spark, d):
     return op.cross_validated(folds, 3, lambda train: learning.forest(train, features, "y", 3, 3), predict)
 
 
+def encoded_rows(spark, d):
+    o = table(spark, d, "orders")
+    rows = o.selectExpr("o_orderkey AS k", "o_custkey % 3 = 0 AS a", "CASE WHEN o_custkey % 4 > 0 THEN o_totalprice END AS b", "CASE WHEN o_orderkey % 5 > 0 THEN o_orderpriority END AS c", "o_custkey % 50 AS f")
+    seen = o.where("o_orderpriority <> '5-LOW'").selectExpr("CASE WHEN o_orderkey % 7 > 0 THEN o_orderpriority END AS c", "o_custkey % 40 AS f")
+    return op.encoded(rows, seen, ["a"], ["b"], ["c"], ["f"]).select("k", "a_flag", "b_number", "c_encoded", "f_freq")
+
+
+def recalled_repairs(spark, d):
+    c = table(spark, d, "customer")
+    fields = lambda m: f"array('f' || c_custkey % {m}, 'g' || c_custkey % 3, 'h')"
+    asked = c.selectExpr("c_custkey AS key", "c_mktsegment AS context", "'p' || c_custkey % 40 AS fingerprint", f"{fields(4)} AS fields")
+    memory = c.selectExpr("c_mktsegment AS context", "'p' || c_custkey % 25 AS fingerprint", f"{fields(5)} AS fields", "'R' || c_custkey % 6 AS repair")
+    return op.recalled(asked, memory).groupBy("repair", "score").agg(F.count("*").alias("n"))
+
+
+def cross_borders(spark, d):
+    party = "CASE l_linenumber % 5 WHEN 0 THEN 'orig' WHEN 1 THEN 'cdt' WHEN 2 THEN 'bnf_bank' WHEN 3 THEN 'intm' ELSE 'dbt' END AS party"
+    rows = table(spark, d, "lineitem").selectExpr("l_orderkey AS k", party, "CASE WHEN l_suppkey % 3 > 0 THEN 'C' || l_suppkey % 2 ELSE '' END AS country", "CASE WHEN l_partkey % 2 = 0 THEN 'M' END AS mailing_country")
+    return messages.cross_party(rows, "k")
+
+
 DIFFS = "d AS (SELECT l_orderkey AS txn, CASE l_linenumber % 3 WHEN 0 THEN 'cdtrAgt' WHEN 1 THEN 'dbtrAgt' ELSE 'bnfBnk' END AS entity, CASE l_suppkey % 4 WHEN 0 THEN 'added' WHEN 1 THEN 'dropped' ELSE 'edited' END AS action, l_returnflag AS field FROM lineitem)"
 SPEC_VALUES = ", ".join(f"({p}, '{s}', '{c}', {x})" for p, s, c, x in SPECS)
 SQL = {
@@ -108,10 +130,18 @@ SQL = {
     "cross_capability": "SELECT p_name AS function, count(DISTINCT p_brand) AS n, string_agg(DISTINCT p_brand, ',' ORDER BY p_brand) AS capabilities FROM part GROUP BY 1 HAVING count(DISTINCT p_brand) >= 2",
     "best_repairs": """WITH r AS (SELECT p_partkey AS id, p_brand AS entity, lower(CASE WHEN p_size % 2 = 0 THEN string_split(p_name, ' ')[2] ELSE p_name END) AS m, p_size % 10 / 10 AS score FROM part)
       SELECT p_partkey AS key, arg_min(id, [-score, id]) AS id, max(score) AS score FROM part JOIN r ON entity = p_brand AND score >= 0.5 AND (contains(lower(p_name), m) OR contains(m, lower(p_name))) GROUP BY 1""",
+    "encoded_rows": """WITH s AS (SELECT CASE WHEN o_orderkey % 7 > 0 THEN o_orderpriority ELSE '__missing__' END AS c, CAST(o_custkey % 40 AS VARCHAR) AS f FROM orders WHERE o_orderpriority <> '5-LOW'), v AS (SELECT c, row_number() OVER (ORDER BY c) - 1 AS nr FROM (SELECT c FROM s UNION SELECT unnest(['__missing__', '__unknown__']))),
+      h AS (SELECT f, count(*) / (SELECT count(*) FROM s) AS share FROM s GROUP BY 1) SELECT o_orderkey AS k, CAST(o_custkey % 3 = 0 AS INT) AS a_flag, CAST(CASE WHEN o_custkey % 4 > 0 THEN o_totalprice ELSE 0 END AS DOUBLE) AS b_number, coalesce(v.nr, (SELECT nr FROM v WHERE c = '__unknown__')) AS c_encoded, round(coalesce(share, 0), 6) AS f_freq
+      FROM orders LEFT JOIN v ON v.c = CASE WHEN o_orderkey % 5 > 0 THEN o_orderpriority ELSE '__missing__' END LEFT JOIN h ON h.f = CAST(o_custkey % 50 AS VARCHAR)""",
+    "recalled_repairs": """WITH a AS (SELECT c_custkey AS key, c_mktsegment AS context, 'p' || c_custkey % 40 AS fp, ['f' || c_custkey % 4, 'g' || c_custkey % 3, 'h'] AS fields FROM customer), m AS (SELECT DISTINCT c_mktsegment AS context, 'p' || c_custkey % 25 AS fp, ['f' || c_custkey % 5, 'g' || c_custkey % 3, 'h'] AS fields, 'R' || c_custkey % 6 AS repair FROM customer),
+      x AS (SELECT DISTINCT key, repair, 1.0 AS score FROM a JOIN m USING (fp)), n AS (SELECT key, m.fp AS fp, repair, round(len(list_intersect(a.fields, m.fields)) / len(list_distinct(list_concat(a.fields, m.fields))), 6) AS score FROM a JOIN m USING (context) WHERE key NOT IN (SELECT key FROM x)),
+      r AS (SELECT *, dense_rank() OVER (PARTITION BY key ORDER BY score DESC, fp) AS place FROM n WHERE score >= 0.5), b AS (SELECT key, repair, max(score) AS score FROM r WHERE place <= 3 GROUP BY 1, 2) SELECT repair, CAST(score AS DOUBLE) AS score, count(*) AS n FROM (FROM x UNION ALL FROM b) GROUP BY 1, 2""",
+    "cross_borders": """WITH p AS (SELECT l_orderkey AS k, l_linenumber % 5 AS p, CASE WHEN l_suppkey % 3 > 0 THEN 'C' || l_suppkey % 2 END AS c, CASE WHEN l_partkey % 2 = 0 THEN 'M' END AS m FROM lineitem),
+      g AS (SELECT k, max(c) FILTER (p = 0) AS o, coalesce(max(c) FILTER (p = 1), max(m) FILTER (p = 1), max(c) FILTER (p = 2)) AS b, count(*) FILTER (p = 3) > 0 AS i, count(*) FILTER (p = 2) > 0 AS bb FROM p GROUP BY 1) SELECT k, o AS originator_country, b AS beneficiary_country, i AS has_intermediary, bb AS has_beneficiary_bank, coalesce(o <> b, false) AS is_cross_border FROM g""",
     "spec_matches": f"""WITH s(place, source, clearing, parties) AS (VALUES {SPEC_VALUES}), m AS (SELECT c_custkey AS key, CASE WHEN c_custkey % 3 = 0 THEN 'AUTO' ELSE 'HOUSEHOLD' END AS source, CASE WHEN c_custkey % 5 = 0 THEN 'y' ELSE 'x' END AS clearing, CASE c_custkey % 4 WHEN 0 THEN ['a'] WHEN 1 THEN ['b'] WHEN 2 THEN ['b', 'c'] ELSE ['a', 'b', 'c'] END AS parties FROM customer)
       SELECT key, arg_min(place, [CASE WHEN list_sort(m.parties) = list_sort(s.parties) THEN 0 ELSE 1 END, place]) AS place FROM m JOIN s USING (source, clearing) WHERE list_has_all(s.parties, m.parties) GROUP BY 1""",
 }
 
 QUERIES = {f.__name__: f for f in (
-    summary_scores, set_scores, ensemble_scores, presence_profile, applied_lookups, repair_actions, entity_patterns, cross_capability, best_repairs, spec_matches, cross_validation,
+    summary_scores, set_scores, ensemble_scores, presence_profile, applied_lookups, repair_actions, entity_patterns, cross_capability, best_repairs, spec_matches, encoded_rows, recalled_repairs, cross_borders, cross_validation,
 )}
