@@ -2,7 +2,8 @@
 
 Rows are combined three times, and each time the full normalised content is part of the key: within each
 input partition (partial aggregation), then by (digest, content, salt), then the salts' winners by (digest,
-content). However many copies a text has, one task gets at most one row of it from each other task.
+content). However many copies a text has, one task gets at most one row of it from each other task. The rows then
+look up their group's winner, where the copies of a frequent text are spread over tasks too.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparquill.llm.common import SPACE, fresh, read, row_key, stored, text_of
+from sparquill.llm.common import SPACE, fresh, read, row_key, spread_join, stored, text_of
 
 SALTS = 16
 
@@ -46,7 +47,7 @@ def exact_duplicates(docs: DataFrame, digest: Callable[[Column], Column] = sha25
 
     A null text equals the empty one. Of equal texts the row with the smallest doc_id stays; among rows that
     share that doc_id too, just one. A null doc_id stays only where its group has no other. Columns of docs
-    that are named as the added ones are replaced. An empty table gives an empty result.
+    that are named as the added ones are replaced, all others kept. An empty table gives an empty result.
     """
     docs = docs.drop("keep_id", "group_size", "kept", "digest")
     content, key, rank = fresh(docs, "content", "row", "rank")
@@ -55,7 +56,8 @@ def exact_duplicates(docs: DataFrame, digest: Callable[[Column], Column] = sha25
     several = found.where("n_texts > 1").select("digest", F.col("content").alias(content), "keep_id", "group_size")
     text = normalised(text_of())
     rows = docs.withColumn(key, row_key()).withColumn("digest", digest(text))
-    out = rows.join(single, "digest")
+    total = found.agg(F.sum("group_size")).first()[0] or 0
+    out = spread_join(rows, single, "digest", "group_size", key, total)
     if not several.isEmpty():  # texts that only their full content tells apart
         out = out.unionByName(rows.withColumn(content, text).join(several, ["digest", content]).drop(content))
     candidate = F.col("doc_id").eqNullSafe(F.col("keep_id"))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparquill.llm.common import fresh, lower_ascii, read, row_key, stored, text_of, words
+from sparquill.llm.common import fresh, lower_ascii, read, row_key, spread_join, stored, text_of, words
 from sparquill.llm.components import components
 from sparquill.llm.votes import hex64, simhash
 
@@ -144,12 +144,12 @@ def links(prints: DataFrame, radius: int = RADIUS, group: int = GROUP, heavy_til
 
 
 def _rooted(prints: DataFrame, radius: int) -> DataFrame:
-    """fingerprint, root and component_id of each distinct fingerprint of prints; root tells components apart."""
-    distinct = stored(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("low")))
+    """fingerprint, root, component_id and n, the number of its rows, of each distinct fingerprint of prints; root tells components apart."""
+    distinct = stored(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")))
     roots = components(links(distinct, radius)).withColumnRenamed("node", "fingerprint")
     rooted = distinct.join(roots, "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
     least = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    return rooted.select("fingerprint", "root").join(least, "root").select("fingerprint", "root", "component_id")
+    return stored(rooted.select("fingerprint", "n", "root").join(least, "root").select("fingerprint", "root", "component_id", "n"))
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = 3) -> DataFrame:
@@ -158,30 +158,42 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = 3) ->
     Fingerprints at radius or fewer differing bits link, and component_id is the smallest doc_id that links
     reach, the row's own included (null only if all are null). A null text is the empty one; texts without
     words have fingerprint zero and link like any other. Repeated rows each get a row. No row is left out of
-    any comparison. An empty table gives an empty result.
+    any comparison. An empty table gives an empty result; other columns of docs are left out, whatever their names.
     """
-    prints = stored(fingerprints(docs, shingle))
-    member = _rooted(prints, radius).select("fingerprint", "component_id")
-    return prints.join(member, "fingerprint").select("doc_id", "fingerprint", "component_id")
+    key = "row_nr"
+    prints = stored(fingerprints(docs.select("doc_id", "text").withColumn(key, row_key()), shingle, key))
+    return spread_join(prints, _rooted(prints, radius), "fingerprint", "n", key, prints.count()).select("doc_id", "fingerprint", "component_id")
 
 
 def near_dedup(docs: DataFrame, radius: int = RADIUS, shingle: int = 3) -> DataFrame:
     """The rows of docs (doc_id, text, any other columns) but for all but one of each component.
 
     The row with the component's smallest doc_id stays, a null one only where there is no other; of rows that
-    share that id, one with the smallest text. Components are told apart by their fingerprints and rows by a key
-    stored with them, so rows with null or repeated ids that are no near copies all stay.
+    share that id, one with the smallest text, and of rows that share both, any one. Components are told apart by
+    their fingerprints and rows by id and digest of the text, so rows with null or repeated ids that are no near
+    copies all stay. A null text is empty; an empty table gives an empty result. Texts are not stored again.
     """
-    key, = fresh(docs, "row_nr")
-    held = stored(docs.withColumn(key, row_key()))
-    prints = stored(fingerprints(held.select("doc_id", "text", key), shingle, key))
-    rows = prints.join(_rooted(prints, radius), "fingerprint").where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("root", key)
-    first = stored(rows.groupBy("root").agg(F.min(key).alias(key), F.count("*").alias("n")))
-    keep = first.where("n = 1").select(key)
-    if not (tied := first.where("n > 1").select("root")).isEmpty():
-        texts = held.select(key, text_of().alias("least_text")).join(rows.join(tied, "root"), key)
-        keep = keep.unionAll(texts.groupBy("root").agg(F.min(F.struct("least_text", key)).alias("least")).select(f"least.{key}"))
-    return held.join(keep, key, "left_semi").select(*docs.columns)
+    digest, nr = fresh(docs, "digest", "nr")
+    sha = F.sha2(F.encode(text_of(), "UTF-8"), 256)
+    prints = stored(fingerprints(docs.select("doc_id", "text", sha.alias(digest)), shingle, digest))
+    salted = prints.withColumn("salt", F.xxhash64(digest, row_key()))
+    rooted = spread_join(salted, _rooted(prints, radius), "fingerprint", "n", "salt", prints.count())
+    rows = rooted.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root", "doc_id", digest).agg(F.count("*").alias("copies"))
+    first = stored(rows.groupBy("root").agg(F.count("*").alias("texts"), F.min(F.struct("doc_id", digest, "copies")).alias("m")).select("root", "texts", "m.*"))
+    keep = first.where("texts = 1").select("doc_id", digest, "copies")
+    same = lambda a, b: F.col(f"{a}.{digest}").eqNullSafe(F.col(f"{b}.{digest}")) & F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id"))
+    mine = docs.withColumn(digest, sha)
+    if not (tied := first.where("texts > 1").select("root")).isEmpty():
+        several = stored(rows.join(tied, "root")).alias("t")
+        texts = mine.alias("d").join(several, same("d", "t")).select("t.root", "t.doc_id", F.col(f"t.{digest}").alias(digest), "t.copies", text_of("d.text").alias("least_text"))
+        keep = keep.unionAll(texts.groupBy("root").agg(F.min(F.struct("least_text", "doc_id", digest, "copies")).alias("m")).select("m.doc_id", f"m.{digest}", "m.copies"))
+    keep = stored(keep)
+    out = mine.alias("d").join(keep.where("copies = 1").alias("k"), same("d", "k"), "left_semi").select(*docs.columns)
+    if not (repeated := keep.where("copies > 1")).isEmpty():  # one of rows that are alike; columns may differ
+        again = mine.alias("d").join(repeated.alias("k"), same("d", "k"), "left_semi").withColumn(nr, row_key())
+        least = again.groupBy("doc_id", digest).agg(F.min_by(F.struct(*docs.columns), nr).alias("r"))
+        out = out.unionAll(least.select(*[F.col(f"r.{c}").alias(c) for c in docs.columns]))
+    return out
 
 
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -111,3 +111,45 @@ def test_components_of_a_long_chain(spark):
     edges = spark.range(1, 200).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     out = {r.node: r.root for r in components(edges).collect()}
     assert out == {k: 1 for k in range(2, 201)}
+
+
+def test_components_of_hubs_chains_and_pairs_are_those_of_union_find(spark, monkeypatch):
+    """Hubs of most edges, with the join's broadcast of frequent nodes and without."""
+    from sparquill.llm import common, components
+
+    rng = np.random.default_rng(11)
+    edges = {(int(a), int(b)) for a, b in rng.integers(0, 4000, (900, 2))} | {(5000, k) for k in range(5001, 7000)} | {(k, 7000) for k in range(6990, 6999)}
+    root = {n: n for e in edges for n in e}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in edges:
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    want = {n: find(n) for n in root if find(n) != n}
+    df = spark.createDataFrame(list(edges), "a long, b long")
+    for hot in (10, 10**9):
+        monkeypatch.setattr(components, "spread_join", lambda *args: common.spread_join(*args, hot=hot))  # noqa: B023
+        assert {r.node: r.root for r in components.components(df).collect()} == want
+
+
+def test_a_join_with_a_frequent_key_spreads_its_rows(spark):
+    """Two thirds of all rows have one key: they are dealt over partitions, and the result is that of a plain join."""
+    from sparquill.llm.common import spread_join
+
+    rows = spark.range(0, 9000).select(F.when(F.col("id") % 3 > 0, -1).otherwise(F.col("id")).alias("k"), F.col("id").alias("salt"))
+    table = rows.groupBy("k").agg(F.count("*").alias("n"), F.max("salt").alias("most"))
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), spark.conf.get("spark.sql.adaptive.enabled")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        joined = spread_join(rows, table, "k", "n", "salt", 9000, 100)
+        sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+        assert len(sizes) == 4 and max(sizes) < 1.3 * 9000 / 4
+        assert sorted(map(tuple, joined.collect())) == sorted(map(tuple, rows.join(table, "k").collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept[0])
+        spark.conf.set("spark.sql.adaptive.enabled", kept[1])
