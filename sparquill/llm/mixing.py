@@ -20,7 +20,6 @@ SHARE = 1.5  # of all words
 MOST = 2.0  # of a source's or document's size
 #: (time, weight) knots from 0 to 1, linear between them, in turn for the sources: early, even, late.
 SCHEDULES = (((0.0, 3.0), (0.5, 2.0), (1.0, 1.0)), ((0.0, 1.0), (1.0, 1.0)), ((0.0, 1.0), (0.5, 2.0), (1.0, 3.0)))
-SLICE_ROWS = 4000  # rows of a source that one window group holds, about
 
 
 def targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -74,25 +73,27 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float =
     """For each row of docs (doc_id, text, source): doc_id, size, source_size, target, taken, copies, position, positions.
 
     size is the number of words (null text: 0), taken = size times copies, positions the places of the copies in
-    training time, 0 to 1, position the first (null if none). Sources without words take nothing. Documents of one
-    doc_id stand in order of their text's hash. Columns of docs to keep come last. The same input always gives the
-    same mix. An empty table gives an empty result.
+    training time, 0 to 1, position the first (null if none). Sources without words take nothing. Repeated rows,
+    and documents that share a doc_id, each have copies of their own. Columns of docs to keep come last, all others
+    are left out, whatever their names; those to keep must not be named as the added ones. The same input always
+    gives the same mix. An empty table gives an empty result.
     """
-    key, second = fresh(docs, "h", "h2")
+    order, second, nr = fresh(docs, "h", "h2", "nr_of_row")
     size = F.regexp_count(text_of(), F.lit(WORD)).cast("long")
-    rows = stored(docs.select("doc_id", "source", size.alias("size"), F.xxhash64("doc_id").alias(key), F.xxhash64(text_of()).alias(second), *keep))
+    rows = stored(docs.select("doc_id", "source", size.alias("size"), F.xxhash64("doc_id").alias(order), F.xxhash64(text_of()).alias(second), row_key().alias(nr), *keep))
     sums = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     source = stored(targets(sums.select("source", "source_size"), weights, share, most))
-    # A source's order is cut into slices by the top bits of the hash, so that no window holds a whole source.
-    bits = max(4, min(24, math.ceil(math.log2(max(rows.count(), 1) / SLICE_ROWS + 1))))
-    # An id that fills a slice by itself, as the null one may, is cut again by the hash of the text.
-    full = [r[key] for r in rows.groupBy(key).count().where(F.col("count") > SLICE_ROWS).collect()]
-    again = F.when(F.col(key).isin(full), F.shiftright(second, 64 - bits) + (1 << bits)).otherwise(F.lit(0)) if full else F.lit(0)
-    rows = rows.withColumn("slice", F.shiftright(key, 64 - bits) * (1 << (bits + 1)) + again)
+    # A source's order is cut into slices by the top bits of the hash: about the square root of the rows, each of as many.
+    n = rows.count()
+    bits = max(1, math.ceil(math.log2(max(n, 1)) / 2))
+    # Ids of more rows than that, as the null one may be, are ordered by the text and the row too; they are fewer than that.
+    often = rows.groupBy(order).count().where(F.col("count") > (1 << bits)).select(order, F.lit(True).alias("often"))
+    rows = rows.join(F.broadcast(often), order, "left").withColumn(order, F.when(F.col("often"), F.xxhash64(order, second, nr)).otherwise(F.col(order))).drop("often")
+    rows = rows.withColumn("slice", F.shiftright(order, 64 - bits))
     before = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     slices = rows.groupBy("source", "slice").agg(F.sum("size").alias("slice_size")).withColumn("base", F.coalesce(F.sum("slice_size").over(before), F.lit(0))).drop("slice_size")
     known = slices.join(source, slices.source.eqNullSafe(source.source)).drop(source.source)
-    inner = Window.partitionBy("source", "slice").orderBy(key, "doc_id", second, "size", *keep).rowsBetween(Window.unboundedPreceding, -1)
+    inner = Window.partitionBy("source", "slice").orderBy(order, "doc_id", second, "size", nr).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("inner", F.coalesce(F.sum("size").over(inner), F.lit(0)))
     at = rows.alias("r").join(known.alias("k"), F.col("r.source").eqNullSafe(F.col("k.source")) & (F.col("r.slice") == F.col("k.slice")))
     start = F.col("k.base") + F.col("r.inner")
@@ -110,7 +111,8 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float =
 def mix(docs: DataFrame, **how) -> DataFrame:
     """docs as the mix takes them: a row for each copy, in order of training position, with docs' own columns.
 
-    Each row of docs has its own copies, by a key stored with it: ids may be null or repeated.
+    Each row of docs has its own copies, by a key stored with it: ids may be null or repeated. A null text is empty
+    and an empty table gives an empty result.
     """
     mine, place = fresh(docs, "row_nr", "place")
     held = stored(docs.withColumn(mine, row_key()))

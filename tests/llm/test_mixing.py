@@ -1,6 +1,7 @@
 from collections import Counter
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from sparquill.llm import mixing as op
@@ -76,10 +77,58 @@ def test_mix_repeats_rows_and_keeps_columns(spark, sf_dir):
     assert {r.doc_id: r["count"] for r in out.groupBy("doc_id").count().collect()} == copies
 
 
-def test_rows_with_null_and_repeated_ids_keep_their_own_copies(spark, monkeypatch):
-    monkeypatch.setattr(op, "SLICE_ROWS", 10)
+def test_rows_with_null_and_repeated_ids_keep_their_own_copies(spark):
     rows = [(None if k % 3 == 0 else 5 if k % 3 == 1 else k, f"text number{k} of this row", "a") for k in range(90)]
     out = op.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), share=1.5, weights=(1.0,))
     copies = Counter(map(tuple, out.collect()))
     assert set(copies) == set(rows) and set(copies.values()) == {1, 2}
     assert abs(sum(copies.values()) - 135) <= 1
+
+
+def test_copies_and_positions_are_those_of_plain_loops(spark, sf_dir):
+    """Brute force: documents of a source one after another by hash, each place on the schedule found by bisection."""
+    docs = [tuple(r) for r in read(spark, sf_dir, "documents").select("doc_id", "text", "source").collect()]
+    size = {d: len((t or "").encode().split()) for d, t, _ in docs}
+    sums = Counter()
+    for d, _, s in docs:
+        sums[s] += size[d]
+    targets = brute_targets(sums)
+    names = sorted(sums, key=lambda s: s.encode())
+
+    def placed(u, knots):
+        weight = lambda t: next(w1 + (w2 - w1) * (t - t1) / (t2 - t1) for (t1, w1), (t2, w2) in zip(knots, knots[1:]) if t <= t2)
+        area = lambda end: sum((weight(k * end / 400) + weight((k + 1) * end / 400)) / 2 * end / 400 for k in range(400))
+        low, high = 0.0, 1.0
+        for _ in range(40):
+            mid = (low + high) / 2
+            low, high = (mid, high) if area(mid) < u * area(1.0) else (low, mid)
+        return low
+
+    signed = lambda d: (h := xxhash.xxh64_intdigest(d.to_bytes(8, "little"), 42)) - (h >> 63 << 64)
+    want = {}
+    for k, s in enumerate(names):
+        at, passes = 0, int(targets[s] // max(sums[s], 1))
+        for d in sorted((d for d, _, x in docs if x == s), key=signed):
+            copies = min(2, passes + (at + size[d] / 2 < targets[s] - passes * sums[s]))
+            want[d] = copies, [min(1.0, (at + c * sums[s] + size[d] / 2) / max(targets[s], 1)) for c in range(copies)], k
+            at += size[d]
+    few = 0
+    for r in op.mixed(read(spark, sf_dir, "documents")).collect():
+        copies, shares, k = want[r.doc_id]
+        assert r.copies == copies == len(r.positions)
+        if r.doc_id % 10 == 0:  # the bisection is slow
+            assert r.positions == pytest.approx([placed(u, op.SCHEDULES[k % 3]) for u in shares], abs=1e-3)
+            few += copies
+    assert few
+
+
+def test_an_id_of_most_rows_is_cut(spark):
+    rows = [(7 if k % 3 else k, "same text", "a") for k in range(3000)]
+    out = op.mixed(spark.createDataFrame(rows, "doc_id long, text string, source string"), weights=(1.0,))
+    assert out.count() == 3000 and abs(out.agg(F.sum("taken")).first()[0] - 9000) <= 2
+
+
+def test_clashing_columns_are_left_out(spark):
+    docs = spark.createDataFrame([(1, "a b", "s", 3, 4, 5, 6)], "doc_id long, text string, source string, size int, target int, h int, slice int")
+    assert [(r.doc_id, r["size"], r.source_size) for r in op.mixed(docs).collect()] == [(1, 2, 2)]
+    assert [tuple(r) for r in op.mix(docs, weights=(1.0,)).distinct().collect()] == [(1, "a b", "s", 3, 4, 5, 6)]
