@@ -2,18 +2,20 @@
 
 Documents are tokenised in tasks and cut into pieces of at most one sequence. What is packed are lengths, not
 documents: Spark counts the pieces of each length, so the plan is made from at most 1,024 numbers however many
-pieces there are. From the longest length down, the gap that a piece leaves is looked up among the sums of one,
-two and three available lengths, and as many such combinations are consumed as the counts allow; what no
+pieces there are. From the longest length down, the gap that a piece leaves is looked up in an index of the sums
+of one, two and three lengths, and as many such combinations are consumed as the counts allow; what no
 combination fills exactly is packed best-fit decreasing. Each piece then finds its place by its length and its
 rank among the pieces of that length, counted in parts so that a common length is no task of its own.
 """
 
 from __future__ import annotations
 
+import math
 import struct
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import permutations
 
 import numpy as np
 import pandas as pd
@@ -25,7 +27,6 @@ from sparquill.llm.common import read, stored, text_of
 
 SEQUENCE = 1024
 END = 2
-PART_ROWS = 1_000  # rows of a length that one window group holds, about
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -104,42 +105,68 @@ def tokenised(docs: DataFrame, path: str | None = None, sequence: int = SEQUENCE
     return docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(run, kind)
 
 
-def _single(gap: int, left: np.ndarray) -> tuple[int, ...] | None:
-    return (gap,) if left[gap] else None
-
-
-def _pair(gap: int, left: np.ndarray, most: int | None = None) -> tuple[int, ...] | None:
-    """Two available lengths of sum gap, the larger first and as large as can be."""
-    a = np.arange(min(gap - 1, most or gap), (gap - 1) // 2, -1)
-    fits = np.nonzero((left[a] > 0) & (left[gap - a] > (a * 2 == gap)))[0]
-    return (int(a[fits[0]]), int(gap - a[fits[0]])) if len(fits) else None
-
+class Sums:
+    """Which lengths there are by the sums of one, two and three of them. The index holds lengths, not pieces: a filling
+    counts only while `left`, the number of pieces of each length, has all its parts.
+    """
 
-def _triple(gap: int, left: np.ndarray) -> tuple[int, ...] | None:
-    for a in range(gap - 2, (gap - 1) // 3, -1):
-        if left[a]:
-            left[a] -= 1
-            two = _pair(gap - a, left, a)
-            left[a] += 1
-            if two:
-                return (a, *two)
-    return None
+    def __init__(self, left: np.ndarray):
+        self.left = left
+        some = np.nonzero(left)[0]
+        two = np.add.outer(some, some)
+        i, j = np.nonzero(np.tril(two < len(left)))
+        order = np.lexsort((-some[i], two[i, j]))
+        self.large, self.small = some[i][order], some[j][order]  # all pairs, by sum, the larger first
+        self.begins = np.searchsorted(two[i, j][order], np.arange(len(left) + 1))
+
+    def single(self, gap: int) -> tuple[int, ...] | None:
+        return (gap,) if self.left[gap] else None
+
+    def pair(self, gap: int, most: int | None = None) -> tuple[int, ...] | None:
+        """Two available lengths of that sum, the larger first and as large as can be, most at most."""
+        rows = slice(self.begins[gap], self.begins[gap + 1])
+        a, b = self.large[rows], self.small[rows]
+        fits = (self.left[a] > 0) & (self.left[b] > (a == b))
+        if most is not None:
+            fits &= a <= most
+        k = int(fits.argmax()) if len(fits) else 0
+        return (int(a[k]), int(b[k])) if len(fits) and fits[k] else None
+
+    def triple(self, gap: int) -> tuple[int, ...] | None:
+        """A length, as large as can be, and a pair of what remains."""
+        for a in range(gap - 2, (gap - 1) // 3, -1):
+            if self.left[a]:
+                self.left[a] -= 1
+                two = self.pair(gap - a, a)
+                self.left[a] += 1
+                if two:
+                    return (a, *two)
+        return None
 
 
 def plan(counts: dict[int, int], sequence: int = SEQUENCE) -> list[tuple[tuple[int, ...], int]]:
     """(lengths of a sequence, how many such sequences) that use each length as often as counted.
 
-    All gaps that one length fills come first, then those that two fill, then three: so short lengths go where
-    they are the only filling before they serve as parts of others. Where lengths are few, exact fillings can
-    use up short ones that more sequences could have shared; so the plans that stop after fewer kinds of filling
-    are made too, and the one with the fewest sequences is taken.
+    Gaps are filled exactly by one, two or three lengths, one kind of filling after another for all gaps, then
+    what is left is packed best-fit. Which kind should come first, and whether short lengths are better kept for
+    the end, depends on the counts; so plans are made for the orders of one kind or more, quick ones first, until
+    none of the others could save one sequence in a thousand, and the one with the fewest sequences is taken. No
+    plan leaves the exact fillings out.
     """
-    kinds = (_single, _pair, _triple)
-    plans = [_plan(counts, sequence, kinds[:k]) for k in range(len(kinds), -1, -1)]
-    return min(plans, key=lambda recipes: sum(times for _, times in recipes))
-
-
-def _plan(counts: dict[int, int], sequence: int, kinds: tuple) -> list[tuple[tuple[int, ...], int]]:
+    least = -(-sum(x * n for x, n in counts.items()) // sequence)
+    orders = [k for n in (1, 2, 3) for k in permutations(("single", "pair", "triple"), n)]
+    best, fewest = [], None
+    for kinds in sorted(orders, key=lambda k: ("single", "pair", "triple").index(k[0])):
+        found = _plan(counts, sequence, kinds)
+        total = sum(times for _, times in found)
+        if fewest is None or total < fewest:
+            best, fewest = found, total
+        if fewest - least <= least // 1000:
+            break
+    return best
+
+
+def _plan(counts: dict[int, int], sequence: int, kinds: tuple[str, ...]) -> list[tuple[tuple[int, ...], int]]:
     have = np.zeros(sequence + 1, np.int64)
     for length, n in counts.items():
         have[length] = n
@@ -147,11 +174,13 @@ def _plan(counts: dict[int, int], sequence: int, kinds: tuple) -> list[tuple[tup
     if have[sequence]:
         recipes[(sequence,)] = int(have[sequence])
         have[sequence] = 0
-    for complement in kinds:
+    sums = Sums(have)
+    for kind in kinds:
+        complement = getattr(sums, kind)
         for length in range(sequence - 1, 0, -1):
             while have[length]:
                 have[length] -= 1
-                others = complement(sequence - length, have)
+                others = complement(sequence - length)
                 have[length] += 1
                 if not others:
                     break
@@ -217,7 +246,7 @@ def pack(pieces: DataFrame, sequence: int = SEQUENCE) -> DataFrame:
         k = np.searchsorted(keys, (length.to_numpy(np.int64) << 48) + rank.to_numpy(np.int64), side="right") - 1
         return pd.DataFrame({"sequence_id": sequence_id[k] + rank.to_numpy(np.int64) - first[k], "offset": offset[k]})
 
-    parts = max(1, -(-max(lengths.values()) // PART_ROWS))
+    parts = math.isqrt(max(lengths.values())) + 1  # so the pieces of a part, and the parts of a length, are few next to the pieces
     rows = pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(parts)))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = rows.groupBy("length", "part").count().select("length", "part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
@@ -229,7 +258,8 @@ def pack(pieces: DataFrame, sequence: int = SEQUENCE) -> DataFrame:
 def packed(docs: DataFrame, path: str | None = None, sequence: int = SEQUENCE, end: int = END, ids: bool = False) -> DataFrame:
     """The pieces of docs (doc_id, text) with their places: sequence_id, and offset, gapless from 0.
 
-    A row of docs that is repeated is packed as often. A null text is empty; an empty table gives an empty result.
+    A row of docs that is repeated is packed as often. A null text is empty, a null doc_id is kept; an empty table
+    gives an empty result; other columns of docs are left out, whatever their names.
     """
     return pack(stored(tokenised(docs, path, sequence, end, ids)), sequence)
 

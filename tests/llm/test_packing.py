@@ -30,6 +30,45 @@ def test_exact_fillings_are_found():
     assert sum(t for _, t in op.plan({30: 4, 17: 4, 10: 4, 7: 4}, 64)) == 4
 
 
+def fewest(pieces, room, bins=()):
+    """Exact: the fewest sequences, by trying all places for each piece."""
+    if not pieces:
+        return len(bins)
+    first, best = pieces[0], fewest(pieces[1:], room, (*bins, pieces[0]))
+    for k, used in enumerate(bins):
+        if used + first <= room and used not in bins[:k]:
+            best = min(best, fewest(pieces[1:], room, (*bins[:k], used + first, *bins[k + 1 :])))
+    return best
+
+
+@settings(max_examples=80, deadline=None, derandomize=True)
+@given(st.lists(st.integers(1, 20), min_size=1, max_size=7))
+def test_plan_is_near_the_exact_one(pieces):
+    found = sum(t for _, t in op.plan(Counter(pieces), 20))
+    assert found <= fewest(sorted(pieces, reverse=True), 20) + 1
+
+
+@settings(max_examples=80, deadline=None, derandomize=True)
+@given(st.lists(st.tuples(st.integers(1, 61), st.integers(1, 61), st.integers(1, 61)), min_size=1, max_size=1), st.integers(1, 50))
+def test_sequences_that_can_be_full_are_full(cuts, times):
+    edges = sorted({0, 64, *cuts[0]})
+    parts = Counter(b - a for a, b in zip(edges, edges[1:]))
+    assert sum(t for _, t in op.plan({x: n * times for x, n in parts.items()}, 64)) <= times + 1
+
+
+def test_ids_are_those_of_the_tokenizers_library_on_a_whole_table():
+    import pyarrow.parquet as pq
+
+    path, n = op.tokenizer_path(), 0
+    encode, exact = op._encoder(path), Tokenizer.from_file(path)
+    texts = [t or "" for t in pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["text"])["text"].to_pylist()]
+    for at in range(0, len(texts), 500):
+        for text, coded in zip(texts[at : at + 500], exact.encode_batch(texts[at : at + 500], add_special_tokens=False)):
+            assert encode(text) == struct.pack(f"<{len(coded.ids)}I", *coded.ids)
+            n += 1
+    assert n == len(texts) == 10_000
+
+
 def held(pieces, docs, path):
     tokenizer = Tokenizer.from_file(path)
     want = Counter()
@@ -70,3 +109,8 @@ def test_ids_column(spark):
     df = spark.createDataFrame([(1, "hello there")], "doc_id long, text string")
     row = op.packed(df, ids=True).first()
     assert len(row.ids) == 4 * row.length and zlib.crc32(row.ids) == row.ids_crc32
+
+
+def test_clashing_columns_are_left_out(spark):
+    docs = spark.createDataFrame([(1, "hello there", 5, "x", 2)], "doc_id long, text string, piece int, length string, sequence_id int")
+    assert op.packed(docs).columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] and op.packed(docs).count() == 1
