@@ -21,8 +21,9 @@ from pyspark.sql import functions as F
 
 from sparquill.llm.common import read, stored, text_of
 
-#: Labelled rows that the fit takes of each class, by hash of doc_id: for the dictionary, and for the calibration.
-DICTIONARY_ROWS, CALIBRATION_ROWS = 1200, 1800
+#: Labelled rows that the fit takes of each class at most, by hash of doc_id.
+FIT_ROWS = 3000
+LEAST_TEXTS, FOLDS = 8, 4
 DICTIONARY_BYTES = 1 << 18
 SAMPLE_BYTES = 4000
 LEVEL = 3
@@ -91,62 +92,57 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return w
 
 
-def fit(docs: DataFrame, marks: DataFrame, dictionary_rows: int = DICTIONARY_ROWS, calibration_rows: int = CALIBRATION_ROWS) -> Model:
+def fit(docs: DataFrame, marks: DataFrame, most: int = FIT_ROWS) -> Model:
     """A model of docs (doc_id, text) marked by marks (doc_id, quality), one row for each id.
 
-    Of each class at most dictionary_rows + calibration_rows marked ids that docs has a text for are chosen, by
-    hash. Only their texts are fetched, one for each id (the smallest), by a broadcast of those few ids.
+    Of each class at most `most` marked ids that docs has a text for are chosen, by hash. Only their texts are
+    fetched, one for each id (the smallest), by a broadcast of those few ids. The dictionaries are made of all of
+    them; the calibration sees each text measured by dictionaries made without it. With too few texts of a class
+    there is no model, which is warned of.
     """
     marks = marks.where("doc_id IS NOT NULL AND quality IN (0, 1)").select("doc_id", "quality")
     totals = {r.quality: r["count"] for r in marks.groupBy("quality").count().collect()}
     prior = totals.get(1, 0) / sum(totals.values()) if totals else 0.5
     none = Model(b"", b"", np.zeros(11), np.ones(11), np.zeros(12), prior)
-    most = dictionary_rows + calibration_rows
     full = docs.select("doc_id", text_of().alias("text")).where("text <> ''")
     here = stored(marks.join(full.select("doc_id").distinct(), "doc_id", "left_semi"))
     chosen = [tuple(r) for q in (0, 1) for r in here.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect()]
     few = docs.sparkSession.createDataFrame(chosen, marks.schema)
     rows = full.join(F.broadcast(few), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text")).collect()
     texts = {q: [r.text.encode() for r in sorted(rows, key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id)) if r.quality == q] for q in (0, 1)}
-    try:
-        if min(map(len, texts.values())) >= 2 * dictionary_rows:
-            model, x, y = _split(texts, dictionary_rows, prior)
-        else:
-            model, x, y = _crossed(texts, prior)
-    except (zstandard.ZstdError, ValueError, ZeroDivisionError):  # too few marked texts for a dictionary
+    found = _crossed(texts, prior) if min(map(len, texts.values())) >= LEAST_TEXTS else None
+    if found is None:
+        warnings.warn("too few labelled texts of both classes for a quality model: every score is the share of good labels", stacklevel=2)
         return none
+    model, x, y = found
     share = np.where(y == 1, totals[1] / (y == 1).sum(), totals[0] / (y == 0).sum())
     model.centre, model.scale = x.mean(0), x.std(0) + 1e-9
     model.weights = logistic((x - model.centre) / model.scale, y, share / share.mean())
     return model
 
 
-def _dictionaries(texts: dict[int, list[bytes]], prior: float) -> Model:
-    bad, good = (
-        zstandard.train_dictionary(min(DICTIONARY_BYTES, sum(map(len, texts[q])) // 2), [t[k : k + SAMPLE_BYTES] for t in texts[q] for k in range(0, len(t), SAMPLE_BYTES)]).as_bytes()
-        for q in (0, 1)
-    )
+def _dictionaries(texts: dict[int, list[bytes]], prior: float) -> Model | None:
+    """Dictionaries of the texts of either class; none if zstandard finds them too few to make one."""
+    samples = {q: [t[k : k + SAMPLE_BYTES] for t in ts for k in range(0, len(t), SAMPLE_BYTES)] for q, ts in texts.items()}
+    try:
+        bad, good = (zstandard.train_dictionary(min(DICTIONARY_BYTES, sum(map(len, texts[q])) // 2), samples[q]).as_bytes() for q in (0, 1))
+    except zstandard.ZstdError:
+        return None
     return Model(bad, good, np.zeros(11), np.ones(11), np.zeros(12), prior)
 
 
-def _measured(model: Model, texts: dict[int, list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-    return features(compressors(model), texts[0] + texts[1]), np.r_[np.zeros(len(texts[0])), np.ones(len(texts[1]))]
-
-
-def _split(texts: dict[int, list[bytes]], rows: int, prior: float) -> tuple[Model, np.ndarray, np.ndarray]:
-    """Dictionaries from the first texts of each class, calibration on the others."""
-    model = _dictionaries({q: t[:rows] for q, t in texts.items()}, prior)
-    x, y = _measured(model, {q: t[rows:] for q, t in texts.items()})
-    return model, design(x), y
-
-
-def _crossed(texts: dict[int, list[bytes]], prior: float, folds: int = 4) -> tuple[Model, np.ndarray, np.ndarray]:
-    """Dictionaries from all texts; calibration on each quarter by dictionaries from the others. For few marked texts."""
-    parts = []
-    for f in range(folds):
-        others = _dictionaries({q: [t for k, t in enumerate(ts) if k % folds != f] for q, ts in texts.items()}, prior)
-        parts.append(_measured(others, {q: ts[f::folds] for q, ts in texts.items()}))
-    return _dictionaries(texts, prior), design(np.concatenate([x for x, _ in parts])), np.concatenate([y for _, y in parts])
+def _crossed(texts: dict[int, list[bytes]], prior: float) -> tuple[Model, np.ndarray, np.ndarray] | None:
+    """Dictionaries from all texts, and for the calibration the measures of each fold's texts by dictionaries from the others."""
+    x, y = [], []
+    for f in range(FOLDS):
+        others = _dictionaries({q: [t for k, t in enumerate(ts) if k % FOLDS != f] for q, ts in texts.items()}, prior)
+        if others is None:
+            return None
+        own = {q: ts[f::FOLDS] for q, ts in texts.items()}
+        x.append(features(compressors(others), own[0] + own[1]))
+        y.append(np.r_[np.zeros(len(own[0])), np.ones(len(own[1]))])
+    model = _dictionaries(texts, prior)
+    return model and (model, design(np.concatenate(x)), np.concatenate(y))
 
 
 def score(model: Model, text: Column) -> Column:
