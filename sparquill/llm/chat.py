@@ -72,7 +72,8 @@ def format_chats(turns: DataFrame, trained: str = "assistant") -> DataFrame:
     what the parser reads from formatted; loss_spans are the (start, length) in code points, from 0, of the
     bodies of the trained role, in order; identical tells that parsed equals the source. Each turn is rendered,
     and its place found, as a row of its own; a conversation's rows meet once, as its one string must. Null
-    conv_ids form one conversation. An empty table gives an empty result; other columns are left out.
+    conv_ids form one conversation. An empty table gives an empty result; other columns are left out, whatever their
+    names.
     """
     rows = turns.select("conv_id", "turn", F.coalesce(F.col("role"), F.lit("")).alias("role"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     head, body = render(F.col("role"), F.col("text"))

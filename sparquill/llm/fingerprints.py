@@ -130,7 +130,8 @@ def near_documents(prints: DataFrame, asked: Column, radius: int = 3, blocks: in
 
 def document_fingerprints(docs: DataFrame, asked: Column | None = None, radius: int = 3) -> DataFrame:
     """For each row of docs (doc_id, text), repeated rows included: doc_id, n_chars, edited_sha256, long
-    fingerprint and edited_fingerprint, near_edited, near_next, near_docs. An empty table gives an empty result.
+    fingerprint and edited_fingerprint, near_edited, near_next, near_docs. A null text is empty, a null doc_id comes
+    after all others. An empty table gives an empty result; other columns of docs are left out, whatever their names.
 
     near_docs is the number of other rows whose fingerprint is within the radius, for the rows asked for (a
     condition on doc_id), else null.

@@ -48,3 +48,9 @@ def test_nulls_ties_and_empty(spark):
     assert found[None] == [("system", ""), ("user", "a"), ("user", "b")]
     assert op.format_chats(spark.createDataFrame([], TURNS)).count() == 0
     assert op.parse.__doc__ and spark.range(1).select(op.parse(op.F.lit("not of the grammar")).alias("p")).first().p is None
+
+
+def test_clashing_columns_are_left_out(spark):
+    turns = spark.createDataFrame([(1, 0, "user", "hi", "x", 3), (1, 1, "assistant", "ho", "y", 4)], "conv_id long, turn long, role string, text string, formatted string, nr int")
+    row = op.format_chats(turns).first()
+    assert row.identical and [t.text for t in row.parsed] == ["hi", "ho"]

@@ -66,3 +66,9 @@ def test_block_tables_find_all_within_the_radius(spark):
     found = [(r.fingerprint % (1 << 64), r.match % (1 << 64), r.distance) for r in op.near_fingerprints(prints, prints, 3, 6).collect()]
     want = [(a, b, (a ^ b).bit_count()) for a in every for b in every if (a ^ b).bit_count() <= 3]
     assert sorted(found) == sorted(want)
+
+
+def test_clashing_columns_are_left_out(spark):
+    docs = spark.createDataFrame([(1, "a b c", 5, "x", 2, 7), (2, "d e f", 5, "x", 2, 7)], "doc_id long, text string, row int, near string, edited int, fingerprint int")
+    got = op.document_fingerprints(docs).select("doc_id", "n_chars", "fingerprint").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, op.document_fingerprints(docs.select("doc_id", "text")).select("doc_id", "n_chars", "fingerprint").collect()))
