@@ -1,10 +1,12 @@
 """URL filters: rules, and below them a path-template tree for each host, in built-in functions only.
 
-Paths are counted once as distinct (host, path) with their labels. Level by level, a segment becomes a wildcard
-where it looks like an identifier or where its parent has too many different children. Then, from the deepest
-level up, sibling branches whose labelled shares do not differ significantly from the siblings' together are
-merged into the wildcard branch, which has the evidence of them all. A template is rejected if the share of bad
-labels below it, smoothed towards the overall share, reaches a threshold.
+Paths are counted once as distinct (host, path) with their labels. Segments that look like identifiers become
+wildcards. Then the tree is built from the root: a node skips what all paths below it share, and where they part,
+a segment becomes a wildcard if the node has too many different children. So a step is made only where paths
+part, down to their real depth, whatever it is. From the deepest parting up, sibling branches whose labelled
+shares do not differ significantly from the siblings' together are merged into the wildcard branch, which has the
+evidence of them all. A template is rejected if its share of bad labels, smoothed towards the overall share, is
+clearly above that.
 """
 
 from __future__ import annotations
@@ -12,16 +14,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparquill.llm.common import UPPER, LOWER, fresh, read, row_key, stored
+from sparquill.llm.common import LOWER, UPPER, read, row_key, stored
 
-ANY, REST = "*", "**"
+ANY = "*"
 IDENTIFIER = r"^[0-9]+(\.[a-z]{1,5})?$|^[0-9a-f]{8}[0-9a-f-]{8,}$"
 MOST_LITERALS = 32  # children of a node beyond which all become the wildcard
 FEW_ROWS, SPREAD = 8, 0.5  # or more than this share of different children among at least so many urls
-LEVELS = 8  # segments of a path that the tree tells apart; deeper ones are one wildcard
 SIMILAR_Z = 1.96
 SMOOTHING = 20.0
-REJECT = 0.5
+#: A template's odds of bad labels, over the overall odds, above which it is rejected; and the share above which any is.
+REJECT_ODDS, REJECT_SHARE = 1.75, 0.9
 #: (verdict, host, path): fits the host and all its subdomains, where the url's path starts with path.
 RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
 
@@ -46,29 +48,54 @@ def matched_rules(urls: DataFrame, key: str, rules: list[tuple[str, str, str]] =
     return best.select(key, F.col("m.rule").alias("rule"), F.col("m.rule_verdict").alias("rule_verdict"))
 
 
-def _generalised(paths: DataFrame, levels: int) -> DataFrame:
-    """paths (host, segments, n, bad, good) with the array `template`: variable segments as wildcards, level by level."""
-    at = paths.withColumn("template", F.array().cast("array<string>"))
-    for k in range(levels):
-        segment = F.get("segments", F.lit(k))
-        at = at.withColumn("segment", F.when(segment.rlike(IDENTIFIER), ANY).otherwise(segment))
-        children = at.where("segment IS NOT NULL").groupBy("host", "template", "segment").agg(F.sum("n").alias("rows"))
-        nodes = children.groupBy("host", "template").agg(F.count("*").alias("different"), F.sum("rows").alias("rows"))
-        wide = nodes.where((F.col("different") > MOST_LITERALS) | (F.col("rows") >= FEW_ROWS) & (F.col("different") > SPREAD * F.col("rows"))).select("host", "template", F.lit(True).alias("wide"))
-        at = at.join(wide, ["host", "template"], "left")
-        new = F.when(F.col("segment").isNull(), F.col("template")).otherwise(F.concat("template", F.array(F.when(F.col("wide"), ANY).otherwise(F.col("segment")))))
-        at = stored(at.withColumn("template", new).drop("segment", "wide"))
-    deeper = F.size("segments") > levels
-    return at.withColumn("template", F.when(deeper, F.concat("template", F.array(F.lit(REST)))).otherwise(F.col("template")))
-
-
-def _merged(templates: DataFrame, levels: int) -> DataFrame:
-    """templates (host, template, bad, good) with `merged`: similar siblings as one wildcard branch, from the deepest level up."""
-    at = templates.withColumn("merged", F.col("template"))
-    for k in reversed(range(levels)):
-        pool = F.when(F.size("merged") > k, F.transform("merged", lambda s, i: F.when(i == k, ANY).otherwise(s)))
+def _templates(paths: DataFrame) -> DataFrame:
+    """host, general, n, bad, good and the array `template` for distinct paths (host, the array general, n, bad, good).
+
+    Each step takes the nodes with several paths left: it skips the segments that all of a node's paths share, as
+    their least and largest do, and goes down the segment where they part, or the wildcard. A node with one path
+    left is done. So there are as many steps as a path has partings.
+    """
+    node = ["host", "template"]
+    at = stored(paths.withColumns({"template": F.array().cast("array<string>"), "rest": F.col("general")}))
+    done = []
+    while True:
+        ends = at.groupBy(*node).agg(F.min("rest").alias("low"), F.max("rest").alias("high"))
+        parting = F.array_position(F.zip_with("low", "high", lambda x, y: F.coalesce(x == y, F.lit(False))), False)
+        ends = ends.select(*node, F.when(F.col("low") != F.col("high"), F.coalesce(F.nullif(parting, F.lit(0)) - 1, F.size("low")).cast("int")).alias("skip"))
+        at = stored(at.join(ends, node).withColumn("segment", F.get("rest", F.col("skip"))))
+        single = F.col("skip").isNull()
+        done.append(at.where(single | F.col("segment").isNull()).select("host", "general", "n", "bad", "good", F.concat("template", "rest").alias("template")))
+        at = at.where(~single & F.col("segment").isNotNull())
+        if at.isEmpty():
+            break
+        children = at.groupBy(*node, "segment").agg(F.sum("n").alias("rows"))
+        nodes = children.groupBy(*node).agg(F.count("*").alias("different"), F.sum("rows").alias("rows"))
+        wide = (F.col("different") > MOST_LITERALS) | (F.col("rows") >= FEW_ROWS) & (F.col("different") > SPREAD * F.col("rows"))
+        at = at.join(nodes.select(*node, wide.alias("wide")), node)
+        taken = F.concat("template", F.slice("rest", F.lit(1), F.col("skip")), F.array(F.when(F.col("wide"), ANY).otherwise(F.col("segment"))))
+        left = F.slice("rest", F.col("skip") + 2, F.greatest(F.size("rest") - F.col("skip") - 1, F.lit(0)))
+        at = stored(at.select("host", "general", "n", "bad", "good", taken.alias("template"), left.alias("rest")))
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionAll(more)
+    return out
+
+
+def _partings(templates: DataFrame) -> list[int]:
+    """The positions, deepest first, at which some templates of a host part that are equal before."""
+    before = F.aggregate("template", F.array(F.lit(0).cast("long")), lambda hashes, s: F.concat(hashes, F.array(F.xxhash64(F.element_at(hashes, -1), s))))
+    steps = templates.select("host", F.posexplode(F.arrays_zip(F.slice(before, F.lit(1), F.size("template")).alias("h"), F.col("template").alias("s"))).alias("k", "x"))
+    sides = steps.groupBy("host", "k", "x.h").agg(F.min("x.s").alias("low"), F.max("x.s").alias("high"))
+    return sorted((r.k for r in sides.where("low <> high").select("k").distinct().collect()), reverse=True)
+
+
+def _merged(templates: DataFrame) -> DataFrame:
+    """templates (host, template, bad, good) with `merged`: similar siblings as one wildcard branch, from the deepest parting up."""
+    at = templates = stored(templates.withColumn("merged", F.col("template")))
+    for k in _partings(templates):
+        pool = F.when(F.size("merged") > k, F.transform("merged", lambda s, i: F.when(i == k, ANY).otherwise(s)))  # noqa: B023
         branch = at.withColumn("pool", pool).where("pool IS NOT NULL").groupBy("host", "merged", "pool").agg(F.sum("bad").alias("b"), F.sum("good").alias("g"))
-        pools = branch.groupBy("host", "pool").agg(F.sum("b").alias("all_b"), F.sum("g").alias("all_g"))
+        pools = branch.groupBy("host", "pool").agg(F.sum("b").alias("all_b"), F.sum("g").alias("all_g"), F.count("*").alias("siblings")).where("siblings > 1")
         share = F.col("all_b") / F.greatest(F.col("all_b") + F.col("all_g"), F.lit(1))
         n = F.col("b") + F.col("g")
         far = F.abs(F.col("b") - share * n) > SIMILAR_Z * F.sqrt(n * share * (1 - share))
@@ -78,46 +105,50 @@ def _merged(templates: DataFrame, levels: int) -> DataFrame:
     return at
 
 
-def template_tree(paths: DataFrame, most_levels: int = LEVELS) -> DataFrame:
-    """(host, path, template, labelled, purity) for paths (host, path, n, bad, good), one row for each (host, path).
+def template_tree(paths: DataFrame) -> DataFrame:
+    """(host, path, template, labelled, purity, limit) for paths (host, path, n, bad, good), one row for each (host, path).
 
     template is the host's template as a string; labelled the number of labels below it; purity the smoothed
-    share of bad ones.
+    share of bad ones; limit the purity beyond which a template is rejected, the same for all.
     """
-    segments = F.filter(F.split("path", "/"), lambda s: s != "")
-    paths = stored(paths.withColumn("segments", segments))
-    levels = min(most_levels, paths.agg(F.max(F.size("segments"))).first()[0] or 0)
-    wild = _generalised(paths, levels)
-    merged = _merged(wild.groupBy("host", "template").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")), levels)
+    general = F.transform(F.filter(F.split("path", "/"), lambda s: s != ""), lambda s: F.when(s.rlike(IDENTIFIER), ANY).otherwise(s))
+    paths = stored(paths.withColumn("general", general))
+    wild = stored(_templates(paths.groupBy("host", "general").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.sum("good").alias("good"))))
+    merged = _merged(wild.groupBy("host", "template").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")))
     total = merged.groupBy("host", "merged").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     overall = paths.agg(F.sum("bad").alias("b"), F.sum("good").alias("g")).first()
     prior = (overall.b or 0) / max((overall.b or 0) + (overall.g or 0), 1)
+    limit = min(REJECT_SHARE, REJECT_ODDS * prior / (1 - prior + REJECT_ODDS * prior))
     purity = (F.col("bad") + SMOOTHING * prior) / (F.col("bad") + F.col("good") + SMOOTHING)
     judged = merged.select("host", "template", "merged").join(total, ["host", "merged"])
     judged = judged.select("host", "template", F.concat(F.lit("/"), F.array_join("merged", "/")).alias("name"), (F.col("bad") + F.col("good")).alias("labelled"), purity.alias("purity"))
-    return wild.join(judged, ["host", "template"]).select("host", "path", F.col("name").alias("template"), "labelled", "purity")
+    named = wild.select("host", "general", "template").join(judged, ["host", "template"]).select("host", "general", F.col("name").alias("template"), "labelled", "purity")
+    return paths.select("host", "path", "general").join(named, ["host", "general"]).select("host", "path", "template", "labelled", "purity", F.lit(limit).alias("limit"))
 
 
-def url_filter(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str, str]] = RULES, reject: float = REJECT) -> DataFrame:
-    """page_id, host, path, rule, verdict, template, labelled and purity of each row of pages (page_id, url).
+def url_filter(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> DataFrame:
+    """page_id, host, path, rule, verdict, template, labelled, purity and limit of each row of pages (page_id, url).
 
     labels (page_id, bad boolean) are what the templates' purity counts. A rule's verdict stands; else the
-    template's: block from purity `reject` on. A null url, or one without `://`, has an empty host and path.
-    Repeated rows each get a row; an empty table gives an empty result; null labels count as none.
+    template's: block where its purity exceeds the limit. A null url, or one without `://`, has an empty host and
+    path, and a template like any other. Repeated rows each get a row; an empty table gives an empty result; null
+    labels, and those of null page_ids, count as none. Other columns of pages are left out, whatever their names.
     """
-    key, = fresh(pages, "row")
+    key = "row"
     host, path = host_path(F.col("url"))
     marked = labels.where("bad IS NOT NULL").groupBy("page_id").agg(F.max("bad").alias("bad"))
     urls = stored(pages.select("page_id", host.alias("host"), path.alias("path"), row_key().alias(key)).join(marked, "page_id", "left"))
     paths = urls.groupBy("host", "path").agg(F.count("*").alias("n"), F.count_if("bad").alias("bad"), F.count_if(~F.col("bad")).alias("good"))
     tree = template_tree(paths)
     out = urls.join(matched_rules(urls, key, rules), key, "left").join(tree, ["host", "path"])
-    verdict = F.coalesce("rule_verdict", F.when(F.col("purity") >= reject, "block").otherwise("allow"))
-    return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "template", "labelled", "purity")
+    verdict = F.coalesce("rule_verdict", F.when(F.col("purity") > F.col("limit"), "block").otherwise("allow"))
+    return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "template", "labelled", "purity", "limit")
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A page is labelled as the document whose number ends its path is: bad if of low quality or toxic."""
+    """A page is labelled as the document that it shows: its number ends the path, and on all pages at hand that
+    document's language is the path's. Bad are those of low quality and toxic ones.
+    """
     pages = read(spark, sf_dir, "pages").select("page_id", "url")
     number = F.try_to_number(F.nullif(F.regexp_extract(host_path(F.col("url"))[1], r"/([0-9]{1,18})(\.html|/)?$", 1), F.lit("")), F.lit("9" * 18)).cast("long")
     marks = read(spark, sf_dir, "labels").select("doc_id", ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))

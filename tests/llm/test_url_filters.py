@@ -1,3 +1,8 @@
+import math
+import random
+import re
+from collections import Counter, defaultdict
+
 from sparquill.llm import url_filters as op
 from sparquill.llm.common import read
 
@@ -51,3 +56,120 @@ def test_bad_branch_is_blocked_and_good_siblings_merge(spark):
     found = op.url_filter(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(labels, "page_id long, bad boolean"), rules=[("block", "none.test", "/")]).collect()
     assert {(r.template, r.verdict) for r in found if "/spam/" in r.path} == {("/spam/*", "block")}
     assert {r.verdict for r in found if "/spam/" not in r.path} == {"allow"}
+
+
+def brute_tree(urls, labels):
+    """(template, labelled, purity, verdict) of each url, by recursion in plain Python."""
+    counts = defaultdict(Counter)
+    for k, u in urls.items():
+        host, path, *_ = brute(u)
+        general = tuple("*" if re.search(op.IDENTIFIER, s) else s for s in path.split("/") if s)
+        counts[host][(general, None if labels.get(k) is None else bool(labels[k]))] += 1
+    template = {}
+
+    def grow(host, prefix, rows):  # rows: {general: what is left of it}
+        if len(set(rows.values())) == 1:
+            template.update({(host, g): prefix + rest for g, rest in rows.items()})
+            return
+        skip = next(i for i in range(9999) if len({r[i : i + 1] for r in rows.values()}) > 1)
+        weight, children = Counter(), defaultdict(dict)
+        for g, rest in rows.items():
+            if len(rest) > skip:
+                weight[rest[skip]] += sum(counts[host][(g, x)] for x in (None, True, False))
+        n, wide = sum(weight.values()), len(weight) > op.MOST_LITERALS
+        wide = wide or n >= op.FEW_ROWS and len(weight) > op.SPREAD * n
+        for g, rest in rows.items():
+            if len(rest) > skip:
+                children["*" if wide else rest[skip]][g] = rest[skip + 1 :]
+            else:
+                template[(host, g)] = prefix + rest
+        for s, below in children.items():
+            grow(host, prefix + next(iter(rows.values()))[:skip] + (s,), below)
+
+    for host, held in counts.items():
+        grow(host, (), {g: g for g, _ in held})
+    found = defaultdict(lambda: [0, 0])
+    for host, held in counts.items():
+        for (g, bad), n in held.items():
+            if bad is not None:
+                found[(host, template[(host, g)])][not bad] += n
+            found[(host, template[(host, g)])]
+    merged = {x: x[1] for x in found}
+    for k in reversed(range(max(len(t) for _, t in found))):
+        branch = defaultdict(lambda: [0, 0])
+        for x, t in merged.items():
+            if len(t) > k:
+                for i in (0, 1):
+                    branch[(x[0], t)][i] += found[x][i]
+        pools = defaultdict(list)
+        for host, t in branch:
+            pools[(host, t[:k] + ("*",) + t[k + 1 :])].append(t)
+        move = {}
+        for (host, pool), siblings in pools.items():
+            b, n = (sum(f(branch[(host, t)]) for t in siblings) for f in (lambda x: x[0], sum))
+            share = b / max(n, 1)
+            for t in siblings:
+                own = branch[(host, t)]
+                if len(siblings) > 1 and not abs(own[0] - share * sum(own)) > op.SIMILAR_Z * math.sqrt(sum(own) * share * (1 - share)):
+                    move[(host, t)] = pool
+        merged = {x: move.get((x[0], t), t) for x, t in merged.items()}
+    total = defaultdict(lambda: [0, 0])
+    for x, t in merged.items():
+        for i in (0, 1):
+            total[(x[0], t)][i] += found[x][i]
+    b, n = sum(x[0] for x in found.values()), sum(map(sum, found.values()))
+    prior = b / max(n, 1)
+    limit = min(op.REJECT_SHARE, op.REJECT_ODDS * prior / (1 - prior + op.REJECT_ODDS * prior))
+    out = {}
+    for k, u in urls.items():
+        host, path, rule, verdict = brute(u)
+        t = merged[(host, template[(host, tuple("*" if re.search(op.IDENTIFIER, s) else s for s in path.split("/") if s))])]
+        bad, good = total[(host, t)]
+        purity = (bad + op.SMOOTHING * prior) / (bad + good + op.SMOOTHING)
+        out[k] = ("/" + "/".join(t), bad + good, round(purity, 9), verdict or ("block" if purity > limit else "allow"))
+    return out
+
+
+def same_tree(spark, urls, labels):
+    pages = spark.createDataFrame(list(urls.items()), "page_id long, url string")
+    found = op.url_filter(pages, spark.createDataFrame(list(labels.items()), "page_id long, bad boolean")).collect()
+    got = {r.page_id: (r.template, r.labelled, round(r.purity, 9), r.verdict) for r in found}
+    assert got == brute_tree(urls, labels)
+    return found
+
+
+def test_tree_of_the_whole_table_is_that_of_brute_force(spark):
+    d = "/root/testdata/sf0.01"
+    urls = {r.page_id: r.url for r in read(spark, d, "pages").collect()}
+    marks = {r.doc_id: r.quality == 0 or r.toxic == 1 for r in read(spark, d, "labels").collect()}
+    numbers = {k: re.search(r"/([0-9]+)(\.html|/)?$", brute(u)[1]) for k, u in urls.items()}
+    labels = {k: marks[int(m[1])] for k, m in numbers.items() if m and int(m[1]) in marks}
+    want = brute_tree(urls, labels)
+    got = {r.page_id: (r.template, r.labelled, round(r.purity, 9), r.verdict) for r in op.op2_url_filter(spark, d).collect()}
+    assert labels and got == want
+
+
+def test_random_trees_are_those_of_brute_force(spark):
+    rng = random.Random(5)
+    urls, labels = {}, {}
+    for k in range(1500):
+        depth = rng.choice([0, 1, 2, 3, 5, 14])
+        parts = [rng.choice("abc" if i % 3 else ["x", "y", f"slug-{rng.randint(0, 400)}", str(k)]) for i in range(depth)]
+        urls[k] = f"http://{rng.choice(['one', 'two', 'three'])}.test/" + "/".join(parts)
+        if rng.random() < 0.6:
+            labels[k] = rng.random() < (0.8 if "b" in parts[1:2] else 0.1)
+    found = same_tree(spark, urls, labels)
+    assert {r.verdict for r in found} == {"allow", "block"} and max(r.template.count("/") for r in found) > 8
+
+
+def test_a_bad_branch_below_many_levels_is_found(spark):
+    deep = "/".join("abcdefghijkl")
+    urls = {k: f"https://site.test/{deep}/{('spam', 'news')[k % 2]}/{k}" for k in range(300)} | {k: f"https://other.test/{k}" for k in range(300, 500)} | {999: "x://deep.test/" + "p/" * 3000}
+    found = same_tree(spark, urls, {k: k < 300 and k % 2 == 0 for k in range(0, 500, 3)})
+    assert {r.verdict for r in found if "/spam/" in r.path} == {"block"} and {r.verdict for r in found if "/spam/" not in r.path} == {"allow"}
+
+
+def test_labels_of_one_kind(spark):
+    urls = {k: f"https://site.test/a/{k}" for k in range(40)}
+    assert {r.verdict for r in same_tree(spark, urls, {k: False for k in urls})} == {"allow"}
+    assert {r.verdict for r in same_tree(spark, urls, {k: True for k in urls})} == {"block"}
