@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from sparquill.sources.shared import forget, shared_dir, stored
 
-__all__ = ["LOWER", "SPACE", "UPPER", "WORD", "empty", "forget", "fresh", "lower_ascii", "read", "row_key", "shared_dir", "spread_join", "stored", "text_of", "words"]
+__all__ = ["LOWER", "SPACE", "UPPER", "WORD", "content_key", "empty", "forget", "fresh", "lower_ascii", "read", "row_key", "shared_dir", "spread_join", "stored", "text_of", "words"]
 
 #: ASCII white space, the only separators between words.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -39,6 +39,11 @@ def row_key() -> Column:
     return F.monotonically_increasing_id()
 
 
+def content_key() -> Column:
+    """16 bytes for (doc_id, text). Rows that share them are the same row to any operator that reads these columns alone."""
+    return F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), text_of())))
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names for df that clash with none it has."""
     have = {c.lower() for c in df.columns}
@@ -51,12 +56,12 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def spread_join(rows: DataFrame, table: DataFrame, key: str, n: str, salt: str, total: int, hot: int = 10_000) -> DataFrame:
+def spread_join(rows: DataFrame, table: DataFrame, key: str, n: str, salt: str, total: int, hot: int = 10_000, outer: bool = False) -> DataFrame:
     """rows with the columns of table, which has one row for each key and the number n of the rows with that key.
 
     An inner equi-join that no frequent key makes lopsided: keys that over total / hot rows share are fewer than
     hot and broadcast, and their rows are dealt by the salt, a column of rows. total is the number of rows; n and
-    all columns of table must not be among those of rows, but for the key.
+    all columns of table must not be among those of rows, but for the key. With outer, rows without a match stay.
     """
     others = [c for c in table.columns if c != key]
     found, mine, way = fresh(rows, "found", "mine", "way")
@@ -66,7 +71,8 @@ def spread_join(rows: DataFrame, table: DataFrame, key: str, n: str, salt: str,
     out = out.withColumn(way, F.when(F.col(found).isNotNull(), F.pmod(F.xxhash64(salt), F.lit(1 << 20)) + 1).otherwise(F.lit(0)))
     # The way of the others is 0, but no literal, which would fold and leave the key alone to deal the rows by.
     out = out.join(table.where(~often).select(key, value.alias(mine), (F.col(n).cast("long") % 1).alias(way)), [key, way], "left")
-    out = out.withColumn(found, F.coalesce(found, mine)).where(F.col(found).isNotNull())
+    out = out.withColumn(found, F.coalesce(found, mine))
+    out = out if outer else out.where(F.col(found).isNotNull())
     return out.select(*rows.columns, f"{found}.*")
 
 

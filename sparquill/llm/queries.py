@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparquill.llm import chat, exact_dedup, fingerprints, licenses, lm, mixing, near_dedup, packing, quality, url_filters
+from sparquill.llm import alignment, chat, exact_dedup, fill_middle, fingerprints, licenses, line_dedup, lm, mixing, near_dedup, packing, quality, url_filters
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
         "op9_mixing": mixing.op9_mixing,
         "op10_lm_scoring": lm.op10_lm_scoring,
+        "op11_tokenizer_alignment": alignment.op11_tokenizer_alignment,
+        "op12_line_dedup": line_dedup.op12_line_dedup,
+        "op13_fill_in_middle": fill_middle.op13_fill_in_middle,
     }
 
 
@@ -28,4 +31,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op7_chat_formatting": chat.OP7_SQL,
         "op8_exact_dedup": exact_dedup.OP8_SQL,
+        "op12_line_dedup": line_dedup.OP12_SQL,
+        "op13_fill_in_middle": fill_middle.OP13_SQL,
     }
