@@ -24,11 +24,11 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{held.name}"
 
 
-def stored(df: DataFrame, *by: str) -> DataFrame:
+def stored(df: DataFrame, *by: str, codec: str | None = None) -> DataFrame:
     """df written once to the shared folder, in folders by the columns named, and read back: cut lineage that outlives any executor."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
-    (df.write.partitionBy(*by) if by else df.write).parquet(path)
+    (df.write.partitionBy(*by) if by else df.write).parquet(path, compression=codec)
     return spark.read.schema(df.schema).parquet(path)
 
 
