@@ -4,14 +4,14 @@ A text falls into segments, cut before white space that neither vocabulary can m
 that is verified on the entries of both. Each segment's tokens are then what they are in the whole text. Spark counts
 the distinct segments of the corpus, each is tokenised by both tokenizers and aligned once, and the counts of id
 pairs follow from the segments' counts. Alignments are joined back: those of the most frequent segments, whose
-texts together are bounded in bytes, by broadcast, all others by an equi-join on the segment. Documents are
-composed of their segments' alignments.
+texts together are bounded in bytes, by broadcast, all others by an equi-join on the segment, for chunks of
+documents that need them. Documents are composed of their segments' alignments, chunk by chunk.
 """
 
 from __future__ import annotations
 
-import hashlib
 import json
+import math
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -21,17 +21,21 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from sparquill.llm.common import content_key, fresh, read, row_key, spread_join, stored, text_of
+from sparquill.llm.common import fresh, read, row_key, spread_join, stored, text_of
 from sparquill.llm.packing import byte_ranks, tokenizer_path
 
 #: Whatever any of the pattern languages at hand takes for white space.
 WHITE = r"\x09-\x0D\x1C-\x20\x85\xA0\u1680\u180E\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 MARK = "\u2581"  # how pieces write a space
-HOT_BYTES = 1 << 20  # of the texts of all segments that are broadcast
+HOT_BYTES = 1 << 22  # of the texts of all segments that are broadcast, at most
+HOT_PAIRS = 1 << 20  # id pairs whose counts are broadcast, at most; more are joined
+CHUNK_BYTES = 1 << 24  # of the texts of a chunk, about; fewer where the corpus is small
+HEAVY = 10_000  # a row that more than the 1/HEAVY of all rows repeat is dealt over chunks
 ADDED = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups"]
 STATS = ["n_a", "n_b", "n_groups", "n_best", "count_sum"]
-_ALIGNED = "segment string, n long, n_a long, n_b long, n_groups long, groups string, links array<long>"
+_ALIGNED = "segment string, n long, n_a int, n_b int, groups string, links array<long>"
 
 
 def piece_path() -> str:
@@ -114,8 +118,8 @@ def spelled() -> Column:
 
 
 def aligned(found: DataFrame, path_a: str, path_b: str) -> DataFrame:
-    """Each of the segments (segment, n) tokenised twice and aligned: n_a, n_b, n_groups, groups and links."""
-    schema = pa.schema([("segment", pa.string()), ("n", pa.int64()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("n_groups", pa.int64()), ("groups", pa.string()), ("links", pa.list_(pa.int64()))])
+    """Each of the segments (segment, n) tokenised twice and aligned: n_a, n_b, groups and links."""
+    schema = pa.schema([("segment", pa.string()), ("n", pa.int64()), ("n_a", pa.int32()), ("n_b", pa.int32()), ("groups", pa.string()), ("links", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = pair_of(path_a, path_b)
@@ -128,7 +132,7 @@ def aligned(found: DataFrame, path_a: str, path_b: str) -> DataFrame:
                     if not text.encode() == b"".join(words_a) == b"".join(words_b):
                         raise ValueError(f"tokens do not spell {text!r}")
                     groups, links = align(a, b, [len(w) for w in words_a], [len(w) for w in words_b])
-                    for column, value in zip(out, (text, n, len(a), len(b), len(links), groups, links), strict=True):
+                    for column, value in zip(out, (text, n, len(a), len(b), groups, links), strict=True):
                         column.append(value)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, schema.types, strict=True)], schema=schema)
 
@@ -143,22 +147,39 @@ def pair_counts(found: DataFrame) -> DataFrame:
     return pairs.withColumn("best", (F.col("count") == F.max("count").over(same_b)).cast("long"))
 
 
-def alignments(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
-    """One row for each distinct segment: segment, n, n_a, n_b, n_groups, n_best, count_sum, groups."""
-    found = stored(aligned(segments(docs, pair_of(path_a, path_b).pattern()), path_a, path_b))
+def _scored(found: DataFrame) -> DataFrame:
+    """Aligned segments with n_best and count_sum in place of their links."""
     pairs = stored(pair_counts(found))
-    total = pairs.agg(F.sum("n_rows")).first()[0] or 0
+    n, total = pairs.agg(F.count("*"), F.sum("n_rows")).first()
+    numbers = [F.col("n_a").cast("long"), F.col("n_b").cast("long"), F.size("links").cast("long").alias("n_groups")]
+    if n <= HOT_PAIRS:
+        rows = pairs.orderBy("pair").select("pair", "best", "count").toArrow()
+        held = found.sparkSession.sparkContext.broadcast(tuple(rows.column(c).to_numpy() for c in ("pair", "best", "count")))
+
+        @F.arrow_udf("struct<n_best:bigint,count_sum:bigint>")
+        def sums(links: pa.Array) -> pa.Array:
+            pair, *values = held.value
+            at = np.searchsorted(pair, links.flatten().to_numpy())
+            ends = np.concatenate([[0], np.cumsum(links.value_lengths().to_numpy(zero_copy_only=False))])
+            parts = [np.diff(np.concatenate([[0], np.cumsum(v[at])])[ends]) for v in values]
+            return pa.StructArray.from_arrays([pa.array(x, pa.int64()) for x in parts], ["n_best", "count_sum"])
+
+        return found.withColumn("sums", sums("links")).select("segment", "n", *numbers, "sums.*", "groups")
     links = spread_join(found.select("segment", F.explode("links").alias("pair")), pairs, "pair", "n_rows", "segment", total)
-    sums = links.groupBy("segment").agg(F.sum("best").alias("n_best"), F.sum("count").alias("count_sum"))
-    return stored(found.join(sums, "segment").select("segment", "n", *STATS, "groups"))
+    totals = links.groupBy("segment").agg(F.sum("best").alias("n_best"), F.sum("count").alias("count_sum"))
+    return stored(found.join(totals, "segment").select("segment", "n", *numbers, "n_best", "count_sum", "groups"))
 
 
-def _hot(table: DataFrame, hot_bytes: int) -> tuple[DataFrame, DataFrame]:
-    """The most frequent segments and the others. Where a segment stands in a 1/hot_bytes of the corpus's bytes or more
-    times, the texts of all such segments can't have more than hot_bytes bytes together."""
-    total = table.agg(F.sum(F.col("n") * F.octet_length("segment"))).first()[0] or 0
-    often = F.col("n") * hot_bytes >= total
-    return table.where(often), table.where(~often)
+def _hot(table: DataFrame, hot_bytes: int) -> Column:
+    """Whether a segment is one of the most frequent, whose texts together have at most hot_bytes bytes."""
+    level = F.floor(F.log2("n") * 8).cast("int")
+    least = None
+    for found, size in sorted(table.groupBy(level).agg(F.sum(F.octet_length("segment"))).collect(), reverse=True):  # at most 8 * 63
+        hot_bytes -= size
+        if hot_bytes < 0:
+            break
+        least = found
+    return F.lit(False) if least is None else level >= least
 
 
 def _lookup(held: Broadcast):
@@ -169,78 +190,76 @@ def _lookup(held: Broadcast):
     return _lookup.found
 
 
-def _composer(held: Broadcast, pattern: str):
-    kind = "struct<n_a:bigint,n_b:bigint,n_groups:bigint,n_best:bigint,count_sum:bigint,groups:string>"
-
-    @F.arrow_udf(kind)
-    def compose(texts: pa.Array, rare: pa.Array) -> pa.Array:
-        place, stats, groups = _lookup(held)
-        split, n_hot = re.compile(pattern).findall, len(groups)
-        sums, written = [], []
-        for k, text in enumerate(texts):
-            if not text.is_valid:
-                sums.append(np.zeros(len(STATS), np.int64))
-                written.append(None)
-                continue
-            own, more = place, rare[k]
-            table, names = stats, groups
-            if more.is_valid and len(more):
-                rows = more.values
-                own = {s: n_hot + i for i, s in enumerate(rows.field("segment").to_pylist())}
-                table = np.stack([rows.field(c).to_numpy(zero_copy_only=False) for c in STATS], axis=1)
-                names = rows.field("groups").to_pylist()
-                at = [own[s] if (i := place.get(s)) is None else i for s in split(" " + text.as_py())]
-                written.append(";".join([groups[i] if i < n_hot else names[i - n_hot] for i in at]))
-                index = np.array(at)
-                often = index < n_hot
-                sums.append(stats[index[often]].sum(axis=0) + table[index[~often] - n_hot].sum(axis=0))
-            else:
-                at = [own[s] for s in split(" " + text.as_py())]
-                written.append(";".join([names[i] for i in at]))
-                sums.append(table[at].sum(axis=0))
-        columns = np.array(sums, np.int64).reshape(-1, len(STATS)).T
-        return pa.StructArray.from_arrays([*(pa.array(c) for c in columns), pa.array(written, pa.string())], [*STATS, "groups"])
-
-    return compose
-
-
 def _finder(held: Broadcast, pattern: str):
     @F.arrow_udf("array<string>")
     def others(texts: pa.Array) -> pa.Array:
         place = _lookup(held)[0]
         split = re.compile(pattern).findall
-        return pa.array([list({s for s in split(" " + t) if s not in place}) if t is not None else None for t in texts.to_pylist()], pa.list_(pa.string()))
+        return pa.array([list({s for s in split(" " + t.as_py()) if s not in place}) if t.is_valid else None for t in texts], pa.list_(pa.string()))
 
     return others
 
 
-def align_tokenizers(docs: DataFrame, path_a: str | None = None, path_b: str | None = None, hot_bytes: int = HOT_BYTES) -> DataFrame:
+def _composer(held: Broadcast, pattern: str, keep: list[str], spelling: str):
+    def compose(docs: pa.Table, rare: pa.Table) -> pa.Table:
+        place, stats, groups = _lookup(held)
+        split, n_hot = re.compile(pattern).findall, len(groups)
+        own = {s: n_hot + k for k, s in enumerate(rare.column("segment").to_pylist())}
+        names = rare.column("groups").to_pylist()
+        table = np.stack([rare.column(c).to_numpy() for c in STATS], axis=1).astype(np.int64)
+        sums, written = np.zeros((docs.num_rows, len(STATS)), np.int64), []
+        for k, text in enumerate(docs.column(spelling)):
+            if not text.is_valid:
+                written.append("")
+                continue
+            at = [own[s] if (i := place.get(s)) is None else i for s in split(" " + text.as_py())]
+            written.append(";".join([groups[i] if i < n_hot else names[i - n_hot] for i in at]))
+            index = np.array(at)
+            often = index < n_hot
+            sums[k] = stats[index[often]].sum(axis=0) + table[index[~often] - n_hot].sum(axis=0)
+        n_a, n_b, n_groups, n_best, count_sum = (pa.array(c) for c in sums.T)
+        return pa.table([*(docs.column(c) for c in keep), n_a, n_b, n_groups, n_groups, n_best, count_sum, pa.array(written, pa.string())], names=[*keep, *ADDED])
+
+    return compose
+
+
+def align_tokenizers(docs: DataFrame, path_a: str | None = None, path_b: str | None = None, hot_bytes: int = HOT_BYTES, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """docs (doc_id, text, any other columns) with n_a, n_b, n_groups, n_links, n_best, count_sum and groups.
 
     Tokens are those of A for a space and the text, and of B for the text, which adds the space. A group ends where a
     token of A and one of B both end, and its last tokens are linked. groups lists them as `a1,a2|b1;a3|b2`. A text
     that is null, empty or not spelled by its tokens has none: zeros and an empty string, and its segments count
     nowhere. Repeated rows count each. Columns of docs that are named as the added ones are replaced. An empty table
-    gives an empty result.
+    gives an empty result. A chunk's texts must fit a task, and so must any single one.
     """
     path_a, path_b = path_a or tokenizer_path(), path_b or piece_path()
     docs = docs.drop(*ADDED)
-    key, copies, rare, salt, made = fresh(docs, "key", "copies", "rare", "row", "made")
+    spelling, chunk, row, times = fresh(docs, "spelling", "chunk", "row", "times")
     pattern = pair_of(path_a, path_b).pattern()
-    often, others = _hot(alignments(docs, path_a, path_b), hot_bytes)
-    rows = often.select("segment", *STATS, "groups").toArrow()
+    found = stored(aligned(segments(docs, pattern), path_a, path_b), codec="zstd")
+    table = _scored(found)
+    n_bytes = found.agg(F.sum(F.col("n") * F.octet_length("segment"))).first()[0] or 0
+    often = _hot(found, hot_bytes)
+    rows = table.where(often).select("segment", *STATS, "groups").toArrow()
     stats = np.stack([rows.column(c).to_numpy() for c in STATS], axis=1).astype(np.int64).reshape(-1, len(STATS))
     held = docs.sparkSession.sparkContext.broadcast((rows.column("segment").to_pylist(), stats, rows.column("groups").to_pylist()))
-    text = spelled()
-    needed = docs.select(content_key().alias("key"), F.explode(_finder(held, pattern)(text)).alias("segment"))
-    found = needed.join(others.select("segment", F.struct("segment", *STATS, "groups").alias("one")), "segment")
-    lists = found.groupBy("key").agg(F.collect_set("one").alias(rare), F.count("*").alias(copies))
-    lists = stored(lists.select(F.col("key").alias(key), rare, F.expr(f"`{copies}` div size(`{rare}`)").alias(copies)))
-    keyed = docs.withColumn(key, content_key()).withColumn(salt, row_key())
-    out = spread_join(keyed, lists, key, copies, salt, lists.agg(F.sum(copies)).first()[0] or 0, outer=True)
-    out = out.withColumn(made, _composer(held, pattern)(text, F.col(rare)))
-    n = [F.col(made)[c].alias(c) for c in STATS]
-    return out.select(*docs.columns, *n[:3], F.col(made)["n_groups"].alias("n_links"), *n[3:], F.coalesce(F.col(made)["groups"], F.lit("")).alias("groups"))
+
+    chunks = max(math.isqrt(n_bytes // 4096), n_bytes // chunk_bytes) + 1
+    here = F.xxhash64("doc_id", text_of())
+    copies = docs.groupBy(here.alias(row)).agg(F.count("*").alias(times))
+    least = max(1, docs.count() // HEAVY)
+    heavy = copies.where(F.col(times) > least).select(row, F.lit(min(chunks, 64)).alias(times))  # under HEAVY rows
+    placed = docs.withColumn(row, here).join(F.broadcast(heavy), row, "left")
+    one = F.coalesce(F.col(times), F.lit(1))
+
+    needed = placed.select(row, one.alias(times), _finder(held, pattern)(spelled()).alias("segments"))
+    needed = needed.select(row, F.explode(F.sequence(F.lit(0), F.col(times) - 1)).alias("k"), "segments").select(F.pmod(F.col(row) + F.col("k"), F.lit(chunks)).alias(chunk), F.explode("segments").alias("segment"))
+    needed = needed.groupBy("segment").agg(F.collect_set(chunk).alias("chunks"))  # at most as many as there are chunks
+    lists = needed.join(table.where(~often), "segment").select(F.explode("chunks").alias(chunk), "segment", *STATS, "groups")
+    dealt = F.pmod(F.col(row) + F.pmod(F.xxhash64(row_key()), one), F.lit(chunks))
+    texts = placed.select(*docs.columns, spelled().alias(spelling), dealt.alias(chunk))
+    kind = T.StructType([*docs.schema.fields, *(T.StructField(c, T.LongType()) for c in ADDED[:-1]), T.StructField(ADDED[-1], T.StringType())])
+    return texts.groupBy(chunk).cogroup(lists.groupBy(chunk)).applyInArrow(_composer(held, pattern, docs.columns, spelling), kind)
 
 
 def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,8 @@ def draws(doc_id: Column, seed: int = SEED) -> list[Column]:
 def cuts(docs: DataFrame, units: str = UNITS, seed: int = SEED) -> DataFrame:
     """One row for each distinct (doc_id, text): key, copies (rows that have it), n (units), first_end and second_end,
     the code points before the two cuts."""
-    found = docs.select("doc_id", content_key().alias("key"), F.posexplode_outer(F.regexp_extract_all(text_of(), F.lit(units), F.lit(0))).alias("pos", "unit"))
+    found = docs.select("doc_id", content_key().alias("key"), F.regexp_extract_all(text_of(), F.lit(units), F.lit(0)).alias("units"))
+    found = found.select("doc_id", "key", F.posexplode_outer("units").alias("pos", "unit"))
     # Copies of a row are one document with equal units, combined before they are dealt.
     each = found.groupBy("key", "pos").agg(F.max("doc_id").alias("doc_id"), F.max(F.length("unit")).alias("length"), F.count("*").alias("copies"))
     document = Window.partitionBy("key")

@@ -35,7 +35,7 @@ def line_hashes(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
     """key (of the row), doc_id and hash: each distinct line of each row whose key has least_chars code points or more."""
     keys = F.transform(F.split(text_of(), "\n", -1), line_key)
     hashes = F.array_distinct(F.transform(F.filter(keys, lambda k: F.length(k) >= least_chars), F.md5))
-    return docs.select(content_key().alias("key"), "doc_id", F.explode(hashes).alias("hash"))
+    return docs.select(content_key().alias("key"), "doc_id", hashes.alias("hashes")).select("key", "doc_id", F.explode("hashes").alias("hash"))
 
 
 class Runs:

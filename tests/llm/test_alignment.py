@@ -1,5 +1,7 @@
 import json
+from bisect import bisect_left
 from collections import Counter, defaultdict
+from itertools import groupby
 
 import pytest
 import sentencepiece
@@ -45,10 +47,9 @@ def brute(texts, tokens):
             continue
         ends_b = {e: k for k, e in b}
         links = [(k, ends_b[e], e) for k, e in a if e in ends_b]
-        groups, low = [], 0
-        for *_, end in links:
-            groups.append("|".join(",".join(str(k) for k, e in side if low < e <= end) for side in (a, b)))
-            low = end
+        shared = [end for *_, end in links]
+        sides = [[",".join(str(k) for k, _ in part) for _, part in groupby(side, lambda x: bisect_left(shared, x[1]))] for side in (a, b)]
+        groups = ["|".join(x) for x in zip(*sides, strict=True)]
         coded.append((a, b, groups, [x[:2] for x in links]))
     count = Counter(x for *_, links in coded for x in links)
     most = defaultdict(int)
@@ -101,12 +102,19 @@ def test_nulls_repeats_long_texts_and_clashing_columns(spark, both):
     texts = [None, "", " ", "a▁b", "same text here", "same text here", "same text here", "word " * 20000, "x" * 30000, "\r\n \r", "rare-1 rare-2", "trailing \n"]
     ids = [1, None, 3, 4, 5, 5, None, 8, 9, 10, None, 12]
     docs = spark.createDataFrame([(d, t, k, "x") for k, (d, t) in enumerate(zip(ids, texts, strict=True))], DOCS + ", row int, groups string").repartition(3)
-    for hot_bytes in (op.HOT_BYTES, 40):
-        found = op.align_tokenizers(docs, hot_bytes=hot_bytes).orderBy("row")
+    for hot_bytes, chunk_bytes in ((op.HOT_BYTES, op.CHUNK_BYTES), (40, 5000), (0, 100)):
+        found = op.align_tokenizers(docs, hot_bytes=hot_bytes, chunk_bytes=chunk_bytes).orderBy("row")
         assert found.columns == ["doc_id", "text", "row", *op.ADDED] and got(found) == brute(texts, both)
     assert op.align_tokenizers(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_pair_counts_by_a_join(spark, both, monkeypatch):
+    monkeypatch.setattr(op, "HOT_PAIRS", 3)
+    texts = ["one text and another", "one more text, and more", "and, and, and"]
+    found = op.align_tokenizers(spark.createDataFrame(list(enumerate(texts)), DOCS)).orderBy("doc_id")
+    assert got(found) == brute(texts, both)
+
+
 def test_query(spark, sf_dir):
     row = op.op11_tokenizer_alignment(spark, sf_dir).where("n_a > 0").first()
     assert len(row.groups_sha256) == 64 and row.n_links == row.n_groups > 0
