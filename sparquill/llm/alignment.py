@@ -18,6 +18,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -29,7 +30,7 @@ from sparquill.llm.packing import byte_ranks, tokenizer_path
 #: Whatever any of the pattern languages at hand takes for white space.
 WHITE = r"\x09-\x0D\x1C-\x20\x85\xA0\u1680\u180E\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 MARK = "\u2581"  # how pieces write a space
-HOT_BYTES = 1 << 22  # of the texts of all segments that are broadcast, at most
+HOT_BYTES = 1 << 21  # of the texts of all segments that are broadcast, at most
 HOT_PAIRS = 1 << 20  # id pairs whose counts are broadcast, at most; more are joined
 CHUNK_BYTES = 1 << 24  # of the texts of a chunk, about; fewer where the corpus is small
 HEAVY = 10_000  # a row that more than the 1/HEAVY of all rows repeat is dealt over chunks
@@ -182,18 +183,17 @@ def _hot(table: DataFrame, hot_bytes: int) -> Column:
     return F.lit(False) if least is None else level >= least
 
 
-def _lookup(held: Broadcast):
-    """(row by segment, stats, groups) of the broadcast rows, once in each Python worker."""
+def _lookup(held: Broadcast) -> dict[str, int]:
+    """Places of the broadcast segments, once in each Python worker."""
     if getattr(_lookup, "of", None) != held._path:
-        names, stats, groups = held.value
-        _lookup.of, _lookup.found = held._path, ({s: k for k, s in enumerate(names)}, stats, groups)
+        _lookup.of, _lookup.found = held._path, {s: k for k, s in enumerate(held.value[0].to_pylist())}
     return _lookup.found
 
 
 def _finder(held: Broadcast, pattern: str):
     @F.arrow_udf("array<string>")
     def others(texts: pa.Array) -> pa.Array:
-        place = _lookup(held)[0]
+        place = _lookup(held)
         split = re.compile(pattern).findall
         return pa.array([list({s for s in split(" " + t.as_py()) if s not in place}) if t.is_valid else None for t in texts], pa.list_(pa.string()))
 
@@ -202,23 +202,19 @@ def _finder(held: Broadcast, pattern: str):
 
 def _composer(held: Broadcast, pattern: str, keep: list[str], spelling: str):
     def compose(docs: pa.Table, rare: pa.Table) -> pa.Table:
-        place, stats, groups = _lookup(held)
-        split, n_hot = re.compile(pattern).findall, len(groups)
-        own = {s: n_hot + k for k, s in enumerate(rare.column("segment").to_pylist())}
-        names = rare.column("groups").to_pylist()
-        table = np.stack([rare.column(c).to_numpy() for c in STATS], axis=1).astype(np.int64)
-        sums, written = np.zeros((docs.num_rows, len(STATS)), np.int64), []
-        for k, text in enumerate(docs.column(spelling)):
-            if not text.is_valid:
-                written.append("")
-                continue
-            at = [own[s] if (i := place.get(s)) is None else i for s in split(" " + text.as_py())]
-            written.append(";".join([groups[i] if i < n_hot else names[i - n_hot] for i in at]))
-            index = np.array(at)
-            often = index < n_hot
-            sums[k] = stats[index[often]].sum(axis=0) + table[index[~often] - n_hot].sum(axis=0)
-        n_a, n_b, n_groups, n_best, count_sum = (pa.array(c) for c in sums.T)
-        return pa.table([*(docs.column(c) for c in keep), n_a, n_b, n_groups, n_groups, n_best, count_sum, pa.array(written, pa.string())], names=[*keep, *ADDED])
+        place, split = _lookup(held), re.compile(pattern).findall
+        own = {s: len(place) + k for k, s in enumerate(rare.column("segment").to_pylist())}
+        parts, lengths = [np.zeros(0, np.int32)], []
+        for text in docs.column(spelling):
+            at = [own[s] if (i := place.get(s)) is None else i for s in split(" " + text.as_py())] if text.is_valid else []
+            parts.append(np.array(at, np.int32))
+            lengths.append(len(at))
+        at, ends = np.concatenate(parts), np.concatenate([[0], np.cumsum(lengths, dtype=np.int32)])
+        groups = pa.concat_arrays([held.value[2], *rare.column("groups").chunks]).cast(pa.large_string())
+        written = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), groups.take(pa.array(at))), pa.scalar(";", pa.large_string()))
+        values = [np.concatenate([held.value[1][:, k], rare.column(c).to_numpy()])[at] for k, c in enumerate(STATS)]
+        n_a, n_b, n_groups, n_best, count_sum = (pa.array(np.diff(np.concatenate([[0], np.cumsum(v)])[ends]), pa.int64()) for v in values)
+        return pa.table([*(docs.column(c) for c in keep), n_a, n_b, n_groups, n_groups, n_best, count_sum, written.cast(pa.string())], names=[*keep, *ADDED])
 
     return compose
 
@@ -242,7 +238,7 @@ def align_tokenizers(docs: DataFrame, path_a: str | None = None, path_b: str | N
     often = _hot(found, hot_bytes)
     rows = table.where(often).select("segment", *STATS, "groups").toArrow()
     stats = np.stack([rows.column(c).to_numpy() for c in STATS], axis=1).astype(np.int64).reshape(-1, len(STATS))
-    held = docs.sparkSession.sparkContext.broadcast((rows.column("segment").to_pylist(), stats, rows.column("groups").to_pylist()))
+    held = docs.sparkSession.sparkContext.broadcast((rows.column("segment").combine_chunks(), stats, rows.column("groups").combine_chunks()))
 
     chunks = max(math.isqrt(n_bytes // 4096), n_bytes // chunk_bytes) + 1
     here = F.xxhash64("doc_id", text_of())
