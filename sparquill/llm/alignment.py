@@ -79,6 +79,19 @@ class Pair:
         end = r"(?![\s\S])"
         return rf"[{WHITE}]*[^{WHITE}]+(?:[{kept}][{WHITE}]*[^{WHITE}]+)*(?:[{kept}][{WHITE}]*{end})?|[{WHITE}]+"
 
+    def plain_pattern(self) -> str:
+        """A segment of a text whose white space is all of places to cut."""
+        return rf"[{self.cut}]*[^{self.cut}]+|[{self.cut}]+"
+
+    def odd_white(self) -> str:
+        """All other white space."""
+        return "".join(c for c in map(chr, range(0x3001)) if re.match(f"[{WHITE}]", c) and c not in self.cut)
+
+    def splitter(self):
+        """A function from a text to its segments."""
+        odd, plain, general = self.odd_white(), re.compile(r"\s*\S+|\s+").findall, re.compile(self.pattern()).findall
+        return lambda text: general(text) if any(c in text for c in odd) else plain(text)
+
     def encode(self, segments: list[str]) -> tuple[list[list[int]], list[list[int]]]:
         """Ids of A and B of each segment as they are within a text. For B each follows a line end, as that merges with nothing."""
         first = len(self.b.encode("\n"))
@@ -107,9 +120,12 @@ def align(ids_a: list[int], ids_b: list[int], size_a: list[int], size_b: list[in
     return ";".join(groups), links
 
 
-def segments(docs: DataFrame, pattern: str) -> DataFrame:
+def segments(docs: DataFrame, both: Pair) -> DataFrame:
     """(segment, n): the distinct segments of all texts and how often each stands there."""
-    return docs.select(F.explode(F.regexp_extract_all(F.concat(F.lit(" "), spelled()), F.lit(pattern), F.lit(0))).alias("segment")).groupBy("segment").agg(F.count("*").alias("n"))
+    text = F.concat(F.lit(" "), F.col("spelled"))
+    general, plain = (F.regexp_extract_all(text, F.lit(p), F.lit(0)) for p in (both.pattern(), both.plain_pattern()))
+    parts = docs.select(spelled().alias("spelled")).select(F.when(text.rlike(f"[{both.odd_white()}]"), general).otherwise(plain).alias("parts"))
+    return parts.select(F.explode("parts").alias("segment")).groupBy("segment").agg(F.count("*").alias("n"))
 
 
 def spelled() -> Column:
@@ -190,29 +206,33 @@ def _lookup(held: Broadcast) -> dict[str, int]:
     return _lookup.found
 
 
-def _finder(held: Broadcast, pattern: str):
+def _finder(held: Broadcast, path_a: str, path_b: str):
     @F.arrow_udf("array<string>")
     def others(texts: pa.Array) -> pa.Array:
-        place = _lookup(held)
-        split = re.compile(pattern).findall
+        place, split = _lookup(held), pair_of(path_a, path_b).splitter()
         return pa.array([list({s for s in split(" " + t.as_py()) if s not in place}) if t.is_valid else None for t in texts], pa.list_(pa.string()))
 
     return others
 
 
-def _composer(held: Broadcast, pattern: str, keep: list[str], spelling: str):
+def _composer(held: Broadcast, path_a: str, path_b: str, keep: list[str], spelling: str):
     def compose(docs: pa.Table, rare: pa.Table) -> pa.Table:
-        place, split = _lookup(held), re.compile(pattern).findall
-        own = {s: len(place) + k for k, s in enumerate(rare.column("segment").to_pylist())}
+        place, split = _lookup(held), pair_of(path_a, path_b).splitter()
+        own, table, names = {}, np.zeros((rare.num_rows, len(STATS)), np.int64), []
+        for k, written in enumerate(rare.column("written").to_pylist()):
+            *numbers, groups, segment = written.split(" ", len(STATS) + 1)
+            own[segment] = len(place) + k
+            table[k] = [int(x) for x in numbers]
+            names.append(groups)
         parts, lengths = [np.zeros(0, np.int32)], []
         for text in docs.column(spelling):
             at = [own[s] if (i := place.get(s)) is None else i for s in split(" " + text.as_py())] if text.is_valid else []
             parts.append(np.array(at, np.int32))
             lengths.append(len(at))
         at, ends = np.concatenate(parts), np.concatenate([[0], np.cumsum(lengths, dtype=np.int32)])
-        groups = pa.concat_arrays([held.value[2], *rare.column("groups").chunks]).cast(pa.large_string())
+        groups = pa.concat_arrays([held.value[2].cast(pa.large_string()), pa.array(names, pa.large_string())])
         written = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), groups.take(pa.array(at))), pa.scalar(";", pa.large_string()))
-        values = [np.concatenate([held.value[1][:, k], rare.column(c).to_numpy()])[at] for k, c in enumerate(STATS)]
+        values = [np.concatenate([held.value[1][:, k], table[:, k]])[at] for k in range(len(STATS))]
         n_a, n_b, n_groups, n_best, count_sum = (pa.array(np.diff(np.concatenate([[0], np.cumsum(v)])[ends]), pa.int64()) for v in values)
         return pa.table([*(docs.column(c) for c in keep), n_a, n_b, n_groups, n_groups, n_best, count_sum, written.cast(pa.string())], names=[*keep, *ADDED])
 
@@ -231,8 +251,7 @@ def align_tokenizers(docs: DataFrame, path_a: str | None = None, path_b: str | N
     path_a, path_b = path_a or tokenizer_path(), path_b or piece_path()
     docs = docs.drop(*ADDED)
     spelling, chunk, row, times = fresh(docs, "spelling", "chunk", "row", "times")
-    pattern = pair_of(path_a, path_b).pattern()
-    found = stored(aligned(segments(docs, pattern), path_a, path_b), codec="zstd")
+    found = stored(aligned(segments(docs, pair_of(path_a, path_b)), path_a, path_b), codec="zstd")
     table = _scored(found)
     n_bytes = found.agg(F.sum(F.col("n") * F.octet_length("segment"))).first()[0] or 0
     often = _hot(found, hot_bytes)
@@ -248,14 +267,15 @@ def align_tokenizers(docs: DataFrame, path_a: str | None = None, path_b: str | N
     placed = docs.withColumn(row, here).join(F.broadcast(heavy), row, "left")
     one = F.coalesce(F.col(times), F.lit(1))
 
-    needed = placed.select(row, one.alias(times), _finder(held, pattern)(spelled()).alias("segments"))
+    needed = placed.select(row, one.alias(times), _finder(held, path_a, path_b)(spelled()).alias("segments"))
     needed = needed.select(row, F.explode(F.sequence(F.lit(0), F.col(times) - 1)).alias("k"), "segments").select(F.pmod(F.col(row) + F.col("k"), F.lit(chunks)).alias(chunk), F.explode("segments").alias("segment"))
     needed = needed.groupBy("segment").agg(F.collect_set(chunk).alias("chunks"))  # at most as many as there are chunks
-    lists = needed.join(table.where(~often), "segment").select(F.explode("chunks").alias(chunk), "segment", *STATS, "groups")
+    written = F.concat_ws(" ", *STATS, "groups", "segment").alias("written")  # one short string; only the last part can hold a space
+    lists = needed.join(table.where(~often), "segment").select("chunks", written).select(F.explode("chunks").alias(chunk), "written")
     dealt = F.pmod(F.col(row) + F.pmod(F.xxhash64(row_key()), one), F.lit(chunks))
     texts = placed.select(*docs.columns, spelled().alias(spelling), dealt.alias(chunk))
     kind = T.StructType([*docs.schema.fields, *(T.StructField(c, T.LongType()) for c in ADDED[:-1]), T.StructField(ADDED[-1], T.StringType())])
-    return texts.groupBy(chunk).cogroup(lists.groupBy(chunk)).applyInArrow(_composer(held, pattern, docs.columns, spelling), kind)
+    return texts.groupBy(chunk).cogroup(lists.groupBy(chunk)).applyInArrow(_composer(held, path_a, path_b, docs.columns, spelling), kind)
 
 
 def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -88,6 +88,7 @@ def test_segments_have_the_tokens_of_the_whole_text(both, text):
 
     pair = op.pair_of(tokenizer_path(), op.piece_path())
     parts = re.findall(pair.pattern(), " " + text)
+    assert pair.splitter()(" " + text) == parts
     assert "".join(parts) == " " + text
     if text and op.MARK not in text:
         a, b = pair.encode(parts)
