@@ -13,6 +13,7 @@ from __future__ import annotations
 import json
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -30,13 +31,14 @@ from sparquill.llm.packing import byte_ranks, tokenizer_path
 #: Whatever any of the pattern languages at hand takes for white space.
 WHITE = r"\x09-\x0D\x1C-\x20\x85\xA0\u1680\u180E\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 MARK = "\u2581"  # how pieces write a space
+BAR, END = 0xFFFFFFFF, 0xFFFFFFFE  # marks in packed groups
 HOT_BYTES = 1 << 21  # of the texts of all segments that are broadcast, at most
 HOT_PAIRS = 1 << 20  # id pairs whose counts are broadcast, at most; more are joined
 CHUNK_BYTES = 1 << 24  # of the texts of a chunk, about; fewer where the corpus is small
 HEAVY = 10_000  # a row that more than the 1/HEAVY of all rows repeat is dealt over chunks
 ADDED = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups"]
 STATS = ["n_a", "n_b", "n_groups", "n_best", "count_sum"]
-_ALIGNED = "segment string, n long, n_a int, n_b int, groups string, links array<long>"
+_ALIGNED = "segment string, n long, n_a int, n_b int, groups binary, links array<long>"
 
 
 def piece_path() -> str:
@@ -79,10 +81,6 @@ class Pair:
         end = r"(?![\s\S])"
         return rf"[{WHITE}]*[^{WHITE}]+(?:[{kept}][{WHITE}]*[^{WHITE}]+)*(?:[{kept}][{WHITE}]*{end})?|[{WHITE}]+"
 
-    def plain_pattern(self) -> str:
-        """A segment of a text whose white space is all of places to cut."""
-        return rf"[{self.cut}]*[^{self.cut}]+|[{self.cut}]+"
-
     def odd_white(self) -> str:
         """All other white space."""
         return "".join(c for c in map(chr, range(0x3001)) if re.match(f"[{WHITE}]", c) and c not in self.cut)
@@ -103,8 +101,8 @@ def pair_of(path_a: str, path_b: str) -> Pair:
     return Pair(path_a, path_b)
 
 
-def align(ids_a: list[int], ids_b: list[int], size_a: list[int], size_b: list[int]) -> tuple[str, list[int]]:
-    """Groups as text, and the links as numbers: A's id times 2**32 plus B's."""
+def align(ids_a: list[int], ids_b: list[int], size_a: list[int], size_b: list[int]) -> tuple[list[int], list[int]]:
+    """Groups, each as ids of A, BAR, ids of B, END, and the links as numbers: A's id times 2**32 plus B's."""
     groups, links, i, j, end_a, end_b, from_a, from_b = [], [], 0, 0, 0, 0, 0, 0
     while i < len(ids_a) or j < len(ids_b):
         if end_a <= end_b:
@@ -114,18 +112,41 @@ def align(ids_a: list[int], ids_b: list[int], size_a: list[int], size_b: list[in
             end_b += size_b[j]
             j += 1
         if end_a == end_b:
-            groups.append(f"{','.join(map(str, ids_a[from_a:i]))}|{','.join(map(str, ids_b[from_b:j]))}")
+            groups += [*ids_a[from_a:i], BAR, *ids_b[from_b:j], END]
             links.append(ids_a[i - 1] << 32 | ids_b[j - 1])
             from_a, from_b = i, j
-    return ";".join(groups), links
+    return groups, links
+
+
+def written(groups: bytes) -> str:
+    """Groups in the form `a1,a2|b1;a3|b2` from their ids as little-endian unsigned 32-bit numbers, or 16-bit ones after a zero byte."""
+    ids = np.frombuffer(groups, "<u2", offset=1) if len(groups) % 2 else np.frombuffer(groups, "<u4")
+    ends = (0xFFFF, 0xFFFE) if len(groups) % 2 else (BAR, END)
+    out = ",".join(["|" if k == ends[0] else ";" if k == ends[1] else str(k) for k in ids.tolist()])
+    return out.replace(",|,", "|").replace(",;,", ";").removesuffix(",;")
+
+
+def packed(groups: list[int]) -> bytes:
+    """The bytes that written() reads: two for each id where all are small."""
+    if max((k for k in groups if k < END), default=0) < 0xFFFE:
+        return b"\0" + np.array(groups, np.int64).astype("<u2").tobytes()
+    return np.array(groups, np.int64).astype("<u4").tobytes()
+
 
+def segments(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
+    """(segment, n): the distinct segments of all texts and how often each stands there, counted by batches first."""
+    schema = pa.schema([("segment", pa.string()), ("n", pa.int64())])
 
-def segments(docs: DataFrame, both: Pair) -> DataFrame:
-    """(segment, n): the distinct segments of all texts and how often each stands there."""
-    text = F.concat(F.lit(" "), F.col("spelled"))
-    general, plain = (F.regexp_extract_all(text, F.lit(p), F.lit(0)) for p in (both.pattern(), both.plain_pattern()))
-    parts = docs.select(spelled().alias("spelled")).select(F.when(text.rlike(f"[{both.odd_white()}]"), general).otherwise(plain).alias("parts"))
-    return parts.select(F.explode("parts").alias("segment")).groupBy("segment").agg(F.count("*").alias("n"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split = pair_of(path_a, path_b).splitter()
+        for batch in batches:
+            counts: Counter = Counter()
+            for text in batch.column(0):
+                counts.update(split(" " + text.as_py()))
+            yield pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], schema=schema)
+
+    texts = docs.select(spelled().alias("spelled")).where("spelled IS NOT NULL")
+    return texts.mapInArrow(run, "segment string, n long").groupBy("segment").agg(F.sum("n").alias("n"))
 
 
 def spelled() -> Column:
@@ -136,7 +157,7 @@ def spelled() -> Column:
 
 def aligned(found: DataFrame, path_a: str, path_b: str) -> DataFrame:
     """Each of the segments (segment, n) tokenised twice and aligned: n_a, n_b, groups and links."""
-    schema = pa.schema([("segment", pa.string()), ("n", pa.int64()), ("n_a", pa.int32()), ("n_b", pa.int32()), ("groups", pa.string()), ("links", pa.list_(pa.int64()))])
+    schema = pa.schema([("segment", pa.string()), ("n", pa.int64()), ("n_a", pa.int32()), ("n_b", pa.int32()), ("groups", pa.binary()), ("links", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = pair_of(path_a, path_b)
@@ -149,7 +170,7 @@ def aligned(found: DataFrame, path_a: str, path_b: str) -> DataFrame:
                     if not text.encode() == b"".join(words_a) == b"".join(words_b):
                         raise ValueError(f"tokens do not spell {text!r}")
                     groups, links = align(a, b, [len(w) for w in words_a], [len(w) for w in words_b])
-                    for column, value in zip(out, (text, n, len(a), len(b), groups, links), strict=True):
+                    for column, value in zip(out, (text, n, len(a), len(b), packed(groups), links), strict=True):
                         column.append(value)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, schema.types, strict=True)], schema=schema)
 
@@ -168,7 +189,7 @@ def _scored(found: DataFrame) -> DataFrame:
     """Aligned segments with n_best and count_sum in place of their links."""
     pairs = stored(pair_counts(found))
     n, total = pairs.agg(F.count("*"), F.sum("n_rows")).first()
-    numbers = [F.col("n_a").cast("long"), F.col("n_b").cast("long"), F.size("links").cast("long").alias("n_groups")]
+    numbers = ["n_a", "n_b", F.size("links").alias("n_groups")]
     if n <= HOT_PAIRS:
         rows = pairs.orderBy("pair").select("pair", "best", "count").toArrow()
         held = found.sparkSession.sparkContext.broadcast(tuple(rows.column(c).to_numpy() for c in ("pair", "best", "count")))
@@ -206,35 +227,40 @@ def _lookup(held: Broadcast) -> dict[str, int]:
     return _lookup.found
 
 
-def _finder(held: Broadcast, path_a: str, path_b: str):
-    @F.arrow_udf("array<string>")
-    def others(texts: pa.Array) -> pa.Array:
+def _found(rows: DataFrame, held: Broadcast, path_a: str, path_b: str) -> DataFrame:
+    """(row, times, segment): the segments of rows (row, times, spelled) that are not among the broadcast ones."""
+    schema = pa.schema([("row", pa.int64()), ("times", pa.int32()), ("segment", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, split = _lookup(held), pair_of(path_a, path_b).splitter()
-        return pa.array([list({s for s in split(" " + t.as_py()) if s not in place}) if t.is_valid else None for t in texts], pa.list_(pa.string()))
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                rows, times, texts = batch.slice(at, 512).columns
+                lists = [list({s for s in split(" " + t.as_py()) if s not in place}) for t in texts]
+                sizes = [len(x) for x in lists]
+                columns = [pa.array(np.repeat(c.to_numpy(), sizes), t) for c, t in ((rows, pa.int64()), (times, pa.int32()))]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([s for x in lists for s in x], pa.string())], schema=schema)
 
-    return others
+    return rows.mapInArrow(run, "row long, times int, segment string")
 
 
 def _composer(held: Broadcast, path_a: str, path_b: str, keep: list[str], spelling: str):
     def compose(docs: pa.Table, rare: pa.Table) -> pa.Table:
         place, split = _lookup(held), pair_of(path_a, path_b).splitter()
-        own, table, names = {}, np.zeros((rare.num_rows, len(STATS)), np.int64), []
-        for k, written in enumerate(rare.column("written").to_pylist()):
-            *numbers, groups, segment = written.split(" ", len(STATS) + 1)
-            own[segment] = len(place) + k
-            table[k] = [int(x) for x in numbers]
-            names.append(groups)
+        own = {s: len(place) + k for k, s in enumerate(rare.column("segment").to_pylist())}
+        table = np.stack([rare.column(c).to_numpy() for c in STATS], axis=1).astype(np.int64)
+        names = [written(g) for g in rare.column("groups").to_pylist()]
         parts, lengths = [np.zeros(0, np.int32)], []
         for text in docs.column(spelling):
             at = [own[s] if (i := place.get(s)) is None else i for s in split(" " + text.as_py())] if text.is_valid else []
             parts.append(np.array(at, np.int32))
             lengths.append(len(at))
         at, ends = np.concatenate(parts), np.concatenate([[0], np.cumsum(lengths, dtype=np.int32)])
-        groups = pa.concat_arrays([held.value[2].cast(pa.large_string()), pa.array(names, pa.large_string())])
-        written = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), groups.take(pa.array(at))), pa.scalar(";", pa.large_string()))
+        groups = pa.concat_arrays([held.value[2], pa.array(names, pa.large_string())])
+        text = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), groups.take(pa.array(at))), pa.scalar(";", pa.large_string()))
         values = [np.concatenate([held.value[1][:, k], table[:, k]])[at] for k in range(len(STATS))]
         n_a, n_b, n_groups, n_best, count_sum = (pa.array(np.diff(np.concatenate([[0], np.cumsum(v)])[ends]), pa.int64()) for v in values)
-        return pa.table([*(docs.column(c) for c in keep), n_a, n_b, n_groups, n_groups, n_best, count_sum, written.cast(pa.string())], names=[*keep, *ADDED])
+        return pa.table([*(docs.column(c) for c in keep), n_a, n_b, n_groups, n_groups, n_best, count_sum, text.cast(pa.string())], names=[*keep, *ADDED])
 
     return compose
 
@@ -251,28 +277,27 @@ def align_tokenizers(docs: DataFrame, path_a: str | None = None, path_b: str | N
     path_a, path_b = path_a or tokenizer_path(), path_b or piece_path()
     docs = docs.drop(*ADDED)
     spelling, chunk, row, times = fresh(docs, "spelling", "chunk", "row", "times")
-    found = stored(aligned(segments(docs, pair_of(path_a, path_b)), path_a, path_b), codec="zstd")
+    found = stored(aligned(segments(docs, path_a, path_b), path_a, path_b), codec="zstd")
     table = _scored(found)
     n_bytes = found.agg(F.sum(F.col("n") * F.octet_length("segment"))).first()[0] or 0
     often = _hot(found, hot_bytes)
     rows = table.where(often).select("segment", *STATS, "groups").toArrow()
     stats = np.stack([rows.column(c).to_numpy() for c in STATS], axis=1).astype(np.int64).reshape(-1, len(STATS))
-    held = docs.sparkSession.sparkContext.broadcast((rows.column("segment").combine_chunks(), stats, rows.column("groups").combine_chunks()))
+    held = docs.sparkSession.sparkContext.broadcast((rows.column("segment").combine_chunks(), stats, pa.array([written(g) for g in rows.column("groups").to_pylist()], pa.large_string())))
 
     chunks = max(math.isqrt(n_bytes // 4096), n_bytes // chunk_bytes) + 1
     here = F.xxhash64("doc_id", text_of())
     copies = docs.groupBy(here.alias(row)).agg(F.count("*").alias(times))
     least = max(1, docs.count() // HEAVY)
-    heavy = copies.where(F.col(times) > least).select(row, F.lit(min(chunks, 64)).alias(times))  # under HEAVY rows
+    heavy = copies.where(F.col(times) > least).select(row, F.lit(min(chunks, 64)).cast("int").alias(times))  # under HEAVY rows
     placed = docs.withColumn(row, here).join(F.broadcast(heavy), row, "left")
     one = F.coalesce(F.col(times), F.lit(1))
 
-    needed = placed.select(row, one.alias(times), _finder(held, path_a, path_b)(spelled()).alias("segments"))
-    needed = needed.select(row, F.explode(F.sequence(F.lit(0), F.col(times) - 1)).alias("k"), "segments").select(F.pmod(F.col(row) + F.col("k"), F.lit(chunks)).alias(chunk), F.explode("segments").alias("segment"))
+    needed = _found(placed.select(row, one, spelled().alias("spelled")).where("spelled IS NOT NULL"), held, path_a, path_b)
+    needed = needed.select(F.explode(F.sequence(F.lit(0), F.col("times") - 1)).alias("k"), "row", "segment").select(F.pmod(F.col("row") + F.col("k"), F.lit(chunks)).cast("int").alias(chunk), "segment")
     needed = needed.groupBy("segment").agg(F.collect_set(chunk).alias("chunks"))  # at most as many as there are chunks
-    written = F.concat_ws(" ", *STATS, "groups", "segment").alias("written")  # one short string; only the last part can hold a space
-    lists = needed.join(table.where(~often), "segment").select("chunks", written).select(F.explode("chunks").alias(chunk), "written")
-    dealt = F.pmod(F.col(row) + F.pmod(F.xxhash64(row_key()), one), F.lit(chunks))
+    lists = needed.join(table.where(~often), "segment").select(F.explode("chunks").alias(chunk), "segment", *STATS, "groups")
+    dealt = F.pmod(F.col(row) + F.pmod(F.xxhash64(row_key()), one), F.lit(chunks)).cast("int")
     texts = placed.select(*docs.columns, spelled().alias(spelling), dealt.alias(chunk))
     kind = T.StructType([*docs.schema.fields, *(T.StructField(c, T.LongType()) for c in ADDED[:-1]), T.StructField(ADDED[-1], T.StringType())])
     return texts.groupBy(chunk).cogroup(lists.groupBy(chunk)).applyInArrow(_composer(held, path_a, path_b, docs.columns, spelling), kind)

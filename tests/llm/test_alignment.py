@@ -119,3 +119,9 @@ def test_pair_counts_by_a_join(spark, both, monkeypatch):
 def test_query(spark, sf_dir):
     row = op.op11_tokenizer_alignment(spark, sf_dir).where("n_a > 0").first()
     assert len(row.groups_sha256) == 64 and row.n_links == row.n_groups > 0
+
+
+def test_packed_groups_of_small_and_large_ids():
+    for big in (3, 0xFFFD, 0xFFFE, 0xFFFF, 70000):
+        assert op.written(op.packed([big, 1, op.BAR, 2, op.END, 5, op.BAR, 7, big, op.END])) == f"{big},1|2;5|7,{big}"
+    assert op.written(op.packed([])) == ""
