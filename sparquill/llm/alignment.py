@@ -32,7 +32,7 @@ from sparquill.llm.packing import byte_ranks, tokenizer_path
 WHITE = r"\x09-\x0D\x1C-\x20\x85\xA0\u1680\u180E\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 MARK = "\u2581"  # how pieces write a space
 BAR, END = 0xFFFFFFFF, 0xFFFFFFFE  # marks in packed groups
-HOT_BYTES = 1 << 21  # of the texts of all segments that are broadcast, at most
+HOT_BYTES = 3 << 20  # of the texts of all segments that are broadcast, at most
 HOT_PAIRS = 1 << 20  # id pairs whose counts are broadcast, at most; more are joined
 CHUNK_BYTES = 1 << 24  # of the texts of a chunk, about; fewer where the corpus is small
 HEAVY = 10_000  # a row that more than the 1/HEAVY of all rows repeat is dealt over chunks
