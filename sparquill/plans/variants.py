@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sparquill.operators import fuzzy
 from sparquill.operators import variants as op
 from sparquill.plans.search import BASE
 from sparquill.sources.tables import table
@@ -35,6 +36,13 @@ def phrase_bonuses(spark, d):
     return op.phrase_hits(_docs(spark, d), {q["name"]: q["phrases"] for q in ASKED}).withColumn("times", F.round("times", 6))
 
 
+def fuzzy_keywords(spark, d):
+    """Words of part names as keywords, in the texts of documents; tests hold it against difflib."""
+    names = table(spark, d, "part").select(F.explode(F.split(F.lower("p_name"), r"\s+")).alias("keyword"))
+    names = names.unionAll(spark.createDataFrame([(x,) for x in ("license", "agreement", "copyright", "warranty")], "keyword string"))
+    return fuzzy.fuzzy_keywords(table(spark, d, "documents"), names, 0.8).withColumn("ratio", F.round("ratio", 6))
+
+
 _OKAPI = """
 plain AS (SELECT term, df, ln((n - df + 0.5) / (df + 0.5)) AS idf FROM df, n),
 idf AS (SELECT term, CASE WHEN idf < 0 THEN 0.25 * (SELECT avg(idf) FROM plain) ELSE idf END AS idf FROM plain),
@@ -65,4 +73,4 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY combined DESC, sc
 SELECT query, rank, doc_id, round(score, 6) AS score, round(normalized, 6) AS normalized, round(overlap, 6) AS overlap, round(bonus, 6) AS bonus, round(combined, 6) AS combined FROM r WHERE rank <= 25""",
 }
 
-QUERIES = {f.__name__: f for f in (variant_search, okapi_scores, phrase_bonuses)}
+QUERIES = {f.__name__: f for f in (variant_search, okapi_scores, phrase_bonuses, fuzzy_keywords)}
