@@ -95,8 +95,8 @@ def codes_in_responses(spark, d):
 
 
 def sibling_keywords(spark, d):
-    dim = spark.createDataFrame([(k, c) for k, c, _ in DIM], "keyword string, category string")
-    return op.siblings(dim, "of").withColumn("categories", F.array_join("categories", ","))
+    dim = table(spark, d, "part").select(F.explode(F.split("p_name", " ")).alias("keyword"), F.col("p_brand").alias("category"))
+    return op.siblings(dim, "red").withColumn("categories", F.array_join("categories", ","))
 
 
 def includes(spark, d):
@@ -118,12 +118,18 @@ NAMES = ["BICFI", "clrSysMmbId", "Nm", "PstlAdr", "ctryOfRes", "IBAN", "other",
 TYPES = ["int(32)", "INT(16)", "INT", "real(64)", "REAL(9)", " unsigned(8)", "STRING", "foo", "int(7)", "FIXED"]
 
 
+def _dealt(spark, d, values):
+    """Each order with its place in a list of values, and the value there."""
+    nr = (F.col("o_orderkey") % len(values)).cast("int")
+    return table(spark, d, "orders").select(nr.alias("nr"), F.element_at(F.array(*[F.lit(v) for v in values]), nr + 1).alias("v"))
+
+
 def repair_texts(spark, d):
-    return spark.createDataFrame([(n,) for n in NAMES], "field string").select("field", fields.repair_text(F.col("field")).alias("text"))
+    return _dealt(spark, d, NAMES).groupBy(F.col("v").alias("field"), fields.repair_text(F.col("v")).alias("text")).agg(F.count("*").alias("n"))
 
 
 def plain_types(spark, d):
-    return spark.createDataFrame([(n,) for n in TYPES], "name string").select("name", fields.plain_type(F.col("name")).alias("type"))
+    return _dealt(spark, d, TYPES).groupBy(F.col("v").alias("name"), fields.plain_type(F.col("v")).alias("type")).agg(F.count("*").alias("n"))
 
 
 def address_countries(spark, d):
@@ -142,13 +148,13 @@ VALUES_ = ["EUR", "eur", "EU", "E1R", " Name ", "", None, "a-b", "DEUTDEFF", "DE
 
 
 def field_checks(spark, d):
-    rows = spark.createDataFrame([(k, v) for k, v in enumerate(VALUES_)], "nr int, v string")
+    rows = _dealt(spark, d, VALUES_)
     kinds = {"text": fields.text_check(F.col("v"), 2, 5, False), "currency": fields.code_check(F.col("v"), 3), "bic": fields.bic_check(F.col("v"))}
     out = None
     for k, c in kinds.items():
         own = rows.select("nr", F.lit(k).alias("kind"), F.explode(c).alias("x")).select("nr", "kind", "x.level")
         out = own if out is None else out.unionAll(own)
-    return out
+    return out.groupBy("nr", "kind", "level").agg(F.count("*").alias("n"))
 
 
 def repair_needs(spark, d):
@@ -182,17 +188,17 @@ SQL = {
     "party_view": "SELECT c_custkey AS k, c_name AS name, c_nationkey AS amount FROM customer",
     "code_series": "SELECT o_custkey AS k, count(*) FILTER (o_orderkey % 3 = 0 AND o_orderkey % 2 = 0) AS fired_8, count(*) FILTER (o_orderkey % 3 = 0 AND o_orderkey % 2 = 1) AS fired_9, count(*) FILTER (o_orderkey % 3 = 1 AND o_orderkey % 2 = 0) AS eligible_8, count(*) FILTER (o_orderkey % 3 = 1 AND o_orderkey % 2 = 1) AS eligible_9 FROM orders GROUP BY 1",
     "codes_in_responses": "WITH x AS (SELECT o_orderkey, o_custkey, 6000 + o_orderkey % 5000 AS c FROM orders) SELECT o_orderkey, CAST(c AS VARCHAR) AS code FROM x WHERE c < 10000 UNION ALL SELECT o_orderkey, c || '_BNFBNK' FROM x WHERE c < 10000 AND o_custkey % 3 = 0",
-    "sibling_keywords": f"WITH dim(keyword, category, priority) AS (VALUES {VALUES}) SELECT keyword, string_agg(DISTINCT category, ',' ORDER BY category) AS categories FROM dim WHERE keyword <> 'of' AND category IN (SELECT category FROM dim WHERE keyword = 'of') GROUP BY 1",
+    "sibling_keywords": f"WITH dim AS (SELECT unnest(string_split(p_name, ' ')) AS keyword, p_brand AS category FROM part) SELECT keyword, string_agg(DISTINCT category, ',' ORDER BY category) AS categories FROM dim WHERE keyword <> 'red' AND category IN (SELECT category FROM dim WHERE keyword = 'red') GROUP BY 1",
     "includes": "SELECT p_partkey AS file, 'include' AS kind, 'lib_' || p_size AS name FROM part UNION ALL SELECT p_partkey, 'define', 'd_' || p_partkey FROM part",
     "index_profile": f"WITH x AS (SELECT lang, CAST(ceil(len({TOK}) / 100) AS BIGINT) AS c, length(text) AS n FROM documents) SELECT lang, count(*) AS docs, CAST(sum(c) AS BIGINT) AS chunks, round(avg(c), 4) AS mean_chunks, round(sum(n) / sum(c), 4) AS mean_length FROM x GROUP BY 1",
     "party_hints": f"WITH h AS (SELECT {list(fields.HINTS)} AS s, {list(fields.HINTS.values())} AS l), x AS (SELECT o_orderkey % 12 + 1 AS k FROM orders) SELECT coalesce(s[k], '-') AS short, coalesce(l[k], '-') AS name, count(*) AS n FROM x, h GROUP BY 1, 2",
-    "repair_texts": "SELECT unnest(['BICFI', 'clrSysMmbId', 'Nm', 'PstlAdr', 'ctryOfRes', 'IBAN', 'other', 'ClrSysId']) AS field, unnest(['BIC looked up from Clearing System ID', 'National clearing code looked up from BIC', 'Name looked up from BIC', 'Address looked up from BIC', 'Country Code extracted from address', 'IBAN validated and formatted', 'other field added or corrected', 'Clearing System ID identified']) AS text",
-    "plain_types": f"SELECT unnest({TYPES}) AS name, unnest(['INT32', 'INT16', 'INT', 'REAL64', 'REAL', 'UNSIGNED', 'STRING', 'UNKNOWN', 'INT', 'FIXED']) AS type",
+    "repair_texts": """WITH e AS (SELECT unnest(['BICFI', 'clrSysMmbId', 'Nm', 'PstlAdr', 'ctryOfRes', 'IBAN', 'other', 'ClrSysId']) AS field, unnest(['BIC looked up from Clearing System ID', 'National clearing code looked up from BIC', 'Name looked up from BIC', 'Address looked up from BIC', 'Country Code extracted from address', 'IBAN validated and formatted', 'other field added or corrected', 'Clearing System ID identified']) AS text), o AS (SELECT o_orderkey % 8 AS nr, count(*) AS n FROM orders GROUP BY 1) SELECT field, text, n FROM (SELECT *, row_number() OVER () - 1 AS nr FROM e) JOIN o USING (nr)""",
+    "plain_types": f"""WITH e AS (SELECT unnest({TYPES}) AS name, unnest(['INT32', 'INT16', 'INT', 'REAL64', 'REAL', 'UNSIGNED', 'STRING', 'UNKNOWN', 'INT', 'FIXED']) AS type), o AS (SELECT o_orderkey % 10 AS nr, count(*) AS n FROM orders GROUP BY 1) SELECT name, type, n FROM (SELECT *, row_number() OVER () - 1 AS nr FROM e) JOIN o USING (nr)""",
     "address_countries": "SELECT CASE WHEN c_custkey % 5 = 0 THEN 'FR' WHEN c_custkey % 2 = 0 THEN CASE WHEN c_custkey % 3 = 0 THEN 'DE' ELSE 'US' END WHEN c_nationkey % 2 = 0 THEN 'IT' ELSE '-' END AS country, count(*) AS n FROM customer GROUP BY 1",
     "length_violations": "WITH x AS (SELECT p_partkey, p_name || ' ' || p_type || ' ' || p_brand AS v FROM part) SELECT p_partkey, length(v) AS length, 27 AS most, left(v, 30) || CASE WHEN length(v) > 30 THEN '...' ELSE '' END AS preview FROM x WHERE length(v) > 27",
-    "field_checks": """SELECT unnest([0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11]) AS nr, 'text' AS kind, unnest(['PASS', 'PASS', 'PASS', 'PASS', 'ERROR', 'ERROR', 'ERROR', 'ERROR', 'ERROR', 'ERROR', 'ERROR', 'ERROR']) AS level
+    "field_checks": """WITH e AS (SELECT unnest([0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11]) AS nr, 'text' AS kind, unnest(['PASS', 'PASS', 'PASS', 'PASS', 'ERROR', 'ERROR', 'ERROR', 'ERROR', 'ERROR', 'ERROR', 'ERROR', 'ERROR']) AS level
       UNION ALL SELECT unnest([0, 1, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11]), 'currency', unnest(['PASS', 'WARNING', 'PASS', 'ERROR', 'ERROR', 'ERROR', 'ERROR', 'ERROR', 'ERROR', 'ERROR', 'ERROR', 'ERROR', 'ERROR'])
-      UNION ALL SELECT unnest([0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11]), 'bic', unnest(['ERROR', 'ERROR', 'ERROR', 'ERROR', 'ERROR', 'ERROR', 'ERROR', 'ERROR', 'PASS', 'ERROR', 'ERROR', 'PASS'])""",
+      UNION ALL SELECT unnest([0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11]), 'bic', unnest(['ERROR', 'ERROR', 'ERROR', 'ERROR', 'ERROR', 'ERROR', 'ERROR', 'ERROR', 'PASS', 'ERROR', 'ERROR', 'PASS'])), o AS (SELECT o_orderkey % 12 AS nr, count(*) AS n FROM orders GROUP BY 1) SELECT nr, kind, level, n * count(*) AS n FROM e JOIN o USING (nr) GROUP BY nr, kind, level, n""",
     "repair_needs": "SELECT p_partkey, p_size % 2 = 0 AND p_size % 7 <> 0 AS country_from_bic, p_size % 3 = 0 AND p_size % 2 <> 0 AND p_size % 7 <> 0 AS country_from_iban, p_size % 5 = 0 AND p_size % 2 <> 0 AS bic_from_clearing, p_size % 2 = 0 AND p_size % 4 <> 0 AS name_from_bic, length(p_type) * (1 + p_size % 5) > 140 OR 1 + p_size % 5 > 3 AS address_standardised, p_size > 20 AS remittance_split FROM part",
     "metadata_forms": """SELECT CASE p_size % 4 WHEN 0 THEN '{"a": 1}' WHEN 1 THEN '{"value":"plain"}' WHEN 2 THEN '{"value":"7"}' ELSE '{}' END AS metadata, count(*) AS n FROM part GROUP BY 1""",
     "keyword_places": """WITH x AS (SELECT doc_id, text, string_split(lower(text), 'license') AS p FROM documents), y AS (SELECT doc_id, text, p, unnest(range(len(p) - 1)) AS nr FROM x), z AS (SELECT doc_id, text, nr, CAST(list_sum(list_transform(p[1:nr + 1], lambda s: length(s))) + 7 * nr AS INT) AS start FROM y)

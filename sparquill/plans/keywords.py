@@ -91,8 +91,13 @@ def keyword_compare(spark, d):
     return op.compare(op.mappings(docs, dim), op.mappings(after, dim))
 
 
+def _parts(spark, d):
+    """Words of part names as keywords of brands."""
+    return table(spark, d, "part").select(F.explode(F.split("p_name", " ")).alias("keyword"), F.col("p_brand").alias("category")).distinct()
+
+
 def keyword_specificity(spark, d):
-    return op.specificity(op.taxonomy(spark, MORE))
+    return op.specificity(op.taxonomy(spark, MORE).select("keyword", "category").unionAll(_parts(spark, d)))
 
 
 def keyword_scores(spark, d):
@@ -109,9 +114,11 @@ def capability_scores(spark, d):
 
 
 def keyword_in_all(spark, d):
-    return op.implementing_all(op.taxonomy(spark, MORE), ["article", "link", "legal"])
+    known = op.taxonomy(spark, MORE).select("keyword", "category").unionAll(_parts(spark, d))
+    return op.implementing_all(known, ["article", "link", "legal"]).unionAll(op.implementing_all(known, ["Brand#1", "Brand#2", "Brand#3"]))
 
 
+PARTS = f"SELECT keyword, category FROM (VALUES {MORE_VALUES}) v(keyword, category, priority) UNION ALL SELECT DISTINCT unnest(string_split(p_name, ' ')), p_brand FROM part"
 ROLL = "count(DISTINCT keyword) AS keywords, count(DISTINCT doc_id) AS docs, round(avg(relevance), 4) AS mean, median(relevance) AS median, count(*) AS n"
 
 
@@ -148,10 +155,10 @@ SQL = {
     "keyword_query_documents": f"{HEAD} SELECT doc_id, count(DISTINCT keyword) AS matched, max(relevance) AS best, round(avg(relevance), 4) AS mean, round(count(DISTINCT keyword) / 3, 4) AS coverage FROM f WHERE keyword IN ('the', 'of', 'license') GROUP BY 1 ORDER BY 2 DESC, 4 DESC, 1 LIMIT 25",
     "keyword_coverage": f"{HEAD} SELECT keyword, count(DISTINCT doc_id) AS docs, count(*) AS chunks, array_to_string(list_sort(list_distinct(list(doc_id)))[1:3], ',') AS samples FROM f GROUP BY 1",
     "keyword_compare": rf"{HEAD}, a AS (SELECT keyword, count(DISTINCT doc_id) AS old FROM f GROUP BY 1), h AS (SELECT DISTINCT doc_id, unnest({TOK.replace('text', "regexp_replace(text, '^[^" + chr(92) + "n]*" + chr(92) + "n', '')")}) AS keyword FROM documents), b AS (SELECT keyword, count(*) AS new FROM h JOIN dim USING (keyword) GROUP BY 1) SELECT keyword, old, new, CASE WHEN new > old THEN 'improved' WHEN new < old THEN 'degraded' ELSE 'unchanged' END AS change FROM a JOIN b USING (keyword)",
-    "keyword_specificity": f"WITH dim(keyword, category, priority) AS (VALUES {MORE_VALUES}) SELECT keyword, round(1 / (1 + count(*)), 6) AS specificity, count(*) > 3 AS too_many FROM dim GROUP BY 1",
+    "keyword_specificity": f"WITH dim(keyword, category) AS ({PARTS}) SELECT keyword, round(1 / (1 + count(*)), 6) AS specificity, count(*) > 3 AS too_many FROM dim GROUP BY 1",
     "keyword_scores": f"WITH {_scores(['the', 'license', 'and'], 'of', 10)} SELECT doc_id, keyword, score, place FROM kk",
     "capability_scores": f"WITH dim(keyword, category, priority) AS (VALUES {MORE_VALUES}), {_scores([k for k, _, _ in DIM], 'of', 20)}, c AS (SELECT doc_id, category, sum(score) AS s FROM kk JOIN dim USING (keyword) GROUP BY 1, 2) SELECT doc_id, category, round(s / max(s) OVER (PARTITION BY doc_id), 6) AS score FROM c",
-    "keyword_in_all": f"WITH dim(keyword, category, priority) AS (VALUES {MORE_VALUES}) SELECT keyword FROM dim WHERE category IN ('article', 'link', 'legal') GROUP BY 1 HAVING count(DISTINCT category) = 3",
+    "keyword_in_all": f"WITH dim(keyword, category) AS ({PARTS}) SELECT keyword FROM dim WHERE category IN ('article', 'link', 'legal') GROUP BY 1 HAVING count(DISTINCT category) = 3 UNION ALL SELECT keyword FROM dim WHERE category IN ('Brand#1', 'Brand#2', 'Brand#3') GROUP BY 1 HAVING count(DISTINCT category) = 3",
 }
 
 QUERIES = {f.__name__: f for f in (

@@ -60,26 +60,27 @@ def name_suggestions(spark, d):
     return op.suggestions(names, "rd wdget").withColumn("score", F.round("score", 6))
 
 
-ASKS = ["Red Widget part", "the license of it", "blue bolt", "is it a licensed License", "one", "green widget or red bolts now"]
+# Queries are made of the names of parts, in words of either engine.
+ASKS = "SELECT DISTINCT concat(CASE WHEN p_size % 3 = 0 THEN upper(p_name) ELSE p_name END, CASE p_size % 5 WHEN 0 THEN ' the license of it' WHEN 1 THEN ' is it a licensed License' WHEN 2 THEN ' or red bolts now' ELSE '' END) AS query"
 SYNONYMS = [("red", ["crimson", "scarlet", "ruby"]), ("widget", ["gadget"]), ("bolt", ["screw", "pin"])]
 KNOWN = [("red widget", ["red gadget"]), ("fastener", ["bolt", "screw"])]
 
 
-def _asks(spark):
-    return spark.createDataFrame([(q,) for q in ASKS], "query string")
+def _asks(spark, d):
+    return spark.sql(f"{ASKS} FROM {{part}}", part=table(spark, d, "part"))
 
 
 def query_expansion(spark, d):
     more = spark.createDataFrame(SYNONYMS, "stem string, synonyms array<string>")
-    return op.expanded(_asks(spark), more).select("query", F.array_join("terms", ",").alias("terms"))
+    return op.expanded(_asks(spark, d), more).select("query", F.array_join("terms", ",").alias("terms"))
 
 
 def query_terms(spark, d):
-    return op.known_terms(_asks(spark), spark.createDataFrame(KNOWN, "term string, variations array<string>"))
+    return op.known_terms(_asks(spark, d), spark.createDataFrame(KNOWN, "term string, variations array<string>"))
 
 
 def query_keywords(spark, d):
-    return op.query_keywords(_asks(spark), spark.createDataFrame([(k, p) for k, _, p in DIM], "keyword string, priority string"))
+    return op.query_keywords(_asks(spark, d), spark.createDataFrame([(k, p) for k, _, p in DIM], "keyword string, priority string"))
 
 
 def keyword_patterns(spark, d):
@@ -136,7 +137,7 @@ BM = f"""{BASE.replace('documents', 'r').replace(SPLIT, 'w')} q AS (SELECT unnes
 bm AS (SELECT doc_id, sum(ln((n.n - df.df + 0.5) / (df.df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / a))) AS score FROM tc JOIN q USING (term) JOIN df USING (term), n, avgdl GROUP BY doc_id),
 top AS (SELECT doc_id, round(score, 9) AS bm25_score FROM bm WHERE score > 0.01 ORDER BY 2 DESC, 1 LIMIT 100)"""
 LINES = "p AS (SELECT doc_id AS name, upper(replace(text, ', ', ' ! ')) AS up FROM documents)"
-ASK_VALUES = "a AS (SELECT unnest([" + ", ".join(f"'{q}'" for q in ASKS) + "]) AS query)"
+ASK_VALUES = f"a AS ({ASKS} FROM part)"
 
 
 def _times(phrase):
