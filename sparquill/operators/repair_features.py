@@ -118,7 +118,7 @@ def mentioned(features: dict[str, dict[str, str]]) -> list[str]:
 
 _SCALAR = "kind NOT IN ('object', 'array', 'null')"
 _COUNTS = {
-    "flags_true": "count_if(top = 'flags' AND size(at) = 2 AND kind NOT IN ('object', 'array', 'null') AND value NOT IN ('', 'false', '0'))",
+    "flags_true": "count_if(top = 'flags' AND size(at) = 2 AND " + _SCALAR + " AND value NOT IN ('', 'false', '0'))",
     "fields": "count_if(member AND kind NOT IN ('object', 'array'))", "leaves": "count_if(kind NOT IN ('object', 'array'))", "depth": "max(size(at))", "arrays": "count_if(member AND kind = 'array')",
     "empties": "count_if(member AND (kind = 'null' OR value = '' OR (kind = 'array' AND value = '[]')))", "entities": "count_if(size(at) = 1 AND kind = 'object')",
     "agents": "count_if(size(at) = 1 AND contains(top, 'agt'))", "parties": "count_if(size(at) = 1 AND top IN ('cdtr', 'dbtr'))",
