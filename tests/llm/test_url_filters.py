@@ -3,6 +3,9 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import pytest
+from pyspark.sql import functions as F
+
 from sparquill.llm import url_filters as op
 from sparquill.llm.common import read
 
@@ -58,6 +61,12 @@ def test_bad_branch_is_blocked_and_good_siblings_merge(spark):
     assert {r.verdict for r in found if "/spam/" not in r.path} == {"allow"}
 
 
+def differs(own, together, siblings):
+    share = together[0] / max(sum(together), 1)
+    spread = (op.SIMILAR_Z**2 + 2 * math.log(siblings)) * sum(own) * share * (1 - share)
+    return sum(own) >= op.LEAST_LABELS and (own[0] - share * sum(own)) ** 2 > spread
+
+
 def brute_tree(urls, labels):
     """(template, labelled, purity, verdict) of each url, by recursion in plain Python."""
     counts = defaultdict(Counter)
@@ -72,15 +81,19 @@ def brute_tree(urls, labels):
             template.update({(host, g): prefix + rest for g, rest in rows.items()})
             return
         skip = next(i for i in range(9999) if len({r[i : i + 1] for r in rows.values()}) > 1)
-        weight, children = Counter(), defaultdict(dict)
+        weight, labelled, children = Counter(), defaultdict(lambda: [0, 0]), defaultdict(dict)
         for g, rest in rows.items():
             if len(rest) > skip:
                 weight[rest[skip]] += sum(counts[host][(g, x)] for x in (None, True, False))
-        n, wide = sum(weight.values()), len(weight) > op.MOST_LITERALS
-        wide = wide or n >= op.FEW_ROWS and len(weight) > op.SPREAD * n
+                for i, bad in enumerate((True, False)):
+                    labelled[rest[skip]][i] += counts[host][(g, bad)]
+        n = sum(weight.values())
+        wide = n >= op.FEW_ROWS and len(weight) > op.SPREAD * n
+        together = [sum(x[i] for x in labelled.values()) for i in (0, 1)]
         for g, rest in rows.items():
             if len(rest) > skip:
-                children["*" if wide else rest[skip]][g] = rest[skip + 1 :]
+                literal = not wide or differs(labelled[rest[skip]], together, len(weight))
+                children[rest[skip] if literal else "*"][g] = rest[skip + 1 :]
             else:
                 template[(host, g)] = prefix + rest
         for s, below in children.items():
@@ -106,11 +119,9 @@ def brute_tree(urls, labels):
             pools[(host, t[:k] + ("*",) + t[k + 1 :])].append(t)
         move = {}
         for (host, pool), siblings in pools.items():
-            b, n = (sum(f(branch[(host, t)]) for t in siblings) for f in (lambda x: x[0], sum))
-            share = b / max(n, 1)
+            together = [sum(branch[(host, t)][i] for t in siblings) for i in (0, 1)]
             for t in siblings:
-                own = branch[(host, t)]
-                if len(siblings) > 1 and not abs(own[0] - share * sum(own)) > op.SIMILAR_Z * math.sqrt(sum(own) * share * (1 - share)):
+                if len(siblings) > 1 and not differs(branch[(host, t)], together, len(siblings)):
                     move[(host, t)] = pool
         merged = {x: move.get((x[0], t), t) for x, t in merged.items()}
     total = defaultdict(lambda: [0, 0])
@@ -126,7 +137,8 @@ def brute_tree(urls, labels):
         t = merged[(host, template[(host, tuple("*" if re.search(op.IDENTIFIER, s) else s for s in path.split("/") if s))])]
         bad, good = total[(host, t)]
         purity = (bad + op.SMOOTHING * prior) / (bad + good + op.SMOOTHING)
-        out[k] = ("/" + "/".join(t), bad + good, round(purity, 9), verdict or ("block" if purity > limit else "allow"))
+        least = purity - op.REJECT_Z * math.sqrt(max(purity * (1 - purity), 0) / (bad + good + op.SMOOTHING))
+        out[k] = ("/" + "/".join(t), bad + good, round(purity, 9), verdict or ("block" if least > limit else "allow"))
     return out
 
 
@@ -152,7 +164,7 @@ def test_tree_of_the_whole_table_is_that_of_brute_force(spark):
 def test_random_trees_are_those_of_brute_force(spark):
     rng = random.Random(5)
     urls, labels = {}, {}
-    for k in range(1500):
+    for k in range(4000):
         depth = rng.choice([0, 1, 2, 3, 5, 14])
         parts = [rng.choice("abc" if i % 3 else ["x", "y", f"slug-{rng.randint(0, 400)}", str(k)]) for i in range(depth)]
         urls[k] = f"http://{rng.choice(['one', 'two', 'three'])}.test/" + "/".join(parts)
@@ -169,6 +181,36 @@ def test_a_bad_branch_below_many_levels_is_found(spark):
     assert {r.verdict for r in found if "/spam/" in r.path} == {"block"} and {r.verdict for r in found if "/spam/" not in r.path} == {"allow"}
 
 
+@pytest.mark.parametrize("sections", [20, 40, 400, 4000])
+def test_a_bad_section_is_blocked_among_any_number(spark, sections):
+    each, bad = (50 if sections < 4000 else 12), 7
+    pages = spark.range(sections * each).selectExpr("id AS page_id", f"concat('https://site.test/s-', id % {sections}, 'x/', id) AS url")
+    labels = spark.range(sections * each).selectExpr("id AS page_id", f"id % {sections} = {bad} AS bad")
+    found = op.url_filter(pages, labels).groupBy("verdict").agg(F.collect_set(F.regexp_extract("path", "^/s-([0-9]+)", 1)).alias("s"), F.count("*").alias("n")).collect()
+    got = {r.verdict: (set(r.s), r.n) for r in found}
+    assert got["block"] == ({str(bad)}, each) and got["allow"][1] == (sections - 1) * each
+
+
+def test_a_bad_section_among_slugs_keeps_its_name(spark):
+    urls = {k: f"https://site.test/{'spam/' + str(k) if k % 10 == 0 else f'post-{k}-x'}" for k in range(600)}
+    found = same_tree(spark, urls, {k: k % 10 == 0 for k in urls})
+    assert {(r.template, r.verdict) for r in found} == {("/spam/*", "block"), ("/*", "allow")}
+
+
+def test_few_labels_reject_nothing(spark):
+    urls = {k: f"https://h{k % 50}.test/a/{k}" for k in range(300)}
+    found = same_tree(spark, urls, {k: k % 50 == 3 or k % 7 == 0 for k in urls})
+    assert {r.verdict for r in found} == {"allow"}
+
+
+def test_one_host_and_one_url_with_half_of_all_rows(spark):
+    rows = [(k, f"https://big.test/p-{k}-q/x") for k in range(300)] + [(k, "https://one.test/a") for k in range(300, 700)] + [(k, None) for k in range(700, 900)]
+    pages, labels = spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame([(k, k % 3 == 0) for k in range(900)], "page_id long, bad boolean")
+    found = op.url_filter(pages, labels).collect()
+    assert sorted(r.page_id for r in found) == list(range(900))
+    assert {(r.host, r.template, r.labelled) for r in found} == {("big.test", "/*/x", 300), ("one.test", "/a", 400), ("", "/", 200)}
+
+
 def test_labels_of_one_kind(spark):
     urls = {k: f"https://site.test/a/{k}" for k in range(40)}
     assert {r.verdict for r in same_tree(spark, urls, {k: False for k in urls})} == {"allow"}
