@@ -55,8 +55,13 @@ def statistics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def common_targets(edges: DataFrame, least: int = 5, samples: int = 10) -> DataFrame:
     """(dst, callers, samples): targets with at least so many incoming edges, repeats counted; their first distinct sources."""
-    found = edges.groupBy("dst", "src").agg(F.count("*").alias("k")).groupBy("dst").agg(F.sum("k").alias("callers"), F.slice(F.array_sort(F.collect_list("src")), 1, samples).alias("samples"))
-    return found.where(F.col("callers") >= least)
+    pairs = edges.groupBy("dst", "src").agg(F.count("*").alias("k"))
+    callers = pairs.groupBy("dst").agg(F.sum("k").alias("callers")).where(F.col("callers") >= least)
+    # A target's sources are ranked in parts first, so that no task holds those of one that most nodes point to.
+    part = F.pmod(F.xxhash64("src"), F.lit(1024)).alias("part")
+    first = pairs.select("dst", "src", part).withColumn("place", F.row_number().over(Window.partitionBy("dst", "part").orderBy("src"))).where(F.col("place") <= samples)
+    first = first.withColumn("place", F.row_number().over(Window.partitionBy("dst").orderBy("src"))).where(F.col("place") <= samples)
+    return callers.join(first.groupBy("dst").agg(F.array_sort(F.collect_list("src")).alias("samples")), "dst").select("dst", "callers", "samples")
 
 
 def coupling(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -181,16 +186,6 @@ def for_display(nodes: DataFrame, edges: DataFrame, most: int) -> tuple[DataFram
     return kept.select("id", "type"), induced(edges, kept)
 
 
-def hidden_cycles(edges: DataFrame, ids: list, depth: int) -> DataFrame:
-    """(id, other): pairs of given nodes that reach each other within depth steps."""
-    reached = None
-    for i in ids:
-        own = reach(edges, edges.sparkSession.createDataFrame([(i,)], "id long"), depth).where("depth > 0").select(F.lit(i).cast("long").alias("a"), F.col("id").alias("b")).where(F.col("b").isin(ids))
-        reached = own if reached is None else reached.unionAll(own)
-    reached = stored(reached)
-    return reached.join(reached.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_semi").where("a < b").toDF("id", "other")
-
-
 def named(nodes: DataFrame, names: list[str], kind: str = "procedure") -> DataFrame:
     """(asked, id, name): nodes of a kind with each name asked for; for a name that none has, those that contain it, in any case."""
     asked = nodes.sparkSession.createDataFrame([(n,) for n in dict.fromkeys(names)], "asked string")

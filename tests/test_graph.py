@@ -28,7 +28,6 @@ def test_reach_with_a_cycle_and_exclusions(spark):
     assert {r.id: r.depth for r in op.reach(e, start, 9).collect()} == {1: 0, 2: 1, 3: 2, 4: 3, 5: 4}
     assert {r.id for r in op.reach(e, start, 9, exclude=[4, 1]).collect()} == {1, 2, 3}
     assert sorted(r.path for r in op.simple_paths(e, 1, 5, 6).collect()) == [[1, 2, 3, 4, 5]]
-    assert [tuple(r) for r in op.hidden_cycles(e, [1, 3, 5], 5).collect()] == [(1, 3)]
 
 
 def test_external_placeholders_are_resolved(spark):
@@ -37,3 +36,9 @@ def test_external_placeholders_are_resolved(spark):
     nodes, edges = op.resolve_external(n, e)
     assert {r.id for r in nodes.collect()} == {"p1", "e2", "c"}
     assert {(r.src, r.dst) for r in edges.collect()} == {("c", "p1"), ("c", "e2")}
+
+
+def test_samples_of_a_target_of_all(spark):
+    e = spark.range(1, 5001).selectExpr("id AS src", "id % 2 AS dst").unionAll(spark.createDataFrame([(1, 1), (9, 7)], "src long, dst long"))
+    got = {r.dst: (r.callers, r.samples) for r in op.common_targets(e, 5, 3).collect()}
+    assert got == {0: (2500, [2, 4, 6]), 1: (2501, [1, 3, 5])}
