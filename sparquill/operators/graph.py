@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparquill.operators.ranks import first_of
 from sparquill.sources.shared import stored
 
 
@@ -57,11 +58,7 @@ def common_targets(edges: DataFrame, least: int = 5, samples: int = 10) -> DataF
     """(dst, callers, samples): targets with at least so many incoming edges, repeats counted; their first distinct sources."""
     pairs = edges.groupBy("dst", "src").agg(F.count("*").alias("k"))
     callers = pairs.groupBy("dst").agg(F.sum("k").alias("callers")).where(F.col("callers") >= least)
-    # A target's sources are ranked in parts first, so that no task holds those of one that most nodes point to.
-    part = F.pmod(F.xxhash64("src"), F.lit(1024)).alias("part")
-    first = pairs.select("dst", "src", part).withColumn("place", F.row_number().over(Window.partitionBy("dst", "part").orderBy("src"))).where(F.col("place") <= samples)
-    first = first.withColumn("place", F.row_number().over(Window.partitionBy("dst").orderBy("src"))).where(F.col("place") <= samples)
-    return callers.join(first.groupBy("dst").agg(F.array_sort(F.collect_list("src")).alias("samples")), "dst").select("dst", "callers", "samples")
+    return callers.join(first_of(pairs, "dst", "src", samples, "samples"), "dst").select("dst", "callers", "samples")
 
 
 def coupling(nodes: DataFrame, edges: DataFrame) -> DataFrame:

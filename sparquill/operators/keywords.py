@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparquill.functions import text
+from sparquill.operators.ranks import first_of
 
 PRIORITIES = ("critical", "high", "medium", "low")
 
@@ -87,8 +88,10 @@ def query_distribution(facts: DataFrame, keywords: list[str], n: int) -> DataFra
 
 def coverage(facts: DataFrame) -> DataFrame:
     """Documents, chunks and the first three documents of each keyword."""
-    first = F.array_join(F.slice(F.array_sort(F.collect_set("doc_id")), 1, 3), ",")
-    return facts.groupBy("keyword").agg(F.count_distinct("doc_id").alias("docs"), F.count("*").alias("chunks"), first.alias("samples"))
+    pairs = facts.groupBy("keyword", "doc_id").agg(F.count("*").alias("chunks"))
+    counted = pairs.groupBy("keyword").agg(F.count("doc_id").alias("docs"), F.sum("chunks").alias("chunks"))
+    first = first_of(pairs.where("doc_id IS NOT NULL"), "keyword", "doc_id", 3, "samples")
+    return counted.join(first, "keyword", "left").select("keyword", "docs", "chunks", F.array_join(F.coalesce("samples", F.array()), ",").alias("samples"))
 
 
 def compare(old: DataFrame, new: DataFrame) -> DataFrame:
