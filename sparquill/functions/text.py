@@ -95,3 +95,30 @@ def word_chunks(docs: DataFrame, size: int, overlap: int, least: int = 50) -> Da
 def numbered_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, line_no, line), from 1."""
     return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).select("doc_id", (F.col("pos") + 1).alias("line_no"), "line")
+
+
+def line_chunks(docs: DataFrame, size: int, overlap: int, least: int = 50) -> DataFrame:
+    """(doc_id, chunk_index, start_line, end_line, chunk): runs of whole lines of about `size` words, by the document's mean of words a line.
+
+    The next chunk starts about `overlap` words, one line at least, before the last one's end, but always after its
+    start; none follows the one that ends the document. A chunk of under `least` characters, white space around it left
+    out, is dropped, and the next one starts at its end. A text without words has no chunks.
+    """
+    lines = F.regexp_extract_all("text", F.lit("[^\n]*\n|[^\n]+"), F.lit(0))
+    d = docs.select("doc_id", lines.alias("l"), F.size(F.filter(F.split("text", r"\s+"), lambda w: w != "")).alias("words")).where("words > 0").withColumn("n", F.size("l"))
+    of = lambda k: F.greatest(F.lit(1), F.floor(k * F.col("n") / F.col("words")).cast("int"))
+    d = d.select("doc_id", "l", "n", of(size).alias("per"), of(overlap).alias("lap"))
+    body = lambda start, end: F.array_join(F.slice("l", start + 1, end - start), "")
+
+    def step(s: Column, _: Column) -> Column:
+        at = s["at"]
+        end = F.least(at + F.col("per"), F.col("n"))
+        short = F.length(F.regexp_replace(body(at, end), r"^\s+|\s+$", "")) < least
+        back = end - F.col("lap")
+        after = F.when(short | (end == F.col("n")) | (back <= 0), end).otherwise(F.greatest(back, at + 1))
+        more = F.when(short, F.array().cast("array<struct<a:int,b:int>>")).otherwise(F.array(F.struct(at.alias("a"), end.alias("b"))))
+        return F.when(at >= F.col("n"), s).otherwise(F.struct(after.alias("at"), F.concat(s["out"], more).alias("out")))
+
+    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<a:int,b:int>>").alias("out"))
+    cut = d.select("doc_id", "l", F.posexplode(F.aggregate(F.sequence(F.lit(1), F.col("n")), none, step)["out"]).alias("chunk_index", "c"))
+    return cut.select("doc_id", "chunk_index", (F.col("c.a") + 1).alias("start_line"), F.col("c.b").alias("end_line"), body(F.col("c.a"), F.col("c.b")).alias("chunk"))

@@ -149,6 +149,10 @@ def numbered_lines(spark, d):
     return lines.groupBy("doc_id").agg(F.max("line_no").alias("lines"), F.sum(F.length("line")).alias("chars"), F.max(F.struct(F.length("line").alias("n"), (-F.col("line_no")).alias("k"))).alias("m")).select("doc_id", "lines", "chars", F.col("m.n").alias("longest"), (-F.col("m.k")).alias("longest_at"))
 
 
+def line_chunks(spark, d):
+    return text.line_chunks(table(spark, d, "documents"), 80, 15).withColumn("chunk", F.md5("chunk"))
+
+
 def line_windows(spark, d):
     """Two lines around each line that names a license."""
     x = docs(spark, d).select("doc_id", F.split("text", "\n").alias("l"))
@@ -233,6 +237,12 @@ SQL = {
     "sentence_contexts": "SELECT doc_id, sentence FROM (SELECT doc_id, unnest(list_transform(string_split(text, '.'), lambda s: trim(s, ' '))) AS sentence FROM documents) WHERE contains(lower(sentence), 'license')",
     "query_validation": "SELECT * FROM (SELECT doc_id, CAST(contains(lower(text), 'the') AS INT) + CAST(contains(lower(text), 'license') AS INT) + CAST(contains(lower(text), 'released') AS INT) AS matched FROM documents) WHERE matched >= 2",
     "numbered_lines": "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents) SELECT doc_id, max(k) AS lines, CAST(sum(length(l)) AS BIGINT) AS chars, max(length(l)) AS longest, arg_min(k, [-length(l), k]) AS longest_at FROM l GROUP BY doc_id",
+    "line_chunks": r"""WITH RECURSIVE x AS (SELECT doc_id, regexp_extract_all(text, '[^\n]*\n|[^\n]+') AS l, len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) AS words FROM documents),
+y AS (SELECT doc_id, l, len(l) AS n, greatest(1, CAST(floor(80 * len(l) / words) AS INT)) AS per, greatest(1, CAST(floor(15 * len(l) / words) AS INT)) AS lap FROM x WHERE words > 0),
+z(doc_id, a, b, short) AS (SELECT doc_id, 0, least(per, n), length(regexp_replace(array_to_string(l[1:least(per, n)], ''), '^\s+|\s+$', '', 'g')) < 50 FROM y
+  UNION ALL SELECT doc_id, s, least(s + per, n), length(regexp_replace(array_to_string(l[s + 1:least(s + per, n)], ''), '^\s+|\s+$', '', 'g')) < 50
+  FROM (SELECT y.*, CASE WHEN short OR b = n OR b - lap <= 0 THEN b ELSE greatest(b - lap, a + 1) END AS s FROM z JOIN y USING (doc_id)) WHERE s < n)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY a) - 1 AS chunk_index, a + 1 AS start_line, b AS end_line, md5(array_to_string(l[a + 1:b], '')) AS chunk FROM z JOIN y USING (doc_id) WHERE NOT short""",
     "line_windows": "WITH x AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), h AS (SELECT doc_id, l, unnest(list_filter(range(1, len(l) + 1), lambda k: contains(lower(l[k]), 'license'))) AS line_no FROM x) SELECT doc_id, line_no, md5(array_to_string(l[greatest(1, line_no - 2) : line_no + 2], chr(10))) AS window_md5 FROM h",
     "near_duplicate_sets": f"""WITH s0 AS (SELECT doc_id, list_sort(list_distinct({TOK})) AS w FROM documents), c AS (SELECT w, min(doc_id) AS id FROM s0 WHERE len(w) > 0 GROUP BY 1), t AS (SELECT id, len(w) AS n, unnest(w) AS term FROM c),
       p AS (SELECT a.id AS doc_id, b.id AS other, any_value(a.n) AS n, any_value(b.n) AS m, count(*) AS c FROM t a JOIN t b ON a.term = b.term AND b.id < a.id AND a.n >= 0.85 * b.n AND b.n >= 0.85 * a.n GROUP BY 1, 2)
@@ -247,5 +257,5 @@ SQL = {
 QUERIES = {f.__name__: f for f in (
     bm25_topk, idf_vocabulary, idf_smoothed, tf_idf_weights, corpus_stats, tfidf_cosine, phrase_search, proximity_search, rrf_fusion, hybrid_search, normalised_scores, rerank_features,
     diversified_results, round_robin_results, fuzzy_names, contains_names, token_names, cascade_search, word_chunks, garbage_texts, sentence_contexts, query_validation, numbered_lines,
-    line_windows, near_duplicate_sets, word_lists, name_tokens, name_wildcards, word_variations, snippets, phrase_lists,
+    line_chunks, line_windows, near_duplicate_sets, word_lists, name_tokens, name_wildcards, word_variations, snippets, phrase_lists,
 )}
