@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("search", "ranking", "keywords", "identifiers", "graph", "graph_search", "rules", "validation", "mining", "learned", "nested", "inspection", "more", "repairs", "variants", "capabilities", "subgraphs", "directories", "parties")
+MODULES = ("search", "ranking", "keywords", "identifiers", "graph", "graph_search", "rules", "validation", "mining", "learned", "nested", "inspection", "more", "repairs", "variants", "capabilities", "subgraphs", "directories", "parties", "vectors")
 
 
 def _all(kind: str) -> dict:
