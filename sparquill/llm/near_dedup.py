@@ -3,8 +3,9 @@
 Fingerprints within radius r agree on at least one of r + 1 blocks of their bits, so only those that share a
 block's value can link. Those are sorted by population count and compared tile by tile with numpy exclusive-or
 and bit counts; tile pairs whose population counts differ by more than r are skipped. A tile pair returns a
-spanning forest of its links, never all pairs. A block value that more fingerprints share than a task should
-hold is cut into tiles that are compared as rows of their own.
+spanning forest of its links, never all pairs. A block value that many fingerprints share is cut once more by the
+bits outside the block, by the same pigeonhole; what is still more than a task should hold is cut into tiles that
+are compared as rows of their own.
 """
 
 from __future__ import annotations
@@ -16,13 +17,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparquill.llm.common import fresh, lower_ascii, read, row_key, spread_join, stored, text_of, words
+from sparquill.llm.common import forget, fresh, lower_ascii, read, row_key, spread_join, stored, text_of, words
 from sparquill.llm.components import components
 from sparquill.llm.votes import hex64, simhash
 
 RADIUS = 2
 TILE = 256
 PACK = 1024  # rows of small groups that are compared at once
+FINER = 8192  # rows of one block value that are compared with each other; larger ones are cut by further bits
 GROUP = 32768  # rows of one group that a task holds; larger groups are compared by tile rows
 HEAVY_TILE = 4096
 _EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -122,25 +124,71 @@ def block_keys(fingerprint: Column, radius: int) -> Column:
     return F.array(*[F.lit(k << 58).bitwiseOR(F.shiftrightunsigned(fingerprint, s).bitwiseAND(F.lit((1 << (e - s)) - 1))) for k, (s, e) in enumerate(zip(cuts, cuts[1:], strict=False))])
 
 
-def links(prints: DataFrame, radius: int = RADIUS, group: int = GROUP, heavy_tile: int = HEAVY_TILE) -> DataFrame:
-    """Edges (a, b) between distinct fingerprints that connect all that are within the radius of each other."""
+def _part_cuts(low: int, high: int, radius: int) -> list[list[tuple[int, int]]]:
+    """The bits outside low to high, in radius + 1 parts of about the same number, each as ranges of bits."""
+    rest = [k for k in range(64) if not low <= k < high]
+    edges = [len(rest) * k // (radius + 1) for k in range(radius + 2)]
+    out = []
+    for s, e in zip(edges, edges[1:], strict=False):
+        own = rest[s:e]
+        out.append([(x[0], x[-1] + 1) for x in ([k for k in own if k < low], [k for k in own if k >= high]) if x])
+    return out
+
+
+def finer_keys(g: Column, fingerprint: Column, radius: int) -> Column:
+    """Of fingerprints that share the block value g, radius + 1 keys from the other bits: those within the radius share one of them."""
+    cuts = [64 * k // (radius + 1) for k in range(radius + 2)]
+    keys = None
+    for block, (low, high) in enumerate(zip(cuts, cuts[1:], strict=False)):
+        masks = [sum(((1 << (e - s)) - 1) << s for s, e in part) for part in _part_cuts(low, high, radius)]
+        own = F.array(*[F.xxhash64(F.lit(k), g, fingerprint.bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m).cast("long"))) for k, m in enumerate(masks)])
+        keys = F.when(F.shiftrightunsigned(g, 58) == block, own) if keys is None else keys.when(F.shiftrightunsigned(g, 58) == block, own)
+    return keys
+
+
+def _sized(keyed: DataFrame) -> DataFrame:
+    """keyed (g, fingerprint) stored with the count of each g, but for those of one row; no frequent g makes a task lopsided."""
+    keyed = stored(keyed)
+    sizes = stored(keyed.groupBy("g").count().where("count > 1"))
+    rows = stored(spread_join(keyed, sizes, "g", "count", "fingerprint", keyed.count()))
+    forget(keyed)
+    forget(sizes)
+    return rows
+
+
+def links(prints: DataFrame, radius: int = RADIUS, group: int = GROUP, heavy_tile: int = HEAVY_TILE, finer: int = FINER) -> DataFrame:
+    """Edges (a, b) between distinct fingerprints that connect all that are within the radius of each other.
+
+    Block values of more than `finer` fingerprints are cut once more, by the bits outside the block, so that comparisons
+    don't grow with the square of the corpus; what more than `group` share even then is compared by tile rows.
+    """
     if not 1 <= radius <= 15:
         raise ValueError("radius must be from 1 to 15")
-    keyed = stored(prints.select(F.explode(block_keys(F.col("fingerprint"), radius)).alias("g"), "fingerprint"))
-    sizes = keyed.groupBy("g").count().where("count > 1")
-    rows = keyed.join(sizes, "g")
-    light = rows.where(F.col("count") <= group).select("g", "fingerprint").repartition("g").sortWithinPartitions("g")
-    out = light.mapInArrow(_linker(radius), "a long, b long")
+    rows = _sized(prints.select(F.explode(block_keys(F.col("fingerprint"), radius)).alias("g"), "fingerprint"))
+
+    def compared(few: DataFrame) -> DataFrame:
+        return few.select("g", "fingerprint").repartition("g").sortWithinPartitions("g").mapInArrow(_linker(radius), "a long, b long")
+
+    out = compared(rows.where(F.col("count") <= finer))
+    large = rows.where(F.col("count") > finer)
+    if large.isEmpty():
+        return out
+    cut = _sized(large.select(F.explode(finer_keys(F.col("g"), F.col("fingerprint"), radius)).alias("g"), "fingerprint"))
+    out = out.unionAll(compared(cut.where(F.col("count") <= group)))
+    rest = cut.where(F.col("count") > group)
+    return out if rest.isEmpty() else out.unionAll(_by_tiles(rest, radius, heavy_tile))
+
+
+def _by_tiles(rows: DataFrame, radius: int, size: int) -> DataFrame:
+    """Edges within each g of rows (g, fingerprint, count), tile against tile; those of one g are keys of their own by population count."""
     ones = F.bit_count("fingerprint").alias("ones")
-    heavy = rows.where(F.col("count") > group).select("g", ones, F.pmod(F.xxhash64("fingerprint"), F.ceil(F.col("count") / heavy_tile)).alias("part"), "fingerprint")
-    tiles = heavy.groupBy("g", "ones", "part").agg(F.collect_list("fingerprint").alias("f"))
-    x, y = tiles.alias("x"), tiles.alias("y")
-    ordered = F.struct("x.ones", "x.part") <= F.struct("y.ones", "y.part")
-    pairs = x.join(y, (F.col("x.g") == F.col("y.g")) & ordered & (F.col("y.ones") - F.col("x.ones") <= radius))
+    parted = rows.select("g", ones, F.pmod(F.xxhash64("fingerprint"), F.ceil(F.col("count") / size)).alias("part"), "fingerprint")
+    tiles = stored(parted.groupBy("g", "ones", "part").agg(F.collect_list("fingerprint").alias("f")))
+    met = tiles.select("g", F.explode(F.sequence(F.col("ones") - radius, "ones")).alias("at"), "ones", "part", "f")
+    x, y = tiles.alias("x"), met.alias("y")
+    pairs = x.join(y, (F.col("x.g") == F.col("y.g")) & (F.col("x.ones") == F.col("y.at")) & (F.struct("x.ones", "x.part") <= F.struct("y.ones", "y.part")))
     pairs = pairs.select(F.col("x.f").alias("a"), F.col("y.f").alias("b"), (F.struct("x.ones", "x.part") == F.struct("y.ones", "y.part")).alias("same"))
-    if sizes.where(F.col("count") > group).isEmpty():
-        return out
-    return out.unionAll(pairs.repartition(F.xxhash64("a", "b")).mapInArrow(_tile_linker(radius), "a long, b long"))
+    return pairs.repartition(F.xxhash64("a", "b")).mapInArrow(_tile_linker(radius), "a long, b long")
 
 
 def _rooted(prints: DataFrame, radius: int) -> DataFrame:
@@ -148,8 +196,10 @@ def _rooted(prints: DataFrame, radius: int) -> DataFrame:
     distinct = stored(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")))
     roots = components(links(distinct, radius)).withColumnRenamed("node", "fingerprint")
     rooted = distinct.join(roots, "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
-    least = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    return stored(rooted.select("fingerprint", "n", "root").join(least, "root").select("fingerprint", "root", "component_id", "n"))
+    rooted = stored(rooted.select("fingerprint", "low", "n", "root"))
+    least = stored(rooted.groupBy("root").agg(F.min("low").alias("component_id"), F.count("*").alias("members")))
+    out = spread_join(rooted.drop("low"), least, "root", "members", "fingerprint", rooted.count())
+    return stored(out.select("fingerprint", "root", "component_id", "n"))
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = 3) -> DataFrame:

@@ -71,8 +71,8 @@ def test_filter_keeps_one_row_of_each_component_with_null_and_repeated_ids(spark
     assert out == sorted([rows[0], rows[1], rows[3], rows[4], rows[5], rows[7]], key=str)
 
 
-@pytest.mark.parametrize("group,tile", [(32768, 4096), (40, 16)])
-def test_links_of_dense_groups(spark, group, tile):
+@pytest.mark.parametrize("group,tile,finer", [(32768, 4096, 8192), (32768, 4096, 20), (8, 4, 20), (1, 16, 1)])
+def test_links_of_dense_groups(spark, group, tile, finer):
     rng = np.random.default_rng(3)
     centres = rng.integers(0, 1 << 63, 4, dtype=np.uint64)
     prints = {int(c) for c in centres}
@@ -83,7 +83,7 @@ def test_links_of_dense_groups(spark, group, tile):
             prints.add(at)
     prints = sorted(prints)
     df = spark.createDataFrame([(int(np.uint64(p).view(np.int64)),) for p in prints], "fingerprint long")
-    edges = [(a % (1 << 64), b % (1 << 64)) for a, b in near_dedup.links(df, 2, group, tile).collect()]
+    edges = [(a % (1 << 64), b % (1 << 64)) for a, b in near_dedup.links(df, 2, group, tile, finer).collect()]
     assert all((a ^ b).bit_count() <= 64 for a, b in edges)
 
     def parts(pairs):
@@ -153,3 +153,39 @@ def test_a_join_with_a_frequent_key_spreads_its_rows(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept[0])
         spark.conf.set("spark.sql.adaptive.enabled", kept[1])
+
+
+@pytest.mark.parametrize("radius", [1, 2, 3, 6])
+def test_finer_keys_lose_no_pair_and_part_the_rest(spark, radius):
+    rng = np.random.default_rng(radius)
+    cuts = [64 * k // (radius + 1) for k in range(radius + 2)]
+    rows = []
+    for _ in range(300):
+        block = int(rng.integers(radius + 1))
+        free = [k for k in range(64) if not cuts[block] <= k < cuts[block + 1]]
+        a = int(rng.integers(0, 1 << 63, dtype=np.uint64)) << 1 | int(rng.integers(2))
+        b = a
+        for k in rng.choice(free, int(rng.integers(radius + 1)), replace=False):
+            b ^= 1 << int(k)
+        rows.append((block, *(int(np.uint64(x).view(np.int64)) for x in (a, b))))
+    df = spark.createDataFrame(rows, "block int, a long, b long")
+    key = lambda c: F.get(near_dedup.block_keys(F.col(c), radius), F.col("block"))
+    finer = lambda c: near_dedup.finer_keys(key(c), F.col(c), radius)
+    got = df.select(F.arrays_overlap(finer("a"), finer("b")).alias("met"), F.size(finer("a")).alias("n"), (key("a") == key("b")).alias("same")).collect()
+    assert all(r.met and r.n == radius + 1 and r.same for r in got)
+    assert df.select(F.explode(finer("a")).alias("k")).distinct().count() > 250 * (radius + 1) * 0.5
+
+
+def test_a_block_value_of_half_the_rows_is_cut(spark):
+    rng = np.random.default_rng(11)
+    low = rng.integers(0, 1 << 43, 6_000, dtype=np.uint64) << np.uint64(21)  # one value in the lowest 21 bits
+    rest = rng.integers(0, 1 << 63, 6_000, dtype=np.uint64)
+    prints = np.unique(np.r_[low, rest, low[:50] ^ np.uint64(1 << 30)])
+    df = spark.createDataFrame([(int(x),) for x in prints.view(np.int64)], "fingerprint long")
+    found = near_dedup.links(df, 2, finer=500)
+    edges = {frozenset(x % (1 << 64) for x in r) for r in found.collect()}
+    assert {frozenset((int(x), int(x ^ np.uint64(1 << 30)))) for x in low[:50]} <= edges
+    keyed = df.select(F.explode(near_dedup.block_keys(F.col("fingerprint"), 2)).alias("g"), "fingerprint")
+    hot = keyed.groupBy("g").count().where("count > 500").join(keyed, "g")
+    most = hot.select(F.explode(near_dedup.finer_keys(F.col("g"), F.col("fingerprint"), 2)).alias("k")).groupBy("k").count().agg(F.max("count")).first()[0]
+    assert hot.count() > 5_000 and most < 60
