@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparquill.operators.ranks import by_hash
+from sparquill.sources.shared import stored
 
 
 def co_occurrence(codes: DataFrame) -> DataFrame:
@@ -219,15 +220,44 @@ def cross_code(pairs: DataFrame, least: int) -> DataFrame:
     return f.select("function", "capabilities", F.size("capabilities").alias("n")).where(F.col("n") >= least)
 
 
+def _grams(c: str, size) -> Column:
+    """The different grams of a text, of so many characters each."""
+    size = F.lit(size) if isinstance(size, int) else size
+    starts = F.when(F.length(c) >= size, F.sequence(F.lit(1), F.length(c) - size + 1)).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(starts, lambda i: F.substring(F.col(c), i, size)))
+
+
+def containing(parts: DataFrame, wholes: DataFrame) -> DataFrame:
+    """(entity, part, whole): texts of parts (entity, text), each pair once, that those of wholes (entity, text) of the same entity contain; both sides are distinct and stored.
+
+    What contains a part has all its grams of three characters (a shorter part is its own gram), so the two meet only on
+    that gram of the part which the fewest wholes of the entity have. The empty part is in all of them.
+    """
+    held = stored(wholes.select("entity", F.col("text").alias("whole"), F.explode(F.concat(*[_grams("text", k) for k in (1, 2, 3)])).alias("gram")))
+    often = held.groupBy("entity", "gram").agg(F.count("*").alias("n"))
+    asked = parts.where("text <> ''").select("entity", F.col("text").alias("part"), F.explode(_grams("text", F.least(F.length("text"), F.lit(3)))).alias("gram"))
+    rarest = asked.join(often, ["entity", "gram"], "left").groupBy("entity", "part").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("m")).select("entity", "part", F.col("m.gram").alias("gram"))
+    met = rarest.join(held, ["entity", "gram"]).where(F.contains("whole", F.col("part"))).select("entity", "part", "whole")
+    return met.unionAll(parts.where("text = ''").join(wholes.select("entity", F.col("text").alias("whole")), "entity").select("entity", F.col("text").alias("part"), "whole"))
+
+
 def best_repair(asked: DataFrame, repairs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """asked (key, entity, message) with the id and score of the best repair (id, entity, field, message, score): of the same entity,
     with the same message or one that contains the other, from a score of threshold on; the best by score, then the smallest id.
+
+    Of equal messages of an entity one is asked for and the best repair is known, and different ones meet by containing().
     """
-    r = repairs.where(F.col("score") >= threshold).select(F.col("entity"), F.col("message").alias("known"), "id", "score")
-    a, b = F.lower("message"), F.lower("known")
-    met = asked.join(r, "entity").where((a == b) | F.contains(a, b) | F.contains(b, a))
-    best = met.groupBy("key").agg(F.min_by(F.struct("id", "score"), F.struct((-F.col("score")).alias("s"), "id")).alias("m"))
-    return best.select("key", "m.id", "m.score")
+    low = F.lower("message").alias("text")
+    best = lambda id, score, m: F.min_by(m, F.struct((-F.col(score)).alias("s"), id)).alias("m")
+    pair = F.struct("id", "score")
+    known = stored(repairs.where((F.col("score") >= threshold) & F.col("entity").isNotNull() & F.col("message").isNotNull()).groupBy("entity", low).agg(best("id", "score", pair)))
+    texts = stored(asked.where("entity IS NOT NULL AND message IS NOT NULL").select("entity", low).distinct())
+    inner = containing(known.select("entity", "text"), texts).select("entity", F.col("whole").alias("text"), F.col("part").alias("known"))
+    outer = containing(texts, known.select("entity", "text")).select("entity", F.col("part").alias("text"), F.col("whole").alias("known"))
+    met = inner.unionAll(outer).join(known.select("entity", F.col("text").alias("known"), "m"), ["entity", "known"])
+    found = met.groupBy("entity", "text").agg(best("m.id", "m.score", F.col("m")))
+    rows = asked.select("key", "entity", low).hint("merge").join(found, ["entity", "text"])
+    return rows.groupBy("key").agg(best("m.id", "m.score", F.col("m"))).select("key", "m.id", "m.score")
 
 
 def matching_spec(messages: DataFrame, specs: DataFrame) -> DataFrame:
