@@ -244,12 +244,13 @@ def settled_conflicts(predicted: DataFrame, features: DataFrame, pairs: DataFram
     flags = features.select(key, F.greatest(*wide("is_international", "int"), F.lit(0)).alias("intl"), F.greatest(*wide("bic_length", "int"), F.lit(0)).alias("bic_len"), F.lit(True).alias("known"))
     a = predicted.select(key, F.col("code").alias("code1"), F.col("p").alias("p1"))
     b = predicted.select(key, F.col("code").alias("code2"), F.col("p").alias("p2"))
-    met = a.join(pairs, "code1").join(b, [key, "code2"]).join(flags, key, "left")
+    # Well packed files look small, so without these hints a side with all payments may be broadcast.
+    met = a.join(F.broadcast(pairs), "code1").join(b.hint("merge"), [key, "code2"]).join(flags.hint("merge"), key, "left")
     base1, base2 = (F.element_at(F.split(c, "_"), 1) for c in ("code1", "code2"))
     unwanted = F.when(F.contains("hint", F.lit("is_international")), F.when(F.coalesce("intl", F.lit(0)) > 0, "8896").otherwise("8894")).when(F.contains("hint", F.lit("bic_length")), F.when(F.coalesce("bic_len", F.lit(0)) <= 4, "8001").otherwise("8005"))
     likelier = F.when(F.col("p1") >= F.col("p2"), F.col("code2")).otherwise(F.col("code1"))
     loser = F.when(F.coalesce("hint", F.lit("")) == "", likelier).when(base2 == unwanted, F.col("code2")).when(base1 == unwanted, F.col("code1"))
-    return predicted.join(met.select(key, loser.alias("code")).where("code IS NOT NULL").distinct(), [key, "code"], "left_anti")
+    return predicted.join(met.select(key, loser.alias("code")).where("code IS NOT NULL").distinct().hint("merge"), [key, "code"], "left_anti")
 
 
 def top_risks(predicted: DataFrame, key: str, n: int = 5) -> DataFrame:
