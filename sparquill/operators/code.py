@@ -50,7 +50,7 @@ def within(rows: DataFrame, procs: DataFrame) -> DataFrame:
     """rows with the `procedure` whose extent holds them; a join on the file and a range of its lines."""
     p = procs.select(F.col("file").alias("f"), F.col("name").alias("procedure"), "start_line", "end_line")
     on = (F.col("file") == F.col("f")) & F.col("line_no").between(F.col("start_line"), F.col("end_line"))
-    return rows.join(p, on, "left").drop("f", "start_line", "end_line")
+    return rows.join(p.hint("merge"), on, "left").drop("f", "start_line", "end_line")  # never broadcast: as many rows as procedures
 
 
 def calls(rows: DataFrame, procs: DataFrame) -> DataFrame:
@@ -64,7 +64,7 @@ def calls(rows: DataFrame, procs: DataFrame) -> DataFrame:
     )
     found = own.select("file", "procedure", "line_no", F.explode(every).alias("t")).select("file", "procedure", "line_no", "t.*")
     found = found.where(~F.col("target").isin(*KEYWORDS) & (F.col("target") != F.upper("procedure")))
-    real = found.where("kind <> 'function'").unionByName(found.where("kind = 'function'").join(names, F.col("target") == F.col("known"), "left_semi"))
+    real = found.where("kind <> 'function'").unionByName(found.where("kind = 'function'").join(names.hint("merge"), F.col("target") == F.col("known"), "left_semi"))
     rank = F.when(F.col("kind") == "call", 0).when(F.col("kind") == "system", 1).otherwise(2)
     first = real.groupBy("file", "procedure", "target").agg(F.min(F.struct("line_no", rank.alias("rank"), "kind")).alias("m"))
     return first.select("file", "procedure", "target", "m.kind", "m.line_no")
