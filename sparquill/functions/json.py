@@ -124,12 +124,12 @@ def moves(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
     the order they are read.
     """
     def lone(some: DataFrame, other: DataFrame) -> DataFrame:
-        gone = some.where("member").join(other.select(key, "path"), [key, "path"], "left_anti")
+        gone = some.where("member").join(other.select(key, "path").hint("merge"), [key, "path"], "left_anti")  # never broadcast: all nodes
         rank = Window.partitionBy(key, "name", "kind", "value").orderBy("at")
         return gone.select(key, "name", "kind", F.coalesce("value", F.lit("")).alias("value"), "path", "parent", F.row_number().over(rank).alias("nr"))
 
     b, a = lone(before, after), lone(after, before)
     on = [key, "name", "kind", "value", "nr"]
-    met = stored(b.withColumnsRenamed({"path": "from_path", "parent": "from_parent"}).join(a.withColumnsRenamed({"path": "to_path", "parent": "to_parent"}), on))
+    met = stored(b.withColumnsRenamed({"path": "from_path", "parent": "from_parent"}).hint("merge").join(a.withColumnsRenamed({"path": "to_path", "parent": "to_parent"}), on))
     above = met.select(key, F.col("from_path").alias("from_parent"), F.col("to_path").alias("to_parent"))
-    return met.join(above, [key, "from_parent", "to_parent"], "left_anti").select(key, "name", "from_path", "to_path")
+    return met.join(above.hint("merge"), [key, "from_parent", "to_parent"], "left_anti").select(key, "name", "from_path", "to_path")
