@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sparquill.functions import json
 from sparquill.operators import repair_features, repairs
-from sparquill.sources.tables import table
+from sparquill.sources.tables import dealt, table
 
 _K = "c_custkey"
 _BIC = f"CASE WHEN {_K} % 4 <> 0 THEN concat('DEUT', CASE WHEN {_K} % 3 = 0 THEN 'US' ELSE 'DE' END, 'FF', CASE WHEN {_K} % 5 = 0 THEN 'XXX' ELSE '' END) END"
@@ -45,7 +45,7 @@ def _made(spec, spark: bool) -> str:
 
 
 def _documents(spark, d, **specs):
-    return table(spark, d, "customer").select(_K, *[F.expr(f"to_json({_made(s, True)}, map('ignoreNullFields', 'false'))").alias(name) for name, s in specs.items()])
+    return dealt(table(spark, d, "customer"), _K).select(_K, *[F.expr(f"to_json({_made(s, True)}, map('ignoreNullFields', 'false'))").alias(name) for name, s in specs.items()])
 
 
 def _nodes(spark, d):
