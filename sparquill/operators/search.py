@@ -7,6 +7,7 @@ filtered by a broadcast of those before anything is shuffled.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -16,6 +17,8 @@ from sparquill.operators.ranks import spread_join
 from sparquill.sources.shared import stored
 
 K1, B = 1.5, 0.75
+#: Words of 64 bits in the sketch of a word set, a power of 2.
+SKETCH = 4
 
 
 def postings(docs: DataFrame) -> DataFrame:
@@ -247,21 +250,29 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = 0.85) -> DataFram
     classes, other < doc_id, whose word sets have a Jaccard similarity of threshold or more.
 
     So copies are never paired with each other, and all links follow from both. Exact, by prefix filtering: two such
-    sets share a word among the rarest few of each, so classes meet only on those, and each pair is verified on the
-    whole sets. Texts without words are left out.
+    sets share a word among the rarest few of each, so classes meet only on those. Of the pairs that meet, only those are
+    kept whose words after the first shared one can be enough, and whose sketches differ in no more bits than the sets may in
+    words; each of these is verified on the whole sets. Texts without words are left out.
     """
     sets = docs.select("doc_id", F.array_sort(F.array_distinct(text.tokens(F.col("text")))).alias("w")).where(F.size("w") > 0)
     keyed = stored(sets.withColumn("key", F.sha2(F.array_join("w", " "), 256)))
     classes = stored(keyed.groupBy("key").agg(F.min("doc_id").alias("id"), F.first("w").alias("w"), F.count("*").alias("copies")))
     copies = spread_join(keyed.select("doc_id", "key"), classes.select("key", "id", "copies"), "key", "copies", F.col("doc_id")).where("doc_id <> id")
     member = copies.select("doc_id", F.col("id").alias("other"), F.lit(1.0).alias("similarity"))
+    # Each word flips one bit of its set's sketch, so two sketches never differ in more bits than the sets in words.
+    hashed = classes.select("id", F.transform("w", lambda x: F.xxhash64(x)).alias("h"))
+    sketch = hashed.select("id", *[F.expr(f"aggregate(filter(h, x -> (shiftright(x, 6) & {SKETCH - 1}) = {j}), 0L, (a, x) -> a ^ shiftleft(1L, CAST(x & 63 AS INT)))").alias(f"b{j}") for j in range(SKETCH)])
+    bits = [f"b{j}" for j in range(SKETCH)]
     terms = stored(classes.select("id", F.size("w").alias("n"), F.explode(F.transform("w", lambda x: F.xxhash64(x))).alias("term")))
     df = stored(terms.groupBy("term").agg(F.count("*").alias("df")))
     place = F.row_number().over(Window.partitionBy("id").orderBy("df", "term"))
-    prefix = stored(spread_join(terms, df, "term", "df", F.col("id")).withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).select("id", "n", "term"))
+    prefix = stored(spread_join(terms, df, "term", "df", F.col("id")).withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).join(sketch.hint("merge"), "id").select("id", "n", "term", "place", *bits))
     a, b = prefix.alias("a"), prefix.alias("b")
     sized = (F.col("a.n") >= threshold * F.col("b.n") - 1e-9) & (F.col("b.n") >= threshold * F.col("a.n") - 1e-9)
-    pairs = a.join(b, (F.col("a.term") == F.col("b.term")) & (F.col("b.id") < F.col("a.id")) & sized).select(F.col("a.id").alias("doc_id"), F.col("b.id").alias("other")).distinct()
+    both = F.col("a.n") + F.col("b.n")
+    left = 1 + F.least(F.col("a.n") - F.col("a.place"), F.col("b.n") - F.col("b.place")) >= both * (threshold / (1 + threshold)) - 1e-6
+    apart = reduce(Column.__add__, [F.bit_count(F.col(f"a.{c}").bitwiseXOR(F.col(f"b.{c}"))) for c in bits]) <= both * ((1 - threshold) / (1 + threshold)) + 1e-6
+    pairs = a.join(b, (F.col("a.term") == F.col("b.term")) & (F.col("b.id") < F.col("a.id")) & sized & left & apart).select(F.col("a.id").alias("doc_id"), F.col("b.id").alias("other")).distinct()
     full = pairs.join(classes.select(F.col("id").alias("doc_id"), "w"), "doc_id").join(classes.select(F.col("id").alias("other"), F.col("w").alias("v")), "other")
     similarity = F.size(F.array_intersect("w", "v")) / F.size(F.array_union("w", "v"))
     return full.select("doc_id", "other", similarity.alias("similarity")).where(F.col("similarity") >= threshold).unionAll(member)
