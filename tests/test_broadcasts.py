@@ -6,7 +6,7 @@ from sparquill.operators import validation
 
 
 def broadcasts(df) -> int:
-    return df._jdf.queryExecution().executedPlan().toString().count("BroadcastExchange")
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].count("BroadcastExchange")
 
 
 def test_settled_conflicts_broadcast_only_the_pairs(spark):
