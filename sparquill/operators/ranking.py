@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from sparquill.functions import text
 from sparquill.operators import search
+from sparquill.sources.shared import stored
 
 # The weight of each feature in the final score.
 WEIGHTS = {
@@ -222,7 +223,8 @@ def federated(lexical: DataFrame, other: DataFrame, docs: DataFrame, n: int = 20
     a = search.top(lexical, 2 * n).select("doc_id", F.lit("lexical").alias("index"), (search.tanh_scaled(F.col("score"), k) * weights[0]).alias("score"))
     b = search.top(other, 2 * n)
     b = b.select("doc_id", F.lit("other").alias("index"), (search.min_max(F.col("score")) * weights[1]).alias("score"))
-    best = a.unionAll(b).groupBy("doc_id").agg(F.max_by("index", F.struct("score", "index")).alias("index"), F.max("score").alias("score"))
+    # Stored, as the texts below are read twice, and both indexes with them if this were not.
+    best = stored(a.unionAll(b).groupBy("doc_id").agg(F.max_by("index", F.struct("score", "index")).alias("index"), F.max("score").alias("score")))
     texts = docs.select("doc_id", "text").join(F.broadcast(best), "doc_id")  # 4 n rows at most
     return search.top(distinct_best(texts).select("doc_id", "index", "score"), n)
 

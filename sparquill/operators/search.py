@@ -17,6 +17,8 @@ from sparquill.operators.ranks import spread_join
 from sparquill.sources.shared import stored
 
 K1, B = 1.5, 0.75
+#: Terms of over so small a part of all (document, term) pairs are broadcast, fewer than this; all others are joined.
+FREQUENT = 1_000_000
 #: Words of 64 bits in the sketch of a word set, a power of 2.
 SKETCH = 4
 
@@ -70,23 +72,34 @@ def bm25(docs: DataFrame, query: str) -> DataFrame:
 
 
 def term_table(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Stored (doc_id, term, tf, dl) and (term, df): texts are split once, and both are read from what was written."""
-    w = docs.select("doc_id", text.tokens(F.col("text")).alias("w"))
+    """Stored (doc_id, term, tf, dl) and (term, df): texts are split once, and both are read from what was written.
+
+    Texts are dealt by document before they are split, so that terms are counted where they are.
+    """
+    w = docs.select("doc_id", "text").repartition("doc_id").select("doc_id", text.tokens(F.col("text")).alias("w"))
     counts = stored(w.select("doc_id", F.size("w").alias("dl"), F.explode("w").alias("term")).groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf")))
     return counts, stored(counts.groupBy("term").agg(F.count("*").alias("df")))
 
 
+def with_df(counts: DataFrame, df: DataFrame) -> DataFrame:
+    """counts with df. Frequent terms, most of the rows, meet a broadcast and stay where they are; only the rows of the others are dealt by term."""
+    often = F.col("df") > (df.agg(F.sum("df")).first()[0] or 0) / FREQUENT
+    few = F.broadcast(df.where(often))
+    rest = counts.join(few.select("term"), "term", "left_anti").join(df.where(~often).hint("merge"), "term")
+    return counts.join(few, "term").unionByName(rest)
+
+
 def tf_idf(docs: DataFrame) -> DataFrame:
     """(doc_id, term, weight): share of the document's tokens times ln(N / df)."""
     counts, df = term_table(docs)
     n = docs.count()
-    return spread_join(counts, df, "term", "df", F.col("doc_id")).select("doc_id", "term", (F.col("tf") / F.col("dl") * F.log(F.lit(float(n)) / F.col("df"))).alias("weight"))
+    return with_df(counts, df).select("doc_id", "term", (F.col("tf") / F.col("dl") * F.log(F.lit(float(n)) / F.col("df"))).alias("weight"))
 
 
 def cosine(docs: DataFrame, query: str) -> DataFrame:
     """(doc_id, score): cosine of smoothed TF-IDF vectors, term counts as tf.
 
-    Only documents that have a term of the query are weighted.
+    Documents without a term of the query have no product, and are left out.
     """
     counts, df = term_table(docs)
     n, times = docs.count(), query.lower().split()
@@ -96,12 +109,11 @@ def cosine(docs: DataFrame, query: str) -> DataFrame:
         return counts.select("doc_id", F.lit(0.0).alias("score")).limit(0)
     q = {t: times.count(t) * x for t, x in idf.items()}
     q_norm = math.sqrt(sum(x * x for x in q.values()))
-    met = counts.where(F.col("term").isin(list(q))).select("doc_id").distinct()
-    weighted = spread_join(counts.join(met, "doc_id", "left_semi"), df, "term", "df", F.col("doc_id"))
+    weighted = with_df(counts, df)
     weight = F.col("tf") * (F.log((F.lit(n) + 1) / (F.col("df") + 1)) + 1)
     dot = F.try_element_at(F.create_map(*[F.lit(x) for kv in q.items() for x in kv]), F.col("term")) * weight
     sums = weighted.groupBy("doc_id").agg(F.sum(dot).alias("dot"), F.sqrt(F.sum(weight * weight)).alias("norm"))
-    return sums.select("doc_id", (F.col("dot") / (F.col("norm") * q_norm)).alias("score"))
+    return sums.where("dot IS NOT NULL").select("doc_id", (F.col("dot") / (F.col("norm") * q_norm)).alias("score"))
 
 
 def phrase_hits(docs: DataFrame, phrase: str) -> DataFrame:
