@@ -81,11 +81,15 @@ def global_features(parties: DataFrame, key: str) -> DataFrame:
     plain = lambda c: F.nullif(F.regexp_replace(F.upper(c), "[ -]", ""), F.lit(""))
     account = F.nullif(F.replace(F.upper("account"), F.lit(" "), F.lit("")), F.lit(""))
     values = {"iban": plain("iban"), "account": account, "nch": F.nullif(F.col("nch"), F.lit("")), "bic4": F.when(F.length("bic") >= 4, F.upper(F.substring("bic", 1, 4))), "clabe": F.when(F.col("is_clabe"), F.coalesce(account, F.lit("")))}
+    # One pass: a party has a row for each of its countries, and its values on the first of them; all are equal if the least is the largest.
+    named = F.array_distinct(F.transform(F.filter("countries", lambda c: F.length(c) == 2), F.upper))
+    rows = parties.select(key, *[v.alias(name) for name, v in values.items()], named.alias("_named")).repartition(key)
+    rows = rows.select(key, *values, F.posexplode_outer("_named").alias("_nr", "country"))
     out = []
-    for name, v in values.items():
-        out += [F.count(v).alias(f"{name}_count"), (F.count_distinct(v) <= 1).alias(f"{name}s_consistent")]
-    named = parties.select(key, F.explode_outer(F.transform(F.filter("countries", lambda c: F.length(c) == 2), F.upper)).alias("country")).groupBy(key).agg(F.count_distinct("country").alias("country_count"))
-    return parties.groupBy(key).agg(*out).join(named, key).withColumn("countries_consistent", F.col("country_count") <= 1)
+    for name in values:
+        v = F.when(F.coalesce("_nr", F.lit(0)) == 0, F.col(name))
+        out += [F.count(v).alias(f"{name}_count"), F.coalesce(F.min(v) == F.max(v), F.lit(True)).alias(f"{name}s_consistent")]
+    return rows.groupBy(key).agg(*out, F.size(F.collect_set("country")).cast("long").alias("country_count")).withColumn("countries_consistent", F.col("country_count") <= 1)
 
 
 def pruned(seen: DataFrame, least: int, last: int = 100) -> DataFrame:
