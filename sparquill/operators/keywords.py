@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sparquill.functions import text
 from sparquill.operators.ranks import first_of
+from sparquill.sources.shared import stored
 
 PRIORITIES = ("critical", "high", "medium", "low")
 
@@ -19,10 +20,11 @@ def taxonomy(spark: SparkSession, rows: list[tuple[str, str, str]]) -> DataFrame
 def mappings(docs: DataFrame, keywords: DataFrame, size: int = 200) -> DataFrame:
     """The fact: single-word keywords found in chunks of `size` words; relevance is the count there, 5 at most.
 
-    An equi-join on tokens stands for the comparison of each keyword with each text.
+    An equi-join on tokens stands for the comparison of each keyword with each text. Keywords are few and broadcast, as a
+    frequent one would bring all its places to one task.
     """
     chunks = docs.select("doc_id", F.posexplode(text.tokens(F.col("text"))).alias("pos", "term")).withColumn("chunk_index", F.floor(F.col("pos") / size).cast("int"))
-    found = chunks.join(keywords, F.col("term") == F.col("keyword"))
+    found = chunks.join(F.broadcast(keywords), F.col("term") == F.col("keyword"))
     return found.groupBy("keyword", "category", "priority", "doc_id", "chunk_index").agg(F.least(F.count("*"), F.lit(5)).cast("int").alias("relevance"))
 
 
@@ -70,7 +72,9 @@ def heatmap(facts: DataFrame, groups: DataFrame, names: list[str]) -> DataFrame:
 def inverted_index(facts: DataFrame) -> DataFrame:
     """(kind, name, keyword, n, docs): totals of each keyword, and by category, priority and document."""
     kinds = F.array(*[F.struct(F.lit(kind).alias("kind"), F.col(c).cast("string").alias("name")) for kind, c in (("total", "keyword"), ("category", "category"), ("priority", "priority"), ("document", "doc_id"))])
-    return facts.select("keyword", "doc_id", F.inline(kinds)).groupBy("kind", "name", "keyword").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("docs"))
+    # Counted by document first, so that each has a row for each kind, and not for each of its chunks.
+    counted = facts.groupBy("keyword", "category", "priority", "doc_id").agg(F.count("*").alias("n"))
+    return counted.select("keyword", "doc_id", "n", F.inline(kinds)).groupBy("kind", "name", "keyword").agg(F.sum("n").alias("n"), F.count_distinct("doc_id").alias("docs"))
 
 
 def taxonomy_faults(dim: DataFrame, facts: DataFrame, most: int = 3) -> DataFrame:
@@ -88,7 +92,7 @@ def query_distribution(facts: DataFrame, keywords: list[str], n: int) -> DataFra
 
 def coverage(facts: DataFrame) -> DataFrame:
     """Documents, chunks and the first three documents of each keyword."""
-    pairs = facts.groupBy("keyword", "doc_id").agg(F.count("*").alias("chunks"))
+    pairs = stored(facts.groupBy("keyword", "doc_id").agg(F.count("*").alias("chunks")))  # read twice
     counted = pairs.groupBy("keyword").agg(F.count("doc_id").alias("docs"), F.sum("chunks").alias("chunks"))
     first = first_of(pairs.where("doc_id IS NOT NULL"), "keyword", "doc_id", 3, "samples")
     return counted.join(first, "keyword", "left").select("keyword", "docs", "chunks", F.array_join(F.coalesce("samples", F.array()), ",").alias("samples"))

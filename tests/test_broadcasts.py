@@ -1,7 +1,7 @@
 """Joins of tables that grow with the input are never broadcast, however small their files look."""
 
 from sparquill.functions import json
-from sparquill.operators import code
+from sparquill.operators import code, keywords
 from sparquill.operators import validation
 
 
@@ -30,3 +30,15 @@ def test_moves_broadcast_nothing(spark):
     out = json.moves(json.nodes(docs, "k", "b"), json.nodes(docs, "k", "a"), "k")
     assert sorted((r.k, r.from_path, r.to_path) for r in out.collect()) == [(1, "a.x", "b.x"), (2, "p.x", "q.x")]
     assert broadcasts(out) == 0
+
+
+def test_words_are_not_dealt_by_keyword(spark):
+    """A frequent keyword's places must not meet in one task: only what is counted by document is dealt."""
+    docs = spark.createDataFrame([(1, "the a the"), (1, "the of"), (2, "The"), (None, "the"), (3, None)], "doc_id long, text string")
+    dim = keywords.taxonomy(spark, [("the", "x", "low"), ("the", "y", "low"), ("of", "x", "high"), ("none", "x", "low")])
+    facts = keywords.mappings(docs, dim, 2)
+    plan = facts._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(term" not in plan and "hashpartitioning(keyword" in plan and "doc_id" in plan.split("hashpartitioning(keyword")[1].split(")")[0]
+    assert sorted(map(tuple, keywords.coverage(facts).collect())) == [("of", 1, 1, "1"), ("the", 2, 8, "1,2")]
+    got = {(r.kind, r["name"], r.keyword): (r.n, r.docs) for r in keywords.inverted_index(facts).collect()}
+    assert got[("total", "the", "the")] == (8, 2) and got[("category", "y", "the")] == (4, 2) and got[("document", "1", "the")] == (4, 1) and got[("document", None, "the")] == (2, 0) and got[("priority", "high", "of")] == (1, 1)
