@@ -234,16 +234,29 @@ def matching_blocks(docs: DataFrame, lines: list[str], share: float = 0.7) -> Da
     line, with it as a part, or of a word similarity over 0.7. Texts without such a place are left out.
     """
     sought = [x.strip() for x in lines if x.strip()][:3]
-    at = docs.select("doc_id", F.transform(F.split("text", "\n"), lambda x: F.trim(x)).alias("l"))
+    n, least = max(len(sought), 1), len(sought) * share
 
-    def like(x: Column, want: str) -> Column:
-        own, theirs = F.array_distinct(F.filter(F.split(F.lower(x), r"\s+"), lambda w: w != "")), F.array(*[F.lit(w) for w in dict.fromkeys(want.lower().split())])
+    def like(x: Column, low: Column, want: str) -> Column:
+        words = list(dict.fromkeys(want.lower().split()))
+        own, theirs = F.array_distinct(F.filter(F.split(low, r"\s+"), lambda w: w != "")), F.array(*[F.lit(w) for w in words])
         similar = F.size(F.array_intersect(own, theirs)) / F.size(F.array_union(own, theirs)) > 0.7
-        return F.contains(x, F.lit(want)) | F.contains(F.lit(want), x) | similar
-
-    hits = lambda k: _total([F.coalesce(like(F.get("l", k + j), want), F.lit(False)).cast("int") * 1.0 for j, want in enumerate(sought)])
-    first = F.get(F.filter(F.sequence(F.lit(0), F.size("l") - 1), lambda k: hits(k) >= len(sought) * share), F.lit(0))
-    return at.select("doc_id", first.alias("start")).where("start IS NOT NULL")
+        # A similar line has over 0.7 of the words, so one at least of the longest ones, if these are one more than may be missing.
+        some = reduce(Column.__or__, [F.contains(low, F.lit(w)) for w in sorted(words, key=len, reverse=True)[: len(words) - int(len(words) * 0.7)]])
+        return F.when(F.contains(x, F.lit(want)) | F.contains(F.lit(want), x), 1).when(some, similar.cast("int")).otherwise(0)
+
+    def after(s: Column, x: Column) -> Column:
+        """One more line: h0 to h2 are the hits so far of the places that begin at it, one before and two before."""
+        h = [(x[f"l{j}"] + s[f"h{j - 1}"] if j else x["l0"]).alias(f"h{j}") for j in range(n)]
+        found = [F.when((h[j] >= least) & (s["k"] >= j), s["k"] - j) for j in range(n)]
+        return F.struct((s["k"] + 1).alias("k"), F.least(s["start"], *found).alias("start"), *h)
+
+    # A text is cut once and its lines are folded in one pass: an array of lines named in a step of its own would be made anew for each
+    # line, as the filter on start is moved below that step with all that start is made of.
+    lines = F.transform(F.split("text", "\n"), lambda x: F.struct(F.trim(x).alias("x"), F.lower(F.trim(x)).alias("low")))
+    judged = F.transform(lines, lambda p: F.struct(*[(like(p["x"], p["low"], sought[j]) if sought else F.lit(0)).alias(f"l{j}") for j in range(n)]))
+    begin = F.struct(F.lit(0).alias("k"), F.lit(None).cast("int").alias("start"), *[F.lit(0).alias(f"h{j}") for j in range(n)])
+    start = F.aggregate(judged, begin, after, lambda s: s["start"])
+    return docs.select("doc_id", start.alias("start")).where("start IS NOT NULL")
 
 
 def packed_context(results: DataFrame, budget: int, each: int = 5) -> DataFrame:

@@ -45,3 +45,30 @@ def test_blocks_are_found_by_equal_part_or_similar_lines(spark):
     docs = spark.createDataFrame([(1, "x\nalpha beta\ngamma delta eps\nz"), (2, "nothing\nhere"), (3, "q\n  alpha beta\nand gamma delta eps too"), (4, "")], "doc_id long, text string")
     found = {r.doc_id: r.start for r in ranking.matching_blocks(docs, ["alpha beta", "gamma delta eps"]).collect()}
     assert found[1] == 1 and found[3] == 1 and 2 not in found
+
+
+def test_blocks_like_a_plain_search(spark):
+    rng, words = random.Random(5), ["Red", "blue", "green", "tea", "x"]
+    lines = lambda: [" ".join(rng.choice(words) for _ in range(rng.choice([0, 1, 2, 3, 4]))) + rng.choice(["", " "]) for _ in range(rng.randrange(7))]
+    texts = ["\n".join(lines()) for _ in range(150)] + [None, "", "\n"]
+
+    def plain(text, sought, share):
+        at = [x.strip(" ") for x in text.split("\n")]
+        def like(x, want):
+            a, b = set(x.lower().split()), set(want.lower().split())
+            return want in x or x in want or len(a & b) / len(a | b) > 0.7
+        return next((k for k in range(len(at)) if sum(k + j < len(at) and like(at[k + j], w) for j, w in enumerate(sought)) >= len(sought) * share), None)
+
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for sought, share in ((["red blue green tea"], 0.7), (["Red blue", "green"], 0.7), (["Red blue", "green tea x", "x"], 0.6), (["x", "tea", "Red green blue"], 1.0), ([], 0.7)):
+        want = {k: p for k, t in enumerate(texts) if t is not None and (p := plain(t, sought, share)) is not None}
+        assert {r.doc_id: r.start for r in ranking.matching_blocks(docs, sought, share).collect()} == want
+
+
+def test_blocks_in_a_text_of_many_lines(spark):
+    """A step for each line, and not one for each pair of lines."""
+    import time
+
+    docs = spark.range(1).selectExpr("id AS doc_id", "concat(array_join(transform(sequence(1, 20000), k -> concat('line ', k)), '\\n'), '\\nalpha beta\\ngamma') AS text")
+    began = time.perf_counter()
+    assert [tuple(r) for r in ranking.matching_blocks(docs, ["alpha beta", "gamma"]).collect()] == [(0, 20_000)] and time.perf_counter() - began < 30
