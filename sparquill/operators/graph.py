@@ -318,12 +318,15 @@ def functionality(nodes: DataFrame, edges: DataFrame, term: str) -> DataFrame:
 
 
 def _spread(values: DataFrame, steps: DataFrame) -> DataFrame:
-    """values (id, v) after each node has taken the least v of all nodes that reach it along steps (src, dst)."""
+    """values (id, v) after each node has taken the least v of all nodes that reach it along steps (src, dst).
+
+    Stored ids and values pack into small files, so Spark would broadcast them through the driver in every round: joins are marked for merging.
+    """
     now = stored(values)
     while True:
-        met = steps.join(now, F.col("src") == F.col("id")).select(F.col("dst").alias("id"), "v")
+        met = steps.join(now.hint("merge"), F.col("src") == F.col("id")).select(F.col("dst").alias("id"), "v")
         new = stored(now.unionAll(met).groupBy("id").agg(F.min("v").alias("v")))
-        if now.join(new.withColumnRenamed("v", "w"), "id").where("v <> w").isEmpty():
+        if now.join(new.withColumnRenamed("v", "w").hint("merge"), "id").where("v <> w").isEmpty():
             return new
         now = new
 
@@ -339,7 +342,7 @@ def strong_components(edges: DataFrame) -> DataFrame:
     groups = None
     while not left.isEmpty():
         while True:
-            inner = left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
+            inner = left.join(left.select(F.col("dst").alias("src")).distinct().hint("merge"), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct().hint("merge"), "dst", "left_semi")
             inner = stored(inner.select("src", "dst"))
             if inner.count() == left.count():
                 break
@@ -348,17 +351,17 @@ def strong_components(edges: DataFrame) -> DataFrame:
             break
         nodes = left.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
         colour = _spread(nodes.withColumn("v", F.col("id")), left)
-        same = left.join(colour.select(F.col("id").alias("src"), F.col("v").alias("a")), "src").join(colour.select(F.col("id").alias("dst"), F.col("v").alias("b")), "dst").where("a = b")
+        same = left.join(colour.select(F.col("id").alias("src"), F.col("v").alias("a")).hint("merge"), "src").join(colour.select(F.col("id").alias("dst"), F.col("v").alias("b")).hint("merge"), "dst").where("a = b")
         # Backwards within a colour from its root: all that the root's value reaches against the edges.
         marked = _spread(colour.select("id", F.when(F.col("id") == F.col("v"), 0).otherwise(1).alias("v")), same.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-        group = stored(marked.where("v = 0").select("id").join(colour, "id").select("id", F.col("v").alias("component")))
+        group = stored(marked.where("v = 0").select("id").join(colour.hint("merge"), "id").select("id", F.col("v").alias("component")))
         groups = group if groups is None else groups.unionAll(group)
         gone = group.select("id")
-        left = stored(left.join(gone.withColumnRenamed("id", "src"), "src", "left_anti").join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti").select("src", "dst"))
+        left = stored(left.join(gone.withColumnRenamed("id", "src").hint("merge"), "src", "left_anti").join(gone.withColumnRenamed("id", "dst").hint("merge"), "dst", "left_anti").select("src", "dst"))
     if groups is None:
         return edges.select(F.col("src").alias("id"), F.col("src").alias("component")).limit(0)
     sizes = groups.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select("component")
-    return groups.join(sizes, "component").select("id", "component")
+    return groups.join(sizes.hint("merge"), "component").select("id", "component")
 
 
 def coupling_order(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """Joins of tables that grow with the input are never broadcast, however small their files look."""
 
 from sparquill.functions import json
-from sparquill.operators import code, keywords
+from sparquill.operators import code, graph, keywords
 from sparquill.operators import validation
 
 
@@ -42,3 +42,14 @@ def test_words_are_not_dealt_by_keyword(spark):
     assert sorted(map(tuple, keywords.coverage(facts).collect())) == [("of", 1, 1, "1"), ("the", 2, 8, "1,2")]
     got = {(r.kind, r["name"], r.keyword): (r.n, r.docs) for r in keywords.inverted_index(facts).collect()}
     assert got[("total", "the", "the")] == (8, 2) and got[("category", "y", "the")] == (4, 2) and got[("document", "1", "the")] == (4, 1) and got[("document", None, "the")] == (2, 0) and got[("priority", "high", "of")] == (1, 1)
+
+
+def test_components_broadcast_nothing(spark, monkeypatch):
+    seen, real = [], graph.stored
+    monkeypatch.setattr(graph, "stored", lambda df, *a, **k: seen.append(broadcasts(df)) or real(df, *a, **k))
+    out = graph.strong_components(spark.createDataFrame([(1, 2), (2, 1), (2, 3), (3, 4), (4, 3), (4, 5)], "src long, dst long"))
+    groups = {}
+    for r in out.collect():
+        groups.setdefault(r.component, set()).add(r.id)
+    assert sorted(map(sorted, groups.values())) == [[1, 2], [3, 4]]
+    assert len(seen) > 5 and sum(seen) == 0 and broadcasts(out) == 0
