@@ -7,8 +7,11 @@ filtered by a broadcast of those before anything is shuffled.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +24,12 @@ K1, B = 1.5, 0.75
 FREQUENT = 1_000_000
 #: Words of 64 bits in the sketch of a word set, a power of 2.
 SKETCH = 4
+#: Sets, and words of sets, of a block whose pairs are verified at once, about.
+MET = 1_000, 500_000
+#: For each so many words of a set one more of its first ones must be shared.
+LONG = 64
+#: Bytes that tell frequent from rare words, a power of 2.
+LEVELS = 1 << 20
 
 
 def postings(docs: DataFrame) -> DataFrame:
@@ -262,29 +271,118 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = 0.85) -> DataFram
     classes, other < doc_id, whose word sets have a Jaccard similarity of threshold or more.
 
     So copies are never paired with each other, and all links follow from both. Exact, by prefix filtering: two such
-    sets share a word among the rarest few of each, so classes meet only on those. Of the pairs that meet, only those are
-    kept whose words after the first shared one can be enough, and whose sketches differ in no more bits than the sets may in
-    words; each of these is verified on the whole sets. Texts without words are left out.
+    sets share a word among the first few of each, in any one order of all words, so classes meet only on those; rare words
+    come first. With l more words long sets share l more. Of the pairs that meet, only those are kept that share so many, whose
+    words around a shared one can be enough, and whose sketches differ in no more bits than the sets may in words; each of these
+    is verified on the whole sets. Sets are stored once and shuffled only to be verified, by blocks: tasks find the first words where a set is. Texts without words are left out.
     """
-    sets = docs.select("doc_id", F.array_sort(F.array_distinct(text.tokens(F.col("text")))).alias("w")).where(F.size("w") > 0)
-    keyed = stored(sets.withColumn("key", F.sha2(F.array_join("w", " "), 256)))
-    classes = stored(keyed.groupBy("key").agg(F.min("doc_id").alias("id"), F.first("w").alias("w"), F.count("*").alias("copies")))
+    sets = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), F.array_sort(F.array_distinct(text.tokens(F.col("text")))).alias("w")).where(F.size("w") > 0)
+    keyed = stored(sets.withColumn("key", F.unhex(F.sha2(F.array_join("w", " "), 256))), codec="zstd")
+    first = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "row"))).alias("first")
+    classes = stored(keyed.groupBy("key").agg(first, F.count("*").alias("copies")).select("key", F.col("first.doc_id").alias("id"), F.col("first.row").alias("row"), "copies"))
     copies = spread_join(keyed.select("doc_id", "key"), classes.select("key", "id", "copies"), "key", "copies", F.col("doc_id")).where("doc_id <> id")
     member = copies.select("doc_id", F.col("id").alias("other"), F.lit(1.0).alias("similarity"))
-    # Each word flips one bit of its set's sketch, so two sketches never differ in more bits than the sets in words.
-    hashed = classes.select("id", F.transform("w", lambda x: F.xxhash64(x)).alias("h"))
-    sketch = hashed.select("id", *[F.expr(f"aggregate(filter(h, x -> (shiftright(x, 6) & {SKETCH - 1}) = {j}), 0L, (a, x) -> a ^ shiftleft(1L, CAST(x & 63 AS INT)))").alias(f"b{j}") for j in range(SKETCH)])
+    hashed = keyed.select("row", F.transform("w", lambda x: F.xxhash64(x)).alias("h"))
     bits = [f"b{j}" for j in range(SKETCH)]
-    terms = stored(classes.select("id", F.size("w").alias("n"), F.explode(F.transform("w", lambda x: F.xxhash64(x))).alias("term")))
-    df = stored(terms.groupBy("term").agg(F.count("*").alias("df")))
-    place = F.row_number().over(Window.partitionBy("id").orderBy("df", "term"))
-    prefix = stored(spread_join(terms, df, "term", "df", F.col("id")).withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).join(sketch.hint("merge"), "id").select("id", "n", "term", "place", *bits))
+    begun = stored(hashed.mapInArrow(_first_words(_levels(hashed), threshold), f"row long, n int, least int, terms array<long>, {', '.join(f'{c} long' for c in bits)}"), codec="zstd")
+    prefix = stored(begun.join(classes.select("row", "id").hint("merge"), "row").select("row", "id", "n", "least", F.posexplode("terms").alias("place", "term"), *bits))
     a, b = prefix.alias("a"), prefix.alias("b")
     sized = (F.col("a.n") >= threshold * F.col("b.n") - 1e-9) & (F.col("b.n") >= threshold * F.col("a.n") - 1e-9)
     both = F.col("a.n") + F.col("b.n")
-    left = 1 + F.least(F.col("a.n") - F.col("a.place"), F.col("b.n") - F.col("b.place")) >= both * (threshold / (1 + threshold)) - 1e-6
+    least = F.least("a.least", "b.least")
+    before = F.when(least > 1, F.least("a.place", "b.place")).otherwise(0)  # of a pair that must share one word only, the first one tells
+    left = before + F.least(F.col("a.n") - F.col("a.place"), F.col("b.n") - F.col("b.place")) >= both * (threshold / (1 + threshold)) - 1e-6
     apart = reduce(Column.__add__, [F.bit_count(F.col(f"a.{c}").bitwiseXOR(F.col(f"b.{c}"))) for c in bits]) <= both * ((1 - threshold) / (1 + threshold)) + 1e-6
-    pairs = a.join(b, (F.col("a.term") == F.col("b.term")) & (F.col("b.id") < F.col("a.id")) & sized & left & apart).select(F.col("a.id").alias("doc_id"), F.col("b.id").alias("other")).distinct()
-    full = pairs.join(classes.select(F.col("id").alias("doc_id"), "w"), "doc_id").join(classes.select(F.col("id").alias("other"), F.col("w").alias("v")), "other")
-    similarity = F.size(F.array_intersect("w", "v")) / F.size(F.array_union("w", "v"))
-    return full.select("doc_id", "other", similarity.alias("similarity")).where(F.col("similarity") >= threshold).unionAll(member)
+    met = a.join(b, (F.col("a.term") == F.col("b.term")) & (F.col("b.id") < F.col("a.id")) & sized & left & apart)
+    shared = met.groupBy(F.col("a.row").alias("x"), F.col("b.row").alias("y")).agg(F.count("*").alias("k"), F.min(least).alias("least"))
+    pairs = shared.where("k >= least").select("x", "y").persist()
+    placed, by = _placed(pairs, prefix.where("place = 0").select("row", "id", "n"))
+    to = [f"to_{c}" for c in by]
+    needed = placed.select(F.col("x").alias("row"), *[F.col(c).alias(k) for c, k in zip(by, to, strict=True)])
+    needed = needed.unionAll(placed.select("y", *by)).distinct()
+    met_sets = hashed.join(needed.hint("merge"), "row").select(*to, "row", "h")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    similar = met_sets.groupBy(*to).cogroup(placed.groupBy(*by)).applyInArrow(_verified(threshold), f"doc_id {kind}, other {kind}, similarity double")
+    return similar.unionAll(member)
+
+
+def _placed(pairs: DataFrame, sets: DataFrame) -> tuple[DataFrame, list[str]]:
+    """pairs with their sets' ids and blocks, and the names of the latter. Sets like each other are in a few blocks, so that a set is sent to a block, not to a pair.
+
+    A set goes by the smallest row that it or its smallest partner is paired with; where these sets are too many for one task they are cut by hash.
+    """
+    both = pairs.unionAll(pairs.select(F.col("y").alias("x"), F.col("x").alias("y")))
+    first = stored(both.groupBy(F.col("x").alias("row")).agg(F.least(F.min("x"), F.min("y")).alias("first")))
+    lead = first.join(first.select(F.col("row").alias("first"), F.col("first").alias("lead")).hint("merge"), "first").select("row", "lead")
+    lead = stored(lead.join(sets.hint("merge"), "row"))
+    parts = lead.groupBy("lead").agg(F.ceil(F.greatest(F.sum("n") / MET[1], F.count("*") / MET[0])).alias("parts"))
+    blocks = stored(lead.join(parts.hint("merge"), "lead").select("row", "id", "lead", F.pmod(F.xxhash64("row"), F.col("parts")).alias("part")))
+    end = lambda c: blocks.select(F.col("row").alias(c), F.col("id").alias(f"{c}_id"), F.col("lead").alias(f"{c}_lead"), F.col("part").alias(f"{c}_part")).hint("merge")
+    return pairs.join(end("x"), "x").join(end("y"), "y").persist(), ["x_lead", "x_part", "y_lead", "y_part"]
+
+
+def _verified(threshold: float) -> Callable:
+    """Of two blocks' sets and their pairs: the pairs that are alike enough. Words are compared by their 64-bit hashes."""
+
+    def run(sets: pa.Table, pairs: pa.Table) -> pa.Table:
+        sets, pairs = sets.combine_chunks(), pairs.combine_chunks()
+        rows, lists = sets.column("row").to_numpy(), sets.column("h").combine_chunks()
+        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+        n = np.diff(lists.offsets.to_numpy())
+        _, word, times = np.unique(lists.flatten().to_numpy(), return_inverse=True, return_counts=True)
+        nr = np.cumsum(times > 1) - 1  # a word of one set is shared by no pair
+        of, again = np.repeat(np.arange(len(n)), n), times[word] > 1
+        of, word = of[again], nr[word[again]]
+        order = np.argsort(word, kind="stable")
+        of, word = of[order], word[order]
+        shared = np.zeros((len(n), len(n)), np.float32)
+        for start in range(0, int(nr[-1]) + 1, 4096):
+            lo, hi = np.searchsorted(word, (start, start + 4096))
+            held = np.zeros((len(n), 4096), np.float32)
+            held[of[lo:hi], word[lo:hi] - start] = 1
+            shared += held @ held.T
+        order = np.argsort(rows)
+        x, y = (order[np.searchsorted(rows, pairs.column(c).to_numpy(), sorter=order)] for c in "xy")
+        both = shared[x, y].astype(float)
+        similarity = both / (n[x] + n[y] - both)
+        kept = pa.array(similarity >= threshold)
+        return pa.table({"doc_id": pairs.column("x_id"), "other": pairs.column("y_id"), "similarity": pa.array(similarity)}).filter(kept)
+
+    return run
+
+
+def _levels(hashed: DataFrame) -> np.ndarray:
+    """LEVELS bytes: by a word's last bits, how many rows have it, on a scale of logarithms; of words that share them, the most frequent one counts."""
+    df = hashed.select(F.explode("h").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    level = F.least(F.lit(255), F.round(8 * F.log2(F.max("df")))).cast("int").alias("level")
+    found = df.groupBy(F.col("term").bitwiseAND(LEVELS - 1).cast("int").alias("at")).agg(level).toArrow()  # LEVELS rows at most
+    levels = np.zeros(LEVELS, np.uint8)
+    levels[found.column(0).to_numpy()] = found.column(1).to_numpy()
+    return levels
+
+
+def _first_words(levels: np.ndarray, threshold: float) -> Callable:
+    """For rows (row, h): row, the number of words, how many of its first ones a set like it shares at least, these by level, then hash, and the sketch.
+
+    Each word flips one bit of its set's sketch, so two sketches never differ in more bits than the sets in words.
+    """
+    width = 64 * SKETCH
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 1024):
+                rows, lists = batch.column(0).slice(start, 1024), batch.column(1).slice(start, 1024)
+                n = np.diff(lists.offsets.to_numpy())
+                h, of = lists.flatten().to_numpy(), np.repeat(np.arange(len(n)), n)
+                odd = (np.bincount(of * width + (h & (width - 1)), minlength=len(n) * width) & 1).astype(np.uint8)
+                sketch = np.packbits(odd, bitorder="little").view("<i8").reshape(-1, SKETCH)
+                order = np.lexsort((h, levels[h & (LEVELS - 1)], of))
+                same = np.maximum(np.ceil(n * threshold - 1e-9).astype(int), 1)
+                least = np.minimum(1 + n // LONG, same)
+                most = n - same + least
+                ends = np.cumsum(most)
+                kept = np.arange(ends[-1]) + np.repeat(np.cumsum(n) - n - (ends - most), most)
+                terms = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(h[order[kept]]))
+                yield pa.RecordBatch.from_arrays([rows, pa.array(n, pa.int32()), pa.array(least, pa.int32()), terms, *[pa.array(np.ascontiguousarray(sketch[:, j])) for j in range(SKETCH)]], names=["row", "n", "least", "terms", *[f"b{j}" for j in range(SKETCH)]])
+
+    return run
