@@ -18,40 +18,59 @@ from sparquill.operators import search
 from sparquill.sources.shared import stored
 
 
+#: A document with less than one part in so many of all terms is added term by term.
+FEW = 12
+
+
 def latent_index(docs: DataFrame, k: int = 20, min_share: float = 0.01) -> tuple[DataFrame, DataFrame]:
     """(term vectors, document vectors) of a truncated SVD over TF-IDF of the terms that min_share of all documents have.
 
     By the share, the number of terms is bounded by a document's different terms over it, whatever the corpus. Tasks
-    sum their documents' products of term weights (numpy), Spark adds the tasks' sums row by row, and only that
-    matrix of terms by terms is decomposed. Documents without such terms have the zero vector.
+    sum their documents' products of term weights (numpy; documents of few terms touch only the products of these), Spark
+    adds the tasks' sums row by row, from the diagonal on, and only that matrix of terms by terms is decomposed. Documents without such terms have the zero vector.
     """
     counts, df = search.term_table(docs)
     n_docs = docs.count()
-    vocab = sorted((r.term, math.log(n_docs / r.df)) for r in df.where(F.col("df") >= min_share * n_docs).collect())
+    kept = sorted((-r.df, r.term) for r in df.where(F.col("df") >= min_share * n_docs).collect())  # frequent terms first: their products lie close together
+    vocab = [(t, math.log(n_docs / -df)) for df, t in kept]
     n = len(vocab)
     spark = docs.sparkSession
     dim = spark.createDataFrame([(t, i, idf) for i, (t, idf) in enumerate(vocab)], "term string, nr int, idf double")
     weights = stored(counts.join(F.broadcast(dim), "term").select("doc_id", "nr", (F.col("tf") / F.col("dl") * F.col("idf")).alias("w")))
-    vectors = weights.groupBy("doc_id").agg(F.collect_list("nr").alias("nr"), F.collect_list("w").alias("w"))
+    listed = F.array_sort(F.collect_list(F.struct("nr", "w")))
+    vectors = weights.groupBy("doc_id").agg(listed.alias("x")).select("doc_id", F.col("x.nr").alias("nr"), F.col("x.w").alias("w"))
 
     def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((n, n))
+        flat = total.reshape(-1)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                own = batch.slice(at, 512)
-                nr, w = own.column(1), own.column(2)
-                dense = np.zeros((own.num_rows, n))
-                row = np.repeat(np.arange(own.num_rows), np.diff(nr.offsets.to_numpy()))
-                np.add.at(dense, (row, nr.flatten().to_numpy()), w.flatten().to_numpy())
+            nr, w = batch.column(1), batch.column(2)
+            sizes = np.diff(nr.offsets.to_numpy())
+            row, nr, w = np.repeat(np.arange(len(sizes)), sizes), nr.flatten().to_numpy().astype(np.int64), w.flatten().to_numpy()
+            few = sizes * FEW <= n
+            few[row[1:][(row[1:] == row[:-1]) & (nr[1:] == nr[:-1])]] = False  # a repeated document's term comes twice
+            ends = np.cumsum(sizes)
+            for k in np.flatnonzero(few):
+                i, v = nr[ends[k] - sizes[k] : ends[k]], w[ends[k] - sizes[k] : ends[k]]
+                flat[(i[:, None] * n + i).ravel()] += (v[:, None] * v).ravel()
+            many = np.flatnonzero(~few)
+            for at in range(0, len(many), 512):
+                own = many[at : at + 512]
+                lo, hi = np.searchsorted(row, (own[0], own[-1] + 1))
+                held = ~few[row[lo:hi]]
+                dense = np.zeros((len(own), n))
+                np.add.at(dense, (np.searchsorted(own, row[lo:hi][held]), nr[lo:hi][held]), w[lo:hi][held])
                 total += dense.T @ dense
-        yield pa.RecordBatch.from_arrays([pa.array(range(n), pa.int32()), pa.array([x.tobytes() for x in total], pa.binary())], names=["nr", "sums"])
+        yield pa.RecordBatch.from_arrays([pa.array(range(n), pa.int32()), pa.array([x[i:].tobytes() for i, x in enumerate(total)], pa.binary())], names=["nr", "sums"])
 
     def added(rows: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"nr": [rows["nr"].iloc[0]], "sums": [sum(np.frombuffer(x) for x in rows["sums"]).tobytes()]})
 
     found = vectors.mapInArrow(products, "nr int, sums binary").groupBy("nr").applyInPandas(added, "nr int, sums binary").collect() if n else []
-    gram = np.array([np.frombuffer(r.sums) for r in sorted(found, key=lambda r: r.nr)]).reshape(n, n)
-    values, columns = np.linalg.eigh(gram)
+    gram = np.zeros((n, n))
+    for r in found:
+        gram[r.nr, r.nr :] = np.frombuffer(r.sums)
+    values, columns = np.linalg.eigh(gram, UPLO="U")
     best = columns[:, np.argsort(-values)[:k]]
     best = best * np.where(best[np.abs(best).argmax(0), np.arange(best.shape[1])] < 0, -1.0, 1.0)  # the sign of a singular vector is free
     term_rows = spark.createDataFrame([(t, best[i].tolist()) for i, (t, _) in enumerate(vocab)], "term string, vector array<double>")
@@ -80,36 +99,73 @@ def similar_terms(terms: DataFrame, asked: str, n: int) -> DataFrame:
 def nearest_vectors(vectors: DataFrame, key: str, vector: str, queries: Column, n: int, block: int = 2048) -> DataFrame:
     """(query, key, score): for each row that `queries` selects the n other rows of the largest cosine, rounded to six places; ties by key.
 
-    Exact. Rows are packed to blocks of about `block`; each block of queries meets each block of rows in one matrix
-    product, which gives each query's n best of that block, and the best of those are its result.
+    Exact. Rows are packed to blocks of about `block`, queries to blocks of a few times as many; each block of queries meets
+    each block of rows in one matrix product. A task has some of the pairs and keeps each query's n best of these, so that of a
+    further product only scores are looked at that are no worse; the best of the tasks' are the result.
     """
     rows = stored(vectors.select(F.col(key).cast("long").alias("id"), F.transform(vector, lambda x: x.cast("double")).alias("v"), F.coalesce(queries, F.lit(False)).alias("asked")).where(F.col("id").isNotNull()))
     counts = rows.agg(F.count("*").alias("n"), F.count_if("asked").alias("asked")).first()
 
-    def packed(df: DataFrame, name: str, size: int) -> DataFrame:
-        part = F.pmod(F.xxhash64("id"), F.lit(max(1, -(-size // block)))).alias("part")
-        return df.groupBy(part).agg(F.collect_list(F.struct("id", "v")).alias(name)).select(name)
+    def packed(df: DataFrame, name: str, parts: int) -> DataFrame:
+        part = F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias(f"{name}_part")
+        return df.groupBy(part).agg(F.collect_list(F.struct("id", "v")).alias(name))
 
-    pairs = packed(rows, "rows", counts.n).crossJoin(packed(rows.where("asked"), "queries", counts.asked))  # blocks, not rows
+    packs = max(1, -(-counts.asked // (4 * block)))
+    cores = vectors.sparkSession.sparkContext.defaultParallelism
+    chunk = F.pmod("rows_part", F.lit(max(1, -(-4 * cores // packs)))).alias("chunk")
+    pairs = packed(rows, "rows", max(1, -(-counts.n // block))).crossJoin(packed(rows.where("asked"), "queries", packs)).select("rows", "queries", "queries_part", chunk)  # blocks, not rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, _Best] = {}
         for batch in batches:
-            for pair in zip(*(batch.column(c) for c in ("rows", "queries")), strict=True):
-                (ids, a), (asked, b) = (_matrix(x) for x in pair)
-                score = np.round(b @ a.T, 6)
-                score[asked[:, None] == ids[None, :]] = -np.inf
-                out = [np.lexsort((ids, -s))[:n] for s in score]
-                q = np.repeat(asked, [len(o) for o in out])
-                best = np.concatenate(out)
-                values = np.concatenate([s[o] for s, o in zip(score, out, strict=True)])
-                real = np.isfinite(values)
-                yield pa.RecordBatch.from_arrays([pa.array(q[real]), pa.array(ids[best][real]), pa.array(values[real])], names=["query", "id", "score"])
-
-    found = pairs.repartition(F.xxhash64(F.col("rows")[0]["id"], F.col("queries")[0]["id"])).mapInArrow(run, "query long, id long, score double")
+            for part, pair in zip(batch.column("queries_part").to_pylist(), zip(*(batch.column(c) for c in ("rows", "queries")), strict=True), strict=True):
+                if part not in best:
+                    best[part] = _Best(*_matrix(pair[1]), n)
+                best[part].meet(*_matrix(pair[0]))
+        for found in best.values():
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in found.rows()], names=["query", "id", "score"])
+
+    found = pairs.repartition(4 * cores, "queries_part", "chunk").mapInArrow(run, "query long, id long, score double")
     place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))
     return found.withColumn("place", place).where(F.col("place") <= n).select("query", F.col("id").alias(key), "score")
 
 
+class _Best:
+    """The n best rows so far of each query: by score, rounded to six places, then id."""
+
+    def __init__(self, asked: np.ndarray, vectors: np.ndarray, n: int):
+        self.asked, self.vectors, self.n = asked, vectors, n
+        self.ids, self.scores = np.zeros((len(asked), n), np.int64), np.full((len(asked), n), -np.inf)
+
+    def meet(self, ids: np.ndarray, rows: np.ndarray) -> None:
+        for start in range(0, len(self.asked), 512):
+            own = slice(start, start + 512)
+            asked, scores, best = self.asked[own], self.scores[own], self.ids[own]
+            score = self.vectors[own] @ rows.T
+            least = scores[:, -1]
+            if np.isinf(least).any() and len(ids) > self.n:  # nothing to compare with yet
+                score[asked[:, None] == ids[None, :]] = -np.inf
+                least = np.maximum(least, np.partition(score, -self.n, axis=1)[:, -self.n])
+            q, r = np.nonzero(score >= least[:, None] - 1e-6)
+            value, near = np.round(score[q, r], 6), ids[r]
+            last = scores[q, -1]
+            kept = (near != asked[q]) & np.isfinite(value) & ((value > last) | ((value == last) & (near < best[q, -1])))
+            if not kept.any():
+                continue
+            q, value, near = q[kept], value[kept], near[kept]
+            some = np.unique(q)
+            of = np.concatenate([np.repeat(some, self.n), q])
+            value, near = np.concatenate([scores[some].ravel(), value]), np.concatenate([best[some].ravel(), near])
+            order = np.lexsort((near, -value, of))
+            first = np.searchsorted(of[order], some)
+            top = order[first[:, None] + np.arange(self.n)]
+            scores[some], best[some] = value[top], near[top]
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        real = np.isfinite(self.scores)
+        return np.repeat(self.asked, self.n)[real.ravel()], self.ids[real], self.scores[real]
+
+
 def _matrix(rows: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
     """Ids, and vectors of length one, of a list of structs."""
     held = rows.values
